@@ -1,28 +1,34 @@
 """The hourly cell summary and the reports on top of it."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridlens import schema as S
-from gridlens.operators.clean import add_totals
+from gridlens.operators.clean import add_calendar, add_totals
 from gridlens.operators.order_stats import quantiles
 
 
-def hourly_grid_summary(clean: DataFrame, sum_type: str | None = None) -> DataFrame:
-    """One row per cell and timestamp; country codes are summed away.
+def exact_sum(name: str, decimals: int | None = None) -> Column:
+    """Sum of a measure. With `decimals`, the sum of values that carry at most that many decimals, added as whole
+    units, so that the total does not depend on the order in which partial sums arrive."""
+    if decimals is None:
+        return F.sum(name)
+    unit = float(10**decimals)
+    return F.sum(F.rint(F.col(name) * unit).cast("long")) / unit
 
-    sum_type, such as "decimal(18,2)", sums the measures as decimals, so that totals do not depend on the
-    order in which partial sums arrive.
-    """
 
-    def summed(name: str):
-        column = F.col(name).cast(sum_type) if sum_type else F.col(name)
-        return F.sum(column).cast("double").alias(name)
+def hourly_grid_summary(clean: DataFrame, decimals: int | None = None) -> DataFrame:
+    """One row per cell and timestamp; country codes are summed away.
 
-    grouped = clean.groupBy(*S.CELL_HOUR, *S.CALENDAR).agg(*[summed(name) for name in S.MEASURES])
-    return add_totals(grouped).withColumn(
-        "internet_share",
-        F.when(F.col("total_activity") != 0, F.try_divide("internet_activity", "total_activity")),
+    Only the key and the five measures are shuffled; the calendar columns follow from the timestamp and are
+    added to the aggregated rows.
+    """
+    grouped = clean.groupBy(*S.CELL_HOUR).agg(*[exact_sum(name, decimals).alias(name) for name in S.MEASURES])
+    share = F.when(F.col("total_activity") != 0, F.try_divide("internet_activity", "total_activity"))
+    return (
+        add_totals(add_calendar(grouped))
+        .withColumn("internet_share", share)
+        .select(*S.CELL_HOUR, *S.CALENDAR, *S.MEASURES, *S.TOTALS, "internet_share")
     )
 
 

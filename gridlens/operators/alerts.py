@@ -1,75 +1,75 @@
 """Rule alerts per daily file: high activity, activity drop, activity spike."""
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridlens import schema as S
 from gridlens.functions import columns as C
-from gridlens.operators.joins import small_result
 from gridlens.operators.order_stats import leave_one_out_median, quantiles
 from gridlens.operators.windows import previous_hour_activity
 
 
 def activity_floor(hourly: DataFrame, scope: str = "date", percentile: float = S.FLOOR_PERCENTILE) -> DataFrame:
-    """Per daily file the activity below which ratios are not meaningful."""
-    return quantiles(hourly, "total_activity", [percentile], [scope]).select(
+    """Per daily file the activity below which ratios are not meaningful. The calendar bounds the number of files."""
+    return quantiles(hourly, "total_activity", [percentile], [scope], few_groups=True).select(
         scope, F.col("quantile").alias("activity_floor")
     )
 
 
-def within_day_baseline(hourly: DataFrame, scope: str = "date", **options) -> DataFrame:
-    return leave_one_out_median(hourly, [scope, "grid_id"], **options)
-
+def within_day_baseline(hourly: DataFrame, scope: str = "date") -> DataFrame:
+    """Median of a cell's other hours in the same file. The unique (cell, timestamp) key bounds such a bucket by
+    the distinct timestamps of a day, so it needs no splitting."""
+    return leave_one_out_median(hourly, [scope, "grid_id"], max_group_rows=None)
 
-def _alert(kind: str, fires: Column, compared: Column, text: str) -> Column:
-    current = F.col("total_activity")
-    return F.when(
-        fires,
-        F.struct(
-            F.lit(kind).alias("alert_type"),
-            F.round(current, 4).alias("current_activity"),
-            F.round(compared, 4).alias("baseline_activity"),
-            F.format_string(f"{kind}: current activity %.2f is {text} %.2f", current, compared).alias("reason"),
-        ),
-    )
 
-
-def alert_rules(
+def rule_conditions(
     high: float = S.HIGH_MULTIPLIER, drop: float = S.DROP_FRACTION, spike: float = S.SPIKE_MULTIPLIER
-) -> list[Column]:
-    """The three rules, each a struct where it fires and NULL elsewhere; more than one may fire per row."""
+) -> dict[str, Column]:
+    """The rules in listing order; more than one may hold for a row."""
     current, floor = F.col("total_activity"), F.col("activity_floor")
     baseline, previous = F.col("baseline_activity"), F.col("prev_hour_activity")
-    return [
-        _alert(
-            "HIGH_ACTIVITY",
-            (baseline >= floor) & (current > baseline * high),
-            baseline,
-            f"more than {high}x this grid's within-day baseline of",
-        ),
-        _alert(
-            "ACTIVITY_DROP",
-            (baseline >= floor) & (current < baseline * drop),
-            baseline,
-            f"below {drop}x this grid's within-day baseline of",
-        ),
-        _alert(
-            "ACTIVITY_SPIKE",
-            (previous >= floor) & (current > previous * spike),
-            previous,
-            f"more than {spike}x the immediately preceding hour's",
-        ),
-    ]
-
-
-def network_alerts(hourly: DataFrame, scope: str = "date", **options) -> DataFrame:
-    """One row per fired rule. Floor, baseline and previous hour are taken within each daily file."""
+    return {
+        "HIGH_ACTIVITY": (baseline >= floor) & (current > baseline * high),
+        "ACTIVITY_DROP": (baseline >= floor) & (current < baseline * drop),
+        "ACTIVITY_SPIKE": (previous >= floor) & (current > previous * spike),
+    }
+
+
+def alert_reason(kind: Column, current: Column, compared: Column) -> Column:
+    texts = {
+        "HIGH_ACTIVITY": f"more than {S.HIGH_MULTIPLIER}x this grid's within-day baseline of",
+        "ACTIVITY_DROP": f"below {S.DROP_FRACTION}x this grid's within-day baseline of",
+        "ACTIVITY_SPIKE": f"more than {S.SPIKE_MULTIPLIER}x the immediately preceding hour's",
+    }
+    text = F.create_map(*[F.lit(part) for pair in texts.items() for part in pair])[kind]
+    return F.format_string("%s: current activity %.2f is %s %.2f", kind, current, text, compared)
+
+
+def network_alerts(hourly: DataFrame, scope: str = "date") -> DataFrame:
+    """One row per fired rule. Floor, baseline and previous hour are taken within each daily file.
+
+    Baseline and previous hour share one shuffle by file and cell; the floors, one row per daily file, are
+    broadcast.
+    """
     rows = hourly.select(*dict.fromkeys(["grid_id", "timestamp", "hour", scope, "total_activity"]))
-    prepared = within_day_baseline(previous_hour_activity(rows, scope), scope, **options)
-    judged = prepared.join(small_result(activity_floor(rows, scope)), scope)
-    fired = F.filter(F.array(*alert_rules()), lambda rule: rule.isNotNull())
-    return judged.select("grid_id", "timestamp", F.col(scope).alias("source_file"), F.inline(fired)).select(
-        "grid_id", "timestamp", "alert_type", "current_activity", "baseline_activity", "reason", "source_file"
+    prepared = within_day_baseline(previous_hour_activity(rows, scope), scope)
+    judged = prepared.join(F.broadcast(activity_floor(rows, scope)), scope)
+    kind, current = F.col("alert_type"), F.col("total_activity")
+    compared = F.when(kind == "ACTIVITY_SPIKE", F.col("prev_hour_activity")).otherwise(F.col("baseline_activity"))
+    rules = rule_conditions()
+    names = F.array_compact(F.array(*[F.when(holds, name) for name, holds in rules.items()]))
+    fired = judged.where(reduce(or_, rules.values())).select("*", F.explode(names).alias("alert_type"))
+    return fired.select(
+        "grid_id",
+        "timestamp",
+        "alert_type",
+        F.round(current, 4).alias("current_activity"),
+        F.round(compared, 4).alias("baseline_activity"),
+        alert_reason(kind, current, compared).alias("reason"),
+        F.col(scope).alias("source_file"),
     )
 
 

@@ -8,7 +8,8 @@ from gridlens.operators.order_stats import leave_one_out_median
 
 
 def anomaly_scores(hourly: DataFrame, **options) -> DataFrame:
-    rows = hourly.select("grid_id", "timestamp", "hour", "total_activity").dropDuplicates(["grid_id", "timestamp"])
+    """Scores every row of a table with unique (cell, timestamp) keys; options go to leave_one_out_median."""
+    rows = hourly.select("grid_id", "timestamp", "hour", "total_activity")
     return score_against_baseline(leave_one_out_median(rows, ["grid_id", "hour"], **options))
 
 

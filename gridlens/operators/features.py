@@ -8,13 +8,13 @@ from gridlens.functions import columns as C
 from gridlens.operators.windows import chronological_split, history_windows, next_hour_target
 
 
-def network_features(hourly: DataFrame, strict_hours: bool = False) -> DataFrame:
+def network_features(hourly: DataFrame, strict_hours: bool = False, deduplicate: bool = False) -> DataFrame:
     """Six features per cell and timestamp with a complete six-row history.
 
-    The history counts rows; strict_hours asks for six contiguous hours instead.
+    The history counts rows; strict_hours asks for six contiguous hours instead. Keys are unique in a table
+    that passed the quality gate; deduplicate keeps one row per key of any other, at the cost of a shuffle.
     """
-    unique = hourly.select("grid_id", "timestamp", "total_activity", "internet_activity").dropDuplicates(S.CELL_HOUR)
-    rows = history_windows(unique)
+    rows = history_windows(hourly.dropDuplicates(S.CELL_HOUR) if deduplicate else hourly)
     complete = (F.col("recent_count") == 3) & (F.col("baseline_count") == 3)
     if strict_hours:
         complete = complete & (F.col("history_start") == F.col("timestamp") - F.expr("INTERVAL 5 HOURS"))
@@ -33,9 +33,8 @@ def network_features(hourly: DataFrame, strict_hours: bool = False) -> DataFrame
 
 def training_set(features: DataFrame, hourly: DataFrame, threshold: float = S.HIGH_ACTIVITY_THRESHOLD) -> DataFrame:
     """Features joined to the activity exactly one hour later, labelled against the threshold."""
-    unique = hourly.select("grid_id", "timestamp", "total_activity").dropDuplicates(S.CELL_HOUR)
     target = (
-        next_hour_target(unique)
+        next_hour_target(hourly)
         .where(F.col("target_timestamp") == F.col("timestamp") + F.expr("INTERVAL 1 HOUR"))
         .select("grid_id", F.col("timestamp").alias("feature_timestamp"), "target_timestamp", "target_activity")
     )

@@ -1,104 +1,117 @@
 """Exact order statistics, quantiles and leave-one-out medians without putting a large group in one task."""
 
+from collections.abc import Callable
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridlens.functions.columns import value_slice
+from gridlens.operators.joins import small_result
+from gridlens.session import scratch_root
 
 # a group above this many rows is spread over value slices
 MAX_GROUP_ROWS = 1_000_000
 
+# group size -> name -> 0-based position in the group's sorted values
+Positions = Callable[[Column], dict[str, Column]]
+
 
-def values_at(df: DataFrame, value: str, positions, by: list[str] | None = None, slicer=value_slice) -> DataFrame:
-    """The values at given 0-based positions of each group's sorted non-null values.
+def values_at(
+    df: DataFrame,
+    value: str,
+    positions: Positions,
+    by: list[str] | None = None,
+    slicer: Callable[[Column], Column] = value_slice,
+    few_groups: bool = False,
+) -> DataFrame:
+    """The values at given positions of each group's sorted non-null values: by, group_rows, one column per name.
 
-    positions maps a group-size column to an array<struct<label,position>> column. Result: by, label,
-    position, group_rows, value_at.
+    A position outside the group gives NULL. Columns in `by` must not be NULL.
 
-    Equal values are counted before anything else, slice sizes are summed next, and only the slices
-    that hold a wanted position are ever sorted, so neither a dominant group nor a dominant value
-    reaches a single task. Columns in `by` must not be NULL.
+    Slice sizes are counted first, which shuffles counts only. Then the rows of the few slices that hold a
+    wanted position are picked, equal values are counted before the shuffle, and each slice is sorted on its
+    own. So neither a dominant group nor a dominant value reaches a single task. The wanted slices, a few
+    per group, are broadcast when the caller knows the number of groups to be small, else only once counted.
     """
     by = by or []
-    counted = (
+    sliced = (
         df.where(F.col(value).isNotNull())
         .select(*by, F.col(value).alias("_value"))
         .withColumn("_slice", slicer(F.col("_value")))
-        .groupBy(*by, "_slice", "_value")
-        .agg(F.count(F.lit(1)).alias("_copies"))
     )
+    wanted = positions(F.col("group_rows"))
+
+    def holds(position: Column, first: str, rows: str) -> Column:
+        return (position >= F.col(first)) & (position < F.col(first) + F.col(rows))
+
     over_slices = Window.partitionBy(*by).orderBy("_slice")
     located = (
-        counted.groupBy(*by, "_slice")
-        .agg(F.sum("_copies").alias("_rows"))
+        sliced.groupBy(*by, "_slice")
+        .agg(F.count(F.lit(1)).alias("_rows"))
         .select(
-            *by,
-            "_slice",
-            "_rows",
+            "*",
             (F.sum("_rows").over(over_slices) - F.col("_rows")).alias("_before"),
             F.sum("_rows").over(Window.partitionBy(*by)).alias("group_rows"),
         )
-        .withColumn(
-            "_wanted",
-            F.filter(
-                positions(F.col("group_rows")),
-                lambda p: (p["position"] >= F.col("_before")) & (p["position"] < F.col("_before") + F.col("_rows")),
-            ),
-        )
-        .where(F.size("_wanted") > 0)
+        .where(reduce(or_, [holds(position, "_before", "_rows") for position in wanted.values()]))
+        .drop("_rows")
     )
+    picked = F.broadcast(located) if few_groups or not by else small_result(located)
     in_slice = Window.partitionBy(*by, "_slice").orderBy("_value")
-    return (
-        counted.join(located, [*by, "_slice"])
-        .withColumn("_upto", F.col("_before") + F.sum("_copies").over(in_slice))
-        .select(*by, "group_rows", "_value", "_upto", "_copies", F.explode("_wanted").alias("_p"))
-        .where((F.col("_p.position") < F.col("_upto")) & (F.col("_p.position") >= F.col("_upto") - F.col("_copies")))
-        .select(
-            *by,
-            F.col("_p.label").alias("label"),
-            F.col("_p.position").alias("position"),
-            "group_rows",
-            F.col("_value").alias("value_at"),
-        )
+    before = F.col("_before") + F.sum("_copies").over(in_slice) - F.col("_copies")
+    counted = (
+        sliced.join(picked, [*by, "_slice"])
+        .groupBy(*by, "_slice", "_before", "group_rows", "_value")
+        .agg(F.count(F.lit(1)).alias("_copies"))
+        .select(*by, "group_rows", "_value", "_copies", before.alias("_first"))
+    )
+    return counted.groupBy(*by, "group_rows").agg(
+        *[
+            F.max(F.when(holds(position, "_first", "_copies"), F.col("_value"))).alias(name)
+            for name, position in wanted.items()
+        ]
     )
 
 
-def quantiles(df: DataFrame, value: str, probabilities: list[float], by: list[str] | None = None) -> DataFrame:
+def quantiles(
+    df: DataFrame, value: str, probabilities: list[float], by: list[str] | None = None, few_groups: bool = False
+) -> DataFrame:
     """Exact quantiles with linear interpolation, one row per group and probability: by, probability, quantile."""
     by = by or []
+    numbered = list(enumerate(float(p) for p in probabilities))
 
-    def positions(rows: Column) -> Column:
-        wanted = []
-        for p in probabilities:
-            at = (rows - 1) * F.lit(float(p))
-            for side, spot in (("low", F.floor(at)), ("high", F.ceil(at))):
-                label = F.struct(F.lit(float(p)).alias("probability"), F.lit(side).alias("side"))
-                wanted.append(F.struct(label.alias("label"), spot.cast("long").alias("position")))
-        return F.array(*wanted)
-
-    found = values_at(df, value, positions, by)
-    low = F.max(F.when(F.col("label.side") == "low", F.col("value_at")))
-    high = F.max(F.when(F.col("label.side") == "high", F.col("value_at")))
-    at = (F.max("group_rows") - 1) * F.col("probability")
-    return (
-        found.withColumn("probability", F.col("label.probability"))
-        .groupBy(*by, "probability")
-        .agg((low + (high - low) * (at - F.floor(at))).alias("quantile"))
-    )
+    def positions(rows: Column) -> dict[str, Column]:
+        wanted = {}
+        for i, p in numbered:
+            wanted[f"_low{i}"] = F.floor((rows - 1) * p)
+            wanted[f"_high{i}"] = F.ceil((rows - 1) * p)
+        return wanted
+
+    found = values_at(df, value, positions, by, few_groups=few_groups)
+
+    def interpolated(i: int, p: float) -> Column:
+        at = (F.col("group_rows") - 1) * p
+        low, high = F.col(f"_low{i}"), F.col(f"_high{i}")
+        return F.struct(F.lit(p).alias("probability"), (low + (high - low) * (at - F.floor(at))).alias("quantile"))
 
+    return found.select(*by, F.inline(F.array(*[interpolated(i, p) for i, p in numbered])))
 
-def _middle(rows: Column) -> tuple[Column, Column]:
-    """0-based positions of the one or two middle values among the other rows - 1 values."""
-    return F.floor((rows - 2) / 2).cast("long"), F.floor((rows - 1) / 2).cast("long")
 
+def _middle(rows: Column) -> dict[str, Column]:
+    """Positions around the middle of the other rows - 1 values, in the group's own order."""
+    low, high = F.floor((rows - 2) / 2), F.floor((rows - 1) / 2)
+    return {"_low": low, "_low_next": low + 1, "_high": high, "_high_next": high + 1}
 
-def _median_of_others(value: Column, rows: Column, at: dict[str, Column]) -> Column:
+
+def _median_of_others(value: Column, rows: Column) -> Column:
     """Median of a group's other values, from the group's own values around the middle.
 
     Taking out a value at or below the k-th one shifts everything above it down by one place.
     """
-    low = F.when(value <= at["low"], at["low_next"]).otherwise(at["low"])
-    high = F.when(value <= at["high"], at["high_next"]).otherwise(at["high"])
+    low = F.when(value <= F.col("_low"), F.col("_low_next")).otherwise(F.col("_low"))
+    high = F.when(value <= F.col("_high"), F.col("_high_next")).otherwise(F.col("_high"))
     return F.when(rows >= 2, (low + high) / 2)
 
 
@@ -107,56 +120,40 @@ def leave_one_out_median(
     buckets: list[str],
     value: str = "total_activity",
     output: str = "baseline_activity",
-    max_group_rows: int = MAX_GROUP_ROWS,
+    max_group_rows: int | None = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Adds, per row, the median of the other rows in its bucket; NULL for a bucket of one.
 
-    Ordinary buckets need one shuffle and one sort. Buckets above max_group_rows (at most
-    total rows / max_group_rows of them, hence the broadcasts) take their middle values from values_at
-    and are never gathered. The value must not be NULL.
+    Buckets are counted first. Ordinary ones then need one shuffle and one sort. Those above max_group_rows
+    (at most total rows / max_group_rows of them, hence the broadcasts) take their middle values from
+    values_at and are never gathered. Pass None where the key bounds the bucket. The value must not be NULL.
     """
-    large = df.groupBy(*buckets).count().where(F.col("count") > max_group_rows).select(*buckets)
-    return _sorted_buckets(df, buckets, value, output, large).unionByName(
-        _sliced_buckets(df, buckets, value, output, large)
-    )
-
-
-def _sorted_buckets(df: DataFrame, buckets: list[str], value: str, output: str, large: DataFrame) -> DataFrame:
+    if max_group_rows is None:
+        return _sorted_buckets(df, buckets, value, output)
+    scratch_root(df.sparkSession)
+    sizes = df.groupBy(*buckets).agg(F.count(F.lit(1)).alias("_size"))
+    large = sizes.where(F.col("_size") > max_group_rows).select(*buckets).checkpoint()
+    if large.isEmpty():
+        return _sorted_buckets(df, buckets, value, output)
+    large = F.broadcast(large)
+    ordinary = _sorted_buckets(df.join(large, buckets, "left_anti"), buckets, value, output)
+    return ordinary.unionByName(_sliced_buckets(df.join(large, buckets, "left_semi"), buckets, value, output))
+
+
+def _sorted_buckets(df: DataFrame, buckets: list[str], value: str, output: str) -> DataFrame:
     whole = Window.partitionBy(*buckets)
-    rows, spot = F.col("_rows"), F.col("_spot")
-    low, high = _middle(rows)
-    picks = {"low": low, "low_next": low + 1, "high": high, "high_next": high + 1}
-    ranked = (
-        df.join(F.broadcast(large), buckets, "left_anti")
-        .withColumn("_spot", F.row_number().over(whole.orderBy(value)) - 1)
-        .withColumn("_rows", F.count(F.lit(1)).over(whole))
-    )
-    found = {k: F.max(F.when(spot == at, F.col(value))).over(whole) for k, at in picks.items()}
-    return (
-        ranked.withColumns({f"_{k}": v for k, v in found.items()})
-        .withColumn(output, _median_of_others(F.col(value), rows, {k: F.col(f"_{k}") for k in picks}))
-        .select(*df.columns, output)
-    )
-
-
-def _sliced_buckets(df: DataFrame, buckets: list[str], value: str, output: str, large: DataFrame) -> DataFrame:
-    def positions(rows: Column) -> Column:
-        low, high = _middle(rows)
-        spots = {"low": low, "low_next": low + 1, "high": high, "high_next": high + 1}
-        return F.array(*[F.struct(F.lit(k).alias("label"), at.alias("position")) for k, at in spots.items()])
-
-    inside = df.join(F.broadcast(large), buckets, "left_semi")
-    labels = ["low", "low_next", "high", "high_next"]
-    middle = (
-        values_at(inside, value, positions, buckets)
-        .groupBy(*buckets)
-        .agg(
-            F.max("group_rows").alias("_rows"),
-            *[F.max(F.when(F.col("label") == k, F.col("value_at"))).alias(f"_{k}") for k in labels],
-        )
-    )
-    return (
-        inside.join(F.broadcast(middle), buckets)
-        .withColumn(output, _median_of_others(F.col(value), F.col("_rows"), {k: F.col(f"_{k}") for k in labels}))
-        .select(*df.columns, output)
+    ranked = df.withColumn("_spot", F.row_number().over(whole.orderBy(value)) - 1).withColumn(
+        "_rows", F.count(F.lit(1)).over(whole)
     )
+    middle = {
+        name: F.max(F.when(F.col("_spot") == spot, F.col(value))).over(whole)
+        for name, spot in _middle(F.col("_rows")).items()
+    }
+    baseline = _median_of_others(F.col(value), F.col("_rows"))
+    return ranked.withColumns(middle).withColumn(output, baseline).select(*df.columns, output)
+
+
+def _sliced_buckets(df: DataFrame, buckets: list[str], value: str, output: str) -> DataFrame:
+    middle = values_at(df, value, _middle, buckets, few_groups=True)
+    baseline = _median_of_others(F.col(value), F.col("group_rows"))
+    return df.join(F.broadcast(middle), buckets).withColumn(output, baseline).select(*df.columns, output)

@@ -23,7 +23,8 @@ def along_time(
     Equal to running `columns` over one window per key, but the work is partitioned by key and calendar
     period, so one long or dominant key is spread over many tasks. Rows too close to a period border to
     see all their neighbours are recomputed from the border rows alone, a few per key and period, after a
-    second, small shuffle. Each (keys, order) must be unique.
+    second, small shuffle. Each (keys, order) must be unique. Let `columns` refer to plain columns of df, so
+    that both parts read the same first shuffle.
     """
     reach = before + after
     inside = Window.partitionBy(*keys, "_period").orderBy(order)
@@ -54,15 +55,16 @@ def history_windows(hourly: DataFrame) -> DataFrame:
             F.avg(activity).over(recent).alias("recent_avg"),
             F.avg(activity).over(earlier).alias("baseline_avg"),
             F.max(activity).over(recent).alias("recent_peak"),
-            F.sum(F.when(activity > 0, 1).otherwise(0)).over(recent).alias("active_hours"),
+            F.sum("is_active").over(recent).alias("active_hours"),
             F.stddev_samp(activity).over(recent).alias("recent_stddev"),
             F.sum("internet_activity").over(recent).alias("recent_internet"),
             F.sum(activity).over(recent).alias("recent_total"),
             F.min("timestamp").over(w.rowsBetween(-5, 0)).alias("history_start"),
         ]
 
-    rows = hourly.select("grid_id", "timestamp", "total_activity", "internet_activity")
-    return along_time(rows, columns, ["grid_id"], before=5)
+    active = F.when(F.col("total_activity") > 0, 1).otherwise(0).alias("is_active")
+    rows = hourly.select("grid_id", "timestamp", "total_activity", "internet_activity", active)
+    return along_time(rows, columns, ["grid_id"], before=5).drop("is_active")
 
 
 def next_hour_target(hourly: DataFrame) -> DataFrame:
@@ -79,7 +81,8 @@ def next_hour_target(hourly: DataFrame) -> DataFrame:
 
 
 def previous_hour_activity(hourly: DataFrame, scope: str = "date") -> DataFrame:
-    """The row before within the same daily file and cell; a file holds at most 24 hourly rows per cell."""
+    """The row before within the same daily file and cell. The unique (cell, timestamp) key bounds such a group by
+    the distinct timestamps of a day."""
     w = Window.partitionBy(scope, "grid_id").orderBy("hour", "timestamp")
     return hourly.withColumn("prev_hour_activity", F.lag("total_activity").over(w))
 
@@ -99,13 +102,12 @@ def timestamp_gaps(df: DataFrame, order: str = "timestamp") -> DataFrame:
 def split_timestamp(df: DataFrame, order: str, fraction: float = S.TRAIN_FRACTION) -> DataFrame:
     """First timestamp of the test part when the distinct timestamps are cut at int(fraction * count)."""
 
-    def positions(rows: Column) -> Column:
-        at = F.floor(rows * F.lit(fraction)).cast("long")
-        return F.array(F.struct(F.lit("split").alias("label"), at.alias("position")))
+    def day(micros: Column) -> Column:
+        return F.floor(micros / 86_400_000_000).cast("long")
 
-    seconds = df.select(F.unix_micros(order).alias("_t")).distinct()
-    by_day = values_at(seconds, "_t", positions, slicer=lambda t: F.floor(t / 86_400_000_000).cast("long"))
-    return by_day.select(F.timestamp_micros("value_at").alias("split_timestamp"))
+    moments = df.select(F.unix_micros(order).alias("_t")).distinct()
+    found = values_at(moments, "_t", lambda rows: {"split": F.floor(rows * fraction)}, slicer=day)
+    return found.select(F.timestamp_micros("split").alias("split_timestamp"))
 
 
 def chronological_split(df: DataFrame, order: str, fraction: float = S.TRAIN_FRACTION) -> DataFrame:

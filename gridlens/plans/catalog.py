@@ -68,7 +68,7 @@ class Dataset:
         return clean.clean_activity(self.canonical)
 
     def build_hourly(self) -> DataFrame:
-        return aggregate.hourly_grid_summary(self.clean, fixtures.EXACT_SUM)
+        return aggregate.hourly_grid_summary(self.clean, fixtures.DECIMALS)
 
     @cached_property
     def hourly(self) -> DataFrame:
@@ -850,7 +850,7 @@ def _clean_stream(d: Dataset) -> DataFrame:
 @query()
 def stream_hourly_grid(d: Dataset) -> DataFrame:
     path = scratch_path(d.spark, "stream-hourly")
-    hourly = live.live_hourly_grid(_clean_stream(d), sum_type=fixtures.EXACT_SUM)
+    hourly = live.live_hourly_grid(_clean_stream(d), decimals=fixtures.DECIMALS)
     live.write_available(hourly, f"{path}/table", f"{path}/checkpoint")
     return d.spark.read.schema(hourly.schema).parquet(f"{path}/table").drop("date", "day_of_week")
 
@@ -859,7 +859,7 @@ def stream_hourly_grid(d: Dataset) -> DataFrame:
 def stream_scoring(d: Dataset) -> DataFrame:
     path = scratch_path(d.spark, "stream-scores")
     baseline = stage(live.frozen_baseline(d.hourly), "baseline")
-    hourly = live.live_hourly_grid(_clean_stream(d), sum_type=fixtures.EXACT_SUM)
+    hourly = live.live_hourly_grid(_clean_stream(d), decimals=fixtures.DECIMALS)
     live.score_available(hourly, baseline, f"{path}/scores", f"{path}/alerts", f"{path}/checkpoint")
     scores = d.spark.read.parquet(f"{path}/scores")
     return scores.groupBy("direction").agg(F.count(F.lit(1)).alias("rows"), F.count("alert_type").alias("alerts"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from gridlens import schema as S
 
 EVENT_MEASURES = {"smsin": "click", "smsout": "view", "callin": "purchase", "callout": "signup", "internet": "error"}
-EXACT_SUM = "decimal(18,2)"
+DECIMALS = 2
 FIXTURE_THRESHOLD = 120.0
 FILE_PREFIX = "activity-"
 

@@ -6,22 +6,18 @@ from pyspark.sql.streaming import StreamingQuery
 
 from gridlens import schema as S
 from gridlens.functions import columns as C
+from gridlens.operators.aggregate import exact_sum
 from gridlens.operators.anomaly import score_against_baseline
 from gridlens.operators.clean import add_calendar, add_totals, clean_activity, to_canonical
 from gridlens.operators.order_stats import quantiles
 
 
-def live_hourly_grid(clean: DataFrame, lateness: str = "2 hours", sum_type: str | None = None) -> DataFrame:
+def live_hourly_grid(clean: DataFrame, lateness: str = "2 hours", decimals: int | None = None) -> DataFrame:
     """Hourly cell totals of a cleaned activity stream; an hour is emitted once the watermark has passed its end."""
-
-    def summed(name: str):
-        column = F.col(name).cast(sum_type) if sum_type else F.col(name)
-        return F.sum(column).cast("double").alias(name)
-
     windows = (
         clean.withWatermark("timestamp", lateness)
         .groupBy(F.window("timestamp", "1 hour").alias("hour_window"), "grid_id")
-        .agg(*[summed(name) for name in S.MEASURES])
+        .agg(*[exact_sum(name, decimals).alias(name) for name in S.MEASURES])
     )
     hourly = windows.select("grid_id", F.col("hour_window.start").alias("timestamp"), *S.MEASURES)
     return add_totals(add_calendar(hourly))
