@@ -1,19 +1,27 @@
-"""Broadcast only after counting."""
+"""Broadcast only after measuring."""
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridlens.session import scratch_root
 
-SMALL_SIDE_ROWS = 200_000
+SMALL_SIDE_BYTES = 64 * 1024 * 1024
 
 
-def small_side(df: DataFrame, max_rows: int = SMALL_SIDE_ROWS) -> DataFrame:
-    """Mark a table for broadcast when it has at most max_rows rows, else leave the join to AQE."""
-    return F.broadcast(df) if df.count() <= max_rows else df
+def measured_bytes(df: DataFrame) -> int:
+    """Rows times fixed width, plus the bytes of all text."""
+    texts = [F.coalesce(F.octet_length(n), F.lit(0)).cast("long") for n, kind in df.dtypes if kind == "string"]
+    text = F.coalesce(F.sum(sum(texts, F.lit(0).cast("long"))), F.lit(0))
+    facts = df.agg(F.count(F.lit(1)).alias("rows"), text.alias("text")).first()
+    return facts["rows"] * 16 * len(df.columns) + facts["text"]
 
 
-def small_result(df: DataFrame, max_rows: int = SMALL_SIDE_ROWS) -> DataFrame:
-    """As small_side for a derived table: it is checkpointed first so counting does not compute it twice."""
+def small_side(df: DataFrame, max_bytes: int = SMALL_SIDE_BYTES) -> DataFrame:
+    """Mark a table for broadcast when it measures at most max_bytes, else leave the join to AQE."""
+    return F.broadcast(df) if measured_bytes(df) <= max_bytes else df
+
+
+def small_result(df: DataFrame, max_bytes: int = SMALL_SIDE_BYTES) -> DataFrame:
+    """As small_side for a derived table: it is checkpointed first so measuring does not compute it twice."""
     scratch_root(df.sparkSession)
-    return small_side(df.checkpoint(), max_rows)
+    return small_side(df.checkpoint(), max_bytes)

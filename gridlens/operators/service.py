@@ -25,13 +25,17 @@ def _as_of(times: DataFrame, as_of: datetime | None) -> Column:
 
 
 def network_summary(activity: DataFrame, as_of: datetime | None = None) -> DataFrame:
-    """Total, active cells, peak hour and top cell per timestamp, or at one. `activity` is the star or hourly table."""
+    """Total, active cells, peak hour and top cell per timestamp, or at one. `activity` is the star or hourly table.
+
+    Each cell has one row per timestamp there, so rows count cells, and only one row per timestamp and task is
+    shuffled.
+    """
     if as_of is not None:
         activity = activity.where(F.col("timestamp") == F.lit(as_of))
     largest = F.struct(F.col("total_activity"), -F.col("grid_id"))
     return activity.groupBy(F.col("timestamp").alias("as_of")).agg(
         F.sum("total_activity").alias("total_activity"),
-        F.count_distinct("grid_id").alias("active_grids"),
+        F.count("grid_id").alias("active_grids"),
         F.max(F.hour("timestamp")).alias("peak_hour"),
         F.max_by("grid_id", largest).alias("top_grid"),
     )

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridlens import schema as S
-from gridlens.operators.joins import small_result
+from gridlens.operators.joins import small_side
 from gridlens.sources.geo import grid_lookup
 
 FACT_MEASURES = [*S.MEASURES, *S.TOTALS, "internet_share"]
@@ -30,8 +30,8 @@ def dim_grid(features: DataFrame, source: str) -> DataFrame:
 
 
 def fact_network_activity(hourly: DataFrame, times: DataFrame) -> DataFrame:
-    """Measures by cell and time key; a timestamp missing from dim_time is an error."""
-    keys = small_result(times.select("timestamp", "time_key"))
+    """Measures by cell and time key; a timestamp missing from dim_time is an error. Pass dim_time as a stored table."""
+    keys = small_side(times.select("timestamp", "time_key"))
     missing = F.raise_error(F.concat(F.lit("no time_key for "), F.col("timestamp").cast("string"))).cast("long")
     return hourly.join(keys, "timestamp", "left").select(
         "grid_id", F.coalesce("time_key", missing).alias("time_key"), *FACT_MEASURES
@@ -40,7 +40,7 @@ def fact_network_activity(hourly: DataFrame, times: DataFrame) -> DataFrame:
 
 def star(fact: DataFrame, times: DataFrame) -> DataFrame:
     """Fact rows with their timestamp columns."""
-    return fact.join(small_result(times), "time_key")
+    return fact.join(small_side(times), "time_key")
 
 
 def warehouse_checks(source: DataFrame, fact: DataFrame, grids: DataFrame) -> DataFrame:

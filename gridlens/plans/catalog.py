@@ -600,7 +600,7 @@ def dim_grid(d: Dataset) -> DataFrame:
 
 @query()
 def fact_network_activity(d: Dataset) -> DataFrame:
-    return warehouse.fact_network_activity(d.hourly, warehouse.dim_time(d.hourly))
+    return warehouse.fact_network_activity(d.hourly, d.dim_time)
 
 
 @query()

@@ -49,7 +49,7 @@ def split_line(line: Column) -> Column:
 
 
 def is_header(fields: Column) -> Column:
-    return F.transform(fields, F.trim) == F.array(*[F.lit(name) for name in S.RAW_COLUMNS])
+    return F.transform(fields, lambda field: F.trim(field)) == F.array(*[F.lit(name) for name in S.RAW_COLUMNS])
 
 
 def _number(text: Column) -> Column:
