@@ -1,5 +1,7 @@
 """Canonical names, quarantine, null-to-zero, calendar and total columns."""
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -76,3 +78,9 @@ def first_per_key(df: DataFrame, keys: list[str], order: list | None = None) ->
     rest = [name for name in df.columns if name not in keys]
     chosen = F.min_by(F.struct(*rest), F.struct(*order)).alias("_row")
     return df.groupBy(*keys).agg(chosen).select(*keys, "_row.*").select(*df.columns)
+
+
+def union_tables(tables: list[DataFrame], keys: list[str] | None = None) -> DataFrame:
+    """Tables of several days or sources as one; with keys, one row per key. Daily files need no union: scan them together."""
+    union = reduce(DataFrame.unionByName, tables)
+    return first_per_key(union, keys) if keys else union

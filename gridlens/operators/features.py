@@ -1,5 +1,7 @@
 """Trailing-window features, next-hour labels and the leakage check."""
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,8 +45,10 @@ def training_set(features: DataFrame, hourly: DataFrame, threshold: float = S.HI
     )
 
 
-def split_training_set(labelled: DataFrame, fraction: float = S.TRAIN_FRACTION) -> DataFrame:
-    return chronological_split(labelled, "feature_timestamp", fraction)
+def split_training_set(
+    labelled: DataFrame, fraction: float = S.TRAIN_FRACTION, border: datetime | None = None
+) -> DataFrame:
+    return chronological_split(labelled, "feature_timestamp", fraction, border)
 
 
 def split_checks(split: DataFrame) -> DataFrame:

@@ -115,6 +115,15 @@ def _median_of_others(value: Column, rows: Column) -> Column:
     return F.when(rows >= 2, (low + high) / 2)
 
 
+def large_groups(df: DataFrame, by: list[str], max_group_rows: int) -> DataFrame | None:
+    """Keys of the groups above max_group_rows, marked for broadcast, or None. There are at most total rows /
+    max_group_rows of them."""
+    scratch_root(df.sparkSession)
+    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_size"))
+    large = sizes.where(F.col("_size") > max_group_rows).select(*by).checkpoint()
+    return None if large.isEmpty() else F.broadcast(large)
+
+
 def leave_one_out_median(
     df: DataFrame,
     buckets: list[str],
@@ -125,21 +134,26 @@ def leave_one_out_median(
     """Adds, per row, the median of the other rows in its bucket; NULL for a bucket of one.
 
     Buckets are counted first. Ordinary ones then need one shuffle and one sort. Those above max_group_rows
-    (at most total rows / max_group_rows of them, hence the broadcasts) take their middle values from
-    values_at and are never gathered. Pass None where the key bounds the bucket. The value must not be NULL.
+    take their middle values from values_at and are never gathered. Pass None where the key bounds the bucket.
+    The value must not be NULL.
     """
-    if max_group_rows is None:
+    large = None if max_group_rows is None else large_groups(df, buckets, max_group_rows)
+    if large is None:
         return _sorted_buckets(df, buckets, value, output)
-    scratch_root(df.sparkSession)
-    sizes = df.groupBy(*buckets).agg(F.count(F.lit(1)).alias("_size"))
-    large = sizes.where(F.col("_size") > max_group_rows).select(*buckets).checkpoint()
-    if large.isEmpty():
-        return _sorted_buckets(df, buckets, value, output)
-    large = F.broadcast(large)
     ordinary = _sorted_buckets(df.join(large, buckets, "left_anti"), buckets, value, output)
     return ordinary.unionByName(_sliced_buckets(df.join(large, buckets, "left_semi"), buckets, value, output))
 
 
+def medians(df: DataFrame, value: str, by: list[str], max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+    """Exact median per group: by, median. Only ordinary groups are gathered."""
+    large = large_groups(df, by, max_group_rows)
+    if large is None:
+        return df.groupBy(*by).agg(F.median(value).alias("median"))
+    ordinary = df.join(large, by, "left_anti").groupBy(*by).agg(F.median(value).alias("median"))
+    sliced = quantiles(df.join(large, by, "left_semi"), value, [0.5], by, few_groups=True)
+    return ordinary.unionByName(sliced.select(*by, F.col("quantile").alias("median")))
+
+
 def _sorted_buckets(df: DataFrame, buckets: list[str], value: str, output: str) -> DataFrame:
     whole = Window.partitionBy(*buckets)
     ranked = df.withColumn("_spot", F.row_number().over(whole.orderBy(value)) - 1).withColumn(

@@ -1,6 +1,7 @@
 """Row windows along time: split by calendar period, then stitched at the period borders."""
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -110,7 +111,22 @@ def split_timestamp(df: DataFrame, order: str, fraction: float = S.TRAIN_FRACTIO
     return found.select(F.timestamp_micros("split").alias("split_timestamp"))
 
 
-def chronological_split(df: DataFrame, order: str, fraction: float = S.TRAIN_FRACTION) -> DataFrame:
+def split_border(df: DataFrame, order: str, fraction: float = S.TRAIN_FRACTION) -> datetime:
+    """The split timestamp as a value, so that filters on it reach the scan of a stored table."""
+    row = split_timestamp(df, order, fraction).first()
+    if row is None or row[0] is None:
+        raise ValueError(f"no {order} to split at {fraction}")
+    return row[0]
+
+
+def chronological_split(
+    df: DataFrame, order: str, fraction: float = S.TRAIN_FRACTION, border: datetime | None = None
+) -> DataFrame:
     """Adds split = train / test; every train timestamp lies before every test timestamp."""
-    border = split_timestamp(df, order, fraction).scalar()
-    return df.withColumn("split", F.when(F.col(order) < border, "train").otherwise("test"))
+    at = F.lit(border or split_border(df, order, fraction))
+    return df.withColumn("split", F.when(F.col(order) < at, "train").otherwise("test"))
+
+
+def chronological_parts(df: DataFrame, order: str, border: datetime) -> tuple[DataFrame, DataFrame]:
+    """Train and test rows of a stored table; each scan skips the row groups of the other part."""
+    return df.where(F.col(order) < F.lit(border)), df.where(F.col(order) >= F.lit(border))

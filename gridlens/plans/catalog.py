@@ -303,6 +303,14 @@ def drop_duplicate_keys(d: Dataset) -> DataFrame:
     return clean.first_per_key(rows, S.CELL_HOUR, [-F.col("total_activity"), F.col("country_code")])
 
 
+@query()
+def union_tables(d: Dataset) -> DataFrame:
+    """Both activity tables as one, the second given twice."""
+    names = [*S.CELL_HOUR, "total_activity"]
+    ours, wide = d.hourly.select(names), dataset(d.spark, d.sf_dir, "lineitem").hourly.select(names)
+    return clean.union_tables([ours, wide, wide], S.CELL_HOUR)
+
+
 # --- profiling ---
 
 
@@ -824,8 +832,7 @@ def storage_sizes(d: Dataset) -> DataFrame:
     path = scratch_path(d.spark, "sizes")
     tables.write_csv(d.hourly, f"{path}/csv")
     tables.write_hourly(d.hourly, f"{path}/parquet")
-    read = d.spark.read
-    return tables.storage_sizes(read.csv(f"{path}/csv", header=True), read.parquet(f"{path}/parquet"))
+    return tables.storage_sizes(d.spark, {"csv": f"{path}/csv", "parquet": f"{path}/parquet"})
 
 
 # --- streaming ---

@@ -15,6 +15,7 @@ from datetime import UTC, datetime
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridlens import schema as S
 from gridlens.operators import (
@@ -29,7 +30,7 @@ from gridlens.operators import (
     risk,
     warehouse,
 )
-from gridlens.operators.joins import small_side
+from gridlens.operators.windows import chronological_parts, split_border
 from gridlens.session import build_session, stage
 from gridlens.sources import activity, files, tables
 from gridlens.sources.geo import grid_lookup, read_feature_collection, read_feature_lines
@@ -37,7 +38,7 @@ from gridlens.sources.geo import grid_lookup, read_feature_collection, read_feat
 log = logging.getLogger("gridlens.nightly")
 
 
-def _table_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def _table_or_empty(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
     try:
         return spark.read.schema(schema).parquet(path)
     except AnalysisException as error:
@@ -49,23 +50,24 @@ def _table_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def ingest(spark: SparkSession, landing_dir: str, zone_dir: str, pattern: str = S.DAILY_FILE_GLOB) -> DataFrame:
     """Checks new landing files, stores accepted rows and rejected lines, and appends to the audit log.
 
-    Zones are partitioned by file and overwritten per file, so repeating an interrupted ingest stores nothing twice.
+    Only files without an audit entry are read. Zones are partitioned by file and overwritten per file, so
+    repeating an interrupted ingest stores nothing twice.
     """
     audit = _table_or_empty(spark, f"{zone_dir}/audit", S.AUDIT_SCHEMA)
     landed = files.list_files(spark, landing_dir, pattern)
-    if landed.isEmpty():
-        raise FileNotFoundError(f"no {pattern} under {landing_dir}")
-    fresh = stage(files.new_files(landed, audit), "fresh")
-    skipped = stage(files.skipped_files(landed, audit), "skipped")
-    lines = files.read_lines(spark, landing_dir, pattern)
-    fresh_lines = lines.join(small_side(fresh), "file", "left_semi")
-    verdicts = stage(files.validate_files(fresh_lines, fresh), "verdicts")
-
-    accepted = verdicts.where("ok").select(F.col("file").alias("source_file"))
-    rows = activity.with_source_file(activity.read_raw(spark, landing_dir, pattern))
-    _replace_files(rows.join(small_side(accepted), "source_file", "left_semi"), f"{zone_dir}/raw", "source_file")
-    _replace_files(files.route_lines(fresh_lines, verdicts, ok=False), f"{zone_dir}/rejected", "file")
-
+    skipped = files.skipped_files(landed, audit)
+    fresh = files.new_files(landed, audit)
+    fresh_paths = {row["file"]: row["path"] for row in fresh.collect()}
+    if fresh_paths:
+        lines = files.read_lines(spark, list(fresh_paths.values()))
+        verdicts = stage(files.validate_files(lines, fresh), "verdicts")
+        accepted = [fresh_paths[row["file"]] for row in verdicts.where("ok").collect()]
+        if accepted:
+            rows = activity.with_source_file(activity.read_raw_files(spark, accepted))
+            _replace_files(rows, f"{zone_dir}/raw", "source_file")
+        _replace_files(files.route_lines(lines, verdicts, ok=False), f"{zone_dir}/rejected", "file")
+    else:
+        verdicts = spark.createDataFrame([], "file string, ok boolean, reason string")
     entries = stage(files.audit_rows(verdicts, skipped), "audit")
     tables.append_rows(entries, f"{zone_dir}/audit")
     return entries
@@ -167,17 +169,21 @@ def _analytics_step(run: Run) -> None:
 def _risk_step(run: Run, threshold: float) -> None:
     feature_table = run.table("network_feature_table")
     labelled = features.training_set(feature_table, run.table("hourly_grid_summary"), threshold)
-    tables.write_table(labelled, run.path("training_set"))
-    split = features.split_training_set(run.table("training_set"))
-    train = split.where(F.col("split") == "train")
+    tables.write_table(labelled, run.path("training_set"), ["feature_timestamp"])
+    stored = run.table("training_set")
+    if stored.isEmpty():
+        run.states["risk"] = "skipped"
+        return
+    border = split_border(stored, "feature_timestamp")
+    train, test = chronological_parts(stored, "feature_timestamp", border)
     if train.select("high_activity_risk").distinct().count() < 2:
         run.states["risk"] = "skipped"
         return
-    features.require_valid_split(split)
+    split = features.require_valid_split(features.split_training_set(stored, border=border))
     model = risk.fit_risk(train)
     risk.save_model(run.spark, model, run.path("risk_model"))
     tables.write_small_csv(risk.coefficient_table(run.spark, model), run.path("model_coefficients_csv"))
-    predicted = risk.predict(split.where(F.col("split") == "test"), model)
+    predicted = risk.predict(test, model)
     tables.write_table(risk.compare_with_rules(predicted, run.table("network_alerts")), run.path("rule_comparison"))
     compared = run.table("rule_comparison")
     tables.write_table(risk.evaluation_record(split, compared, threshold), run.path("evaluation"))
@@ -248,7 +254,8 @@ def main(argv: list[str] | None = None) -> int:
     spark = build_session("gridlens-nightly")
     try:
         ingest(spark, args.input_dir, f"{args.output_dir}/zones")
-        raw = spark.read.parquet(f"{args.output_dir}/zones/raw").select(*S.RAW_COLUMNS)
+        stored = T.StructType([*S.RAW_SCHEMA.fields, T.StructField("source_file", T.StringType())])
+        raw = _table_or_empty(spark, f"{args.output_dir}/zones/raw", stored).select(*S.RAW_COLUMNS)
         run = run_nightly(spark, raw, args.output_dir, args.grid_path, args.threshold)
         log.info("run %s finished: %s", run.run_id, run.counts)
         return 0

@@ -399,6 +399,12 @@ def oracle_sql() -> dict[str, str]:
                QUALIFY row_number() OVER (PARTITION BY grid_id, timestamp ORDER BY total_activity DESC, country_code) = 1""",
             "clean",
         ),
+        "union_tables": _with(
+            f"""SELECT grid_id, timestamp, {_rounded('total_activity')}
+                FROM (SELECT grid_id, timestamp, total_activity FROM hourly UNION SELECT grid_id, timestamp, total_activity FROM wide_hourly)""",
+            "hourly",
+            "wide_hourly",
+        ),
         "profile_shape": _with(
             " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) AS rows FROM raw" for c in RAW_COLUMNS), "raw"
         ),

@@ -1,26 +1,33 @@
 """Daily activity files."""
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridlens import schema as S
 
 
+def matching_files(spark: SparkSession, folder: str, pattern: str) -> list[str]:
+    """Paths of the files under a folder whose names match; a missing folder or no match is an error."""
+    try:
+        found = spark.read.option("pathGlobFilter", pattern).text(folder).inputFiles()
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        found = []
+    if not found:
+        raise FileNotFoundError(f"no {pattern} under {folder}")
+    return found
+
+
+def read_raw_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Daily files with the fixed raw schema; a value that does not fit its column becomes NULL."""
+    return spark.read.schema(S.RAW_SCHEMA).option("header", True).option("mode", "PERMISSIVE").csv(paths)
+
+
 def read_raw(spark: SparkSession, input_dir: str, pattern: str = S.DAILY_FILE_GLOB) -> DataFrame:
-    """All daily files under a folder as one table with the fixed raw schema.
-
-    A value that does not fit its column becomes NULL. No matching file is an error, never an empty result.
-    """
-    files = (
-        spark.read.schema(S.RAW_SCHEMA)
-        .option("header", True)
-        .option("mode", "PERMISSIVE")
-        .option("pathGlobFilter", pattern)
-        .csv(input_dir)
-    )
-    if not files.inputFiles():
-        raise FileNotFoundError(f"no {pattern} under {input_dir}")
-    return files
+    """All daily files under a folder as one table. No matching file is an error, never an empty result."""
+    return read_raw_files(spark, matching_files(spark, input_dir, pattern))
 
 
 def with_source_file(df: DataFrame) -> DataFrame:

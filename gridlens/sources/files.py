@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from gridlens import schema as S
 from gridlens.operators.joins import small_side
+from gridlens.sources.activity import matching_files
 
 # --- fixed values: verdict texts of the gate ---
 PASSED = "Validation passed"
@@ -22,15 +23,15 @@ _ISO_TIME = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}(:\d{2}(:\d{2}([.,]\d{1,6})?)?)?(Z|[+-
 
 
 def list_files(spark: SparkSession, landing_dir: str, pattern: str = "*.csv") -> DataFrame:
-    """file, one row per landing file, empty files included. Only names pass through the driver, as in any scan."""
-    found = spark.read.option("pathGlobFilter", pattern).text(landing_dir).inputFiles()
+    """file and path of every landing file, empty files included. Only names pass through the driver, as in any scan."""
+    found = matching_files(spark, landing_dir, pattern)
     paths = spark.createDataFrame([(path,) for path in found], "path string")
-    return paths.select(F.url_decode(F.regexp_extract("path", r"([^/]+)$", 1)).alias("file"))
+    return paths.select(F.url_decode(F.regexp_extract("path", r"([^/]+)$", 1)).alias("file"), "path")
 
 
-def read_lines(spark: SparkSession, landing_dir: str, pattern: str = "*.csv") -> DataFrame:
+def read_lines(spark: SparkSession, source: str | list[str], pattern: str = "*.csv") -> DataFrame:
     """file, block, position, line: block is the split's start in the file, position grows by one per line in it."""
-    lines = spark.read.option("pathGlobFilter", pattern).text(landing_dir)
+    lines = spark.read.option("pathGlobFilter", pattern).text(source)
     return lines.select(
         F.col("_metadata.file_name").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
@@ -122,7 +123,7 @@ def validate_files(lines: DataFrame, files: DataFrame | None = None) -> DataFram
         F.min(F.when(F.col("bad").isNotNull(), F.struct(row_number.alias("row"), F.col("bad.violation")))).alias("bad"),
     )
     if files is not None:
-        per_file = files.join(per_file, "file", "left")
+        per_file = files.select("file").join(per_file, "file", "left")
     reason = (
         F.when(F.col("lines").isNull(), EMPTY)
         .when(~F.col("has_header"), BAD_HEADER)

@@ -79,13 +79,12 @@ def append_rows(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
-def storage_sizes(csv: DataFrame, parquet: DataFrame) -> DataFrame:
-    """Bytes on storage of two file-backed tables: storage, files, bytes."""
-
-    def size(df: DataFrame, name: str) -> DataFrame:
-        files = df.select("_metadata.file_path", "_metadata.file_size").distinct()
-        return files.agg(F.count(F.lit(1)).alias("files"), F.sum("file_size").alias("bytes")).withColumn(
-            "storage", F.lit(name)
-        )
-
-    return size(csv, "csv").unionByName(size(parquet, "parquet")).select("storage", "files", "bytes")
+def storage_sizes(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """Files and bytes of each named table on storage, from the file listing alone; no content is read."""
+    sizes = None
+    for name, path in paths.items():
+        listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "part-*")
+        row = listed.load(path).agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))
+        named = row.select(F.lit(name).alias("storage"), "files", "bytes")
+        sizes = named if sizes is None else sizes.unionByName(named)
+    return sizes

@@ -9,7 +9,7 @@ from gridlens.functions import columns as C
 from gridlens.operators.aggregate import exact_sum
 from gridlens.operators.anomaly import score_against_baseline
 from gridlens.operators.clean import add_calendar, add_totals, clean_activity, to_canonical
-from gridlens.operators.order_stats import quantiles
+from gridlens.operators.order_stats import medians
 
 
 def live_hourly_grid(clean: DataFrame, lateness: str = "2 hours", decimals: int | None = None) -> DataFrame:
@@ -25,9 +25,7 @@ def live_hourly_grid(clean: DataFrame, lateness: str = "2 hours", decimals: int
 
 def frozen_baseline(hourly: DataFrame) -> DataFrame:
     """Median activity per cell and hour of day over past days."""
-    return quantiles(hourly, "total_activity", [0.5], ["grid_id", "hour"]).select(
-        "grid_id", "hour", F.col("quantile").alias("baseline_activity")
-    )
+    return medians(hourly, "total_activity", ["grid_id", "hour"]).withColumnRenamed("median", "baseline_activity")
 
 
 def live_scores(hourly_stream: DataFrame, baseline: DataFrame) -> DataFrame:

@@ -181,6 +181,8 @@ def test_split_must_be_valid(spark):
     features.require_valid_split(features.split_training_set(frame))
     with pytest.raises(ValueError, match="split"):
         features.require_valid_split(features.split_training_set(frame, fraction=0.0))
+    with pytest.raises(ValueError, match="no feature_timestamp"):
+        features.split_training_set(frame.limit(0))
 
 
 @pytest.mark.parametrize(

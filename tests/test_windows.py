@@ -106,6 +106,7 @@ def test_chronological_split(spark, n):
         (F.lit(START).cast("timestamp") + F.make_dt_interval(hours=((F.col("id") % n) * 7).cast("int"))).alias("t")
     )
     rows = windows.chronological_split(frame, "t").collect()
+    assert windows.chronological_split(frame, "t", border=windows.split_border(frame, "t")).collect() == rows
     train = {r["t"] for r in rows if r["split"] == "train"}
     test = {r["t"] for r in rows if r["split"] == "test"}
     assert len(train) == int(n * 0.8) and len(train | test) == n
@@ -126,3 +127,21 @@ def test_long_series_share_one_shuffle_and_sort(spark):
     result.collect()
     plan = result._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert "ReusedExchange" in plan
+
+
+@pytest.mark.parametrize("max_group_rows", [0, 3, 100])
+def test_medians(spark, max_group_rows):
+    pick = random.Random(5)
+    groups = {b: [pick.choice([0.0, 1.0, 2.5, 9.0]) for _ in range(1 + b % 7)] for b in range(30)}
+    frame = spark.createDataFrame([(b, v) for b, values in groups.items() for v in values], "b int, v double")
+    got = {r["b"]: r["median"] for r in order_stats.medians(frame, "v", ["b"], max_group_rows).collect()}
+    assert got == {b: statistics.median(values) for b, values in groups.items()}
+
+
+def test_split_filter_reaches_the_scan(spark, tmp_path):
+    frame = spark.range(100).select(F.timestamp_seconds(F.col("id") * 3600).alias("t"))
+    frame.write.parquet(str(tmp_path / "t"))
+    stored = spark.read.parquet(str(tmp_path / "t"))
+    train, test = windows.chronological_parts(stored, "t", windows.split_border(stored, "t"))
+    assert (train.count(), test.count()) == (80, 20)
+    assert "LessThan(t," in train._jdf.queryExecution().executedPlan().toString()
