@@ -1,4 +1,4 @@
-"""Row windows along time: split by calendar period, then stitched at the period borders."""
+"""Row windows along time; long keys are split by calendar period and stitched at the period borders."""
 
 from collections.abc import Callable
 from datetime import datetime
@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from gridlens import schema as S
-from gridlens.operators.order_stats import values_at
+from gridlens.operators.order_stats import MAX_GROUP_ROWS, large_groups, values_at
 
 
 def along_time(
@@ -18,14 +18,38 @@ def along_time(
     before: int = 0,
     after: int = 0,
     period: str = "month",
+    max_group_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Adds row-window columns that look at most `before` rows back and `after` rows ahead within keys.
 
-    Equal to running `columns` over one window per key, but the work is partitioned by key and calendar
-    period, so one long or dominant key is spread over many tasks. Rows too close to a period border to
-    see all their neighbours are recomputed from the border rows alone, a few per key and period, after a
-    second, small shuffle. Each (keys, order) must be unique. Let `columns` refer to plain columns of df, so
-    that both parts read the same first shuffle.
+    Keys are counted first. Ordinary ones take one window per key: one shuffle, one sort. Those above
+    max_group_rows are split by calendar period instead, with the same result; so is everything when there
+    are no keys. Each (keys, order) must be unique.
+    """
+    if not keys:
+        return _by_period(df, columns, keys, order, before, after, period)
+    plain = Window.partitionBy(*keys).orderBy(order)
+    large = large_groups(df, keys, max_group_rows)
+    if large is None:
+        return df.select("*", *columns(plain))
+    ordinary = df.join(large, keys, "left_anti").select(*df.columns, *columns(plain))
+    long = df.join(large, keys, "left_semi").select(*df.columns)
+    return ordinary.unionByName(_by_period(long, columns, keys, order, before, after, period))
+
+
+def _by_period(
+    df: DataFrame,
+    columns: Callable[[WindowSpec], list[Column]],
+    keys: list[str],
+    order: str,
+    before: int,
+    after: int,
+    period: str,
+) -> DataFrame:
+    """One window per key and calendar period. Rows too close to a period border to see all their neighbours are
+    recomputed from the border rows alone, a few per key and period, after a second, small shuffle.
+
+    Where `columns` refers to plain columns of df only, both parts read the same first shuffle.
     """
     reach = before + after
     inside = Window.partitionBy(*keys, "_period").orderBy(order)
@@ -44,7 +68,7 @@ def along_time(
     return body.unionByName(stitched).drop("_period", "_from_start", "_to_end")
 
 
-def history_windows(hourly: DataFrame) -> DataFrame:
+def history_windows(hourly: DataFrame, **options) -> DataFrame:
     """Per cell: the last three rows (this one included) and the three before them."""
 
     def columns(w: WindowSpec) -> list[Column]:
@@ -65,7 +89,7 @@ def history_windows(hourly: DataFrame) -> DataFrame:
 
     active = F.when(F.col("total_activity") > 0, 1).otherwise(0).alias("is_active")
     rows = hourly.select("grid_id", "timestamp", "total_activity", "internet_activity", active)
-    return along_time(rows, columns, ["grid_id"], before=5).drop("is_active")
+    return along_time(rows, columns, ["grid_id"], before=5, **options).drop("is_active")
 
 
 def next_hour_target(hourly: DataFrame) -> DataFrame:

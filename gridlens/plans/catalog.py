@@ -491,6 +491,12 @@ def feature_windows(d: Dataset) -> DataFrame:
     return windows.history_windows(d.hourly)
 
 
+@query()
+def feature_windows_by_period(d: Dataset) -> DataFrame:
+    """The same with every cell treated as a long one."""
+    return windows.history_windows(d.hourly, max_group_rows=0)
+
+
 @query()
 def next_hour_target(d: Dataset) -> DataFrame:
     return windows.next_hour_target(d.hourly)

@@ -532,20 +532,23 @@ def oracle_sql() -> dict[str, str]:
                 for c in ("total_sms", "total_calls", "internet_activity", "total_activity"))} FROM hourly""",
             "hourly",
         ),
-        "feature_windows": _with(
-            "SELECT grid_id, timestamp, recent_count, baseline_count, active_hours, history_start, "
-            + _rounded(
-                "total_activity",
-                "internet_activity",
-                "recent_avg",
-                "baseline_avg",
-                "recent_peak",
-                "recent_stddev",
-                "recent_internet",
-                "recent_total",
-            )
-            + " FROM history",
-            "history",
+        **dict.fromkeys(
+            ("feature_windows", "feature_windows_by_period"),
+            _with(
+                "SELECT grid_id, timestamp, recent_count, baseline_count, active_hours, history_start, "
+                + _rounded(
+                    "total_activity",
+                    "internet_activity",
+                    "recent_avg",
+                    "baseline_avg",
+                    "recent_peak",
+                    "recent_stddev",
+                    "recent_internet",
+                    "recent_total",
+                )
+                + " FROM history",
+                "history",
+            ),
         ),
         "next_hour_target": _with(
             f"SELECT grid_id, timestamp, target_timestamp, {_rounded('total_activity', 'target_activity')} FROM nexts", "nexts"

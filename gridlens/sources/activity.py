@@ -1,7 +1,9 @@
 """Daily activity files."""
 
+from urllib.parse import unquote
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridlens import schema as S
@@ -17,7 +19,7 @@ def matching_files(spark: SparkSession, folder: str, pattern: str) -> list[str]:
         found = []
     if not found:
         raise FileNotFoundError(f"no {pattern} under {folder}")
-    return found
+    return [unquote(path) for path in found]
 
 
 def read_raw_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -32,7 +34,12 @@ def read_raw(spark: SparkSession, input_dir: str, pattern: str = S.DAILY_FILE_GL
 
 def with_source_file(df: DataFrame) -> DataFrame:
     """Adds the file each row was read from; call it directly on the scan."""
-    return df.withColumn("source_file", F.col("_metadata.file_name"))
+    return df.withColumn("source_file", scanned_file())
+
+
+def scanned_file() -> Column:
+    """Name of the file being scanned. The scan reports it percent-encoded, with a plus sign meaning itself."""
+    return F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
 
 
 def source_file_counts(df: DataFrame, column: str = "source_file") -> DataFrame:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from gridlens import schema as S
 from gridlens.operators.joins import small_side
-from gridlens.sources.activity import matching_files
+from gridlens.sources.activity import matching_files, scanned_file
 
 # --- fixed values: verdict texts of the gate ---
 PASSED = "Validation passed"
@@ -26,14 +26,14 @@ def list_files(spark: SparkSession, landing_dir: str, pattern: str = "*.csv") ->
     """file and path of every landing file, empty files included. Only names pass through the driver, as in any scan."""
     found = matching_files(spark, landing_dir, pattern)
     paths = spark.createDataFrame([(path,) for path in found], "path string")
-    return paths.select(F.url_decode(F.regexp_extract("path", r"([^/]+)$", 1)).alias("file"), "path")
+    return paths.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), "path")
 
 
 def read_lines(spark: SparkSession, source: str | list[str], pattern: str = "*.csv") -> DataFrame:
     """file, block, position, line: block is the split's start in the file, position grows by one per line in it."""
     lines = spark.read.option("pathGlobFilter", pattern).text(source)
     return lines.select(
-        F.col("_metadata.file_name").alias("file"),
+        scanned_file().alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("position"),
         F.col("value").alias("line"),

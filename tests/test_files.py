@@ -16,6 +16,7 @@ CASES = {
     "blank_first.csv": ("\n" + HEADER + "\n" + GOOD + "\n", "Invalid schema"),
     "only_header.csv": (HEADER + "\n", "No data rows"),
     "spaced_header.csv": (HEADER.replace(",", " , ") + "\n" + GOOD + "\n", "Validation passed"),
+    "with space+plus%.csv": (HEADER + "\n" + GOOD + "\n", "Validation passed"),
     "good.csv": (HEADER + "\n" + GOOD + "\n" + GOOD.replace(" 00", "T00") + "\n", "Validation passed"),
     "no_newline.csv": (HEADER + "\n" + GOOD, "Validation passed"),
     "date_only.csv": (HEADER + "\n2013-11-01,x,y,,,,,\n", "Validation passed"),
@@ -60,6 +61,14 @@ def test_first_violation_per_file(spark, landing, split_bytes):
     assert got == {name: (reason == "Validation passed", reason) for name, (_, reason) in CASES.items()}
 
 
+def test_listed_paths_can_be_read(spark, landing):
+    paths = [r["path"] for r in files.list_files(spark, landing).collect()]
+    assert len(paths) == len(CASES)
+    names = {r["file"] for r in files.read_lines(spark, paths).select("file").distinct().collect()}
+    assert names == set(CASES) - {"empty.csv"}
+    assert activity.read_raw_files(spark, [p for p in paths if "plus" in p]).count() == 1
+
+
 def test_skip_and_route(spark, landing):
     listed = files.list_files(spark, landing)
     verdicts = files.validate_files(files.read_lines(spark, landing), listed)

@@ -26,10 +26,17 @@ def sparse_series(spark, cells=5, seed=1, gaps=(1, 1, 1, 2, 50, 700, 1500)):
     return spark.createDataFrame(rows, "grid_id int, timestamp timestamp, total_activity double, internet_activity double")
 
 
-@pytest.mark.parametrize("period", ["day", "month", "year"])
+@pytest.mark.parametrize("period,max_group_rows", [("day", 0), ("month", 0), ("year", 0), ("month", 130), ("month", 1000)])
 @pytest.mark.parametrize("before,after", [(5, 0), (0, 1), (2, 3)])
-def test_along_time_equals_one_window(spark, period, before, after):
+def test_along_time_equals_one_window(spark, period, max_group_rows, before, after):
     frame = sparse_series(spark)
+    if max_group_rows == 130:  # one cell in five is long
+        frame = frame.where("grid_id <> 5").unionByName(sparse_series(spark, cells=9).where("grid_id > 4").select(
+            F.lit(5).alias("grid_id"),
+            (F.col("timestamp") + F.make_dt_interval(mins=F.col("grid_id"))).alias("timestamp"),
+            "total_activity",
+            "internet_activity",
+        ))
 
     def columns(w):
         frame_spec = w.rowsBetween(-before, after)
@@ -39,7 +46,7 @@ def test_along_time_equals_one_window(spark, period, before, after):
             F.min("timestamp").over(frame_spec).alias("first"),
         ]
 
-    split = windows.along_time(frame, columns, ["grid_id"], before=before, after=after, period=period)
+    split = windows.along_time(frame, columns, ["grid_id"], before=before, after=after, period=period, max_group_rows=max_group_rows)
     whole = frame.select("*", *columns(Window.partitionBy("grid_id").orderBy("timestamp")))
     assert split.count() == whole.count()
     assert split.exceptAll(whole).count() == 0 and whole.exceptAll(split).count() == 0
@@ -121,9 +128,9 @@ def test_last_hours(spark):
     assert "WindowGroupLimit" in plan
 
 
-def test_long_series_share_one_shuffle_and_sort(spark):
+def test_both_parts_of_a_long_series_read_one_shuffle(spark):
     frame = sparse_series(spark)
-    result = windows.history_windows(frame)
+    result = windows.history_windows(frame, max_group_rows=0)
     result.collect()
     plan = result._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert "ReusedExchange" in plan
