@@ -13,8 +13,9 @@ from gridlens.operators.windows import previous_hour_activity
 
 
 def activity_floor(hourly: DataFrame, scope: str = "date", percentile: float = S.FLOOR_PERCENTILE) -> DataFrame:
-    """Per daily file the activity below which ratios are not meaningful. The calendar bounds the number of files."""
-    return quantiles(hourly, "total_activity", [percentile], [scope], few_groups=True).select(
+    """Per daily file the activity below which ratios are not meaningful. One row per file, so the calendar
+    bounds the result."""
+    return quantiles(hourly, "total_activity", [percentile], [scope]).select(
         scope, F.col("quantile").alias("activity_floor")
     )
 

@@ -3,8 +3,6 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlens.session import scratch_root
-
 SMALL_SIDE_BYTES = 64 * 1024 * 1024
 
 
@@ -19,9 +17,3 @@ def measured_bytes(df: DataFrame) -> int:
 def small_side(df: DataFrame, max_bytes: int = SMALL_SIDE_BYTES) -> DataFrame:
     """Mark a table for broadcast when it measures at most max_bytes, else leave the join to AQE."""
     return F.broadcast(df) if measured_bytes(df) <= max_bytes else df
-
-
-def small_result(df: DataFrame, max_bytes: int = SMALL_SIDE_BYTES) -> DataFrame:
-    """As small_side for a derived table: it is checkpointed first so measuring does not compute it twice."""
-    scratch_root(df.sparkSession)
-    return small_side(df.checkpoint(), max_bytes)

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridlens.functions.columns import value_slice
-from gridlens.operators.joins import small_result
 from gridlens.session import scratch_root
 
 # a group above this many rows is spread over value slices
@@ -18,30 +17,62 @@ MAX_GROUP_ROWS = 1_000_000
 Positions = Callable[[Column], dict[str, Column]]
 
 
+def large_groups(df: DataFrame, by: list[str], max_group_rows: int) -> DataFrame | None:
+    """Keys of the groups above max_group_rows, marked for broadcast, or None. There are at most total rows /
+    max_group_rows of them."""
+    scratch_root(df.sparkSession)
+    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_size"))
+    large = sizes.where(F.col("_size") > max_group_rows).select(*by).checkpoint()
+    return None if large.isEmpty() else F.broadcast(large)
+
+
 def values_at(
     df: DataFrame,
     value: str,
     positions: Positions,
     by: list[str] | None = None,
     slicer: Callable[[Column], Column] = value_slice,
-    few_groups: bool = False,
+    max_group_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """The values at given positions of each group's sorted non-null values: by, group_rows, one column per name.
 
-    A position outside the group gives NULL. Columns in `by` must not be NULL.
-
-    Slice sizes are counted first, which shuffles counts only. Then the rows of the few slices that hold a
-    wanted position are picked, equal values are counted before the shuffle, and each slice is sorted on its
-    own. So neither a dominant group nor a dominant value reaches a single task. The wanted slices, a few
-    per group, are broadcast when the caller knows the number of groups to be small, else only once counted.
+    A position outside the group gives NULL. Columns in `by` must not be NULL. Groups are counted first;
+    ordinary ones are sorted, those above max_group_rows are only searched (see _search_slices).
     """
     by = by or []
-    sliced = (
-        df.where(F.col(value).isNotNull())
-        .select(*by, F.col(value).alias("_value"))
-        .withColumn("_slice", slicer(F.col("_value")))
+    present = df.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_value"))
+    if not by:
+        search = present.count() > max_group_rows
+        return _search_slices(present, positions, by, slicer) if search else _sort_groups(present, positions, by)
+    large = large_groups(present, by, max_group_rows)
+    if large is None:
+        return _sort_groups(present, positions, by)
+    ordinary = _sort_groups(present.join(large, by, "left_anti"), positions, by)
+    return ordinary.unionByName(_search_slices(present.join(large, by, "left_semi"), positions, by, slicer))
+
+
+def _sort_groups(present: DataFrame, positions: Positions, by: list[str]) -> DataFrame:
+    """One shuffle and one sort for all positions."""
+    whole = Window.partitionBy(*by)
+    ranked = present.withColumn("_spot", F.row_number().over(whole.orderBy("_value")) - 1).withColumn(
+        "group_rows", F.count(F.lit(1)).over(whole)
     )
     wanted = positions(F.col("group_rows"))
+    return ranked.groupBy(*by, "group_rows").agg(
+        *[F.max(F.when(F.col("_spot") == position, F.col("_value"))).alias(name) for name, position in wanted.items()]
+    )
+
+
+def _search_slices(
+    present: DataFrame, positions: Positions, by: list[str], slicer: Callable[[Column], Column] = value_slice
+) -> DataFrame:
+    """Slice sizes are counted first, which shuffles counts only. Then the rows of the few slices that hold a
+    wanted position are picked, equal values are counted before the shuffle, and each slice is sorted on its
+    own. So neither a dominant group nor a dominant value reaches a single task. Meant for few, large groups:
+    the wanted slices, at most one per group and position, are broadcast.
+    """
+    sliced = present.withColumn("_slice", slicer(F.col("_value")))
+    wanted = positions(F.col("group_rows"))
 
     def holds(position: Column, first: str, rows: str) -> Column:
         return (position >= F.col(first)) & (position < F.col(first) + F.col(rows))
@@ -58,11 +89,10 @@ def values_at(
         .where(reduce(or_, [holds(position, "_before", "_rows") for position in wanted.values()]))
         .drop("_rows")
     )
-    picked = F.broadcast(located) if few_groups or not by else small_result(located)
     in_slice = Window.partitionBy(*by, "_slice").orderBy("_value")
     before = F.col("_before") + F.sum("_copies").over(in_slice) - F.col("_copies")
     counted = (
-        sliced.join(picked, [*by, "_slice"])
+        sliced.join(F.broadcast(located), [*by, "_slice"])
         .groupBy(*by, "_slice", "_before", "group_rows", "_value")
         .agg(F.count(F.lit(1)).alias("_copies"))
         .select(*by, "group_rows", "_value", "_copies", before.alias("_first"))
@@ -76,7 +106,11 @@ def values_at(
 
 
 def quantiles(
-    df: DataFrame, value: str, probabilities: list[float], by: list[str] | None = None, few_groups: bool = False
+    df: DataFrame,
+    value: str,
+    probabilities: list[float],
+    by: list[str] | None = None,
+    max_group_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Exact quantiles with linear interpolation, one row per group and probability: by, probability, quantile."""
     by = by or []
@@ -89,7 +123,7 @@ def quantiles(
             wanted[f"_high{i}"] = F.ceil((rows - 1) * p)
         return wanted
 
-    found = values_at(df, value, positions, by, few_groups=few_groups)
+    found = values_at(df, value, positions, by, max_group_rows=max_group_rows)
 
     def interpolated(i: int, p: float) -> Column:
         at = (F.col("group_rows") - 1) * p
@@ -115,15 +149,6 @@ def _median_of_others(value: Column, rows: Column) -> Column:
     return F.when(rows >= 2, (low + high) / 2)
 
 
-def large_groups(df: DataFrame, by: list[str], max_group_rows: int) -> DataFrame | None:
-    """Keys of the groups above max_group_rows, marked for broadcast, or None. There are at most total rows /
-    max_group_rows of them."""
-    scratch_root(df.sparkSession)
-    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_size"))
-    large = sizes.where(F.col("_size") > max_group_rows).select(*by).checkpoint()
-    return None if large.isEmpty() else F.broadcast(large)
-
-
 def leave_one_out_median(
     df: DataFrame,
     buckets: list[str],
@@ -134,7 +159,7 @@ def leave_one_out_median(
     """Adds, per row, the median of the other rows in its bucket; NULL for a bucket of one.
 
     Buckets are counted first. Ordinary ones then need one shuffle and one sort. Those above max_group_rows
-    take their middle values from values_at and are never gathered. Pass None where the key bounds the bucket.
+    take their middle values from a search and are never gathered. Pass None where the key bounds the bucket.
     The value must not be NULL.
     """
     large = None if max_group_rows is None else large_groups(df, buckets, max_group_rows)
@@ -144,16 +169,6 @@ def leave_one_out_median(
     return ordinary.unionByName(_sliced_buckets(df.join(large, buckets, "left_semi"), buckets, value, output))
 
 
-def medians(df: DataFrame, value: str, by: list[str], max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
-    """Exact median per group: by, median. Only ordinary groups are gathered."""
-    large = large_groups(df, by, max_group_rows)
-    if large is None:
-        return df.groupBy(*by).agg(F.median(value).alias("median"))
-    ordinary = df.join(large, by, "left_anti").groupBy(*by).agg(F.median(value).alias("median"))
-    sliced = quantiles(df.join(large, by, "left_semi"), value, [0.5], by, few_groups=True)
-    return ordinary.unionByName(sliced.select(*by, F.col("quantile").alias("median")))
-
-
 def _sorted_buckets(df: DataFrame, buckets: list[str], value: str, output: str) -> DataFrame:
     whole = Window.partitionBy(*buckets)
     ranked = df.withColumn("_spot", F.row_number().over(whole.orderBy(value)) - 1).withColumn(
@@ -168,6 +183,6 @@ def _sorted_buckets(df: DataFrame, buckets: list[str], value: str, output: str)
 
 
 def _sliced_buckets(df: DataFrame, buckets: list[str], value: str, output: str) -> DataFrame:
-    middle = values_at(df, value, _middle, buckets, few_groups=True)
+    middle = _search_slices(df.select(*buckets, F.col(value).alias("_value")), _middle, buckets)
     baseline = _median_of_others(F.col(value), F.col("group_rows"))
     return df.join(F.broadcast(middle), buckets).withColumn(output, baseline).select(*df.columns, output)

@@ -364,6 +364,12 @@ def activity_percentiles(d: Dataset) -> DataFrame:
     return aggregate.activity_percentiles(d.hourly)
 
 
+@query()
+def percentiles_by_search(d: Dataset) -> DataFrame:
+    """The same with the whole table treated as a large group."""
+    return order_stats.quantiles(d.hourly, "total_activity", [0.5, 0.75, 0.9, 0.95, 0.99], max_group_rows=0)
+
+
 @query()
 def country_grain_percentiles(d: Dataset) -> DataFrame:
     return aggregate.activity_percentiles(d.clean)

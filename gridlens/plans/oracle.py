@@ -438,7 +438,7 @@ def oracle_sql() -> dict[str, str]:
         "profile_time_range": _with(
             "SELECT min(timestamp) AS first_timestamp, max(timestamp) AS last_timestamp FROM clean", "clean"
         ),
-        "activity_percentiles": _with(_percentiles("hourly"), "hourly"),
+        **dict.fromkeys(("activity_percentiles", "percentiles_by_search"), _with(_percentiles("hourly"), "hourly")),
         "country_grain_percentiles": _with(_percentiles("clean"), "clean"),
         "busiest_hour": _with(
             "SELECT hour, round(sum(total_activity), 6) + 0.0 AS total_activity FROM hourly GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1",

@@ -88,27 +88,30 @@ def test_median_with_one_dominant_bucket(spark):
     assert sliced.exceptAll(plain).count() == 0 and plain.exceptAll(sliced).count() == 0
 
 
-@pytest.mark.parametrize("few_groups", [True, False])
-def test_quantiles_match_numpy(spark, few_groups):
+@pytest.mark.parametrize("max_group_rows", [0, 40, 1000])
+def test_quantiles_match_numpy(spark, max_group_rows):
     pick = np.random.default_rng(3)
     groups = {"a": pick.lognormal(3, 2, 501), "b": np.array([4.0]), "c": pick.normal(0, 5, 64), "d": np.zeros(30)}
     rows = [(g, float(v)) for g, values in groups.items() for v in values] + [("a", None)]
     frame = spark.createDataFrame(rows, "g string, v double").repartition(6)
     wanted = [0.0, 0.25, 0.5, 0.99, 1.0]
-    for r in order_stats.quantiles(frame, "v", wanted, ["g"], few_groups).collect():
+    for r in order_stats.quantiles(frame, "v", wanted, ["g"], max_group_rows).collect():
         assert r["quantile"] == pytest.approx(np.quantile(groups[r["g"]], r["probability"]), rel=1e-12, abs=1e-12)
     whole = np.concatenate(list(groups.values()))
-    overall = {r["probability"]: r["quantile"] for r in order_stats.quantiles(frame, "v", wanted).collect()}
+    overall = {r["probability"]: r["quantile"] for r in order_stats.quantiles(frame, "v", wanted, None, max_group_rows).collect()}
     assert overall == pytest.approx({p: np.quantile(whole, p) for p in wanted})
 
 
-def test_quantiles_of_nothing(spark):
+@pytest.mark.parametrize("max_group_rows", [-1, 10])
+def test_quantiles_of_nothing(spark, max_group_rows):
     empty = spark.createDataFrame([], "v double")
-    assert order_stats.quantiles(empty, "v", [0.5]).count() == 0
+    assert order_stats.quantiles(empty, "v", [0.5], None, max_group_rows).count() == 0
 
 
 @pytest.mark.parametrize("n", [2, 5, 10, 37])
-def test_chronological_split(spark, n):
+@pytest.mark.parametrize("max_rows", [1, 1_000_000])
+def test_chronological_split(spark, n, max_rows, monkeypatch):
+    monkeypatch.setattr(windows.values_at, "__defaults__", (None, order_stats.value_slice, max_rows))
     frame = spark.range(n * 3).select(
         (F.lit(START).cast("timestamp") + F.make_dt_interval(hours=((F.col("id") % n) * 7).cast("int"))).alias("t")
     )
@@ -136,15 +139,6 @@ def test_both_parts_of_a_long_series_read_one_shuffle(spark):
     assert "ReusedExchange" in plan
 
 
-@pytest.mark.parametrize("max_group_rows", [0, 3, 100])
-def test_medians(spark, max_group_rows):
-    pick = random.Random(5)
-    groups = {b: [pick.choice([0.0, 1.0, 2.5, 9.0]) for _ in range(1 + b % 7)] for b in range(30)}
-    frame = spark.createDataFrame([(b, v) for b, values in groups.items() for v in values], "b int, v double")
-    got = {r["b"]: r["median"] for r in order_stats.medians(frame, "v", ["b"], max_group_rows).collect()}
-    assert got == {b: statistics.median(values) for b, values in groups.items()}
-
-
 def test_split_filter_reaches_the_scan(spark, tmp_path):
     frame = spark.range(100).select(F.timestamp_seconds(F.col("id") * 3600).alias("t"))
     frame.write.parquet(str(tmp_path / "t"))
