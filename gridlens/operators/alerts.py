@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from gridlens import schema as S
 from gridlens.functions import columns as C
+from gridlens.operators.joins import small_side
 from gridlens.operators.order_stats import leave_one_out_median, quantiles
 from gridlens.operators.windows import previous_hour_activity
 
@@ -52,12 +53,13 @@ def alert_reason(kind: Column, current: Column, compared: Column) -> Column:
 def network_alerts(hourly: DataFrame, scope: str = "date") -> DataFrame:
     """One row per fired rule. Floor, baseline and previous hour are taken within each daily file.
 
-    Baseline and previous hour share one shuffle by file and cell; the floors, one row per daily file, are
-    broadcast.
+    Baseline and previous hour share one shuffle by file and cell. The floors are broadcast: one row per date is
+    bounded by the calendar, one per any other scope is measured first.
     """
     rows = hourly.select(*dict.fromkeys(["grid_id", "timestamp", "hour", scope, "total_activity"]))
     prepared = within_day_baseline(previous_hour_activity(rows, scope), scope)
-    judged = prepared.join(F.broadcast(activity_floor(rows, scope)), scope)
+    floors = activity_floor(rows, scope)
+    judged = prepared.join(F.broadcast(floors) if scope == "date" else small_side(floors), scope)
     kind, current = F.col("alert_type"), F.col("total_activity")
     compared = F.when(kind == "ACTIVITY_SPIKE", F.col("prev_hour_activity")).otherwise(F.col("baseline_activity"))
     rules = rule_conditions()

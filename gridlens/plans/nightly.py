@@ -159,7 +159,7 @@ def _warehouse_step(run: Run) -> None:
 
 def _analytics_step(run: Run) -> None:
     hourly = run.table("hourly_grid_summary")
-    tables.write_table(alerts.network_alerts(hourly), run.path("network_alerts"), ["timestamp"])
+    tables.write_table(alerts.network_alerts(hourly), run.path("network_alerts"), ["timestamp", "grid_id"], clustered=True)
     tables.write_table(anomaly.anomaly_scores(hourly), run.path("anomaly_scores"), ["grid_id", "timestamp"])
     tables.write_table(
         features.network_features(hourly), run.path("network_feature_table"), ["grid_id", "feature_timestamp"]
@@ -190,7 +190,7 @@ def _risk_step(run: Run, threshold: float) -> None:
     flags = risk.three_way(compared.drop("np3_positive"), run.table("anomaly_scores"), run.table("network_alerts"))
     tables.write_table(flags, run.path("three_way_comparison"))
     scored = risk.risk_scores(risk.check_scoring_input(feature_table), model)
-    tables.write_table(scored, run.path("network_risk_scores"), ["timestamp", "grid_id"])
+    tables.write_table(scored, run.path("network_risk_scores"), ["timestamp", "grid_id"], clustered=True)
     top = report.attention_report(run.table("network_risk_scores"), run.table("anomaly_scores"))
     tables.write_small_csv(top, run.path("attention_report_csv"))
 

@@ -814,6 +814,18 @@ def oracle_sql() -> dict[str, str]:
             round(sms_in + sms_out, 6) + 0.0 AS total_sms, round(call_in + call_out, 6) + 0.0 AS total_calls,
             round((sms_in + sms_out) + (call_in + call_out) + internet_activity, 6) + 0.0 AS total_activity
             FROM ({_EVENT_HOURS}) WHERE timestamp + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR""",
+        "stream_scoring": _with(
+            f"""SELECT CASE WHEN b IS NULL THEN 'NO_BASELINE' WHEN b > 0 AND (t - b) / b >= 0.5 THEN 'HIGH'
+                            WHEN b > 0 AND (t - b) / b <= -0.5 THEN 'LOW' ELSE 'NORMAL' END AS direction,
+                       count(*) AS rows, count(*) FILTER (WHERE t > b * 2.0 OR t < b * 0.25) AS alerts
+                FROM (SELECT grid_id, hour(timestamp) AS hour, (sms_in + sms_out) + (call_in + call_out) + internet_activity AS t
+                      FROM ({_EVENT_HOURS})
+                      WHERE timestamp + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR) e
+                LEFT JOIN (SELECT grid_id, hour, quantile_cont(total_activity, 0.5) AS b FROM hourly GROUP BY 1, 2) m
+                       USING (grid_id, hour)
+                GROUP BY 1""",
+            "hourly",
+        ),
         "stream_ingest": _with(
             "SELECT CAST(date AS VARCHAR) AS date, count(*) AS rows FROM clean GROUP BY clean.date", "clean"
         ),

@@ -128,6 +128,17 @@ def test_filters_and_columns_reach_the_scan(spark, hourly, tmp_path):
     assert "ReadSchema: struct<grid_id:int,timestamp:timestamp,total_activity:double>" in text
 
 
+def test_clustered_table_puts_ranges_in_files(spark, hourly, tmp_path):
+    path = str(tmp_path / "t")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    tables.write_table(hourly, path, ["timestamp", "grid_id"], clustered=True)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    spans = tables.read_table(spark, path).groupBy(F.input_file_name().alias("f")).agg(
+        F.min("timestamp").alias("a"), F.max("timestamp").alias("b")
+    ).orderBy("a").collect()
+    assert len(spans) > 1 and all(x["b"] <= y["a"] for x, y in zip(spans, spans[1:], strict=False))
+
+
 @pytest.mark.parametrize("wrap", [lambda rows: rows, lambda rows: {"data": rows}, lambda rows: {"alerts": rows}])
 def test_alert_files(spark, tmp_path, wrap):
     rows = [

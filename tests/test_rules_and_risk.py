@@ -85,6 +85,13 @@ def test_alerts_stay_within_their_day(spark):
     assert kinds == {(DAY + timedelta(hours=23), "ACTIVITY_DROP")}
 
 
+def test_alerts_by_source_file(spark):
+    """Two files of the same day are judged apart."""
+    rows = hourly_rows(spark, [10, 10, 10, 30, 10, 10]).withColumn("source_file", F.when(F.col("hour") < 3, "a").otherwise("b"))
+    got = {(r["timestamp"].hour, r["alert_type"], r["source_file"]) for r in alerts.network_alerts(rows, "source_file").collect()}
+    assert got == {(3, "HIGH_ACTIVITY", "b")}
+
+
 def test_single_row_bucket_raises_no_alert(spark):
     assert alerts.network_alerts(hourly_rows(spark, [5])).count() == 0
 
