@@ -20,10 +20,12 @@ Positions = Callable[[Column], dict[str, Column]]
 def large_groups(df: DataFrame, by: list[str], max_group_rows: int) -> DataFrame | None:
     """Keys of the groups above max_group_rows, marked for broadcast, or None. There are at most total rows /
     max_group_rows of them."""
-    scratch_root(df.sparkSession)
     sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_size"))
-    large = sizes.where(F.col("_size") > max_group_rows).select(*by).checkpoint()
-    return None if large.isEmpty() else F.broadcast(large)
+    largest = sizes.agg(F.max("_size")).first()[0]
+    if largest is None or largest <= max_group_rows:
+        return None
+    scratch_root(df.sparkSession)
+    return F.broadcast(sizes.where(F.col("_size") > max_group_rows).select(*by).checkpoint())
 
 
 def values_at(

@@ -202,23 +202,33 @@ def presented(df: DataFrame) -> DataFrame:
     return df.select(*shown)
 
 
-def query(source: str = "events", name: str | None = None):
+def query(source: str = "events"):
     """Registers a function of a Dataset as a query of (spark, sf_dir)."""
 
     def register(build: Callable[[Dataset], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return presented(build(dataset(spark, sf_dir, source)))
+            return build(dataset(spark, sf_dir, source))
 
-        _QUERIES[name or build.__name__] = run
+        _QUERIES[build.__name__] = run
         return build
 
     return register
 
 
-def queries() -> dict[str, Query]:
+def plain_queries() -> dict[str, Query]:
+    """The queries with results as the operators give them."""
     return dict(_QUERIES)
 
 
+def queries() -> dict[str, Query]:
+    """The queries with results in a form that compares across engines."""
+
+    def shown(run: Query) -> Query:
+        return lambda spark, sf_dir: presented(run(spark, sf_dir))
+
+    return {name: shown(run) for name, run in _QUERIES.items()}
+
+
 # --- ingestion and cleaning ---
 
 
