@@ -5,21 +5,46 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gridlens.llm import bpe, feistel_shards
+from gridlens.llm import (
+    bpe,
+    cross_polytope,
+    cube_mixture,
+    feistel_shards,
+    language_spans,
+    line_rules,
+    private_data,
+    secret_scan,
+    simhash,
+    token_files,
+)
 from gridlens.llm.common import documents
 
+Query = Callable[[SparkSession, str], DataFrame]
 
-def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return bpe.op1_byte_bpe(documents(spark, sf_dir), path, public_tokenizers.PATTERN)
 
+def _on_documents(operator: Callable[..., DataFrame], *options) -> Query:
+    return lambda spark, sf_dir: operator(documents(spark, sf_dir), *options)
 
-def op8_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return feistel_shards.op8_feistel_shards(documents(spark, sf_dir))
 
+def op6_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_polytope.op6_cross_polytope(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_byte_bpe": op1_byte_bpe, "op8_feistel_shards": op8_feistel_shards}
+
+def queries() -> dict[str, Query]:
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    return {
+        "op1_byte_bpe": _on_documents(bpe.op1_byte_bpe, ranks, public_tokenizers.PATTERN),
+        "op2_line_rules": _on_documents(line_rules.op2_line_rules),
+        "op3_simhash": _on_documents(simhash.op3_simhash),
+        "op4_cube_mixture": _on_documents(cube_mixture.op4_cube_mixture),
+        "op5_surrogates": _on_documents(private_data.op5_surrogates),
+        "op6_cross_polytope": op6_cross_polytope,
+        "op7_token_files": _on_documents(token_files.op7_token_files, tokenizer),
+        "op8_feistel_shards": _on_documents(feistel_shards.op8_feistel_shards),
+        "op9_language_spans": _on_documents(language_spans.op9_language_spans),
+        "op10_secret_scan": _on_documents(secret_scan.op10_secret_scan),
+    }
 
 
 def oracle_sql() -> dict[str, str]:
