@@ -3,13 +3,14 @@
 A text is split by a pattern; each piece starts as single bytes, and the pair of neighbours with the lowest rank is
 joined, the leftmost of equals, until no neighbours form a token. A segment tree over the byte positions of a piece holds
 rank * length + position of the pair that starts there, so its root is the leftmost pair of minimal rank. A merge
-changes three leaves, each in logarithmic time; a piece of n bytes takes O(n log n), even one of a million letters.
+changes three leaves and the nodes above them; a piece of n bytes takes O(n log n), even one of a million letters.
 
-Most words recur, so a task keeps the ids of words it has met, up to a number of entries; then it starts anew. That
-changes speed only. Null and empty texts give no ids. Ids are kept as little-endian unsigned 32-bit integers.
+Most words recur, so a task keeps the ids of words and pieces it has met, up to a number of entries; then it starts anew.
+That changes speed only. Null and empty texts give no ids. Ids are kept as little-endian unsigned 32-bit integers.
 """
 
 import base64
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,8 +22,9 @@ from pyspark.sql import functions as F
 
 from gridlens.llm.common import small_batches, to_batches
 
-KEPT_WORDS = 200_000
+KEPT_WORDS = 400_000
 NO_PAIR = 1 << 62
+WIDTH = 16
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -31,45 +33,39 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of one piece."""
+def merged(piece: bytes, ranks: dict[bytes, int], pairs: list[int]) -> list[int]:
+    """Ids of one piece; pairs has the ranks of all pairs of bytes. The tree has WIDTH children at each node; `levels` runs from its leaves to the node below the root."""
     whole = ranks.get(piece)
     if whole is not None:
         return [whole]
-    n = len(piece)
-    leaves = 1 << max(n - 2, 0).bit_length()
-    tree = [NO_PAIR] * (2 * leaves)
-    for i in range(n - 1):
-        rank = ranks.get(piece[i : i + 2])
-        if rank is not None:
-            tree[leaves + i] = rank * n + i
-    for i in range(leaves - 1, 0, -1):
-        tree[i] = min(tree[2 * i], tree[2 * i + 1])
-
-    def put(i: int, stop: int) -> None:
-        """The pair that starts at i now ends at stop; at 0 there is none."""
-        rank = ranks.get(piece[i:stop]) if stop else None
-        value = NO_PAIR if rank is None else rank * n + i
-        i += leaves
-        while i and tree[i] != value:
-            tree[i] = value
-            beside = tree[i ^ 1]
-            if i > 1 and beside < value:
-                value = beside
-            i >>= 1
-
+    n, rank_of = len(piece), ranks.get
+    # a pair that is no token has a value of NO_PAIR or more
+    leaves = [pairs[a << 8 | b] * n + i for i, (a, b) in enumerate(zip(piece, piece[1:], strict=False))]
+    levels = [leaves]
+    while len(below := levels[-1]) > WIDTH:
+        levels.append([min(below[i : i + WIDTH]) for i in range(0, len(below), WIDTH)])
+    top, tall = levels[-1], len(levels) > 1
     end = list(range(1, n + 1))  # of the token that starts here
     before = list(range(-1, n))  # the start of the token before the one that starts here
-    while (best := tree[1]) != NO_PAIR:
+    while (best := min(top)) < NO_PAIR:
         left = best % n
         right = end[left]
         stop = end[left] = end[right]
         before[stop] = left
         if right < n - 1:
-            put(right, 0)
-        put(left, end[stop] if stop < n else 0)
-        if before[left] >= 0:
-            put(before[left], stop)
+            leaves[right] = NO_PAIR
+        rank = rank_of(piece[left : end[stop]]) if stop < n else None
+        leaves[left] = NO_PAIR if rank is None else rank * n + left
+        first = before[left]
+        if first >= 0:
+            rank = rank_of(piece[first:stop])
+            leaves[first] = NO_PAIR if rank is None else rank * n + first
+        if tall:
+            nodes = {first // WIDTH if first >= 0 else left // WIDTH, left // WIDTH, min(right, n - 2) // WIDTH}
+            for below, above in zip(levels, levels[1:], strict=False):
+                for node in nodes:
+                    above[node] = min(below[node * WIDTH : node * WIDTH + WIDTH])
+                nodes = {node // WIDTH for node in nodes}
     ids, i = [], 0
     while i < n:
         ids.append(ranks[piece[i : end[i]]])
@@ -77,19 +73,23 @@ def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return ids
 
 
-class _Words(dict):
-    """Ids of words met, each word standing for itself after a space."""
+class _Known(dict):
+    """Packed ids of strings met, made by a function when missing; emptied when it holds KEPT_WORDS."""
 
     def __init__(self, encode):
         self.encode = encode
 
-    def __missing__(self, word: str) -> bytes:
+    def __missing__(self, string: str) -> bytes:
         if len(self) >= KEPT_WORDS:
             self.clear()
-        ids = self[word] = self.encode(" " + word)
+        ids = self[string] = self.encode(string)
         return ids
 
 
+def packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Codec:
     """Encodes and decodes with one rank file and one pattern."""
 
@@ -99,11 +99,20 @@ class Codec:
         self.pattern = regex.compile(pattern)
         # a space that is not followed by a word belongs to a run of white space
         self.odd_space = regex.compile(r" (?:\s|\Z)")
-        self.words = _Words(self._pieces)
+        # whether the pattern keeps a space and the letters after it together
+        self.letters_join = self.pattern.findall(" Aaz") == [" Aaz"]
+        self.pairs = [self.ranks.get(bytes(divmod(i, 256)), NO_PAIR) for i in range(1 << 16)]
+        self.pieces = _Known(lambda piece: packed(merged(piece.encode(), self.ranks, self.pairs)))
+        self.words = _Known(self._word)
 
     def _pieces(self, text: str) -> bytes:
-        ids = [i for piece in self.pattern.findall(text) for i in merged(piece.encode(), self.ranks)]
-        return np.array(ids, "<u4").tobytes()
+        return b"".join(map(self.pieces.__getitem__, self.pattern.findall(text)))
+
+    def _word(self, word: str) -> bytes:
+        """A word and the space before it."""
+        if self.letters_join and word.isascii() and word.isalpha():
+            return packed(merged((" " + word).encode(), self.ranks, self.pairs))
+        return self._pieces(" " + word)
 
     def encode(self, text: str | None) -> bytes:
         """Where each space is followed by a word, cutting before spaces cuts between matches of the pattern."""
