@@ -75,7 +75,7 @@ def test_tree_against_all_pairs(kind):
             c ^= 1 << rng.randrange(64)
         points.add(c)
     points = sorted(points)
-    found = simhash.linked_within(np.array(points, np.uint64), 4).root.tolist()
+    found = simhash.linked_within(np.array(points, np.uint64)[:, None], 4).root.tolist()
     assert found == plain_components(points)
 
 
@@ -102,6 +102,33 @@ def test_long_chain(spark):
     assert len(roots) == 1
 
 
+def test_similar_texts(spark):
+    rng = random.Random(9)
+    texts, group = [], []
+    for g in range(60):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(80, 900))]
+        for _ in range(rng.randint(1, 4)):
+            near = list(base)
+            for _ in range(int(len(base) * 0.007)):
+                near[rng.randrange(len(near))] = f"w{rng.randrange(5000)}"
+            texts.append(" ".join(near))
+            group.append(g)
+    passage = " ".join(f"p{i}" for i in range(60))
+    for g in range(60, 90):  # a shared passage is no near copy
+        texts.append(passage + " " + " ".join(f"w{rng.randrange(5000)}" for _ in range(200)))
+        group.append(g)
+    texts += [None, "", "one two", "one three"]
+    group += [90, 90, 91, 92]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in simhash.similar_texts(df).collect()}
+    least = {}
+    for i, g in enumerate(group):
+        least.setdefault(g, i)
+    wrong = [i for i, g in enumerate(group) if found[i] != least[g]]
+    assert len(found) == len(texts) and len(wrong) <= 3
+
+
 def test_empty_table(spark):
+    assert simhash.similar_texts(spark.createDataFrame([], SCHEMA)).collect() == []
     got = simhash.op3_simhash(spark.createDataFrame([], SCHEMA))
     assert got.collect() == [] and got.columns == ["doc_id", "fingerprint", "component_id"]
