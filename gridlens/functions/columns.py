@@ -14,6 +14,15 @@ def negative_measure(columns: list[str]) -> Column:
     return found
 
 
+def non_finite_measure(columns: list[str]) -> Column:
+    """True when any measure is NaN or infinite; never NULL."""
+    found = F.lit(False)
+    for name in columns:
+        value = F.col(name).cast("double")
+        found = found | F.coalesce(F.isnan(value) | (F.abs(value) == float("inf")), F.lit(False))
+    return found
+
+
 def missing_key(columns: list[str]) -> Column:
     missing = F.lit(False)
     for name in columns:
@@ -87,6 +96,15 @@ def value_slice(value: Column) -> Column:
     """A whole number that grows with the value, fine enough to spread one large group over many tasks.
 
     Neighbouring slices differ by about 0.8 % of the value. There are fewer than 200,000 slices over the
-    whole double range, so a table of slice sizes is always small.
+    whole double range, so a table of slice sizes is always small. Infinities have slices of their own, and NaN
+    the last one, as in a sort.
     """
-    return F.floor(F.signum(value) * F.log1p(F.abs(value)) * 128).cast("long")
+    finite = F.floor(F.signum(value) * F.log1p(F.abs(value)) * 128)
+    number = value.cast("double")
+    return (
+        F.when(F.isnan(number), 1_000_001)
+        .when(number == float("inf"), 1_000_000)
+        .when(number == float("-inf"), -1_000_000)
+        .otherwise(finite)
+        .cast("long")
+    )

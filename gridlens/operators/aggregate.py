@@ -10,11 +10,16 @@ from gridlens.operators.order_stats import quantiles
 
 def exact_sum(name: str, decimals: int | None = None) -> Column:
     """Sum of a measure. With `decimals`, the sum of values that carry at most that many decimals, added as whole
-    units, so that the total does not depend on the order in which partial sums arrive."""
+    units, so that the total does not depend on the order in which partial sums arrive. A value with more decimals
+    (beyond the last places of a double), of 2 ** 53 units or more, or not finite is an error, never rounded."""
     if decimals is None:
         return F.sum(name)
-    unit = float(10**decimals)
-    return F.sum(F.rint(F.col(name) * unit).cast("long")) / unit
+    unit, value = float(10**decimals), F.col(name)
+    units = F.rint(value * unit)
+    noise = F.greatest(F.lit(1e-9), F.abs(units) * 1e-15)
+    exact = (F.abs(units) < float(1 << 53)) & (F.abs(value * unit - units) <= noise)
+    text = F.concat(F.lit(f"{name} is not a number of at most {decimals} decimals: "), value.cast("string"))
+    return F.sum(F.when(exact | value.isNull(), units.cast("long")).otherwise(F.raise_error(text).cast("long"))) / unit
 
 
 def hourly_grid_summary(clean: DataFrame, decimals: int | None = None) -> DataFrame:

@@ -28,7 +28,9 @@ def flag_rejects(canonical: DataFrame) -> DataFrame:
         parsed = canonical.withColumn("timestamp", F.try_to_timestamp("timestamp"))
     return parsed.withColumn(
         "reject_cause",
-        F.when(C.missing_key(S.CELL_HOUR), "MISSING_KEY").when(C.negative_measure(S.MEASURES), "NEGATIVE_VALUE"),
+        F.when(C.missing_key(S.CELL_HOUR), "MISSING_KEY")
+        .when(C.non_finite_measure(S.MEASURES), "NON_FINITE_VALUE")
+        .when(C.negative_measure(S.MEASURES), "NEGATIVE_VALUE"),
     )
 
 
@@ -65,6 +67,7 @@ def clean_counters(canonical: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("input_rows"),
         F.count_if(~kept).alias("rejected_rows"),
         F.count_if(F.col("reject_cause") == "MISSING_KEY").alias("rejected_missing_key"),
+        F.count_if(F.col("reject_cause") == "NON_FINITE_VALUE").alias("rejected_non_finite"),
         F.count_if(F.col("reject_cause") == "NEGATIVE_VALUE").alias("rejected_negative"),
         F.coalesce(F.sum(F.when(kept, null_cells)), F.lit(0)).cast("long").alias("nulls_handled"),
         F.count_if(kept).alias("output_rows"),

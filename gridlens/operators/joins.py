@@ -7,8 +7,10 @@ SMALL_SIDE_BYTES = 64 * 1024 * 1024
 
 
 def measured_bytes(df: DataFrame) -> int:
-    """Rows times fixed width, plus the bytes of all text."""
-    texts = [F.coalesce(F.octet_length(n), F.lit(0)).cast("long") for n, kind in df.dtypes if kind == "string"]
+    """Rows times fixed width, plus the bytes of all text and, for nested columns, of their text form."""
+    plain = [F.col(f"`{n}`") for n, kind in df.dtypes if kind in ("string", "binary")]
+    nested = [F.to_json(F.struct(f"`{n}`")) for n, kind in df.dtypes if kind.startswith(("array", "map", "struct"))]
+    texts = [F.coalesce(F.octet_length(c), F.lit(0)).cast("long") for c in plain + nested]
     text = F.coalesce(F.sum(sum(texts, F.lit(0).cast("long"))), F.lit(0))
     facts = df.agg(F.count(F.lit(1)).alias("rows"), text.alias("text")).first()
     return facts["rows"] * 16 * len(df.columns) + facts["text"]

@@ -8,24 +8,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridlens.functions.columns import value_slice
-from gridlens.session import scratch_root
+from gridlens.operators.joins import small_side
+from gridlens.session import stage
 
 # a group above this many rows is spread over value slices
 MAX_GROUP_ROWS = 1_000_000
 
+# ranges into which a slice is cut that is still too large
+PARTS = 1024
+
 # group size -> name -> 0-based position in the group's sorted values
 Positions = Callable[[Column], dict[str, Column]]
 
 
 def large_groups(df: DataFrame, by: list[str], max_group_rows: int) -> DataFrame | None:
-    """Keys of the groups above max_group_rows, marked for broadcast, or None. There are at most total rows /
-    max_group_rows of them."""
-    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_size"))
-    largest = sizes.agg(F.max("_size")).first()[0]
-    if largest is None or largest <= max_group_rows:
-        return None
-    scratch_root(df.sparkSession)
-    return F.broadcast(sizes.where(F.col("_size") > max_group_rows).select(*by).checkpoint())
+    """Keys of the groups above max_group_rows as a small stored table, or None. There are at most total rows /
+    max_group_rows of them, so a join broadcasts them only where they measure small."""
+    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_size")).where(F.col("_size") > max_group_rows)
+    large = stage(sizes.select(*by), "large-groups")
+    return None if large.isEmpty() else small_side(large)
 
 
 def values_at(
@@ -45,12 +46,12 @@ def values_at(
     present = df.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_value"))
     if not by:
         search = present.count() > max_group_rows
-        return _search_slices(present, positions, by, slicer) if search else _sort_groups(present, positions, by)
+        return _search_slices(present, positions, by, slicer, max_group_rows) if search else _sort_groups(present, positions, by)
     large = large_groups(present, by, max_group_rows)
     if large is None:
         return _sort_groups(present, positions, by)
     ordinary = _sort_groups(present.join(large, by, "left_anti"), positions, by)
-    return ordinary.unionByName(_search_slices(present.join(large, by, "left_semi"), positions, by, slicer))
+    return ordinary.unionByName(_search_slices(present.join(large, by, "left_semi"), positions, by, slicer, max_group_rows))
 
 
 def _sort_groups(present: DataFrame, positions: Positions, by: list[str]) -> DataFrame:
@@ -66,12 +67,18 @@ def _sort_groups(present: DataFrame, positions: Positions, by: list[str]) -> Dat
 
 
 def _search_slices(
-    present: DataFrame, positions: Positions, by: list[str], slicer: Callable[[Column], Column] = value_slice
+    present: DataFrame,
+    positions: Positions,
+    by: list[str],
+    slicer: Callable[[Column], Column] = value_slice,
+    max_group_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
-    """Slice sizes are counted first, which shuffles counts only. Then the rows of the few slices that hold a
-    wanted position are picked, equal values are counted before the shuffle, and each slice is sorted on its
-    own. So neither a dominant group nor a dominant value reaches a single task. Meant for few, large groups:
-    the wanted slices, at most one per group and position, are broadcast.
+    """Slice sizes are counted first, which shuffles counts only. A slice that holds a wanted position and more than
+    max_group_rows rows is cut again, into PARTS ranges of equal width between its least and largest value, and counted
+    again, until it is small enough or holds one value only. Then the rows of the few slices left are picked, equal values
+    are counted before the shuffle, and each slice is sorted on its own. So neither a dominant group nor a dominant value
+    nor a narrow distribution reaches a single task. Meant for few, large groups: there is at most one wanted slice per
+    group and position, kept in a stored table.
     """
     sliced = present.withColumn("_slice", slicer(F.col("_value")))
     wanted = positions(F.col("group_rows"))
@@ -79,27 +86,42 @@ def _search_slices(
     def holds(position: Column, first: str, rows: str) -> Column:
         return (position >= F.col(first)) & (position < F.col(first) + F.col(rows))
 
+    hit = reduce(or_, [holds(position, "_before", "_rows") for position in wanted.values()])
+    size = [F.count(F.lit(1)).alias("_rows"), F.min("_value").alias("_least"), F.max("_value").alias("_most")]
     over_slices = Window.partitionBy(*by).orderBy("_slice")
-    located = (
-        sliced.groupBy(*by, "_slice")
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .select(
-            "*",
-            (F.sum("_rows").over(over_slices) - F.col("_rows")).alias("_before"),
-            F.sum("_rows").over(Window.partitionBy(*by)).alias("group_rows"),
-        )
-        .where(reduce(or_, [holds(position, "_before", "_rows") for position in wanted.values()]))
-        .drop("_rows")
+    counted = sliced.groupBy(*by, "_slice").agg(*size).select(
+        "*",
+        (F.sum("_rows").over(over_slices) - F.col("_rows")).alias("_before"),
+        F.sum("_rows").over(Window.partitionBy(*by)).alias("group_rows"),
     )
-    in_slice = Window.partitionBy(*by, "_slice").orderBy("_value")
-    before = F.col("_before") + F.sum("_copies").over(in_slice) - F.col("_copies")
-    counted = (
-        sliced.join(F.broadcast(located), [*by, "_slice"])
+    located = stage(counted.where(hit), "slices")
+    too_large = (F.col("_rows") > max(max_group_rows, 1)) & (F.col("_least") < F.col("_most"))
+    inside = (F.col("_value") >= F.col("_least")) & (F.col("_value") <= F.col("_most"))
+    while not located.where(too_large).isEmpty():
+        keys = [*by, "_slice", "_part_of", "group_rows", "_start"]
+        cut = located.where(too_large).select(
+            *by, "_slice", "group_rows", "_least", "_most", F.col("_before").alias("_start"), F.col("_before").alias("_part_of")
+        )
+        share = (F.col("_value") - F.col("_least")) / (F.col("_most") - F.col("_least"))
+        part = F.least(F.lit(PARTS - 1), F.floor(share * PARTS))
+        again = sliced.join(small_side(cut), [*by, "_slice"]).where(inside).withColumn("_part", part)
+        over_parts = Window.partitionBy(*by, "_slice", "_part_of").orderBy("_part")
+        sizes = again.groupBy(*keys, "_part").agg(*size)
+        before = F.col("_start") + F.sum("_rows").over(over_parts) - F.col("_rows")
+        parts = sizes.withColumn("_before", before).where(hit).select(*located.columns)
+        located = stage(located.where(~too_large).unionByName(parts), "slices")
+    # the bounds of a slice name it from here on
+    bounds = located.select(*by, "_slice", "_least", "_most", "_before", "group_rows")
+    in_slice = Window.partitionBy(*by, "_slice", "_before").orderBy("_value")
+    first = F.col("_before") + F.sum("_copies").over(in_slice) - F.col("_copies")
+    found = (
+        sliced.join(small_side(bounds), [*by, "_slice"])
+        .where(inside)
         .groupBy(*by, "_slice", "_before", "group_rows", "_value")
         .agg(F.count(F.lit(1)).alias("_copies"))
-        .select(*by, "group_rows", "_value", "_copies", before.alias("_first"))
+        .select(*by, "group_rows", "_value", "_copies", first.alias("_first"))
     )
-    return counted.groupBy(*by, "group_rows").agg(
+    return found.groupBy(*by, "group_rows").agg(
         *[
             F.max(F.when(holds(position, "_first", "_copies"), F.col("_value"))).alias(name)
             for name, position in wanted.items()
@@ -130,7 +152,8 @@ def quantiles(
     def interpolated(i: int, p: float) -> Column:
         at = (F.col("group_rows") - 1) * p
         low, high = F.col(f"_low{i}"), F.col(f"_high{i}")
-        return F.struct(F.lit(p).alias("probability"), (low + (high - low) * (at - F.floor(at))).alias("quantile"))
+        between = F.when(low == high, low).otherwise(low + (high - low) * (at - F.floor(at)))
+        return F.struct(F.lit(p).alias("probability"), between.alias("quantile"))
 
     return found.select(*by, F.inline(F.array(*[interpolated(i, p) for i, p in numbered])))
 
@@ -168,7 +191,7 @@ def leave_one_out_median(
     if large is None:
         return _sorted_buckets(df, buckets, value, output)
     ordinary = _sorted_buckets(df.join(large, buckets, "left_anti"), buckets, value, output)
-    return ordinary.unionByName(_sliced_buckets(df.join(large, buckets, "left_semi"), buckets, value, output))
+    return ordinary.unionByName(_sliced_buckets(df.join(large, buckets, "left_semi"), buckets, value, output, max_group_rows))
 
 
 def _sorted_buckets(df: DataFrame, buckets: list[str], value: str, output: str) -> DataFrame:
@@ -184,7 +207,7 @@ def _sorted_buckets(df: DataFrame, buckets: list[str], value: str, output: str)
     return ranked.withColumns(middle).withColumn(output, baseline).select(*df.columns, output)
 
 
-def _sliced_buckets(df: DataFrame, buckets: list[str], value: str, output: str) -> DataFrame:
-    middle = _search_slices(df.select(*buckets, F.col(value).alias("_value")), _middle, buckets)
+def _sliced_buckets(df: DataFrame, buckets: list[str], value: str, output: str, max_group_rows: int) -> DataFrame:
+    middle = _search_slices(df.select(*buckets, F.col(value).alias("_value")), _middle, buckets, max_group_rows=max_group_rows)
     baseline = _median_of_others(F.col(value), F.col("group_rows"))
-    return df.join(F.broadcast(middle), buckets).withColumn(output, baseline).select(*df.columns, output)
+    return df.join(small_side(stage(middle, "middle-values")), buckets).withColumn(output, baseline).select(*df.columns, output)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from gridlens import schema as S
 from gridlens.operators.clean import clean_counters, require_columns
 
+# --- fixed values: columns that a published hourly table must have ---
 GATE_COLUMNS = [
     "grid_id",
     "timestamp",
@@ -64,20 +65,23 @@ def require_gate(checks: DataFrame) -> None:
         raise ValueError(f"quality checks failed: {sorted(failed)}")
 
 
-def grain_checks(clean: DataFrame, hourly: DataFrame, cells: int = S.LAST_CELL, hours: int = S.HOURS_PER_FILE) -> DataFrame:
-    """Unique keys, fewer rows than the cleaned input, at most days x hours x cells rows, no country column."""
-    left = _key_facts(hourly).withColumn("clean_rows", F.lit(0).cast("long"))
+def grain_checks(clean: DataFrame, hourly: DataFrame, lookup: DataFrame, hours: int = S.HOURS_PER_FILE) -> DataFrame:
+    """Unique keys, fewer rows than the cleaned input, at most days x hours x cells of the lookup, no country column."""
     zero = F.lit(0).cast("long")
+    left = _key_facts(hourly).withColumns({"clean_rows": zero, "cells": zero})
     right = clean.agg(
         zero.alias("rows"),
         zero.alias("null_keys"),
         zero.alias("repeated_keys"),
         zero.alias("days"),
         F.count(F.lit(1)).alias("clean_rows"),
+        zero.alias("cells"),
     )
-    names = ["rows", "repeated_keys", "days", "clean_rows"]
-    facts = left.unionByName(right).agg(*[F.sum(name).alias(name) for name in names])
-    rows, limit = F.col("rows"), F.col("days") * hours * cells
+    known = lookup.agg(F.count_distinct("grid_id").alias("cells"))
+    names = ["rows", "repeated_keys", "days", "clean_rows", "cells"]
+    both = left.unionByName(right).unionByName(known, allowMissingColumns=True)
+    facts = both.agg(*[F.sum(name).alias(name) for name in names])
+    rows, limit = F.col("rows"), F.col("days") * hours * F.col("cells")
     country = int("country_code" in hourly.columns)
     return as_checks(
         facts,

@@ -54,9 +54,9 @@ def grid_activity(
 ) -> DataFrame:
     """Activity of the requested cells: their last 24 rows, or the rows at the given date, hour and time.
 
-    Cells out of range are not found; `grids` has a grid_id column and may hold one cell or all.
+    `grids` has a grid_id column and may hold one cell or all; cells without activity are not found.
     """
-    wanted = grids.where(F.col("grid_id").between(S.FIRST_CELL, S.LAST_CELL)).select("grid_id").distinct()
+    wanted = grids.select("grid_id").distinct()
     rows = activity.join(wanted, "grid_id", "left_semi")
     if date is None and hour is None and as_of is None:
         found = last_hours(rows)
@@ -72,14 +72,13 @@ def grid_activity(
 
 
 def require_grid(grids: DataFrame, grid_id: int) -> None:
-    known = S.FIRST_CELL <= grid_id <= S.LAST_CELL and grids.where(F.col("grid_id") == grid_id).take(1)
-    if not known:
+    if not grids.where(F.col("grid_id") == grid_id).take(1):
         raise LookupError(f"grid {grid_id} does not exist")
 
 
 def grid_location(grids: DataFrame, requested: DataFrame) -> DataFrame:
     """Centroid and geometry reference of the requested cells, without the polygon."""
-    wanted = requested.where(F.col("grid_id").between(S.FIRST_CELL, S.LAST_CELL)).select("grid_id")
+    wanted = requested.select("grid_id")
     columns = ["grid_id", "centroid_lat", "centroid_lon", "geometry_reference"]
     return grids.select(*columns).join(wanted, "grid_id", "left_semi")
 

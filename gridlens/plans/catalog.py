@@ -33,7 +33,7 @@ from gridlens.streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-# --- fixed values: published example coefficients, in feature order ---
+# --- fixed values: published example coefficients, in feature order; the intercept is a choice of this file, none is published ---
 EXAMPLE_COEFFICIENTS = [
     7.679884273287483,
     0.3332718263236674,
@@ -380,6 +380,24 @@ def percentiles_by_search(d: Dataset) -> DataFrame:
     return order_stats.quantiles(d.hourly, "total_activity", [0.5, 0.75, 0.9, 0.95, 0.99], max_group_rows=0)
 
 
+def _odd_values(d: Dataset) -> DataFrame:
+    """Total activity with some values replaced by infinities and, at the end, NaN."""
+    cell = F.col("grid_id") % 31
+    odd = F.when(cell == 3, F.lit(float("inf"))).when(cell == 5, F.lit(float("-inf"))).when(cell == 7, F.lit(-0.0))
+    return d.hourly.select(odd.when(cell == 11, F.lit(float("nan"))).otherwise(F.col("total_activity")).alias("value"))
+
+
+@query()
+def percentiles_of_odd_values(d: Dataset) -> DataFrame:
+    """Order statistics of a column with infinities, -0.0 and NaN; both ways of finding them, which agree."""
+    probabilities = [0.0, 0.01, 0.5, 0.9, 1.0]
+    ways = [order_stats.quantiles(_odd_values(d), "value", probabilities, max_group_rows=n) for n in (0, 1 << 40)]
+    kind = F.when(F.isnan("quantile"), "NaN").when(F.col("quantile") == float("inf"), "inf").when(F.col("quantile") == float("-inf"), "-inf")
+    shown = F.coalesce(kind, F.format_string("%.4f", F.col("quantile") + 0.0))
+    both = [w.select("probability", shown.alias("quantile"), F.lit(n).alias("way")) for n, w in zip(("search", "sort"), ways, strict=True)]
+    return both[0].unionByName(both[1])
+
+
 @query()
 def country_grain_percentiles(d: Dataset) -> DataFrame:
     return aggregate.activity_percentiles(d.clean)
@@ -666,6 +684,13 @@ def grid_activity_at_noon(d: Dataset) -> DataFrame:
     return service.grid_activity(d.star, d.lookup, hour=12)
 
 
+@query()
+def grid_activity_high_cells(d: Dataset) -> DataFrame:
+    """The same with all cell ids moved up by 10,000."""
+    moved = F.col("grid_id") + 10_000
+    return service.grid_activity(d.star.withColumn("grid_id", moved), d.lookup.withColumn("grid_id", moved))
+
+
 @query()
 def network_hotspots(d: Dataset) -> DataFrame:
     return service.network_hotspots(d.star, d.risk, d.alerts).drop("reason")
@@ -821,7 +846,7 @@ def analytics_gate(d: Dataset) -> DataFrame:
 
 @query()
 def grain_checks(d: Dataset) -> DataFrame:
-    return quality.grain_checks(d.clean, d.hourly)
+    return quality.grain_checks(d.clean, d.hourly, d.lookup)
 
 
 @query()

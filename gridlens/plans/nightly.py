@@ -223,7 +223,7 @@ def run_nightly(
         run.step("analytics", lambda: _analytics_step(run))
         run.step("risk", lambda: _risk_step(run, threshold))
     except Exception as error:
-        _publish(run, "FAILED", str(error).splitlines()[0][:500])
+        _publish(run, "FAILED", str(error) or type(error).__name__)
         raise
     _publish(run, "SUCCESS", "Quality checks passed")
     return run

@@ -95,6 +95,7 @@ def _features(history: str) -> str:
 _SIGNED = "CASE WHEN event_id % 97 = 5 THEN -value ELSE value END"
 _RAW_MEASURES = ", ".join(f"CASE WHEN event_type = '{kind}' THEN {_SIGNED} END AS {n}" for n, kind in EVENT_MEASURES.items())
 _RENAMED = ", ".join(f"{old} AS {new}" for old, new in CANONICAL_NAMES.items())
+_NON_FINITE = " OR ".join(f"coalesce(NOT isfinite({m}), false)" for m in MEASURES)
 _NEGATIVE = " OR ".join(f"coalesce({m} < 0, false)" for m in MEASURES)
 _MARGIN = " + ".join(
     f"(f.{name} - s.m_{name}) / s.s_{name} * {coefficient!r}"
@@ -128,7 +129,7 @@ _TABLES: dict[str, tuple[str, str]] = {
     "flagged": (
         "canonical",
         f"""SELECT * REPLACE (try_cast(timestamp AS TIMESTAMP) AS timestamp),
-            CASE WHEN grid_id IS NULL OR try_cast(timestamp AS TIMESTAMP) IS NULL THEN 'MISSING_KEY'
+            CASE WHEN grid_id IS NULL OR try_cast(timestamp AS TIMESTAMP) IS NULL THEN 'MISSING_KEY' WHEN {_NON_FINITE} THEN 'NON_FINITE_VALUE'
                  WHEN {_NEGATIVE} THEN 'NEGATIVE_VALUE' END AS reject_cause FROM canonical""",
     ),
     "clean": ("flagged", _clean("flagged")),
@@ -388,6 +389,7 @@ def oracle_sql() -> dict[str, str]:
         "clean_counters": _with(
             f"""SELECT count(*) AS input_rows, count(reject_cause) AS rejected_rows,
                 count(*) FILTER (WHERE reject_cause = 'MISSING_KEY') AS rejected_missing_key,
+                count(*) FILTER (WHERE reject_cause = 'NON_FINITE_VALUE') AS rejected_non_finite,
                 count(*) FILTER (WHERE reject_cause = 'NEGATIVE_VALUE') AS rejected_negative,
                 CAST(sum(CASE WHEN reject_cause IS NULL THEN {" + ".join(f"({m} IS NULL)::INT" for m in MEASURES)} END) AS BIGINT)
                     AS nulls_handled,
@@ -439,6 +441,17 @@ def oracle_sql() -> dict[str, str]:
             "SELECT min(timestamp) AS first_timestamp, max(timestamp) AS last_timestamp FROM clean", "clean"
         ),
         **dict.fromkeys(("activity_percentiles", "percentiles_by_search"), _with(_percentiles("hourly"), "hourly")),
+        "percentiles_of_odd_values": _with(
+            """SELECT CAST(probability AS DOUBLE) AS probability, way, CASE WHEN isnan(low) OR isnan(high) THEN 'NaN'
+                   WHEN low = high THEN CASE low WHEN 'inf'::DOUBLE THEN 'inf' WHEN '-inf'::DOUBLE THEN '-inf' ELSE printf('%.4f', low) END
+                   ELSE printf('%.4f', low + (high - low) * (spot - floor(spot))) END AS quantile
+               FROM (SELECT probability, spot, l[CAST(floor(spot) AS INTEGER) + 1] AS low, l[CAST(ceil(spot) AS INTEGER) + 1] AS high
+                     FROM (SELECT list_sort(list(value)) AS l FROM (SELECT CASE grid_id % 31 WHEN 3 THEN 'inf'::DOUBLE WHEN 5 THEN
+                               '-inf'::DOUBLE WHEN 7 THEN 0.0 WHEN 11 THEN 'nan'::DOUBLE ELSE total_activity END AS value FROM hourly)),
+                          (SELECT unnest([0.0, 0.01, 0.5, 0.9, 1.0]) AS probability), LATERAL (SELECT probability * (len(l) - 1) AS spot)),
+                    (SELECT unnest(['search', 'sort']) AS way)""",
+            "hourly",
+        ),
         "country_grain_percentiles": _with(_percentiles("clean"), "clean"),
         "busiest_hour": _with(
             "SELECT hour, round(sum(total_activity), 6) + 0.0 AS total_activity FROM hourly GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1",
@@ -456,11 +469,7 @@ def oracle_sql() -> dict[str, str]:
                     "count(DISTINCT datetime)",
                     "count(DISTINCT file_date) * 24 = count(DISTINCT datetime)",
                 ),
-                cell_range=(
-                    "0",
-                    "count(*) FILTER (WHERE CellID < 1 OR CellID > 10000)",
-                    "count(*) FILTER (WHERE CellID < 1 OR CellID > 10000) = 0",
-                ),
+                cell_range=("0", "0 * count(*)", "true"),
                 lineage=("0", "count(*) FILTER (WHERE file_date IS NULL)", "count(*) FILTER (WHERE file_date IS NULL) = 0"),
             ),
             "raw_rows",
@@ -655,6 +664,11 @@ def oracle_sql() -> dict[str, str]:
                 QUALIFY row_number() OVER (PARTITION BY grid_id ORDER BY timestamp DESC) <= 24""",
             "hourly",
         ),
+        "grid_activity_high_cells": _with(
+            f"""SELECT grid_id + 10000 AS grid_id, timestamp, {_rounded(*MEASURES, 'total_activity')} FROM hourly
+                QUALIFY row_number() OVER (PARTITION BY grid_id ORDER BY timestamp DESC) <= 24""",
+            "hourly",
+        ),
         "grid_activity_at_noon": _with(
             f"SELECT grid_id, timestamp, {_rounded(*MEASURES, 'total_activity')} FROM hourly WHERE hour = 12", "hourly"
         ),
@@ -772,10 +786,10 @@ def oracle_sql() -> dict[str, str]:
         ),
         "grain_checks": _with(
             _checks(
-                f"{_KEY_FACTS}, (SELECT count(*) AS c FROM clean)",
+                f"{_KEY_FACTS}, (SELECT count(*) AS c FROM clean), (SELECT count(DISTINCT grid_id) AS g FROM hourly)",
                 repeated_keys=("0", "dups", "dups = 0"),
                 fewer_rows_than_clean=("c", "n", "n < c"),
-                at_most_all_cell_hours=("days * 240000", "n", "n <= days * 240000"),
+                at_most_all_cell_hours=("days * 24 * g", "n", "n <= days * 24 * g"),
                 no_country_code=("0", "0", "true"),
             ),
             "hourly",

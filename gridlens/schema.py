@@ -17,6 +17,7 @@ CANONICAL_NAMES = {
     "internet": "internet_activity",
 }
 
+# --- fixed values: column names ---
 MEASURES = ["sms_in", "sms_out", "call_in", "call_out", "internet_activity"]
 RAW_MEASURES = ["smsin", "smsout", "callin", "callout", "internet"]
 CELL_HOUR = ["grid_id", "timestamp"]
@@ -26,8 +27,7 @@ TOTALS = ["total_sms", "total_calls", "total_activity"]
 # --- fixed values: the daily file glob; the city code keeps other cities' files out ---
 DAILY_FILE_GLOB = "sms-call-internet-mi-*.csv"
 
-# --- fixed values: valid cell ids and hourly timestamps per daily file ---
-FIRST_CELL, LAST_CELL = 1, 10_000
+# --- fixed values: hourly timestamps per daily file ---
 HOURS_PER_FILE = 24
 
 # --- fixed values: alert rules ---
@@ -56,6 +56,7 @@ DEFAULT_HOTSPOT_REASON = "Highest activity for the selected hour."
 NO_ANOMALY_DIRECTION = "NO_ANOMALY_RECORD"
 NO_ANOMALY_REASON = "No ML4 anomaly record is available for this grid and hour."
 
+# --- fixed values: schemas of files and tables ---
 RAW_SCHEMA = T.StructType(
     [
         T.StructField("datetime", T.StringType()),

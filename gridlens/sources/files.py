@@ -15,6 +15,7 @@ NO_ROWS = "No data rows"
 WRONG_WIDTH = "Incorrect number of columns"
 BAD_TIME = "Invalid datetime"
 NOT_A_NUMBER = "Non-numeric value in {}"
+NOT_FINITE = "Non-finite value in {}"
 NEGATIVE = "Negative value in {}"
 IN_RAW = "File already exists in raw"
 IN_REJECTED = "File already exists in rejected"
@@ -70,6 +71,7 @@ def line_violation(fields: Column) -> Column:
             text = F.trim(F.try_element_at(fields, F.lit(index + 1)))
             number = _number(text)
             checks.append(F.when((text != "") & number.isNull(), NOT_A_NUMBER.format(name)))
+            checks.append(F.when(F.isnan(number) | (F.abs(number) == float("inf")), NOT_FINITE.format(name)))
             checks.append(F.when((text != "") & (number < 0), NEGATIVE.format(name)))
     return F.coalesce(*checks)
 

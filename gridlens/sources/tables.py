@@ -70,9 +70,12 @@ def write_table(df: DataFrame, path: str, sort_by: list[str] | None = None, clus
     df.write.mode("overwrite").parquet(path)
 
 
-def write_small_csv(df: DataFrame, path: str, limit: int = 1000) -> None:
-    """A single CSV file for people; limited, since one task writes it."""
-    df.limit(limit).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+def write_small_csv(df: DataFrame, path: str, max_rows: int = 1000) -> None:
+    """A single CSV file for people, written by one task. A larger table is an error, not cut: use write_csv for it."""
+    rows = df.limit(max_rows + 1).count()
+    if rows > max_rows:
+        raise ValueError(f"more than {max_rows} rows are no small table; write_csv takes any number")
+    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
 def write_csv(df: DataFrame, path: str) -> None:

@@ -35,6 +35,7 @@ def test_counters(canonical):
         "input_rows": 8,
         "rejected_rows": 5,
         "rejected_missing_key": 4,
+        "rejected_non_finite": 0,
         "rejected_negative": 1,
         "nulls_handled": 2 + 4 + 5,
         "output_rows": 3,
@@ -111,5 +112,13 @@ def test_cadence(spark, hours, hourly):
 def test_acceptance_checks(spark):
     rows = [(f"2013-11-01 {h:02d}:00:00", 1 + h, f"f{1}") for h in range(24)] + [("2013-11-01 00:00:00", 10001, "f1")]
     frame = spark.createDataFrame(rows, "datetime string, CellID int, source_file string")
-    passed = {r["check_name"]: r["passed"] for r in profile.acceptance_checks(frame, "source_file").collect()}
+    passed = {r["check_name"]: r["passed"] for r in profile.acceptance_checks(frame, "source_file", (1, 10_000)).collect()}
     assert passed == {"timestamps_per_file": True, "cell_range": False, "lineage": True}
+
+
+def test_non_finite_measures_are_rejected(spark):
+    rows = [("2013-11-01 00:00:00", 1, 39, v, 1.0, None, 1.0, 1.0) for v in (float("nan"), float("inf"), -1.0, 2.0)]
+    canonical = clean.to_canonical(spark.createDataFrame(rows, S.RAW_SCHEMA))
+    row = clean.clean_counters(canonical).first()
+    assert (row["rejected_non_finite"], row["rejected_negative"], row["output_rows"], row["nulls_handled"]) == (2, 1, 1, 1)
+    assert row["input_rows"] == row["rejected_rows"] + row["output_rows"]

@@ -108,7 +108,7 @@ def test_gate_and_grain(spark, hourly):
         quality.require_gate(quality.analytics_gate(hourly.limit(0)))
     with pytest.raises(ValueError, match="null_keys"):
         quality.require_gate(quality.analytics_gate(hourly.withColumn("grid_id", F.lit(None).cast("int"))))
-    names = {r["check_name"] for r in quality.grain_checks(hourly, hourly).collect() if not r["passed"]}
+    names = {r["check_name"] for r in quality.grain_checks(hourly, hourly, hourly).collect() if not r["passed"]}
     assert names == {"fewer_rows_than_clean"}
 
 

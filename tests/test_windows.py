@@ -146,3 +146,45 @@ def test_split_filter_reaches_the_scan(spark, tmp_path):
     train, test = windows.chronological_parts(stored, "t", windows.split_border(stored, "t"))
     assert (train.count(), test.count()) == (80, 20)
     assert "LessThan(t," in train._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("low,high,count", [(0.50, 0.51, 4000), (-1e308, 1e308, 500), (7.0, 7.0, 500)])
+def test_narrow_slices_are_cut_again(spark, monkeypatch, low, high, count):
+    """Values of one slice: no step sorts more rows than the limit, and every position is right."""
+    pick = random.Random(4)
+    values = [pick.uniform(low, high) if low > -1 else pick.choice([-1, 1]) * 10 ** pick.uniform(0, 308) for _ in range(count)]
+    frame = spark.createDataFrame([(v,) for v in values], "v double").repartition(5)
+    seen = []
+    stored = order_stats.stage
+
+    def watched(df, name):
+        kept = stored(df, name)
+        if name == "slices":
+            seen.append(kept.where("_least < _most").agg(F.max("_rows")).first()[0] or 0)
+        return kept
+
+    monkeypatch.setattr(order_stats, "stage", watched)
+    got = order_stats.values_at(frame, "v", lambda n: {"a": n * 0 + 7, "b": F.floor(n / 2), "c": n - 1}, max_group_rows=50).first()
+    ordered = sorted(values)
+    assert (got["a"], got["b"], got["c"]) == (ordered[7], ordered[count // 2], ordered[-1])
+    assert seen[-1] <= 50
+
+
+@pytest.mark.parametrize("max_group_rows", [0, 1000])
+def test_odd_values_sort_alike(spark, max_group_rows):
+    values = [1.0, 2.0, 3.0, 4.0, float("nan"), float("inf"), float("-inf"), -0.0, 0.0]
+    frame = spark.createDataFrame([(v,) for v in values], "v double")
+    names = {f"p{i}": i for i in range(len(values))}
+    got = order_stats.values_at(frame, "v", lambda n: {k: n * 0 + i for k, i in names.items()}, max_group_rows=max_group_rows).first()
+    shown = [str(got[k] + 0.0) for k in names]
+    assert shown == ["-inf", "0.0", "0.0", "1.0", "2.0", "3.0", "4.0", "inf", "nan"]
+
+
+def test_exact_sums(spark):
+    from gridlens.operators.aggregate import exact_sum
+
+    frame = spark.createDataFrame([(0.004,)] * 1000, "v double")
+    assert frame.agg(exact_sum("v", 3)).first()[0] == 4.0
+    for bad in (0.004, float("nan"), float("inf"), 1e17):
+        with pytest.raises(Exception, match="at most 2 decimals"):
+            spark.createDataFrame([(bad,)], "v double").agg(exact_sum("v", 2)).collect()
