@@ -74,11 +74,18 @@ def anomaly_direction(score: Column, baseline: Column) -> Column:
     )
 
 
+def number_text(value: Column, digits: int) -> Column:
+    """A number as text, rounded half up on its decimal form, whatever the last places of the double are."""
+    shown = F.round(value.try_cast("decimal(38,10)"), digits).cast(f"decimal(38,{digits})").cast("string")
+    return F.coalesce(shown, value.cast("string"))
+
+
+# --- fixed values: reason texts ---
 def anomaly_reason(score: Column, baseline: Column, grid: Column, hour: Column) -> Column:
     def moved(direction: str) -> Column:
         return F.format_string(
-            f"Activity is %.2f%% {direction} the historical median for grid %d at hour %02d:00",
-            F.abs(score) * 100,
+            f"Activity is %s%% {direction} the historical median for grid %d at hour %02d:00",
+            number_text(F.abs(score) * 100, 2),
             grid.cast("long"),
             hour.cast("int"),
         )

@@ -47,7 +47,8 @@ def alert_reason(kind: Column, current: Column, compared: Column) -> Column:
         "ACTIVITY_SPIKE": f"more than {S.SPIKE_MULTIPLIER}x the immediately preceding hour's",
     }
     text = F.create_map(*[F.lit(part) for pair in texts.items() for part in pair])[kind]
-    return F.format_string("%s: current activity %.2f is %s %.2f", kind, current, text, compared)
+    shown = C.number_text(current, 2), C.number_text(compared, 2)
+    return F.format_string("%s: current activity %s is %s %s", kind, shown[0], text, shown[1])
 
 
 def network_alerts(hourly: DataFrame, scope: str = "date") -> DataFrame:

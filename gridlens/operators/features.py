@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gridlens import schema as S
 from gridlens.functions import columns as C
-from gridlens.operators.windows import chronological_split, history_windows, next_hour_target
+from gridlens.operators.windows import chronological_split, history_windows
 
 
 def network_features(hourly: DataFrame, strict_hours: bool = False, deduplicate: bool = False) -> DataFrame:
@@ -16,7 +16,10 @@ def network_features(hourly: DataFrame, strict_hours: bool = False, deduplicate:
     The history counts rows; strict_hours asks for six contiguous hours instead. Keys are unique in a table
     that passed the quality gate; deduplicate keeps one row per key of any other, at the cost of a shuffle.
     """
-    rows = history_windows(hourly.dropDuplicates(S.CELL_HOUR) if deduplicate else hourly)
+    return _features(history_windows(hourly.dropDuplicates(S.CELL_HOUR) if deduplicate else hourly), strict_hours)
+
+
+def _features(rows: DataFrame, strict_hours: bool, *more: str) -> DataFrame:
     complete = (F.col("recent_count") == 3) & (F.col("baseline_count") == 3)
     if strict_hours:
         complete = complete & (F.col("history_start") == F.col("timestamp") - F.expr("INTERVAL 5 HOURS"))
@@ -30,19 +33,19 @@ def network_features(hourly: DataFrame, strict_hours: bool = False, deduplicate:
         C.ratio_or_zero(F.col("recent_peak"), recent).alias("peak_ratio"),
         F.coalesce("recent_stddev", F.lit(0.0)).alias("variability"),
         C.ratio_or_zero(F.col("recent_internet"), F.col("recent_total")).alias("internet_share"),
+        *more,
     )
 
 
-def training_set(features: DataFrame, hourly: DataFrame, threshold: float = S.HIGH_ACTIVITY_THRESHOLD) -> DataFrame:
-    """Features joined to the activity exactly one hour later, labelled against the threshold."""
-    target = (
-        next_hour_target(hourly)
-        .where(F.col("target_timestamp") == F.col("timestamp") + F.expr("INTERVAL 1 HOUR"))
-        .select("grid_id", F.col("timestamp").alias("feature_timestamp"), "target_timestamp", "target_activity")
-    )
-    return features.join(target, ["grid_id", "feature_timestamp"]).withColumn(
-        "high_activity_risk", F.when(F.col("target_activity") > threshold, 1).otherwise(0)
-    )
+def training_set(
+    hourly: DataFrame, threshold: float = S.HIGH_ACTIVITY_THRESHOLD, strict_hours: bool = False
+) -> DataFrame:
+    """Features with the activity exactly one hour later, labelled against the threshold. History and next hour come
+    from the same pass over the windows, so there is one shuffle and no join."""
+    rows = history_windows(hourly, with_next=True)
+    follows = F.col("target_timestamp") == F.col("timestamp") + F.expr("INTERVAL 1 HOUR")
+    labelled = _features(rows.where(follows), strict_hours, "target_timestamp", "target_activity")
+    return labelled.withColumn("high_activity_risk", F.when(F.col("target_activity") > threshold, 1).otherwise(0))
 
 
 def split_training_set(

@@ -150,6 +150,22 @@ def score_one(model: RiskModel, features: dict[str, float]) -> dict:
     return {"risk_score": score, "risk_level": level, "model_version": model.version}
 
 
+def fit_gradient(train: DataFrame, model: RiskModel) -> DataFrame:
+    """Gradient of the class-balanced, L2-penalised log loss per row at a model's coefficients: zero where the fit is exact."""
+    label = F.col("high_activity_risk")
+    rows = standardise(train, model.means, model.scales).withColumn("y", label.cast("double"))
+    counts = train.agg(F.count(F.lit(1)).alias("n"), F.sum(label).alias("positive")).first()
+    n, positive = counts["n"], counts["positive"]
+    margin = F.lit(model.intercept)
+    for name, coefficient in zip(S.FEATURES, model.coefficients, strict=True):
+        margin = margin + F.col(name) * coefficient
+    weight = F.when(F.col("y") == 1, n / (2 * positive)).otherwise(n / (2 * (n - positive)))
+    residual = weight * (1 / (1 + F.exp(-margin)) - F.col("y"))
+    sums = [((F.sum(residual * F.col(f)) + c) / n).alias(f) for f, c in zip(S.FEATURES, model.coefficients, strict=True)]
+    wide = rows.agg(*sums, (F.sum(residual) / n).alias("intercept"))
+    return wide.unpivot([], [*S.FEATURES, "intercept"], "coefficient", "gradient").withColumn("train_rows", F.lit(n))
+
+
 def evaluate(predicted: DataFrame) -> DataFrame:
     """Confusion counts and accuracy, precision, recall; an undefined ratio is 0."""
     y, p = F.col("high_activity_risk"), F.col("ml_prediction")
@@ -206,7 +222,7 @@ def agreement_counts(compared: DataFrame) -> DataFrame:
 
 
 def evaluation_record(split: DataFrame, compared_test: DataFrame, threshold: float) -> DataFrame:
-    """One JSON record per run: metrics, split bounds, class rates and rule comparison."""
+    """One nested record per run: algorithm, threshold, metrics, split bounds, class rates and rule comparison."""
     from gridlens.operators.features import split_checks
 
     parts = {
@@ -218,13 +234,13 @@ def evaluation_record(split: DataFrame, compared_test: DataFrame, threshold: flo
         ),
         "np3_comparison": agreement_counts(compared_test),
     }
-    records = None
+    rows = None
     for name, part in parts.items():
-        row = part.select(F.lit(name).alias("part"), F.to_json(F.struct("*")).alias("record"))
-        records = row if records is None else records.unionByName(row)
-    header = F.create_map(F.lit("algorithm"), F.lit("Logistic Regression"), F.lit("threshold"), F.lit(str(threshold)))
-    merged = records.agg(F.map_from_entries(F.collect_list(F.struct("part", "record"))).alias("parts"))
-    return merged.select(F.map_concat(header, "parts").alias("evaluation"))
+        row = part.select(F.struct("*").alias(name))
+        rows = row if rows is None else rows.unionByName(row, allowMissingColumns=True)
+    return rows.agg(
+        F.lit("Logistic Regression").alias("algorithm"), F.lit(float(threshold)).alias("threshold"), *[F.max(n).alias(n) for n in parts]
+    )
 
 
 def three_way(
@@ -259,16 +275,22 @@ def three_way(
     return flags.withColumn("three_way_result", three_way_label())
 
 
+# --- fixed values: label of each combination of the anomaly, model and rule flags ---
+THREE_WAY_LABELS = {
+    (True, True, True): "ALL_THREE",
+    (True, True, False): "ML4_ML3",
+    (True, False, True): "ML4_NP3",
+    (False, True, True): "ML3_NP3",
+    (True, False, False): "ML4_ONLY",
+    (False, True, False): "ML3_ONLY",
+    (False, False, True): "NP3_ONLY",
+    (False, False, False): "ALL_NEGATIVE",
+}
+
+
 def three_way_label() -> Column:
-    names = F.concat_ws(
-        "_",
-        F.when(F.col("ml4_positive"), "ML4"),
-        F.when(F.col("ml3_positive"), "ML3"),
-        F.when(F.col("np3_positive"), "NP3"),
-    )
-    return (
-        F.when(names == "", "ALL_NEGATIVE")
-        .when(names == "ML4_ML3_NP3", "ALL_THREE")
-        .when(F.length(names) == 3, F.concat(names, F.lit("_ONLY")))
-        .otherwise(names)
-    )
+    label = F.lit(None).cast("string")
+    for (anomaly, model, rule), name in THREE_WAY_LABELS.items():
+        matches = (F.col("ml4_positive") == anomaly) & (F.col("ml3_positive") == model) & (F.col("np3_positive") == rule)
+        label = F.when(matches, name).otherwise(label)
+    return label

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gridlens import schema as S
 from gridlens.functions import columns as C
 from gridlens.operators.alerts import with_severity
+from gridlens.operators.joins import small_side
 from gridlens.operators.risk import RiskModel
 from gridlens.operators.windows import last_hours
 
@@ -41,8 +42,21 @@ def network_summary(activity: DataFrame, as_of: datetime | None = None) -> DataF
     )
 
 
-def latest_network_summary(activity: DataFrame) -> DataFrame:
-    return network_summary(activity.where(F.col("timestamp") == _as_of(activity, None)))
+def key_as_of(times: DataFrame, as_of: datetime | None = None) -> int | None:
+    """time_key of a time, by default of the latest one. Reads dim_time only; one number comes back."""
+    if as_of is not None:
+        times = times.where(F.col("timestamp") == F.lit(as_of))
+    return times.agg(F.max("time_key")).first()[0]
+
+
+def fact_at(fact: DataFrame, key: int | None) -> DataFrame:
+    """Fact rows of one time key, a plain filter that the scan takes, with their timestamp."""
+    number = F.lit(key).cast("long")
+    return fact.where(F.col("time_key") == number).withColumn("timestamp", F.timestamp_seconds(number))
+
+
+def latest_network_summary(fact: DataFrame, times: DataFrame) -> DataFrame:
+    return network_summary(fact_at(fact, key_as_of(times)))
 
 
 def grid_activity(
@@ -97,7 +111,8 @@ def _last_alert_per_grid(alerts: DataFrame) -> DataFrame:
 
 
 def network_hotspots(
-    activity: DataFrame,
+    fact: DataFrame,
+    times: DataFrame,
     risk: DataFrame,
     alerts: DataFrame,
     limit: int = 50,
@@ -110,9 +125,9 @@ def network_hotspots(
     The severity filter applies to the cells already ranked, so fewer than `limit` may remain; filter_first
     ranks only cells with that severity instead.
     """
-    at = _as_of(activity, as_of)
-    now = F.col("timestamp") == at
-    ranked = activity.where(now).select("grid_id", "timestamp", "total_activity")
+    key = key_as_of(times, as_of)
+    now = F.col("timestamp") == F.timestamp_seconds(F.lit(key).cast("long"))
+    ranked = fact_at(fact, key).select("grid_id", "timestamp", "total_activity")
     current = _last_alert_per_grid(alerts.where(now))
     if severity is not None:
         current = current.where(F.upper("alert.severity") == severity.upper())
@@ -153,7 +168,8 @@ def alert_feed(
         listed = listed.where(F.upper("severity") == severity.upper())
     newest = listed.withColumn("severity_rank", C.severity_rank(F.col("severity"))).orderBy(*feed_order()).limit(limit)
     scores = risk.select("grid_id", "timestamp", *RISK_COLUMNS)
-    return scores.join(F.broadcast(newest), ["grid_id", "timestamp"], "right").select(
+    few = F.broadcast(newest) if limit <= 10_000 else newest
+    return scores.join(few, ["grid_id", "timestamp"], "right").select(
         "grid_id",
         "timestamp",
         "alert_type",
@@ -174,15 +190,29 @@ def predict_risk(
     model: RiskModel,
     tolerance: float = 1e-4,
 ) -> DataFrame:
-    """Answers every request (grid_id, timestamp, total_activity) with a score or with the reason there is none."""
+    """Answers every request (grid_id, timestamp, total_activity) with a score or with the reason there is none.
+
+    Each table is cut to the requests' time range, which its scan takes, and to the requested keys before anything
+    is counted; the keys are broadcast if they measure small.
+    """
     keys = ["grid_id", "timestamp"]
-    by_key = features.withColumnRenamed("feature_timestamp", "timestamp").groupBy(*keys).agg(
+    span = requests.agg(F.min("timestamp").alias("first"), F.max("timestamp").alias("last")).first()
+    asked = small_side(requests.select(*keys).distinct())
+    hours = small_side(requests.select("grid_id", F.date_trunc("hour", "timestamp").alias("hour_start")).distinct())
+
+    def requested(df: DataFrame) -> DataFrame:
+        return df.where(F.col("timestamp").between(F.lit(span["first"]), F.lit(span["last"]))).join(asked, keys, "left_semi")
+
+    by_key = requested(features.withColumnRenamed("feature_timestamp", "timestamp")).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("feature_rows"), *[F.min(f).alias(f) for f in S.FEATURES]
     )
-    source = hourly.groupBy(*keys).agg(
+    source = requested(hourly).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("activity_rows"), F.min("total_activity").alias("source_activity")
     )
-    notes = anomalies.groupBy("grid_id", F.date_trunc("hour", "timestamp").alias("hour_start")).agg(
+    whole_hours = F.date_trunc("hour", F.lit(span["first"])), F.date_trunc("hour", F.lit(span["last"])) + F.expr("INTERVAL 1 HOUR")
+    near = anomalies.where((F.col("timestamp") >= whole_hours[0]) & (F.col("timestamp") < whole_hours[1]))
+    near = near.withColumn("hour_start", F.date_trunc("hour", "timestamp")).join(hours, ["grid_id", "hour_start"], "left_semi")
+    notes = near.groupBy("grid_id", "hour_start").agg(
         F.min_by(F.struct("direction", "anomaly_score", "reason"), "timestamp").alias("anomaly")
     )
     joined = (
@@ -203,9 +233,9 @@ def predict_risk(
     answered = F.col("status") == "OK"
     note = F.when(F.col("anomaly").isNull(), S.NO_ANOMALY_REASON).otherwise(
         F.format_string(
-            "ML4 anomaly status: %s. Anomaly score: %.4f. %s.",
+            "ML4 anomaly status: %s. Anomaly score: %s. %s.",
             F.col("anomaly.direction"),
-            F.col("anomaly.anomaly_score"),
+            C.number_text(F.col("anomaly.anomaly_score"), 4),
             F.col("anomaly.reason"),
         )
     )

@@ -68,8 +68,8 @@ def _by_period(
     return body.unionByName(stitched).drop("_period", "_from_start", "_to_end")
 
 
-def history_windows(hourly: DataFrame, **options) -> DataFrame:
-    """Per cell: the last three rows (this one included) and the three before them."""
+def history_windows(hourly: DataFrame, with_next: bool = False, **options) -> DataFrame:
+    """Per cell: the last three rows (this one included) and the three before them; if wanted, the next row too."""
 
     def columns(w: WindowSpec) -> list[Column]:
         recent, earlier = w.rowsBetween(-2, 0), w.rowsBetween(-5, -3)
@@ -85,24 +85,25 @@ def history_windows(hourly: DataFrame, **options) -> DataFrame:
             F.sum("internet_activity").over(recent).alias("recent_internet"),
             F.sum(activity).over(recent).alias("recent_total"),
             F.min("timestamp").over(w.rowsBetween(-5, 0)).alias("history_start"),
+            *(_next_row(w) if with_next else []),
         ]
 
     active = F.when(F.col("total_activity") > 0, 1).otherwise(0).alias("is_active")
     rows = hourly.select("grid_id", "timestamp", "total_activity", "internet_activity", active)
-    return along_time(rows, columns, ["grid_id"], before=5, **options).drop("is_active")
+    return along_time(rows, columns, ["grid_id"], before=5, after=int(with_next), **options).drop("is_active")
 
 
-def next_hour_target(hourly: DataFrame) -> DataFrame:
-    """The following row of the same cell."""
+def _next_row(w: WindowSpec) -> list[Column]:
+    return [
+        F.lead("timestamp").over(w).alias("target_timestamp"),
+        F.lead("total_activity").over(w).alias("target_activity"),
+    ]
 
-    def columns(w: WindowSpec) -> list[Column]:
-        return [
-            F.lead("timestamp").over(w).alias("target_timestamp"),
-            F.lead("total_activity").over(w).alias("target_activity"),
-        ]
 
+def next_hour_target(hourly: DataFrame) -> DataFrame:
+    """The following row of the same cell."""
     rows = hourly.select("grid_id", "timestamp", "total_activity")
-    return along_time(rows, columns, ["grid_id"], after=1)
+    return along_time(rows, _next_row, ["grid_id"], after=1)
 
 
 def previous_hour_activity(hourly: DataFrame, scope: str = "date") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridlens import schema as S
@@ -25,9 +25,9 @@ from gridlens.operators import (
     warehouse,
     windows,
 )
-from gridlens.plans import fixtures
+from gridlens.plans import fixtures, nightly
 from gridlens.session import prepare, scratch_path, stage
-from gridlens.sources import files, tables
+from gridlens.sources import activity, files, tables
 from gridlens.sources import geo as geometry
 from gridlens.streaming import live
 
@@ -88,7 +88,7 @@ class Dataset:
 
     @cached_property
     def split(self) -> DataFrame:
-        labelled = features.training_set(self.features, self.hourly, fixtures.FIXTURE_THRESHOLD)
+        labelled = features.training_set(self.hourly, fixtures.FIXTURE_THRESHOLD)
         return stage(features.split_training_set(stage(labelled, "labelled")), "split")
 
     @property
@@ -126,7 +126,8 @@ class Dataset:
 
     @cached_property
     def fact(self) -> DataFrame:
-        return stage(warehouse.fact_network_activity(self.hourly, self.dim_time), "fact")
+        fact = warehouse.fact_network_activity(self.hourly, self.dim_time)
+        return stage(fact.repartitionByRange("time_key", "grid_id").sortWithinPartitions("time_key", "grid_id"), "fact")
 
     @property
     def star(self) -> DataFrame:
@@ -250,10 +251,7 @@ def source_file_counts(d: Dataset) -> DataFrame:
 
 @query()
 def scan_lineage(d: Dataset) -> DataFrame:
-    from gridlens.sources.activity import source_file_counts as per_file
-    from gridlens.sources.activity import with_source_file
-
-    return per_file(with_source_file(fixtures.table(d.spark, d.sf_dir, "events")))
+    return activity.source_file_counts(activity.with_source_file(fixtures.table(d.spark, d.sf_dir, "events")))
 
 
 @query()
@@ -326,7 +324,7 @@ def union_tables(d: Dataset) -> DataFrame:
 
 @query()
 def profile_shape(d: Dataset) -> DataFrame:
-    return profile.shape(d.raw).select("column_name", "rows")
+    return profile.shape(d.raw)
 
 
 @query()
@@ -421,12 +419,19 @@ def acceptance_checks(d: Dataset) -> DataFrame:
 
 @query()
 def partition_report(d: Dataset) -> DataFrame:
-    return profile.partition_report(d.raw)
+    """How rows fall into partitions depends on the scan; together they are all rows, and each partition is listed once."""
+    parts = profile.partition_report(d.raw)
+    once = F.count(F.lit(1)) == F.count_distinct("partition")
+    return parts.agg(F.sum("rows").alias("rows"), once.alias("listed_once"))
 
 
 @query()
 def approx_cardinalities(d: Dataset) -> DataFrame:
-    return profile.approx_cardinalities(d.canonical)
+    """Whether each sketch is within three standard errors of the exact count."""
+    sketch, exact = profile.approx_cardinalities(d.canonical), profile.cardinalities(d.canonical).drop("rows")
+    both = sketch.unionByName(exact)
+    near = [(F.max(c) - F.min(c) <= 0.06 * F.min(c) + 1).alias(c) for c in exact.columns]
+    return both.agg(*near)
 
 
 # --- aggregates ---
@@ -574,7 +579,7 @@ def chrono_split(d: Dataset) -> DataFrame:
 
 @query()
 def network_alerts(d: Dataset) -> DataFrame:
-    return alerts.network_alerts(d.hourly).drop("reason")
+    return alerts.network_alerts(d.hourly)
 
 
 @query()
@@ -584,17 +589,17 @@ def alert_severity(d: Dataset) -> DataFrame:
 
 @query()
 def anomaly_scores(d: Dataset) -> DataFrame:
-    return anomaly.anomaly_scores(d.hourly).drop("reason")
+    return anomaly.anomaly_scores(d.hourly)
 
 
 @query()
 def top_high_anomalies(d: Dataset) -> DataFrame:
-    return anomaly.top_anomalies(d.scores, "HIGH").drop("reason")
+    return anomaly.top_anomalies(d.scores, "HIGH")
 
 
 @query()
 def top_low_anomalies(d: Dataset) -> DataFrame:
-    return anomaly.top_anomalies(d.scores, "LOW").drop("reason")
+    return anomaly.top_anomalies(d.scores, "LOW")
 
 
 # --- geometry and warehouse ---
@@ -671,7 +676,7 @@ def network_summary(d: Dataset) -> DataFrame:
 
 @query()
 def latest_network_summary(d: Dataset) -> DataFrame:
-    return service.latest_network_summary(d.star)
+    return service.latest_network_summary(d.fact, d.dim_time)
 
 
 @query()
@@ -693,17 +698,17 @@ def grid_activity_high_cells(d: Dataset) -> DataFrame:
 
 @query()
 def network_hotspots(d: Dataset) -> DataFrame:
-    return service.network_hotspots(d.star, d.risk, d.alerts).drop("reason")
+    return service.network_hotspots(d.fact, d.dim_time, d.risk, d.alerts)
 
 
 @query()
 def alert_feed(d: Dataset) -> DataFrame:
-    return service.alert_feed(d.alerts, d.risk, d.dim_time).drop("reason")
+    return service.alert_feed(d.alerts, d.risk, d.dim_time)
 
 
 @query()
 def high_alert_feed(d: Dataset) -> DataFrame:
-    return service.alert_feed(d.alerts, d.risk, d.dim_time, severity="high").drop("reason")
+    return service.alert_feed(d.alerts, d.risk, d.dim_time, severity="high")
 
 
 @query()
@@ -716,33 +721,33 @@ def grid_location(d: Dataset) -> DataFrame:
 def predict_risk(d: Dataset) -> DataFrame:
     off = F.when(F.col("hour") == 3, 0.5).otherwise(0.0)
     requests = d.hourly.select("grid_id", "timestamp", (F.col("total_activity") + off).alias("total_activity"))
-    answers = service.predict_risk(requests, d.features, d.hourly, d.scores, d.example_model)
-    return answers.drop("explanation_note")
+    return service.predict_risk(requests, d.features, d.hourly, d.scores, d.example_model)
 
 
 @query()
 def latest_run(d: Dataset) -> DataFrame:
     now = F.lit("2024-02-01 12:00:00").cast("timestamp")
     status = service.latest_run_status(d.run_log, now)
-    return status.drop("task_status", "failed_tasks", "reasons")
+    listed = {n: F.array_join(n, "; ") for n in ("failed_tasks", "reasons")}
+    return status.withColumns(listed).withColumn("task_status", F.to_json("task_status"))
 
 
 @query()
 def map_status(d: Dataset) -> DataFrame:
-    hot = service.network_hotspots(d.star, d.risk, d.alerts)
+    hot = service.network_hotspots(d.fact, d.dim_time, d.risk, d.alerts)
     return service.map_status(hot, service.alert_feed(d.alerts, d.risk, d.dim_time))
 
 
 @query()
 def visible_features(d: Dataset) -> DataFrame:
-    hot = service.network_hotspots(d.star, d.risk, d.alerts)
+    hot = service.network_hotspots(d.fact, d.dim_time, d.risk, d.alerts)
     feed = service.alert_feed(d.alerts, d.risk, d.dim_time)
     return service.visible_features(d.grid_features, hot, feed).select("grid_id")
 
 
 @query()
 def dashboard_counters(d: Dataset) -> DataFrame:
-    hot = service.network_hotspots(d.star, d.risk, d.alerts)
+    hot = service.network_hotspots(d.fact, d.dim_time, d.risk, d.alerts)
     return service.dashboard_counters(hot, service.alert_feed(d.alerts, d.risk, d.dim_time))
 
 
@@ -761,7 +766,7 @@ def network_features_strict(d: Dataset) -> DataFrame:
 
 @query()
 def training_set(d: Dataset) -> DataFrame:
-    return features.training_set(d.features, d.hourly, fixtures.FIXTURE_THRESHOLD)
+    return features.training_set(d.hourly, fixtures.FIXTURE_THRESHOLD)
 
 
 @query()
@@ -810,24 +815,35 @@ def three_way_counts(d: Dataset) -> DataFrame:
 
 @query()
 def attention_top20(d: Dataset) -> DataFrame:
-    return report.attention_report(d.risk, d.scores).drop("attention_reason")
+    return report.attention_report(d.risk, d.scores)
 
 
 @query()
 def risk_model_fit(d: Dataset) -> DataFrame:
-    return risk.evaluate(risk.predict(d.test, d.fitted_model))
+    """The fit is right where the gradient of the balanced, penalised log loss vanishes: one row per coefficient."""
+    return risk.fit_gradient(d.train, d.fitted_model).select(
+        "coefficient", (F.abs("gradient") < 1e-5).alias("vanishes"), "train_rows"
+    )
 
 
 @query()
 def risk_model_coefficients(d: Dataset) -> DataFrame:
-    return risk.coefficient_table(d.spark, d.fitted_model)
+    """The order of the table: features whose coefficient is larger than all below it, and whether that holds throughout."""
+    table = risk.coefficient_table(d.spark, d.fitted_model)
+    by_size = Window.orderBy(F.desc("absolute_coefficient"), "feature")
+    shown = table.withColumn("listed", F.monotonically_increasing_id()).withColumn("expected", F.row_number().over(by_size) - 1)
+    return shown.agg(
+        F.array_join(F.array_sort(F.collect_list("feature")), ",").alias("features"),
+        (F.count_if(F.col("listed") != F.col("expected")) == 0).alias("sorted"),
+        F.bool_and(F.abs("coefficient") == F.col("absolute_coefficient")).alias("absolute"),
+    )
 
 
 @query()
 def evaluation_record(d: Dataset) -> DataFrame:
-    compared = risk.compare_with_rules(risk.predict(d.test, d.fitted_model), d.alerts)
+    compared = risk.compare_with_rules(d.predicted_test, d.alerts)
     record = risk.evaluation_record(d.split, compared, fixtures.FIXTURE_THRESHOLD)
-    return record.select(F.to_json("evaluation").alias("evaluation"))
+    return record.select("algorithm", "threshold", "metrics.*", "split.*", "rates.*", "np3_comparison.*")
 
 
 @query()
@@ -874,22 +890,142 @@ def rerun_idempotent(d: Dataset) -> DataFrame:
     return quality.compare_totals(d.clean, tables.read_table(d.spark, path))
 
 
+@query()
+def csv_files(d: Dataset) -> DataFrame:
+    """All raw rows written as CSV files and read back by the reader of daily files."""
+    path = scratch_path(d.spark, "csv-files")
+    d.raw.write.option("header", True).csv(path)
+    return activity.read_raw(d.spark, path, "*.csv")
+
+
+@query()
+def missing_files(d: Dataset) -> DataFrame:
+    """Looking for files that are not there is an error, and the folder's own tables are found."""
+    try:
+        activity.read_raw(d.spark, d.sf_dir, "no-such-*.csv")
+        failed = False
+    except FileNotFoundError:
+        failed = True
+    return fixtures.table(d.spark, d.sf_dir, "events").agg(F.count(F.lit(1)).alias("rows"), F.lit(failed).alias("failed"))
+
+
+@query()
+def grid_documents(d: Dataset) -> DataFrame:
+    """All cells written as FeatureCollection documents of up to 1,000 cells each, read back by the document reader."""
+    path = scratch_path(d.spark, "grid-documents")
+    feature = F.struct(
+        F.lit("Feature").alias("type"),
+        (F.col("grid_id") - 1).alias("id"),
+        F.struct(F.col("grid_id").alias("cellId")).alias("properties"),
+        F.from_json("geometry", "struct<type: string, coordinates: string>").alias("geometry"),
+    )
+    # coordinates keep their nesting as text, so they are put in place by hand
+    text = F.regexp_replace(F.to_json(feature), r'"coordinates":"([^"]*)"', r'"coordinates":$1')
+    listed = d.grid_features.groupBy(F.floor(F.col("grid_id") / 1000).alias("part")).agg(F.array_join(F.collect_list(text), ",").alias("f"))
+    document = F.concat(F.lit('{"type":"FeatureCollection","features":['), F.col("f"), F.lit("]}"))
+    listed.select("part", document.alias("value")).write.partitionBy("part").text(path)
+    return geometry.grid_lookup(geometry.read_feature_collection(d.spark, path)).drop("geometry_json")
+
+
+@query()
+def lookup_lines(d: Dataset) -> DataFrame:
+    """The lookup saved as JSON lines and read back."""
+    path = scratch_path(d.spark, "lookup-lines")
+    d.lookup.write.json(path)
+    return geometry.read_lookup_lines(d.spark, path).drop("geometry_json")
+
+
+@query()
+def alert_files(d: Dataset) -> DataFrame:
+    """All alerts written as CSV and as one JSON list for each day, read back by the alert reader."""
+    path = scratch_path(d.spark, "alert-files")
+    columns = [f.split(" ")[0] for f in S.ALERT_SCHEMA.split(", ")]
+    d.alerts.select(columns).write.option("header", True).csv(f"{path}/alerts.csv")
+    listed = F.to_json(F.collect_list(F.struct(*columns)))
+    days = d.alerts.groupBy("source_file").agg(listed.alias("value"))
+    days.write.partitionBy("source_file").text(f"{path}/alerts.json")
+    ways = [tables.read_alerts(d.spark, f"{path}/alerts.{kind}").withColumn("kind", F.lit(kind)) for kind in ("csv", "json")]
+    return ways[0].unionByName(ways[1])
+
+
+@query()
+def one_cell_read(d: Dataset) -> DataFrame:
+    """One cell out of the stored hourly table, by the reader that lets filters and columns reach the scan."""
+    path = scratch_path(d.spark, "one-cell")
+    tables.write_hourly(d.hourly, path)
+    return tables.read_cell_hour(d.spark, path, grid_id=1, columns=["grid_id", "timestamp", "total_activity"])
+
+
+@query()
+def sorted_sink(d: Dataset) -> DataFrame:
+    """The hourly table written by ranges of cell and time: rows, and whether the files' ranges of cells overlap in borders only."""
+    path = scratch_path(d.spark, "sorted-sink")
+    tables.write_table(d.hourly, path, S.CELL_HOUR, clustered=True)
+    files_of = tables.read_table(d.spark, path).groupBy(F.input_file_name().alias("file")).agg(
+        F.count(F.lit(1)).alias("rows"), F.min(F.struct(*S.CELL_HOUR)).alias("first"), F.max(F.struct(*S.CELL_HOUR)).alias("last")
+    )
+    before = F.lag("last").over(Window.orderBy("first"))
+    return files_of.withColumn("apart", F.coalesce(F.col("first") > before, F.lit(True))).agg(
+        F.sum("rows").alias("rows"), F.bool_and("apart").alias("apart")
+    )
+
+
+@query()
+def small_csv(d: Dataset) -> DataFrame:
+    """The top report as one CSV file, and the daily one as many."""
+    path = scratch_path(d.spark, "small-csv")
+    tables.write_small_csv(aggregate.top_hotspots(d.hourly), f"{path}/top")
+    tables.write_csv(aggregate.daily_kpis(d.hourly), f"{path}/days")
+    top = d.spark.read.option("header", True).schema("grid_id int, total_activity double").csv(f"{path}/top")
+    days = d.spark.read.option("header", True).csv(f"{path}/days")
+    return top.withColumn("days", F.lit(days.count()))
+
+
+@query()
+def appended_rows(d: Dataset) -> DataFrame:
+    path = scratch_path(d.spark, "appended")
+    for part in (F.col("hour") < 12, F.col("hour") >= 12):
+        tables.append_rows(d.hourly.where(part), path)
+    return tables.read_table(d.spark, path).groupBy("hour").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query()
+def stored_model(d: Dataset) -> DataFrame:
+    """Risk of every feature row by a model that was saved and loaded."""
+    path = scratch_path(d.spark, "model")
+    risk.save_model(d.spark, d.example_model, path)
+    return risk.risk_scores(d.features, risk.load_model(d.spark, path))
+
+
+@query()
+def nightly_run(d: Dataset) -> DataFrame:
+    """The whole batch job over all events; its published hourly table."""
+    path = scratch_path(d.spark, "nightly")
+    nightly.run_nightly(d.spark, d.raw, path, threshold=fixtures.FIXTURE_THRESHOLD, decimals=fixtures.DECIMALS)
+    return nightly.current_table(d.spark, path, "hourly_grid_summary")
+
+
 @query()
 def storage_sizes(d: Dataset) -> DataFrame:
     path = scratch_path(d.spark, "sizes")
     tables.write_csv(d.hourly, f"{path}/csv")
     tables.write_hourly(d.hourly, f"{path}/parquet")
-    return tables.storage_sizes(d.spark, {"csv": f"{path}/csv", "parquet": f"{path}/parquet"})
+    sizes = tables.storage_sizes(d.spark, {"csv": f"{path}/csv", "parquet": f"{path}/parquet"})
+    rows = d.spark.read.option("header", True).csv(f"{path}/csv").count()
+    return sizes.select("storage", (F.col("files") > 0).alias("has_files"), (F.col("bytes") > 10 * rows).alias("has_bytes"))
 
 
 # --- streaming ---
 
 
-def _clean_stream(d: Dataset) -> DataFrame:
-    """The events table as a stream of cleaned activity with event times as recorded."""
+def _event_stream(d: Dataset) -> DataFrame:
     static = fixtures.table(d.spark, d.sf_dir, "events")
-    stream = d.spark.readStream.schema(static.schema).option("pathGlobFilter", "events.parquet").parquet(d.sf_dir)
-    canonical = stream.select(
+    return d.spark.readStream.schema(static.schema).option("pathGlobFilter", "events.parquet").parquet(d.sf_dir)
+
+
+def _clean_events(events: DataFrame) -> DataFrame:
+    """The events table, or a stream of it, as cleaned activity with event times as recorded."""
+    canonical = events.select(
         F.col("ts").cast("timestamp").alias("timestamp"),
         (F.floor(F.col("user_id") / 10) + 1).cast("int").alias("grid_id"),
         (F.get_json_object("props", "$.k").cast("int") % 4).alias("country_code"),
@@ -904,17 +1040,21 @@ def _clean_stream(d: Dataset) -> DataFrame:
 @query()
 def stream_hourly_grid(d: Dataset) -> DataFrame:
     path = scratch_path(d.spark, "stream-hourly")
-    hourly = live.live_hourly_grid(_clean_stream(d), decimals=fixtures.DECIMALS)
+    hourly = live.live_hourly_grid(_clean_events(_event_stream(d)), decimals=fixtures.DECIMALS)
     live.write_available(hourly, f"{path}/table", f"{path}/checkpoint")
-    return d.spark.read.schema(hourly.schema).parquet(f"{path}/table").drop("date", "day_of_week")
+    events = fixtures.table(d.spark, d.sf_dir, "events")
+    live.close_hours(_clean_events(events), f"{path}/table", hourly.schema, fixtures.DECIMALS)
+    return live.closed_hours(d.spark, f"{path}/table", hourly.schema).drop("date", "day_of_week")
 
 
 @query()
 def stream_scoring(d: Dataset) -> DataFrame:
     path = scratch_path(d.spark, "stream-scores")
     baseline = stage(live.frozen_baseline(d.hourly), "baseline")
-    hourly = live.live_hourly_grid(_clean_stream(d), decimals=fixtures.DECIMALS)
+    hourly = live.live_hourly_grid(_clean_events(_event_stream(d)), decimals=fixtures.DECIMALS)
     live.score_available(hourly, baseline, f"{path}/scores", f"{path}/alerts", f"{path}/checkpoint")
+    emitted, events = d.spark.read.parquet(f"{path}/scores"), fixtures.table(d.spark, d.sf_dir, "events")
+    live.close_scores(_clean_events(events), baseline, emitted, f"{path}/scores", f"{path}/alerts", fixtures.DECIMALS)
     scores = d.spark.read.parquet(f"{path}/scores")
     return scores.groupBy("direction").agg(F.count(F.lit(1)).alias("rows"), F.count("alert_type").alias("alerts"))
 
@@ -948,12 +1088,12 @@ def wide_features(d: Dataset) -> DataFrame:
 
 @query("lineitem")
 def wide_anomaly_scores(d: Dataset) -> DataFrame:
-    return anomaly.anomaly_scores(d.hourly).drop("reason")
+    return anomaly.anomaly_scores(d.hourly)
 
 
 @query("lineitem")
 def wide_alerts(d: Dataset) -> DataFrame:
-    return alerts.network_alerts(d.hourly).drop("reason")
+    return alerts.network_alerts(d.hourly)
 
 
 @query("lineitem")

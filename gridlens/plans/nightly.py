@@ -168,7 +168,7 @@ def _analytics_step(run: Run) -> None:
 
 def _risk_step(run: Run, threshold: float) -> None:
     feature_table = run.table("network_feature_table")
-    labelled = features.training_set(feature_table, run.table("hourly_grid_summary"), threshold)
+    labelled = features.training_set(run.table("hourly_grid_summary"), threshold)
     tables.write_table(labelled, run.path("training_set"), ["feature_timestamp"])
     stored = run.table("training_set")
     if stored.isEmpty():

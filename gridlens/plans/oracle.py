@@ -14,6 +14,11 @@ _HOURLY = """
 _SUMS = ", ".join(f"CAST(sum(CAST({m} AS DECIMAL(18,2))) AS DOUBLE) AS {m}" for m in MEASURES)
 
 
+def _text(value: str, digits: int) -> str:
+    """A number as text, rounded half up on its decimal form."""
+    return f"CAST(round(CAST({value} AS DECIMAL(38,10)), {digits}) AS VARCHAR)"
+
+
 def _clean(source: str) -> str:
     """Quarantine, null-to-zero, calendar and totals."""
     filled = ", ".join(f"coalesce({m}, 0.0) AS {m}" for m in MEASURES)
@@ -46,17 +51,26 @@ def _alerts(hourly: str, baseline: str) -> str:
                    lag(h.total_activity) OVER (PARTITION BY h.date, h.grid_id ORDER BY h.hour, h.timestamp) AS prev
             FROM {hourly} h JOIN {baseline} b ON h.grid_id = b.grid_id AND h.timestamp = b.timestamp
                  JOIN floors f ON h.date = f.date)
-        SELECT grid_id, timestamp, 'HIGH_ACTIVITY' AS alert_type, cur AS current_activity, base AS baseline_activity, date AS source_file
-        FROM judged WHERE base >= floor AND cur > base * 2.0
-        UNION ALL SELECT grid_id, timestamp, 'ACTIVITY_DROP', cur, base, date FROM judged WHERE base >= floor AND cur < base * 0.25
-        UNION ALL SELECT grid_id, timestamp, 'ACTIVITY_SPIKE', cur, prev, date FROM judged WHERE prev >= floor AND cur > prev * 2.0
+        SELECT *, alert_type || ': current activity ' || {_text("current_activity", 2)} || ' is ' || CASE alert_type
+                   WHEN 'HIGH_ACTIVITY' THEN 'more than 2.0x this grid''s within-day baseline of '
+                   WHEN 'ACTIVITY_DROP' THEN 'below 0.25x this grid''s within-day baseline of '
+                   ELSE 'more than 2.0x the immediately preceding hour''s ' END || {_text("baseline_activity", 2)} AS reason
+        FROM (SELECT grid_id, timestamp, 'HIGH_ACTIVITY' AS alert_type, cur AS current_activity, base AS baseline_activity, date AS source_file
+              FROM judged WHERE base >= floor AND cur > base * 2.0
+              UNION ALL SELECT grid_id, timestamp, 'ACTIVITY_DROP', cur, base, date FROM judged WHERE base >= floor AND cur < base * 0.25
+              UNION ALL SELECT grid_id, timestamp, 'ACTIVITY_SPIKE', cur, prev, date FROM judged WHERE prev >= floor AND cur > prev * 2.0)
     """
 
 
 def _scores(hourly: str, baseline: str) -> str:
     return f"""
         SELECT *, CASE WHEN baseline_activity IS NULL THEN 'NO_BASELINE' WHEN anomaly_score >= 0.5 THEN 'HIGH'
-                       WHEN anomaly_score <= -0.5 THEN 'LOW' ELSE 'NORMAL' END AS direction
+                       WHEN anomaly_score <= -0.5 THEN 'LOW' ELSE 'NORMAL' END AS direction,
+               CASE WHEN baseline_activity IS NULL THEN 'No historical baseline available for this grid and hour'
+                    WHEN baseline_activity <= 0 THEN 'Historical baseline is zero or negative'
+                    WHEN anomaly_score = 0 THEN 'Activity matches the historical baseline'
+                    ELSE 'Activity is ' || {_text("abs(anomaly_score) * 100", 2)} || '% ' || CASE WHEN anomaly_score > 0 THEN 'above' ELSE 'below' END
+                         || ' the historical median for grid ' || grid_id || ' at hour ' || lpad(CAST(hour AS VARCHAR), 2, '0') || ':00' END AS reason
         FROM (SELECT h.grid_id, h.timestamp, h.hour, h.total_activity, b.baseline_activity,
                      h.total_activity - b.baseline_activity AS deviation,
                      CASE WHEN b.baseline_activity > 0 THEN (h.total_activity - b.baseline_activity) / b.baseline_activity
@@ -205,12 +219,13 @@ _TABLES: dict[str, tuple[str, str]] = {
     "latest": ("hourly", "SELECT max(timestamp) AS as_of FROM hourly"),
     "hot": (
         "hourly latest risk severities",
-        """SELECT h.*, coalesce(a.severity, 'NORMAL') AS status, r.risk_score, r.risk_level, r.model_version
+        """SELECT h.*, coalesce(a.severity, 'NORMAL') AS status, coalesce(a.reason, 'Highest activity for the selected hour.') AS reason, r.risk_score, r.risk_level, r.model_version
         FROM (SELECT grid_id, timestamp, total_activity FROM hourly, latest WHERE timestamp = as_of
               ORDER BY total_activity DESC, grid_id LIMIT 50) h
         LEFT JOIN risk r ON r.grid_id = h.grid_id AND r.timestamp = h.timestamp
         LEFT JOIN (SELECT grid_id, timestamp, arg_max(severity, CASE alert_type WHEN 'HIGH_ACTIVITY' THEN 1 WHEN 'ACTIVITY_DROP'
-                          THEN 2 ELSE 3 END) AS severity FROM severities GROUP BY ALL) a
+                          THEN 2 ELSE 3 END) AS severity, arg_max(reason, CASE alert_type WHEN 'HIGH_ACTIVITY' THEN 1 WHEN 'ACTIVITY_DROP'
+                          THEN 2 ELSE 3 END) AS reason FROM severities GROUP BY ALL) a
                ON a.grid_id = h.grid_id AND a.timestamp = h.timestamp""",
     ),
     "feed": (
@@ -301,9 +316,9 @@ _HOURLY_OUT = (
 )
 _ALERT_OUT = (
     "grid_id, timestamp, alert_type, round(current_activity, 4) + 0.0 AS current_activity, "
-    "round(baseline_activity, 4) + 0.0 AS baseline_activity"
+    "round(baseline_activity, 4) + 0.0 AS baseline_activity, reason"
 )
-_SCORE_OUT = "grid_id, timestamp, hour, direction, " + _rounded(
+_SCORE_OUT = "grid_id, timestamp, hour, direction, reason, " + _rounded(
     "total_activity", "baseline_activity", "deviation", "anomaly_score"
 )
 _REAL_FEATURES = [f for f in FEATURES if f != "active_hours"]
@@ -355,6 +370,23 @@ _EVENT_HOURS = f"""SELECT user_id // 10 + 1 AS grid_id, date_trunc('hour', ts) A
     for n, kind in EVENT_MEASURES.items())} FROM events GROUP BY ALL"""
 
 
+_METRICS = """SELECT tp AS true_positives, fp AS false_positives, fn AS false_negatives, tn AS true_negatives,
+               round((tp + tn) / (tp + tn + fp + fn), 6) + 0.0 AS accuracy,
+               round(CASE WHEN tp + fp = 0 THEN 0.0 ELSE tp / (tp + fp) END, 6) + 0.0 AS precision,
+               round(CASE WHEN tp + fn = 0 THEN 0.0 ELSE tp / (tp + fn) END, 6) + 0.0 AS recall,
+               round((tp + fn) / (tp + tn + fp + fn), 6) + 0.0 AS test_base_rate
+               FROM (SELECT count(*) FILTER (WHERE high_activity_risk = 1 AND ml_prediction = 1) AS tp,
+                            count(*) FILTER (WHERE high_activity_risk = 0 AND ml_prediction = 1) AS fp,
+                            count(*) FILTER (WHERE high_activity_risk = 1 AND ml_prediction = 0) AS fn,
+                            count(*) FILTER (WHERE high_activity_risk = 0 AND ml_prediction = 0) AS tn FROM predicted)"""
+_AGREEMENT = """SELECT count(*) FILTER (WHERE np3_positive) AS np3_positive_test_rows,
+               count(*) FILTER (WHERE ml_prediction = 1) AS ml3_positive_test_rows,
+               count(*) FILTER (WHERE np3_positive AND ml_prediction = 1) AS both_positive,
+               count(*) FILTER (WHERE NOT np3_positive AND ml_prediction = 1) AS ml3_only_risk,
+               count(*) FILTER (WHERE np3_positive AND ml_prediction = 0) AS np3_only_alert,
+               count(*) FILTER (WHERE agreement) AS agreement FROM compared"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "scan_activity": _with(f"SELECT {', '.join(RAW_COLUMNS)} FROM raw", "raw"),
@@ -408,8 +440,54 @@ def oracle_sql() -> dict[str, str]:
             "wide_hourly",
         ),
         "profile_shape": _with(
-            " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) AS rows FROM raw" for c in RAW_COLUMNS), "raw"
+            " UNION ALL ".join(
+                f"SELECT '{c}' AS column_name, '{kind}' AS data_type, count(*) AS rows FROM raw"
+                for c, kind in zip(RAW_COLUMNS, ["string", "int", "int", *["double"] * 5], strict=True)
+            ),
+            "raw",
+        ),
+        "partition_report": "SELECT count(*) AS rows, true AS listed_once FROM events",
+        "approx_cardinalities": _with(
+            "SELECT count(*) > 0 AS grids, count(*) > 0 AS country_codes, count(*) > 0 AS timestamps FROM canonical", "canonical"
+        ),
+        "csv_files": _with(f"SELECT {', '.join(RAW_COLUMNS)} FROM raw", "raw"),
+        "missing_files": "SELECT count(*) AS rows, true AS failed FROM events",
+        **dict.fromkeys(
+            ("grid_documents", "lookup_lines"),
+            _with(f"SELECT grid_id, {_rounded('centroid_lon', 'centroid_lat')} FROM cells", "cells"),
         ),
+        "alert_files": _with(f"SELECT {_ALERT_OUT}, kind FROM alerts, (SELECT unnest(['csv', 'json']) AS kind)", "alerts"),
+        "one_cell_read": _with(f"SELECT grid_id, timestamp, {_rounded('total_activity')} FROM hourly WHERE grid_id = 1", "hourly"),
+        "sorted_sink": _with("SELECT count(*) AS rows, true AS apart FROM hourly", "hourly"),
+        "small_csv": _with(
+            """SELECT grid_id, round(sum(total_activity), 6) + 0.0 AS total_activity,
+               CAST((SELECT count(DISTINCT date) FROM hourly) AS INTEGER) AS days FROM hourly GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10""",
+            "hourly",
+        ),
+        "appended_rows": _with("SELECT hour, count(*) AS rows FROM hourly GROUP BY 1", "hourly"),
+        "stored_model": _with(f"SELECT grid_id, timestamp, {_RISK_OUT} FROM risk", "risk"),
+        "nightly_run": _with(f"SELECT {_HOURLY_OUT} FROM hourly", "hourly"),
+        "storage_sizes": "SELECT unnest(['csv', 'parquet']) AS storage, count(*) > 0 AS has_files, count(*) > 0 AS has_bytes FROM events",
+        "risk_model_fit": _with(
+            f"""SELECT unnest({[*FEATURES, 'intercept']}) AS coefficient, true AS vanishes, count(*) AS train_rows
+                FROM split WHERE split = 'train'""",
+            "split",
+        ),
+        "risk_model_coefficients": f"SELECT '{','.join(sorted(FEATURES))}' AS features, count(*) > 0 AS sorted, count(*) > 0 AS absolute FROM events",
+        "evaluation_record": _with(
+            f"""SELECT 'Logistic Regression' AS algorithm, {FIXTURE_THRESHOLD} AS threshold, m.*, s.*, a.*,
+                round(s.train_pos / s.train_rows, 6) + 0.0 AS train_positive_rate, round(s.test_pos / s.test_rows, 6) + 0.0 AS test_positive_rate
+                FROM ({_METRICS}) m, ({_AGREEMENT}) a,
+                    (SELECT count(*) FILTER (WHERE split = 'train') AS train_rows, count(*) FILTER (WHERE split = 'test') AS test_rows,
+                        min(feature_timestamp) FILTER (WHERE split = 'train') AS train_earliest_timestamp,
+                        max(feature_timestamp) FILTER (WHERE split = 'train') AS train_latest_timestamp,
+                        min(feature_timestamp) FILTER (WHERE split = 'test') AS test_earliest_timestamp,
+                        max(feature_timestamp) FILTER (WHERE split = 'test') AS test_latest_timestamp, true AS chronological_split_valid,
+                        count(*) FILTER (WHERE split = 'train' AND high_activity_risk = 1) AS train_pos,
+                        count(*) FILTER (WHERE split = 'test' AND high_activity_risk = 1) AS test_pos FROM split) s""",
+            "split",
+            "compared",
+        ).replace("m.*, s.*, a.*", "m.*, s.* EXCLUDE (train_pos, test_pos), a.*"),
         "profile_nulls": _with(_per_column(_CANONICAL, "{0} IS NULL", "nulls", "canonical"), "canonical"),
         "profile_negatives": _with(_per_column(MEASURES, "{0} < 0", "negatives", "canonical"), "canonical"),
         "profile_duplicates": _with(
@@ -673,7 +751,7 @@ def oracle_sql() -> dict[str, str]:
             f"SELECT grid_id, timestamp, {_rounded(*MEASURES, 'total_activity')} FROM hourly WHERE hour = 12", "hourly"
         ),
         "network_hotspots": _with(
-            f"SELECT grid_id, timestamp, {_rounded('total_activity')}, status, {_RISK_OUT} FROM hot", "hot"
+            f"SELECT grid_id, timestamp, {_rounded('total_activity')}, status, reason, {_RISK_OUT} FROM hot", "hot"
         ),
         "alert_feed": _with(f"SELECT {_ALERT_OUT}, severity, severity_rank, {_RISK_OUT} FROM feed", "feed"),
         "high_alert_feed": _with(
@@ -690,13 +768,21 @@ def oracle_sql() -> dict[str, str]:
                 CASE WHEN r.grid_id IS NULL THEN 'NO_FEATURES' WHEN h.hour = 3 THEN 'ACTIVITY_MISMATCH' ELSE 'OK' END AS status,
                 CASE WHEN h.hour <> 3 THEN round(r.risk_score, 6) + 0.0 END AS risk_score,
                 CASE WHEN h.hour <> 3 THEN r.risk_level END AS risk_level,
-                CASE WHEN h.hour <> 3 THEN r.model_version END AS model_version
-                FROM hourly h LEFT JOIN risk r ON r.grid_id = h.grid_id AND r.timestamp = h.timestamp""",
+                CASE WHEN h.hour <> 3 THEN r.model_version END AS model_version,
+                CASE WHEN h.hour <> 3 AND r.grid_id IS NOT NULL THEN 'ML3 risk prediction generated using features at '
+                    || CAST(h.timestamp AS VARCHAR) || '. ML4 anomaly status: ' || s.direction || '. Anomaly score: '
+                    || {_text("s.anomaly_score", 4)} || '. ' || s.reason || '.' END AS explanation_note
+                FROM hourly h LEFT JOIN risk r ON r.grid_id = h.grid_id AND r.timestamp = h.timestamp
+                JOIN scores s ON s.grid_id = h.grid_id AND s.timestamp = h.timestamp""",
             "hourly",
             "risk",
+            "scores",
         ),
         "latest_run": _with(
             """SELECT run_id, timestamp AS run_timestamp, CASE WHEN ok THEN 'SUCCESS' ELSE 'FAILED' END AS overall_status, rows_in,
+               CASE WHEN ok THEN '{"load":"success","check":"success"}' ELSE '{"load":"failed","check":"success"}' END AS task_status,
+               CASE WHEN ok THEN '' ELSE 'load' END AS failed_tasks, CASE WHEN ok THEN ''
+                   ELSE 'Latest pipeline run status is FAILED; Failed or incomplete tasks: load' END AS reasons,
                rows_rejected, 0 AS nulls_handled, CASE WHEN ok THEN rows_in - rows_rejected END AS rows_published, as_of, ok AS healthy,
                round((epoch(TIMESTAMP '2024-02-01 12:00:00') - epoch(as_of)) / 3600, 6) + 0.0 AS freshness_hours,
                CASE WHEN NOT ok THEN 'STALE_OR_UNHEALTHY' WHEN as_of IS NULL THEN 'UNKNOWN'
@@ -732,15 +818,7 @@ def oracle_sql() -> dict[str, str]:
         "risk_scores_fixed_coefficients": _with(f"SELECT grid_id, timestamp, {_RISK_OUT} FROM risk", "risk"),
         "risk_levels": _with("SELECT risk_level, count(*) AS rows FROM risk GROUP BY 1", "risk"),
         "confusion_metrics": _with(
-            """SELECT tp AS true_positives, fp AS false_positives, fn AS false_negatives, tn AS true_negatives,
-               round((tp + tn) / (tp + tn + fp + fn), 6) + 0.0 AS accuracy,
-               round(CASE WHEN tp + fp = 0 THEN 0.0 ELSE tp / (tp + fp) END, 6) + 0.0 AS precision,
-               round(CASE WHEN tp + fn = 0 THEN 0.0 ELSE tp / (tp + fn) END, 6) + 0.0 AS recall,
-               round((tp + fn) / (tp + tn + fp + fn), 6) + 0.0 AS test_base_rate
-               FROM (SELECT count(*) FILTER (WHERE high_activity_risk = 1 AND ml_prediction = 1) AS tp,
-                            count(*) FILTER (WHERE high_activity_risk = 0 AND ml_prediction = 1) AS fp,
-                            count(*) FILTER (WHERE high_activity_risk = 1 AND ml_prediction = 0) AS fn,
-                            count(*) FILTER (WHERE high_activity_risk = 0 AND ml_prediction = 0) AS tn FROM predicted)""",
+            _METRICS,
             "predicted",
         ),
         "rule_agreement": _with(
@@ -749,20 +827,17 @@ def oracle_sql() -> dict[str, str]:
             "compared",
         ),
         "rule_agreement_counts": _with(
-            """SELECT count(*) FILTER (WHERE np3_positive) AS np3_positive_test_rows,
-               count(*) FILTER (WHERE ml_prediction = 1) AS ml3_positive_test_rows,
-               count(*) FILTER (WHERE np3_positive AND ml_prediction = 1) AS both_positive,
-               count(*) FILTER (WHERE NOT np3_positive AND ml_prediction = 1) AS ml3_only_risk,
-               count(*) FILTER (WHERE np3_positive AND ml_prediction = 0) AS np3_only_alert,
-               count(*) FILTER (WHERE agreement) AS agreement FROM compared""",
+            _AGREEMENT,
             "compared",
         ),
         "three_way_result": _with("SELECT * FROM three_way", "three_way"),
         "three_way_counts": _with("SELECT three_way_result, count(*) AS rows FROM three_way GROUP BY 1", "three_way"),
         "attention_top20": _with(
             f"""SELECT row_number() OVER (ORDER BY attention_score DESC, risk_score DESC, anomaly_score DESC, grid_id, timestamp) AS rank,
-                grid_id, timestamp, {_RISK_OUT}, direction, {_rounded('anomaly_score', 'attention_score')}
-                FROM (SELECT r.*, coalesce(s.direction, 'NO_ANOMALY_RECORD') AS direction, coalesce(s.anomaly_score, 0.0) AS anomaly_score,
+                grid_id, timestamp, {_RISK_OUT}, direction, {_rounded('anomaly_score', 'attention_score')},
+                'Investigate grid ' || grid_id || ': predicted activity risk is ' || {_text('risk_score', 4)} || ' (' || risk_level
+                    || '). ML4 status is ' || direction || ' with anomaly score ' || {_text('anomaly_score', 4)} || '. ' || reason AS attention_reason
+                FROM (SELECT r.*, coalesce(s.reason, 'No ML4 anomaly record is available for this grid and hour.') AS reason, coalesce(s.direction, 'NO_ANOMALY_RECORD') AS direction, coalesce(s.anomaly_score, 0.0) AS anomaly_score,
                              greatest(r.risk_score, 0.0) + abs(coalesce(s.anomaly_score, 0.0)) AS attention_score
                       FROM risk r LEFT JOIN scores s ON r.grid_id = s.grid_id AND r.timestamp = s.timestamp
                       ORDER BY attention_score DESC, risk_score DESC, anomaly_score DESC, r.grid_id, r.timestamp LIMIT 20)""",
@@ -827,14 +902,13 @@ def oracle_sql() -> dict[str, str]:
         "stream_hourly_grid": f"""SELECT grid_id, timestamp, CAST(hour(timestamp) AS INTEGER) AS hour, {_rounded(*MEASURES)},
             round(sms_in + sms_out, 6) + 0.0 AS total_sms, round(call_in + call_out, 6) + 0.0 AS total_calls,
             round((sms_in + sms_out) + (call_in + call_out) + internet_activity, 6) + 0.0 AS total_activity
-            FROM ({_EVENT_HOURS}) WHERE timestamp + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR""",
+            FROM ({_EVENT_HOURS})""",
         "stream_scoring": _with(
             f"""SELECT CASE WHEN b IS NULL THEN 'NO_BASELINE' WHEN b > 0 AND (t - b) / b >= 0.5 THEN 'HIGH'
                             WHEN b > 0 AND (t - b) / b <= -0.5 THEN 'LOW' ELSE 'NORMAL' END AS direction,
                        count(*) AS rows, count(*) FILTER (WHERE t > b * 2.0 OR t < b * 0.25) AS alerts
                 FROM (SELECT grid_id, hour(timestamp) AS hour, (sms_in + sms_out) + (call_in + call_out) + internet_activity AS t
-                      FROM ({_EVENT_HOURS})
-                      WHERE timestamp + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR) e
+                      FROM ({_EVENT_HOURS})) e
                 LEFT JOIN (SELECT grid_id, hour, quantile_cont(total_activity, 0.5) AS b FROM hourly GROUP BY 1, 2) m
                        USING (grid_id, hour)
                 GROUP BY 1""",

@@ -54,6 +54,7 @@ TRAIN_FRACTION = 0.8
 # --- fixed values: status texts of the service queries ---
 DEFAULT_HOTSPOT_REASON = "Highest activity for the selected hour."
 NO_ANOMALY_DIRECTION = "NO_ANOMALY_RECORD"
+ATTENTION_TEXT = "Investigate grid %d: predicted activity risk is %s (%s). ML4 status is %s with anomaly score %s. %s"
 NO_ANOMALY_REASON = "No ML4 anomaly record is available for this grid and hour."
 
 # --- fixed values: schemas of files and tables ---

@@ -64,6 +64,39 @@ def write_available(stream: DataFrame, output: str, checkpoint: str) -> Streamin
     return query
 
 
+def remaining_hours(clean: DataFrame, emitted: DataFrame, decimals: int | None = None) -> DataFrame:
+    """The hours that a stopped stream has not emitted, from the same activity as a table: a stream holds an hour back until
+    the watermark has passed its end, so once the source has ended these are all hours after the last one emitted."""
+    last = emitted.agg(F.max("timestamp")).first()[0]
+    if last is not None:
+        clean = clean.where(F.col("timestamp") >= F.lit(last) + F.expr("INTERVAL 1 HOUR"))
+    hours = clean.withColumn("timestamp", F.date_trunc("hour", "timestamp")).groupBy("grid_id", "timestamp")
+    sums = hours.agg(*[exact_sum(name, decimals).alias(name) for name in S.MEASURES])
+    return add_totals(add_calendar(sums))
+
+
+def close_hours(clean: DataFrame, output: str, schema, decimals: int | None = None) -> None:
+    """Writes the open hours of an ended source beside the stream's table, whose own files its log lists; may be repeated."""
+    emitted = clean.sparkSession.read.schema(schema).parquet(output)
+    remaining_hours(clean, emitted, decimals).select(*emitted.columns).write.mode("overwrite").parquet(f"{output}-closed")
+
+
+def closed_hours(spark: SparkSession, output: str, schema) -> DataFrame:
+    """All hours of a stream that was closed."""
+    both = [spark.read.schema(schema).parquet(path) for path in (output, f"{output}-closed")]
+    return both[0].unionByName(both[1])
+
+
+def close_scores(
+    clean: DataFrame, baseline: DataFrame, emitted: DataFrame, scores_path: str, alerts_path: str, decimals: int | None = None
+) -> None:
+    """Scores the open hours of an ended source, as one more batch; a repeated closing overwrites its own folder."""
+    scored = live_scores(remaining_hours(clean, emitted, decimals), baseline)
+    scored.write.mode("overwrite").parquet(f"{scores_path}/batch=-1")
+    fired = scored.where(F.col("alert_type").isNotNull())
+    fired.write.mode("overwrite").parquet(f"{alerts_path}/batch=-1")
+
+
 def score_available(
     hourly_stream: DataFrame, baseline: DataFrame, scores_path: str, alerts_path: str, checkpoint: str
 ) -> StreamingQuery:

@@ -44,7 +44,7 @@ def test_strict_hours_and_duplicates(spark):
 
 def test_target_is_exactly_one_hour_later(spark):
     rows = hourly_rows(spark, range(10)).where("hour <> 7")
-    labelled = features.training_set(features.network_features(rows), rows, threshold=8.5)
+    labelled = features.training_set(rows, threshold=8.5)
     assert {r["feature_timestamp"].hour: r["high_activity_risk"] for r in labelled.collect()} == {5: 0, 8: 1}
 
 

@@ -34,18 +34,25 @@ def tables(spark):
     return activity.cache(), scores, alerts
 
 
-def test_hotspots(tables):
-    rows = service.network_hotspots(*tables, limit=4, as_of=NOW).orderBy(F.desc("total_activity")).collect()
+@pytest.fixture(scope="module")
+def star(tables):
+    """The same activity as a fact table and its times, with the other two tables."""
+    fact = tables[0].withColumn("time_key", F.unix_timestamp("timestamp"))
+    return fact.drop("timestamp", "date", "hour"), fact.select("time_key", "timestamp").distinct(), *tables[1:]
+
+
+def test_hotspots(star):
+    rows = service.network_hotspots(*star, limit=4, as_of=NOW).orderBy(F.desc("total_activity")).collect()
     assert [r["grid_id"] for r in rows] == [1, 2, 3, 4]
     assert [r["status"] for r in rows] == ["MEDIUM", "NORMAL", "LOW", "NORMAL"]
     assert rows[0]["reason"] == "ACTIVITY_SPIKE text" and rows[1]["reason"] == S.DEFAULT_HOTSPOT_REASON
     assert rows[0]["risk_score"] == 0.9 and rows[1]["risk_score"] is None
 
 
-def test_hotspot_severity_filters_after_the_limit_unless_asked(tables):
-    assert service.network_hotspots(*tables, limit=2, severity="low").count() == 0
-    assert [r["grid_id"] for r in service.network_hotspots(*tables, limit=2, severity="low", filter_first=True).collect()] == [3]
-    assert [r["grid_id"] for r in service.network_hotspots(*tables, limit=3, severity="low").collect()] == [3]
+def test_hotspot_severity_filters_after_the_limit_unless_asked(star):
+    assert service.network_hotspots(*star, limit=2, severity="low").count() == 0
+    assert [r["grid_id"] for r in service.network_hotspots(*star, limit=2, severity="low", filter_first=True).collect()] == [3]
+    assert [r["grid_id"] for r in service.network_hotspots(*star, limit=3, severity="low").collect()] == [3]
 
 
 def test_alert_feed(tables):
@@ -73,8 +80,8 @@ def test_grid_activity(spark, tables):
             service.require_grid(activity, cell)
 
 
-def test_summary(tables):
-    row = service.latest_network_summary(tables[0]).first()
+def test_summary(tables, star):
+    row = service.latest_network_summary(*star[:2]).first()
     assert (row["as_of"], row["total_activity"], row["active_grids"], row["peak_hour"], row["top_grid"]) == (
         NOW,
         sum(100.0 - g for g in range(1, 7)),
@@ -85,10 +92,10 @@ def test_summary(tables):
     assert service.network_summary(tables[0]).count() == 30
 
 
-def test_map_status_takes_the_last_alert_listed(tables):
+def test_map_status_takes_the_last_alert_listed(tables, star):
     activity, scores, alerts = tables
     feed = service.alert_feed(alerts, scores, activity)
-    hot = service.network_hotspots(*tables, limit=5)
+    hot = service.network_hotspots(*star, limit=5)
     status = {r["grid_id"]: r["status"] for r in service.map_status(hot, feed).collect()}
     assert status == {1: "ATTENTION", 2: "HIGH", 3: "NORMAL", 4: "NORMAL", 5: "NORMAL"}
     counters = service.dashboard_counters(hot, feed).first().asDict()
