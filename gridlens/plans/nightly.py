@@ -61,11 +61,14 @@ def ingest(spark: SparkSession, landing_dir: str, zone_dir: str, pattern: str =
     if fresh_paths:
         lines = files.read_lines(spark, list(fresh_paths.values()))
         verdicts = stage(files.validate_files(lines, fresh), "verdicts")
-        accepted = [fresh_paths[row["file"]] for row in verdicts.where("ok").collect()]
+        accepted, rejected = [], []
+        for row in verdicts.select("file", "ok").collect():
+            (accepted if row["ok"] else rejected).append(fresh_paths[row["file"]])
         if accepted:
             rows = activity.with_source_file(activity.read_raw_files(spark, accepted))
             _replace_files(rows, f"{zone_dir}/raw", "source_file")
-        _replace_files(files.route_lines(lines, verdicts, ok=False), f"{zone_dir}/rejected", "file")
+        if rejected:
+            _replace_files(files.read_lines(spark, rejected), f"{zone_dir}/rejected", "file")
     else:
         verdicts = spark.createDataFrame([], "file string, ok boolean, reason string")
     entries = stage(files.audit_rows(verdicts, skipped), "audit")
@@ -149,7 +152,7 @@ def _warehouse_step(run: Run) -> None:
     hourly = run.table("hourly_grid_summary")
     tables.write_table(warehouse.dim_time(hourly), run.path("dim_time"))
     fact = warehouse.fact_network_activity(hourly, run.table("dim_time"))
-    tables.write_table(fact, run.path("fact_network_activity"), ["time_key", "grid_id"])
+    tables.write_table(fact, run.path("fact_network_activity"), ["time_key", "grid_id"], clustered=True)
     written = run.table("fact_network_activity")
     run.counts["rows_published"] = written.count()
     if run.states.get("geometry") == "success":
@@ -160,10 +163,9 @@ def _warehouse_step(run: Run) -> None:
 def _analytics_step(run: Run) -> None:
     hourly = run.table("hourly_grid_summary")
     tables.write_table(alerts.network_alerts(hourly), run.path("network_alerts"), ["timestamp", "grid_id"], clustered=True)
-    tables.write_table(anomaly.anomaly_scores(hourly), run.path("anomaly_scores"), ["grid_id", "timestamp"])
-    tables.write_table(
-        features.network_features(hourly), run.path("network_feature_table"), ["grid_id", "feature_timestamp"]
-    )
+    tables.write_table(anomaly.anomaly_scores(hourly), run.path("anomaly_scores"), ["grid_id", "timestamp"], clustered=True)
+    feature_order = ["grid_id", "feature_timestamp"]
+    tables.write_table(features.network_features(hourly), run.path("network_feature_table"), feature_order, clustered=True)
 
 
 def _risk_step(run: Run, threshold: float) -> None:

@@ -56,10 +56,10 @@ def write_activity(clean: DataFrame, path: str) -> None:
 
 
 def write_hourly(hourly: DataFrame, path: str) -> None:
-    """The hourly summary, sorted inside its files so that cell and time filters skip row groups."""
+    """The hourly summary, spread over its files by ranges of cell and time, so that a filter on cells skips whole files."""
     if "geometry_json" in hourly.columns:
         raise ValueError("geometry does not belong in the hourly summary")
-    hourly.sortWithinPartitions(*S.CELL_HOUR).write.mode("overwrite").parquet(path)
+    write_table(hourly, path, S.CELL_HOUR, clustered=True)
 
 
 def write_table(df: DataFrame, path: str, sort_by: list[str] | None = None, clustered: bool = False) -> None:
