@@ -1,19 +1,19 @@
 """Language of a text and of its parts: scripts, scores of words, and the best path with a penalty for each switch.
 
 A word is a run of letters, lower-cased. The script of its first letter leaves the languages in which that script was
-seen in training; their scores are sums of log-probabilities of character n-grams with word ends marked. Viterbi's
+seen in training; their scores are sums of log-probabilities of character n-grams with word ends marked, looked up in a table by
+a hash. Viterbi's
 algorithm labels every word, paying `penalty` wherever the language changes, which gives spans of one language each.
 A text's language is the one whose spans hold most letters, ties to the lower code point; its score is their share of all letters.
 Letters of a script that no learned language uses belong to their neighbours' span but count for none.
 
 A null text, or one without letters, is `und` with score 0. With nothing to learn from every text is `und`. Whole texts
 are read. Training reads a sample, `per_language` documents of each language in expectation, chosen by a hash
-of doc_id, and keeps the `max_ngrams` most frequent n-grams, so the model that is sent to the tasks has a fixed bound.
+of doc_id, and counts n-grams in BUCKETS buckets, so the model that is sent to the tasks has a fixed bound.
 Documents without doc_id are neither learned from nor held out. Equal rows get equal results; an empty table gives an empty table.
 """
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -56,9 +56,12 @@ SCRIPTS = {
 }
 
 
-def script_of(word: str) -> str:
-    point = ord(word[0])
-    return next((name for name, ranges in SCRIPTS.items() if any(lo <= point <= hi for lo, hi in ranges)), "other")
+# first code point of each range and the number of its script, with gaps between ranges as script 0
+_RANGES = sorted((lo, hi, n) for n, ranges in enumerate(SCRIPTS.values(), 1) for lo, hi in ranges)
+_EDGES = np.array([e for lo, hi, _ in _RANGES for e in (lo, hi + 1)])
+_SCRIPT_AT = np.array([0, *(n for _, _, number in _RANGES for n in (number, 0))])
+BUCKETS = 1 << 16
+START, END = "\x02", "\x03"
 
 
 def words_of(text: str | None) -> list[str]:
@@ -70,19 +73,31 @@ def has_letter(word: str) -> bool:
     return word.isalpha() or any(c.isalpha() for c in word)
 
 
-def ngrams(word: str, longest: int = 3) -> list[str]:
-    marked = f"^{word}$"
-    return [marked[i : i + n] for n in range(1, longest + 1) for i in range(len(marked) - n + 1)]
+def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For words one after the other with their ends marked: the buckets of the 1-, 2- and 3-grams that start at each character
+    (BUCKETS where there is none), the first character of each word, and the script of each word."""
+    joined = START + (END + START).join(words) + END
+    codes = np.frombuffer(joined.encode("utf-32-le"), "<u4").astype(np.uint64)
+    ends = codes == ord(END)
+    starts = np.flatnonzero(codes == ord(START))
+    buckets = np.full((len(codes), 3), BUCKETS, np.int32)
+    mixed, inside = np.zeros(len(codes), np.uint64), np.ones(len(codes), bool)
+    for n in range(3):
+        last = len(codes) - n
+        mixed = (mixed[:last] + codes[n:] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        buckets[:last, n] = np.where(inside[:last], (mixed ^ (mixed >> np.uint64(32))) & np.uint64(BUCKETS - 1), BUCKETS)
+        inside[:last] &= ~ends[n:]
+    scripts = _SCRIPT_AT[np.searchsorted(_EDGES, codes[starts + 1].astype(np.int64), side="right")]
+    return buckets, starts, scripts
 
 
 @dataclass
 class Model:
-    """What training leaves: n-grams with a row of log-probabilities each, and the languages of each script."""
+    """What training leaves: log-probabilities of each bucket and, for each script (0: none that is listed), its languages."""
 
     languages: list[str]
-    ngram_rows: dict[str, int]
-    log_probabilities: np.ndarray  # the last row is for n-grams that are not listed
-    by_script: dict[str, list[bool]]
+    log_probabilities: np.ndarray  # the last row is zero
+    by_script: np.ndarray
     penalty: float = 8.0
 
 
@@ -99,22 +114,15 @@ class Labeller:
         self.scores, self.letters = np.zeros((0, n), np.float32), np.zeros(0, np.int64)
 
     def _learn(self, words: list[str]) -> None:
-        """Scores of new words; words without letters score nothing and weigh nothing."""
-        model, starts, grams = self.model, [], []
-        unlisted = len(model.ngram_rows)
-        for word in words:
-            starts.append(len(grams))
-            grams += [model.ngram_rows.get(g, unlisted) for g in ngrams(word)]
-        scores = np.add.reduceat(model.log_probabilities[np.array(grams)], starts, axis=0) / 2
-        letters = np.array([len(w) for w in words])
-        for i, word in enumerate(words):
-            allowed = model.by_script.get(script_of(word)) if has_letter(word) else None
-            if allowed is None:
-                scores[i], letters[i] = 0, 0
-            else:
-                scores[i][~np.array(allowed)] = IMPOSSIBLE
-        for word in words:
-            self.rows[word] = len(self.rows)
+        """Scores of new words; words without letters, and of scripts that no language has, score nothing and weigh nothing."""
+        buckets, starts, scripts = features(words)
+        each = sum(self.model.log_probabilities[buckets[:, n]] for n in range(3))
+        scores = np.add.reduceat(each, starts, axis=0) / 2
+        allowed = self.model.by_script[scripts]
+        usable = allowed.any(axis=1) & np.fromiter(map(has_letter, words), bool, len(words))
+        scores = np.where(usable[:, None], np.where(allowed, scores, IMPOSSIBLE), 0)
+        letters = np.where(usable, np.fromiter(map(len, words), np.int64, len(words)), 0)
+        self.rows.update(zip(words, range(len(self.rows), len(self.rows) + len(words)), strict=True))
         self.scores = np.concatenate([self.scores, scores.astype(np.float32)])
         self.letters = np.concatenate([self.letters, letters])
 
@@ -133,9 +141,23 @@ class Labeller:
             labels[i] = path
         for i, rows in enumerate(self.found):
             if len(rows) > LONG:
-                labels[i] = self._alone(self.scores[rows].tolist())
+                own = self.scores[rows]
+                labels[i] = self._one_language(own)
+                if labels[i] is None:
+                    labels[i] = self._alone(own.tolist())
         return labels
 
+    def _one_language(self, scores: np.ndarray) -> np.ndarray | None:
+        """The path of one language throughout if no other path can be better: no stretch gains as much by other languages as
+        one switch costs."""
+        best = int(scores.sum(axis=0).argmax())
+        if scores.shape[1] > 1:
+            gain = np.cumsum(np.delete(scores, best, axis=1).max(axis=1) - scores[:, best], dtype=np.float64)
+            before = np.minimum.accumulate(np.concatenate([[0.0], gain[:-1]]))
+            if (gain - before).max() > self.model.penalty:
+                return None
+        return np.full(len(scores), best, np.int8)
+
     def _alone(self, scores: list[list[float]]) -> np.ndarray:
         penalty, best, back = self.model.penalty, scores[0], []
         for own in scores[1:]:
@@ -209,62 +231,57 @@ def held_out(key: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, per_language: int = 1500, max_ngrams: int = 100_000, penalty: float = 8.0) -> Model:
+def train(docs: DataFrame, per_language: int = 1500, penalty: float = 8.0) -> Model:
     """Learns from text and lang of documents that are not held out."""
     small_batches(docs.sparkSession)
     usable = docs.where(F.col("doc_id").isNotNull() & ~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     # one row for each language
     sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not sizes:
-        return Model([], {}, np.zeros((1, 0), np.float32), {}, penalty)
-    draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("language")), F.lit(1 << 30))
-    limit = F.lit(0)
-    for language, n in sizes.items():
-        limit = F.when(F.col("lang") == language, int((1 << 30) * min(1.0, per_language / n))).otherwise(limit)
-    sample = usable.where(draw < limit).select("lang", "text")
-    schema = pa.schema([("lang", pa.string()), ("kind", pa.string()), ("name", pa.string()), ("n", pa.int64())])
+    languages = sorted(sizes)
+    number = {name: i for i, name in enumerate(languages)}
+    table = np.full((BUCKETS + 1, len(languages)), 0.5)
+    words_by_script = np.zeros((len(SCRIPTS) + 1, len(languages)))
+    if languages:
+        draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("language")), F.lit(1 << 30))
+        limit = F.lit(0)
+        for language, n in sizes.items():
+            limit = F.when(F.col("lang") == language, int((1 << 30) * min(1.0, per_language / n))).otherwise(limit)
+        # at most a row for each language and bucket or script
+        for row in _counts(usable.where(draw < limit).select("lang", "text")).collect():
+            of = words_by_script if row["is_script"] else table
+            of[row["place"], number[row["lang"]]] += row["n"]
+    log_probabilities = np.log(table / table[:BUCKETS].sum(axis=0)).astype(np.float32)
+    log_probabilities[BUCKETS] = 0
+    # a script is a language's own from one word in a hundred on
+    own = words_by_script >= np.maximum(0.01 * words_by_script.sum(axis=0), 1)
+    return Model(languages, log_probabilities, own, penalty)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: Counter = Counter()
 
-        def counted():
-            found: Counter = Counter()
-            for (lang, word), n in words.items():
-                found[lang, "script", script_of(word)] += n
-                for gram in ngrams(word):
-                    found[lang, "ngram", gram] += n
-            words.clear()
-            return ((*name, n) for name, n in found.items())
+def _counts(sample: DataFrame) -> DataFrame:
+    """(lang, is_script, place, n): occurrences of each bucket, and words of each script."""
+    schema = pa.schema([("lang", pa.string()), ("is_script", pa.bool_()), ("place", pa.int32()), ("n", pa.int64())])
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words.update((lang, w) for w in words_of(text) if has_letter(w))
-            if len(words) > KEPT_WORDS:
-                yield from to_batches(counted(), schema)
-        yield from to_batches(counted(), schema)
-
-    counts = sample.mapInArrow(count, "lang string, kind string, name string, n long")
-    counts = counts.groupBy("lang", "kind", "name").agg(F.sum("n").alias("n"))
-    # at most max_ngrams n-grams and the listed scripts, each for every language
-    names = counts.groupBy("kind", "name").agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("by_language"))
-    top = names.where("kind = 'ngram'").orderBy(F.desc("total"), "name").limit(max_ngrams).collect()
-    scripts = names.where("kind = 'script'").collect()
-    languages = sorted(sizes)
-    number = {name: i for i, name in enumerate(languages)}
-    table = np.zeros((len(top) + 1, len(languages)))
-    for row, gram in enumerate(top):
-        for lang, n in gram["by_language"]:
-            table[row, number[lang]] = n
-    table += 0.5
-    words_by_script = np.zeros((len(scripts), len(languages)))
-    for row, script in enumerate(scripts):
-        for lang, n in script["by_language"]:
-            words_by_script[row, number[lang]] = n
-    # a script is a language's own from one word in a hundred on
-    own = words_by_script >= 0.01 * np.maximum(words_by_script.sum(axis=0), 1)
-    by_script = {s["name"]: own[i].tolist() for i, s in enumerate(scripts) if own[i].any()}
-    log_probabilities = np.log(table / table.sum(axis=0)).astype(np.float32)
-    return Model(languages, {g["name"]: i for i, g in enumerate(top)}, log_probabilities, by_script, penalty)
+                words = [w for w in words_of(text) if has_letter(w)]
+                if words:
+                    seen, scripts = held.setdefault(lang, (np.zeros(BUCKETS + 1, np.int64), np.zeros(len(SCRIPTS) + 1, np.int64)))
+                    buckets, _, own = features(words)
+                    seen += np.bincount(buckets.ravel(), minlength=BUCKETS + 1)
+                    scripts += np.bincount(own, minlength=len(SCRIPTS) + 1)
+
+        def rows():
+            for lang, both in held.items():
+                for is_script, counts in enumerate(both):
+                    for place in np.flatnonzero(counts[: BUCKETS if not is_script else None]).tolist():
+                        yield lang, bool(is_script), place, int(counts[place])
+
+        yield from to_batches(rows(), schema)
+
+    counts = sample.mapInArrow(count, "lang string, is_script boolean, place int, n long")
+    return counts.groupBy("lang", "is_script", "place").agg(F.sum("n").alias("n"))
 
 
 def predict(df: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -42,10 +42,10 @@ def test_mixed_text_has_spans(spark, docs, model):
 
 def test_paths_against_all_paths():
     rng = np.random.default_rng(1)
-    model = ls.Model(["a", "b", "c"], {}, np.zeros((1, 3), np.float32), {}, 2.0)
+    model = ls.Model(["a", "b", "c"], np.zeros((1, 3), np.float32), np.ones((1, 3), bool), 2.0)
     labeller = ls.Labeller(model)
     labeller.scores = rng.normal(0, 2, (50, 3)).astype(np.float32)
-    texts = [rng.integers(0, 50, n) for n in (1, 2, 7, 5, 6, 7, 1)]
+    texts = [rng.integers(0, 50, n) for n in (1, 2, 7, 5, 6, 7, 1, 1, 3, 3)]
 
     def value(rows, path):
         return sum(float(labeller.scores[r, p]) for r, p in zip(rows, path, strict=True)) - 2.0 * sum(map(int.__ne__, path, path[1:]))
@@ -54,6 +54,8 @@ def test_paths_against_all_paths():
         best = max(itertools.product(range(3), repeat=len(rows)), key=lambda p: value(rows, p))
         alone = labeller._alone(labeller.scores[rows].tolist())
         assert list(together) == list(alone) == list(best)
+        one = labeller._one_language(labeller.scores[rows])
+        assert one is None or list(one) == list(best)
 
 
 def test_odd_texts(spark, model, monkeypatch):
