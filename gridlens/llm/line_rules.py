@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,7 +44,7 @@ PHRASES = re.compile(
     "|enable javascript|lorem ipsum|click here to|subscribe to our|sign up for our|follow us on|powered by|copyright ©|©"
     "|licensed under|released under the|spdx-license-identifier|permission is hereby granted"
 )
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 
 
 def failed_rule(line: str, words: list[bytes]) -> str | None:

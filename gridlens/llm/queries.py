@@ -18,6 +18,9 @@ from gridlens.llm import (
     token_files,
 )
 from gridlens.llm.common import documents
+from gridlens.llm.oracle import oracle_sql
+
+__all__ = ["oracle_sql", "queries"]
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -40,12 +43,8 @@ def queries() -> dict[str, Query]:
         "op4_cube_mixture": _on_documents(cube_mixture.op4_cube_mixture),
         "op5_surrogates": _on_documents(private_data.op5_surrogates),
         "op6_cross_polytope": op6_cross_polytope,
-        "op7_token_files": _on_documents(token_files.op7_token_files, tokenizer),
+        "op7_token_files": _on_documents(token_files.op7_token_files, tokenizer, public_tokenizers.PATTERN),
         "op8_feistel_shards": _on_documents(feistel_shards.op8_feistel_shards),
         "op9_language_spans": _on_documents(language_spans.op9_language_spans),
         "op10_secret_scan": _on_documents(secret_scan.op10_secret_scan),
     }
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}

@@ -81,3 +81,30 @@ def test_labelled_documents(spark):
 
 def test_empty_table(spark):
     assert lr.op2_line_rules(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_matches_sql(spark, sf):
+    from gridlens.llm import queries
+    from tests.compare import connect, duck_rows, spark_rows
+
+    sf_dir = f"/root/testdata/{sf}"
+    found = spark_rows(queries.queries()["op2_line_rules"](spark, sf_dir))
+    assert found == duck_rows(connect(sf_dir), queries.oracle_sql()["op2_line_rules"])
+
+
+def test_matches_sql_on_odd_texts(spark, tmp_path):
+    import duckdb
+
+    from gridlens.llm.oracle import op2_line_rules
+    from tests.compare import duck_rows, spark_rows
+
+    rng = random.Random(4)
+    parts = ["|", "-", "/", "Home", "é", "the", "#x", "&&", "!", "?!", "end.", "Privacy Policy", "sign in", "½", "12", "漢字。", "it's"]
+    texts = [None, "", "\n\n", "Sign In", " login \t"]
+    texts += ["".join(rng.choice(parts) + rng.choice([" ", " ", " ", "\n", "\x0b"]) for _ in range(rng.randint(1, 80))) for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    df.coalesce(1).write.parquet(str(tmp_path / "d"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d/*.parquet'")
+    assert spark_rows(lr.op2_line_rules(df)) == duck_rows(con, op2_line_rules())
