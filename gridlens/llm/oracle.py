@@ -1,6 +1,8 @@
 """SQL counterparts of the training-data queries that SQL can express."""
 
+from gridlens.llm import feistel_shards as fs
 from gridlens.llm import line_rules as lr
+from gridlens.llm import secret_scan as ss
 
 
 def _text(value: str) -> str:
@@ -51,5 +53,97 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM facts"""
 
 
+#: Remainder of the polynomial of CRC-32 for each byte, and the checksum by it.
+_CRC_TABLE = """SELECT list(list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, CAST(b AS BIGINT))
+                           ORDER BY b) AS crcs FROM (SELECT unnest(range(256)) AS b)"""
+_CRC = """xor(list_reduce(bytes, lambda c, b: xor(c >> 8, crcs[(xor(c, b) & 255) + 1]), CAST(4294967295 AS BIGINT)), 4294967295)"""
+
+
+def op8_feistel_shards(shards: int = 24, seed: int = 8) -> str:
+    rounds = "SELECT r, step, x % a AS l, x // a AS g, a, b FROM walk, sides WHERE step = 0 OR x >= n"
+    for i, (add, factor) in enumerate(fs.Permutation(1, seed).keys):
+        moved, other, side = ("g", "l", "b") if i % 2 else ("l", "g", "a")
+        shifted = f"(({other} + {add}) % {fs.PRIME})"
+        mixed = f"({shifted} * {shifted} % {fs.PRIME}) * {factor} % {fs.PRIME}"
+        rounds = f"SELECT * REPLACE (({moved} + {mixed} % {side}) % {side} AS {moved}) FROM ({rounds})"
+    return f"""
+WITH RECURSIVE crc_table AS ({_CRC_TABLE}),
+texts AS (SELECT doc_id, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: CAST('0x' || h AS BIGINT)) AS bytes
+          FROM documents),
+sized AS (SELECT doc_id, len(bytes) + 8 AS size, {_CRC} AS text_crc32 FROM texts, crc_table),
+numbered AS (SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS r FROM sized),
+root AS (SELECT count(*) AS n, CAST(floor(sqrt(greatest(count(*), 1) - 1)) AS BIGINT) + 1 AS a FROM documents),
+sides AS (SELECT n, a, (n + a - 1) // a AS b FROM root),
+walk AS (SELECT r, r AS x, 0 AS step FROM numbered
+         UNION ALL SELECT r, l + a * g AS x, step + 1 AS step FROM ({rounds})),
+placed AS (SELECT r, arg_max(x, step) AS position FROM walk GROUP BY r)
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(position % {shards} AS INTEGER) AS shard, position // {shards} AS slot,
+       CAST(NULL AS INTEGER) AS grown_shard, r AS row_number
+FROM numbered JOIN placed USING (r)"""
+
+
+def _tail(z: str) -> str:
+    """P(Z > z), by the same approximation as the operator."""
+    t = f"(1 / (1 + 0.2316419 * abs({z})))"
+    series = f"{t} * (0.319381530 + {t} * (-0.356563782 + {t} * (1.781477937 + {t} * (-1.821255978 + {t} * 1.330274429))))"
+    tail = f"exp(-({z}) * ({z}) / 2) / 2.5066282746310002 * ({series})"
+    return f"CASE WHEN {z} >= 0 THEN {tail} ELSE 1 - {tail} END"
+
+
+def op10_secret_scan() -> str:
+    candidate = f"[A-Za-z0-9+/_=-]{{{ss.MIN_LENGTH},}}"  # leftmost and greedy, so always a whole run
+    patterns = {"assign": (ss.ASSIGN, 2), "access": (ss.ACCESS, 0), "hex": (ss.HEX, 0), "random": (candidate, 0)}
+    found = " UNION ALL ".join(
+        f"""SELECT r, {k} AS kind, string_split_regex(t, {_text(p)}) AS gaps, regexp_extract_all(t, {_text(p)}, 0) AS whole,
+            regexp_extract_all(t, {_text(p)}, {g}) AS value FROM texts WHERE regexp_matches(t, {_text(p)})"""
+        for k, (p, g) in enumerate(patterns.values())
+    )
+    encodings = " ".join(
+        f"WHEN NOT regexp_matches(body, '[^{alphabet.replace('-', chr(92) + '-')}]') THEN {i}" for i, (_, alphabet, _) in enumerate(ss.ENCODINGS)
+    )
+    rows = ", ".join(f"({i}, {_text(alphabet)}, {equal})" for i, (_, alphabet, equal) in enumerate(ss.ENCODINGS))
+    bands = " ".join(f"WHEN stop - start >= {least} THEN {least}" for least in reversed(ss.BANDS))
+    kind = "CASE WHEN c BETWEEN '0' AND '9' THEN 0 WHEN c BETWEEN 'A' AND 'Z' THEN 1 WHEN c BETWEEN 'a' AND 'z' THEN 2 ELSE 3 END"
+    names = " ".join(f"WHEN {i} THEN '{name}'" for i, name in enumerate(patterns))
+    shown = "string_agg(CASE kind " + names + " END || ':' || start || ':' || stop, ',' ORDER BY start, kind, stop)"
+    return f"""
+WITH texts AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+found AS ({found}),
+matched AS (SELECT r, kind, i, length(gaps[i]) AS gap, length(whole[i]) AS long, length(value[i]) AS value, whole[i] AS match
+            FROM (SELECT *, unnest(range(1, len(whole) + 1)) AS i FROM found)),
+spans AS (SELECT *, sum(gap + long) OVER (PARTITION BY r, kind ORDER BY i) - long AS start, sum(gap + long) OVER (PARTITION BY r, kind ORDER BY i) AS stop
+          FROM matched),
+coded AS (SELECT *, CASE {encodings} END AS e FROM (SELECT r, start, stop, regexp_replace(match, '=+$', '') AS body FROM spans WHERE kind = 3)),
+letters AS (SELECT r, start, stop, body, alphabet, equal, CAST(length(body) AS DOUBLE) AS n, CAST(length(alphabet) AS DOUBLE) AS k,
+                   string_split(body, '') AS chars
+            FROM coded JOIN (VALUES {rows}) AS encodings(e, alphabet, equal) USING (e) WHERE body <> ''),
+codes AS (SELECT *, list_transform(chars, lambda c: CAST(instr(alphabet, c) AS DOUBLE)) AS code, list_transform(chars, lambda c: {kind}) AS kinds FROM letters),
+measured AS (SELECT *, k / n * list_sum(list_transform(list_distinct(chars), lambda c: (n - length(replace(body, c, ''))) ** 2)) - n AS chi,
+                    1 + list_sum(list_transform(range(1, len(code)), lambda i: CASE WHEN (code[i] > k / 2) <> (code[i + 1] > k / 2) THEN 1 ELSE 0 END)) AS runs,
+                    list_sum(list_transform(range(1, len(code)), lambda i: CASE WHEN kinds[i] <> kinds[i + 1] THEN 1 ELSE 0 END)) AS changes,
+                    list_sum(list_transform(range(1, len(code)), lambda i: (code[i] - (k + 1) / 2) * (code[i + 1] - (k + 1) / 2))) AS beside
+             FROM codes WHERE n >= {ss.MIN_LENGTH}),
+odd AS (SELECT *, (cbrt(chi / (k - 1)) - (1 - 2 / (9 * (k - 1)))) / sqrt(2 / (9 * (k - 1))) AS z1,
+               abs(runs - (1 + (n - 1) / 2)) / sqrt((n - 1) / 4) AS z2, abs(beside) / ((k * k - 1) / 12) / sqrt(n - 1) AS z3,
+               ((k - 1 + n * (k * equal - 1) - chi) / sqrt(2 * (k - 1 + 2 * (n * (k * equal - 1))))
+                + (changes - (n - 1) * {ss.CHANGE_RATE}) / sqrt((n - 1) * {ss.CHANGE_RATE} * (1 - {ss.CHANGE_RATE}))) / sqrt(2.0) AS score FROM measured),
+scored AS (SELECT r, start, stop, CASE {bands} ELSE 0 END AS band, floor(greatest(-30.0, least(30.0, score)) * {ss.BIN}) AS bin,
+                  least({_tail("z1")}, 2 * ({_tail("z2")}), 2 * ({_tail("z3")})) >= {ss.LEVEL / 3} AS is_random FROM odd),
+ranked AS (SELECT band, bin, sum(count(*)) OVER (PARTITION BY band ORDER BY bin DESC) AS rank, sum(count(*)) OVER (PARTITION BY band) AS family
+           FROM scored GROUP BY band, bin),
+limits AS (SELECT band, min(bin) AS lowest FROM ranked WHERE {_tail(f"(bin / {ss.BIN})")} <= {ss.FALSE_SHARE} * rank / family GROUP BY band),
+kept AS (SELECT r, kind, start, stop FROM spans WHERE kind IN (1, 2) OR kind = 0 AND value >= {ss.ASSIGN_VALUE}
+         UNION ALL SELECT r, 3, start, stop FROM scored JOIN limits USING (band) WHERE is_random AND bin >= lowest),
+gathered AS (SELECT r, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access,
+                    count(*) FILTER (WHERE kind = 2) AS n_hex, {shown} AS spans, {shown} FILTER (WHERE kind < 3) AS base FROM kept GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM texts LEFT JOIN gathered USING (r)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_rules": op2_line_rules()}
+    return {
+        "op2_line_rules": op2_line_rules(),
+        "op8_feistel_shards": op8_feistel_shards(),
+        "op10_secret_scan": op10_secret_scan(),
+    }
