@@ -239,6 +239,7 @@ def predict_risk(
             F.col("anomaly.reason"),
         )
     )
+    # --- fixed values: explanation texts ---
     intro = F.concat(
         F.lit("ML3 risk prediction generated using features at "), F.col("timestamp").cast("string"), F.lit(". ")
     )
@@ -276,6 +277,7 @@ def latest_run_status(status_log: DataFrame, now: datetime | Column) -> DataFram
     as_of = F.coalesce(F.try_to_timestamp(F.trim("run.as_of_reason")), F.try_to_timestamp("last_success"))
     failed = F.map_keys(F.map_filter("run.task_status", lambda _, state: state != "success"))
     healthy = F.col("overall_status") == "SUCCESS"
+    # --- fixed values: status reasons ---
     problems = F.array_compact(
         F.array(
             F.concat(F.lit("Latest pipeline run status is "), F.col("overall_status")),
