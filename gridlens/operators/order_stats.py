@@ -25,8 +25,8 @@ def large_groups(df: DataFrame, by: list[str], max_group_rows: int) -> DataFrame
     """Keys of the groups above max_group_rows as a small stored table, or None. There are at most total rows /
     max_group_rows of them, so a join broadcasts them only where they measure small."""
     sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_size")).where(F.col("_size") > max_group_rows)
-    large = stage(sizes.select(*by), "large-groups")
-    return None if large.isEmpty() else small_side(large)
+    # mostly there are none, and then nothing has to be written
+    return None if sizes.isEmpty() else small_side(stage(sizes.select(*by), "large-groups"))
 
 
 def values_at(
