@@ -259,6 +259,17 @@ def validate_files(d: Dataset) -> DataFrame:
     return files.validate_files(d.landing)
 
 
+@query()
+def validate_spoiled_files(d: Dataset) -> DataFrame:
+    """Every way for a file to fail: wrong header, width, number, no rows, not finite, and an empty file for each date. Blocks are
+    small, so files cross them."""
+    lines = fixtures.spoiled_lines(fixtures.landing_lines(d.spark, d.sf_dir, 512))
+    names = d.landing_files
+    date = F.substring("file", len(fixtures.FILE_PREFIX) + 1, 10)
+    empty = names.select(F.concat(F.lit(fixtures.FILE_PREFIX), date, F.lit("-empty.csv")).alias("file")).distinct()
+    return files.validate_files(lines, names.unionByName(empty))
+
+
 @query()
 def skip_ingested(d: Dataset) -> DataFrame:
     return files.skipped_files(d.landing_files, d.first_run_audit)

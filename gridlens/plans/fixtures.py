@@ -53,17 +53,17 @@ def wide_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def landing_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def landing_lines(spark: SparkSession, sf_dir: str, block_ids: int = 65536) -> DataFrame:
     """The event rows as the text lines of one landing file per date and cell, header first.
 
-    A block takes 65,536 consecutive event ids, so like the split of a file scan it has a bounded size, and
+    A block takes block_ids consecutive event ids, so like the split of a file scan it has a bounded size, and
     lines are numbered within it.
     """
     cell = F.coalesce(F.col("CellID").cast("string"), F.lit("none"))
     name = F.concat(F.lit(FILE_PREFIX), "file_date", F.lit("-c"), cell, F.lit(".csv"))
     rows = event_rows(spark, sf_dir).withColumn("file", name)
     fields = [F.coalesce(F.col(name).cast("string"), F.lit("")) for name in S.RAW_COLUMNS]
-    block = F.floor(F.col("event_id") / 65536) + 1
+    block = F.floor(F.col("event_id") / block_ids) + 1
     in_block = Window.partitionBy("file", "block").orderBy("event_id")
     data = (
         rows.withColumn("block", block)
@@ -79,6 +79,21 @@ def landing_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return header.unionByName(data)
 
 
+def spoiled_lines(lines: DataFrame) -> DataFrame:
+    """The same files, each spoiled in the way that its cell modulo five says; files without a cell stay as they are."""
+    kind = F.regexp_extract("file", r"-c(\d+)\.csv$", 1).try_cast("int") % 5
+    header = (F.col("block") == 0) & (F.col("position") == 0)
+    smsin = lambda value: F.regexp_replace("line", r"^([^,]*,[^,]*,[^,]*),[^,]*", f"$1,{value}")
+    line = (
+        F.when(header, F.when(kind == 0, "datetime,CellID").otherwise(F.col("line")))
+        .when(kind == 1, F.concat("line", F.lit(",1")))
+        .when(kind == 2, smsin("abc"))
+        .when(kind == 4, smsin("Infinity"))
+        .otherwise(F.col("line"))
+    )
+    return lines.where(header | ~F.coalesce(kind == 3, F.lit(False))).withColumn("line", line)
+
+
 def grid_features(hourly: DataFrame) -> DataFrame:
     """One square cell per grid id on a 100-wide grid; every seventh is written as a MultiPolygon."""
     cell = F.col("grid_id").cast("long") - 1

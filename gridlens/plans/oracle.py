@@ -394,6 +394,18 @@ def oracle_sql() -> dict[str, str]:
         "source_file_counts": _with("SELECT file AS source_file, count(*) + 1 AS rows FROM landing GROUP BY file", "landing"),
         "scan_lineage": "SELECT 'events.parquet' AS source_file, count(*) AS rows FROM events",
         "validate_files": _with("SELECT * FROM verdicts", "verdicts"),
+        "validate_spoiled_files": _with(
+            f"""SELECT file, reason = 'Validation passed' AS ok, reason FROM (
+                   SELECT file, CASE kind WHEN 0 THEN 'Invalid schema' WHEN 1 THEN 'Incorrect number of columns at row 2' WHEN 3 THEN 'No data rows'
+                       WHEN 2 THEN CASE WHEN bad_time THEN 'Invalid datetime at row 2' ELSE 'Non-numeric value in smsin at row 2' END
+                       WHEN 4 THEN CASE WHEN bad_time THEN 'Invalid datetime at row 2' ELSE 'Non-finite value in smsin at row 2' END
+                       ELSE v.reason END AS reason
+                   FROM (SELECT file, any_value(CellID) % 5 AS kind, arg_min(datetime, event_id) = 'not-a-time' AS bad_time
+                         FROM landing GROUP BY file) JOIN verdicts v USING (file)
+                   UNION ALL SELECT DISTINCT '{FILE_PREFIX}' || file_date || '-empty.csv', 'Empty file' FROM landing)""",
+            "landing",
+            "verdicts",
+        ),
         "skip_ingested": _with(
             """SELECT file, 'SKIPPED' AS status, CASE WHEN ok THEN 'File already exists in raw'
                ELSE 'File already exists in rejected' END AS reason FROM audited WHERE seen""",
