@@ -73,6 +73,16 @@ def test_flight_keeps_both_sums_and_chances():
     assert np.abs(total / 3000 - chances).max() < 0.05
 
 
+def test_landing_makes_up_what_is_missing():
+    rng = np.random.default_rng(4)
+    for _ in range(50):
+        sizes, chances = rng.integers(1, 900, 60).astype(float), np.full(60, 0.4)
+        moved = cm.flight(sizes, chances, rng.random(60))
+        ended = cm.landing(sizes, moved)
+        assert set(ended.tolist()) <= {0, 1} and abs(ended.sum() - 24) <= 1
+        assert abs(ended @ sizes - chances @ sizes) <= 30
+
+
 def test_equal_sizes():
     moved = cm.landing(np.full(100, 7), cm.flight(np.full(100, 7), np.full(100, 0.3), np.random.default_rng(2).random(100)))
     assert set(moved.tolist()) == {0, 1} and abs(moved.sum() - 30) <= 1
