@@ -278,7 +278,8 @@ def components(edges: DataFrame, low: str = "low", high: str = "high") -> DataFr
 
     def star(nodes: DataFrame, keep) -> DataFrame:
         least = nodes.groupBy("node").agg(F.min("near").alias("least"))
-        least = least.select(F.col("node").alias("of"), F.least("node", "least").alias("least"))
+        # a written table, so that the join can split the rows of a node with very many neighbours
+        least = stage(least.select(F.col("node").alias("of"), F.least("node", "least").alias("least")), "least")
         return nodes.join(least, F.col("node") == F.col("of")).where(keep)
 
     def facts(pairs: DataFrame):
