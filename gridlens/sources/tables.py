@@ -56,7 +56,8 @@ def write_activity(clean: DataFrame, path: str) -> None:
 
 
 def write_hourly(hourly: DataFrame, path: str) -> None:
-    """The hourly summary, spread over its files by ranges of cell and time, so that a filter on cells skips whole files."""
+    """The hourly summary, spread over its files by ranges of cell and time, so that a filter on cells reads
+    the row groups of few files; of the others only the footer."""
     if "geometry_json" in hourly.columns:
         raise ValueError("geometry does not belong in the hourly summary")
     write_table(hourly, path, S.CELL_HOUR, clustered=True)
@@ -64,7 +65,7 @@ def write_hourly(hourly: DataFrame, path: str) -> None:
 
 def write_table(df: DataFrame, path: str, sort_by: list[str] | None = None, clustered: bool = False) -> None:
     """Overwrites a table, sorted inside its files. A clustered one is also spread over its files by ranges of the
-    sort columns, for tables that are mostly read by filter: then whole files are skipped."""
+    sort columns, for tables that are mostly read by filter: then all row groups of most files are skipped."""
     if sort_by:
         df = (df.repartitionByRange(*sort_by) if clustered else df).sortWithinPartitions(*sort_by)
     df.write.mode("overwrite").parquet(path)
