@@ -11,8 +11,10 @@ their texts, null first. An empty table gives an empty file.
 
 import json
 import os
-from collections.abc import Iterator
+import struct
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,17 +28,33 @@ from gridlens.llm.common import small_batches, to_batches
 from gridlens.session import scratch_path
 
 SEGMENT_IDS = 1 << 21
-KEPT_WORDS = 200_000
+KEPT_WORDS = 1_000_000
+#: Libraries agree on what is a letter below the first of these code points.
+PLAIN_BELOW = "\u0250"
+#: Signs that no pattern joins to the letters before them.
+MARKS = frozenset(".,;:!?")
+PACK = [struct.Struct(f"<{n}I").pack for n in range(32)]
+#: The letter that stands for a space.
+SPACE = "\u0120"
+
+
+def byte_letters() -> dict[int, str]:
+    """How byte-level files write bytes: visible ones of Latin-1 as themselves, the others as the letters from U+0100 on, in order."""
+    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in visible]
+    return {b: chr(b) for b in visible} | {b: chr(0x100 + n) for n, b in enumerate(others)}
 
 
 class Tokens:
     """Ids by a file of the tokenizers library; strings of special tokens in a text are ordinary text.
 
-    The library cuts byte-level texts before spaces unless these belong to a run of white space, so a word's ids do not depend
-    on its neighbours. Ids of words met are kept, up to a number of words; the library encodes the others of a batch at once.
+    A byte-level file whose pattern is given cuts texts before spaces unless these belong to a run of white space, so a word's
+    ids do not depend on its neighbours. Ids of words met are kept, up to a number of words. A new word of plain letters is cut by
+    the pattern and its pieces go to the library's model; all other words, and texts with runs of spaces, go to
+    the library whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, pattern: str | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
@@ -44,16 +62,51 @@ class Tokens:
         self.library.encode_special_tokens = True
         form = json.loads(self.library.to_str())
         step = form.get("pre_tokenizer") or {}
-        # any other kind of file is encoded by whole texts
-        self.by_words = not form.get("normalizer") and step.get("type") == "ByteLevel" and step.get("use_regex", True)
-        self.by_words = self.by_words and not step.get("add_prefix_space")
+        self.by_words = bool(pattern) and not form.get("normalizer") and step.get("type") == "ByteLevel"
+        self.by_words = self.by_words and step.get("use_regex", True) and not step.get("add_prefix_space")
         self.odd_space = regex.compile(r" (?:\s|\Z)")
+        self.pattern = regex.compile(pattern or "")
+        self.letters = str.maketrans({chr(b): c for b, c in byte_letters().items()})
+        self.tokenize = self.library.model.tokenize
         self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(f.ids, "<u4").tobytes() for f in found]
 
+    def _tokenized(self, letters: str) -> bytes:
+        ids = [t.id for t in self.tokenize(letters)]
+        return PACK[len(ids)](*ids) if len(ids) < len(PACK) else struct.pack(f"<{len(ids)}I", *ids)
+
+    def _piece(self, piece: str) -> bytes:
+        """A piece after a space is a word of its own."""
+        kept, name = (self.words, piece[1:]) if piece[0] == " " and len(piece) > 1 else (self.pieces, piece)
+        ids = kept.get(name)
+        if ids is None:
+            ids = kept[name] = self._tokenized(piece.encode().decode("latin-1").translate(self.letters))
+        return ids
+
+    def _learn(self, words: Iterable[str]) -> None:
+        others, known, tokenized = [], self.words, self._tokenized
+        for word in words:
+            if word.isascii():
+                if word.isalpha():
+                    known[word] = tokenized(SPACE + word)
+                    continue
+                letters, mark = word[:-1], word[-1:]
+                if mark in MARKS and letters.isalpha():
+                    ids = known.get(letters)
+                    if ids is None:
+                        ids = known[letters] = tokenized(SPACE + letters)
+                    known[word] = ids + self._piece(mark)
+                    continue
+            elif max(word) >= PLAIN_BELOW:
+                others.append(word)
+                continue
+            known[word] = b"".join(map(self._piece, self.pattern.findall(" " + word)))
+        known.update(zip(others, self._encode([" " + w for w in others]), strict=True))
+
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """Packed ids of each text."""
         cut: dict[int, list[str]] = {}
@@ -61,37 +114,41 @@ class Tokens:
         for i, text in enumerate(texts):
             if text:
                 if self.by_words and not self.odd_space.search(text):
-                    cut[i] = (" " + text).split(" ")[1:]
+                    cut[i] = text.split(" ")
                 else:
                     whole.append(i)
-        if len(self.words) > KEPT_WORDS:
-            self.words.clear()
-        words = self.words
-        new = list({w for parts in cut.values() for w in parts[1:] if w not in words})
-        words.update(zip(new, self._encode([" " + w for w in new]), strict=True))
+        firsts = self._encode([words.pop(0) for words in cut.values()])
+        met = set(chain.from_iterable(cut.values()))
+        for kept in (self.words, self.pieces):
+            if len(kept) > KEPT_WORDS:
+                again = {w: kept[w] for w in met if w in kept}
+                kept.clear()
+                kept.update(again)
+        self._learn(met.difference(self.words))
         out = [b""] * len(texts)
-        for i, first in zip(cut, self._encode([parts[0] for parts in cut.values()]), strict=True):
-            out[i] = first + b"".join(map(words.__getitem__, cut[i][1:]))
+        for (i, words), first in zip(cut.items(), firsts, strict=True):
+            out[i] = first + b"".join(map(self.words.__getitem__, words))
         for i, ids in zip(whole, self._encode([texts[i] for i in whole]), strict=True):
             out[i] = ids
         return out
 
 
 @lru_cache(maxsize=1)
-def tokens(path: str) -> Tokens:
-    return Tokens(path)
+def tokens(path: str, pattern: str | None) -> Tokens:
+    return Tokens(path, pattern)
 
 
 def segments(
-    docs: DataFrame, tokenizer: str, end_id: int = 0, key: str = "doc_id", text: str = "text", segment_ids: int = SEGMENT_IDS
-) -> DataFrame:
-    """One row for each segment, as the file has it."""
+    docs: DataFrame, tokenizer: str, pattern: str | None = None, end_id: int = 0, key: str = "doc_id", text: str = "text",
+    segment_ids: int = SEGMENT_IDS,
+) -> DataFrame:
+    """One row for each segment, as the file has it. pattern: the one by which a byte-level tokenizer cuts texts."""
     small_batches(docs.sparkSession)
     narrow = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     kind = narrow.schema["key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = tokens(tokenizer)
+        own = tokens(tokenizer, pattern)
         end = np.array([end_id], "<u4").tobytes()
         schema = None
         keys, lengths, held = [], [], []
@@ -123,7 +180,7 @@ def segments(
     return narrow.repartitionByRange("key").sortWithinPartitions("key", "text").mapInArrow(run, columns)
 
 
-def write(docs: DataFrame, tokenizer: str, path: str, **options) -> None:
+def write(docs: DataFrame, tokenizer: str, path: str, **options: object) -> None:
     """Files of segments(docs, tokenizer, **options)."""
     # coded ids cannot be packed any further
     segments(docs, tokenizer, **options).write.option("compression", "none").parquet(path)
@@ -140,19 +197,16 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fields = [("shard", pa.int32()), ("in_shard", pa.int64()), ("key", batch.schema.field("keys").type.value_type)]
-            schema = pa.schema([*fields, ("ids", pa.binary())])
-
-            def rows(batch=batch):
-                for row in range(batch.num_rows):
-                    shard, at, keys, lengths, coded = (batch.column(i)[row].as_py() for i in range(5))
-                    ids = memoryview(rans.decode_segment(coded).astype("<u4").tobytes())
-                    place = 0
-                    for name, n in zip(keys, lengths, strict=True):
-                        yield shard, at + place, name, bytes(ids[4 * place : 4 * (place + n)])
-                        place += n
-
-            yield from to_batches(rows(), schema)
+            for row in range(batch.num_rows):
+                shard, at, keys, lengths, coded = (batch.column(i)[row] for i in range(5))
+                ids = rans.decode_segment(coded.as_py()).astype("<u4")
+                ends = np.cumsum(lengths.values.to_numpy())
+                starts = np.concatenate([[0], ends[:-1]])
+                # the documents' ids are slices of the segment's
+                offsets = (4 * np.concatenate([starts, ends[-1:]])).astype(np.int32)
+                packed = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
+                columns = [pa.array(np.full(len(ends), shard.as_py(), np.int32)), pa.array(at.as_py() + starts), keys.values, packed]
+                yield pa.record_batch(columns, names=["shard", "in_shard", "key", "ids"])
 
     small_batches(spark)
     read_rows = files.select("shard", "first_id", "keys", "lengths", "coded")
@@ -161,9 +215,9 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return placed.select("key", (F.col("shard_first") + F.col("in_shard")).alias("start"), "ids")
 
 
-def op7_token_files(docs: DataFrame, tokenizer: str) -> DataFrame:
+def op7_token_files(docs: DataFrame, tokenizer: str, pattern: str | None = None) -> DataFrame:
     path = scratch_path(docs.sparkSession, "token-files")
-    write(docs, tokenizer, path)
+    write(docs, tokenizer, path, pattern=pattern)
     found = read(docs.sparkSession, path)
     n = (F.octet_length("ids") / 4).cast("long")
     return found.select(F.col("key").alias("doc_id"), "start", n.alias("n_tokens"), F.crc32("ids").cast("long").alias("ids_crc32"))

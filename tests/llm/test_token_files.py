@@ -10,7 +10,7 @@ from tokenizers import Tokenizer
 
 from gridlens.llm import rans, token_files
 
-PATH = public_tokenizers.path("byte_bpe_50k.json")
+PATH, PATTERN = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
 SCHEMA = "doc_id long, text string, ids string, Shard int, start int"
 
 
@@ -62,7 +62,7 @@ def test_documents(spark):
     texts = [None, "", " ", "x" * 3000, *("".join(rng.choices(parts, k=rng.randint(1, 50))) for _ in range(300))]
     rows = [(i * 37 % 1009, t, "", 1, 1) for i, t in enumerate(texts)]
     rows += [(None, "no key", "", 1, 1), (None, None, "", 1, 1), (37, "second", "", 1, 1), rows[9], rows[9]]
-    got = [tuple(r) for r in token_files.op7_token_files(spark.createDataFrame(rows, SCHEMA), PATH).collect()]
+    got = [tuple(r) for r in token_files.op7_token_files(spark.createDataFrame(rows, SCHEMA), PATH, PATTERN).collect()]
     assert sorted(got, key=repr) == sorted(plain(rows), key=repr)
 
 
@@ -78,12 +78,26 @@ def test_small_segments(spark, tmp_path):
 
 
 def test_other_tokenizers_take_whole_texts():
-    own = token_files.Tokens(public_tokenizers.path("word_bpe_49k.json"))
+    own = token_files.Tokens(public_tokenizers.path("word_bpe_49k.json"), PATTERN)
     library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     text = "Some Words, and 'more' of them"
     assert np.frombuffer(own.ids([text])[0], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_words_are_the_librarys(monkeypatch):
+    monkeypatch.setattr(token_files, "KEPT_WORDS", 40)
+    rng = random.Random(8)
+    letters = [chr(c) for c in [*range(33, 127), *range(0xA1, 0x250), *range(0x250, 0x500), 0x4E00, 0x1F600, 0x300, 0x2160, 0xB2, 10, 9]]
+    texts = [" ".join("".join(rng.choices(letters, k=rng.randint(1, 9))) for _ in range(40)) for _ in range(100)]
+    texts += ["it's we're don't I'll. (so) \"quoted\", 3.14 x2 2x", "plain words only"]
+    library = Tokenizer.from_file(PATH)
+    library.encode_special_tokens = True
+    own = token_files.Tokens(PATH, PATTERN)
+    for i in range(0, len(texts), 10):
+        got = [np.frombuffer(ids, "<u4").tolist() for ids in own.ids(texts[i : i + 10])]
+        assert got == [library.encode(t, add_special_tokens=False).ids for t in texts[i : i + 10]]
+
+
 def test_empty_table(spark):
     got = token_files.op7_token_files(spark.createDataFrame([], SCHEMA), PATH)
     assert got.collect() == [] and got.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
