@@ -12,9 +12,8 @@ their texts, null first. An empty table gives an empty file.
 import json
 import os
 import struct
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +44,20 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in visible} | {b: chr(0x100 + n) for n, b in enumerate(others)}
 
 
+class _Kept(dict):
+    """Ids of strings met, made when missing; emptied when it holds KEPT_WORDS."""
+
+    def __init__(self, make):
+        self.make = make
+
+    def __missing__(self, string: str) -> bytes:
+        ids = self.make(string)
+        if len(self) >= KEPT_WORDS:
+            self.clear()
+        self[string] = ids
+        return ids
+
+
 class Tokens:
     """Ids by a file of the tokenizers library; strings of special tokens in a text are ordinary text.
 
@@ -68,8 +81,8 @@ class Tokens:
         self.pattern = regex.compile(pattern or "")
         self.letters = str.maketrans({chr(b): c for b, c in byte_letters().items()})
         self.tokenize = self.library.model.tokenize
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.words = _Kept(self._word)
+        self.pieces = _Kept(lambda piece: self._tokenized(piece.encode().decode("latin-1").translate(self.letters)))
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
@@ -81,53 +94,33 @@ class Tokens:
 
     def _piece(self, piece: str) -> bytes:
         """A piece after a space is a word of its own."""
-        kept, name = (self.words, piece[1:]) if piece[0] == " " and len(piece) > 1 else (self.pieces, piece)
-        ids = kept.get(name)
-        if ids is None:
-            ids = kept[name] = self._tokenized(piece.encode().decode("latin-1").translate(self.letters))
-        return ids
-
-    def _learn(self, words: Iterable[str]) -> None:
-        others, known, tokenized = [], self.words, self._tokenized
-        for word in words:
-            if word.isascii():
-                if word.isalpha():
-                    known[word] = tokenized(SPACE + word)
-                    continue
-                letters, mark = word[:-1], word[-1:]
-                if mark in MARKS and letters.isalpha():
-                    ids = known.get(letters)
-                    if ids is None:
-                        ids = known[letters] = tokenized(SPACE + letters)
-                    known[word] = ids + self._piece(mark)
-                    continue
-            elif max(word) >= PLAIN_BELOW:
-                others.append(word)
-                continue
-            known[word] = b"".join(map(self._piece, self.pattern.findall(" " + word)))
-        known.update(zip(others, self._encode([" " + w for w in others]), strict=True))
+        if piece[0] == " " and len(piece) > 1 and piece[1:].isalpha():
+            return self.words[piece[1:]]
+        return self.pieces[piece]
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a word after a space."""
+        if word.isascii():
+            if word.isalpha():
+                return self._tokenized(SPACE + word)
+            if word[-1:] in MARKS and word[:-1].isalpha():
+                return self.words[word[:-1]] + self._piece(word[-1])
+        elif max(word) >= PLAIN_BELOW:
+            return self._encode([" " + word])[0]
+        elif word.isalpha():
+            return self.pieces.make(" " + word)
+        return b"".join(map(self._piece, self.pattern.findall(" " + word)))
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """Packed ids of each text."""
-        cut: dict[int, list[str]] = {}
-        whole: list[int] = []
+        out, whole = [b""] * len(texts), []
         for i, text in enumerate(texts):
             if text:
                 if self.by_words and not self.odd_space.search(text):
-                    cut[i] = text.split(" ")
+                    first, *words = text.split(" ")
+                    out[i] = self._encode([first])[0] + b"".join(map(self.words.__getitem__, words))
                 else:
                     whole.append(i)
-        firsts = self._encode([words.pop(0) for words in cut.values()])
-        met = set(chain.from_iterable(cut.values()))
-        for kept in (self.words, self.pieces):
-            if len(kept) > KEPT_WORDS:
-                again = {w: kept[w] for w in met if w in kept}
-                kept.clear()
-                kept.update(again)
-        self._learn(met.difference(self.words))
-        out = [b""] * len(texts)
-        for (i, words), first in zip(cut.items(), firsts, strict=True):
-            out[i] = first + b"".join(map(self.words.__getitem__, words))
         for i, ids in zip(whole, self._encode([texts[i] for i in whole]), strict=True):
             out[i] = ids
         return out
