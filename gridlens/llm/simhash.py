@@ -312,7 +312,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
     roots = components(links(distinct.select("fingerprint"), radius))
     named = distinct.join(roots, F.col("fingerprint") == F.col("node"), "left")
     named = named.select("fingerprint", "least_key", F.coalesce("root", "fingerprint").alias("root"))
-    names = named.groupBy("root").agg(F.min("least_key").alias("component_id"))
+    names = stage(named.groupBy("root").agg(F.min("least_key").alias("component_id")), "component-names")
     names = named.join(names, "root").select("fingerprint", "component_id")
     return prints.join(names, "fingerprint").select(F.col("key").alias(key), "fingerprint", "component_id")
 
@@ -334,7 +334,8 @@ def similar_texts(df: DataFrame, key: str = "doc_id", text: str = "text", shingl
     roots = components(_shard_links(visits, ["place"], "node", names, reach(similarity)))
     named = distinct.join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left")
     named = named.select(*names, "least_key", F.coalesce("root", "node").alias("root"))
-    least = named.groupBy("root").agg(F.min("least_key").alias("component_id"))
+    # written like the neighbours above: a component may hold a large part of all rows
+    least = stage(named.groupBy("root").agg(F.min("least_key").alias("component_id")), "component-names")
     components_of = named.join(least, "root").select(*names, "component_id")
     return prints.join(components_of, names).select(F.col("key").alias(key), "component_id")
 
