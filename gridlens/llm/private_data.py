@@ -6,7 +6,7 @@ a known given name. Where finds overlap, the kind that is listed first in KINDS
 The same value, however it is written, has the same surrogate in all documents, and different values have different ones: the
 surrogate is a keyed permutation of all values of the format (surrogates.py). What a permutation cannot know is whether a surrogate
 is some other document's real value. So all different values are gathered in a table and checked: a value whose surrogate is real, or
-was already given to another, gets a surrogate by the next permutation, until none is left. These few exceptions go with the documents that need
+was already given to another, gets a surrogate by the next permutation, and in the end of a larger format, until none is left. These few exceptions go with the documents that need
 them, by a join on the document's key, whatever their number.
 
 Null texts stay null, empty ones empty. Whole texts are searched. Equal rows are rewritten alike. An empty table gives an empty table.
@@ -26,7 +26,6 @@ from gridlens.llm.common import small_batches, to_batches, unused_name
 from gridlens.session import stage
 
 KINDS = ["email", "iban", "card", "ip", "ssn", "phone", "name"]
-MAX_ROUNDS = 20
 FOUND = ArrayType(
     StructType(
         [
@@ -112,7 +111,8 @@ def mentions(df: DataFrame, secret: bytes, key: str = "doc_id", text: str = "tex
 def exceptions(values: DataFrame, secret: bytes) -> DataFrame:
     """(kind, value, surrogate) where the first surrogate is a real value or another's surrogate.
 
-    values: (kind, value, surrogate), one row for each value. Each round looks at all surrogates; only rows that clash change.
+    values: (kind, value, surrogate), one row for each value. Each round looks at all surrogates; only rows that clash change. Formats
+    grow with the attempt, so the rounds end.
     """
     columns = ["kind", "value", "attempt", "surrogate"]
 
@@ -125,7 +125,7 @@ def exceptions(values: DataFrame, secret: bytes) -> DataFrame:
 
     current = values.select("kind", "value", F.lit(0).alias("attempt"), "surrogate")
     real = values.select(F.col("kind").alias("of"), F.col("value").alias("real"))
-    for _ in range(MAX_ROUNDS):
+    while True:
         first = Window.partitionBy("kind", "surrogate").orderBy("attempt", "value")
         marked = current.withColumn("nth", F.row_number().over(first))
         marked = marked.join(real, (F.col("kind") == F.col("of")) & (F.col("surrogate") == F.col("real")), "left")
@@ -134,7 +134,6 @@ def exceptions(values: DataFrame, secret: bytes) -> DataFrame:
             return current.where("attempt > 0").select("kind", "value", "surrogate")
         changed = marked.where("clashes").select(*columns).mapInArrow(again, "kind string, value string, attempt int, surrogate string")
         current = stage(marked.where("not clashes").select(*columns).unionByName(changed), "surrogates")
-    raise RuntimeError(f"surrogates still clash after {MAX_ROUNDS} rounds: a format has too few values for the real ones")
 
 
 def replace_private(df: DataFrame, secret: bytes, key: str = "doc_id", text: str = "text", entities: str | None = None) -> DataFrame:

@@ -5,7 +5,8 @@ with the same classes are the numbers below a product of class sizes, and a keye
 halves, makes the replacement P(P^-1(x) + step). Each value has exactly one replacement, no two share one, and none
 is its own. Nothing has to be remembered, so every task gives a value the same replacement.
 
-Only a one-letter class, or a value without any character of a class, cannot change.
+A value may be replaced again by a further attempt, which uses another permutation. From attempt LARGER on formats grow by a character,
+a given name or a wider network with each attempt, so values that cannot change within their format, or fill it, get a replacement too.
 """
 
 import hashlib
@@ -13,6 +14,8 @@ import unicodedata
 from functools import lru_cache
 
 ROUNDS = 8
+#: The first attempt that leaves the format of a value for a larger one.
+LARGER = 5
 
 # Classes of letters; a letter changes to another of its class
 LETTERS = [
@@ -40,12 +43,33 @@ def alphabet_of(character: str) -> str:
     small = character.lower()
     for letters in LETTERS:
         if small in letters:
-            own = letters if character == small else letters.upper()
-            return own if len(own) == len(letters) else letters  # ß has no capital of one letter
+            return letters if character == small else letters.replace("ß", "ẞ").upper()  # ß alone has a capital of two letters
     for first, last in BLOCKS:
         if first <= ord(character) <= last:
             return "".join(map(chr, range(first, last + 1)))
-    return character
+    return other_letters(character)
+
+
+def _group(character: str) -> tuple:
+    return ord(character) // 128, unicodedata.category(character), unicodedata.name(character, "").split(" ")[0]
+
+
+def other_letters(character: str) -> str:
+    """Letters of the same script, case and 128 code points that no class above holds, or the character alone."""
+    if not character.isalpha() or unicodedata.normalize("NFC", character) != character:
+        return character
+    first = ord(character) // 128 * 128
+    listed = "".join(LETTERS)
+    own = [c for c in map(chr, range(first, first + 128)) if c.isalpha() and c.lower() not in listed and _group(c) == _group(character)]
+    own = [c for c in own if unicodedata.normalize("NFC", c) == c and not any(a <= ord(c) <= b for a, b in BLOCKS)]
+    return "".join(own) if character in own else character
+
+
+def longer(value: str, attempt: int) -> str:
+    """The value with a character of a class more for each attempt from LARGER on."""
+    more = max(0, attempt - LARGER + 1)
+    alphabet = alphabet_of(value[-1])
+    return value + (alphabet if len(alphabet) > 1 else LETTERS[1])[0] * more
 
 
 class Replacer:
@@ -104,18 +128,22 @@ class Replacer:
         local, _, domain = value.rpartition("@")
         host, _, top = domain.rpartition(".")
         # both parts in one step, so a short one does not limit the choice
-        moved = self.characters(local + "@" + host, f"email {attempt}")
+        moved = self.characters(longer(local, attempt) + "@" + host, f"email {attempt}")
         return f"{moved}.{top}"
 
     def phone(self, value: str, attempt: int) -> str:
         """A country code after + stays: two digits of it, as its length is not known."""
         kept = value[:3] if value.startswith("+") else ""
-        return kept + self.digits(value[len(kept) :], f"phone {attempt} {kept}")
+        made = self.digits(value[len(kept) :] + "0" * max(0, attempt - LARGER + 1), f"phone {attempt} {kept}")
+        # eleven digits from 1 on would be read as ten behind a country code
+        return made + "0" if not kept and attempt >= LARGER and len(made) == 11 and made[0] == "1" else kept + made
 
     def ip(self, value: str, attempt: int) -> str:
-        """Private and loopback addresses stay in their network; all others never become one."""
+        """Private and loopback addresses stay in their network, or go to 10.0.0.0/8 where it is full; all others never become one."""
         parts = [int(p) for p in value.split(".")]
         kept = next((n for n in ((10,), (127,), (192, 168), *((172, i) for i in range(16, 32))) if tuple(parts[: len(n)]) == n), ())
+        if attempt >= LARGER and kept:
+            kept = (10,) if attempt < 2 * LARGER else ()
         number, sizes = 0, [1, 1]
         for i, part in enumerate(parts[len(kept) :]):
             number = number * 256 + part
@@ -129,15 +157,16 @@ class Replacer:
 
     def card(self, value: str, attempt: int) -> str:
         """The first digit stays, the check digit is made anew."""
-        body = value[0] + self.characters(value[1:-1], f"card {attempt} {value[0]}")
+        body = value[0] + self.characters(longer(value[1:-1], attempt), f"card {attempt} {value[0]}")
         return body + next(d for d in "0123456789" if luhn(body + d))
 
     def ssn(self, value: str, attempt: int) -> str:
-        return self.digits(value, f"ssn {attempt}")
+        return self.digits(longer(value, attempt), f"ssn {attempt}")
 
     def iban(self, value: str, attempt: int) -> str:
-        country, body = value[:2], self.characters(value[4:], f"iban {attempt} {value[:2]}", [
-            "0123456789" if c.isdigit() else "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for c in value[4:]
+        old = value[4:] + "0" * max(0, attempt - LARGER + 1)
+        country, body = value[:2], self.characters(old, f"iban {attempt} {value[:2]}", [
+            "0123456789" if c.isdigit() else "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for c in old
         ])
         return f"{country}{98 - iban_rest(country + '00' + body):02d}{body}"
 
@@ -148,12 +177,15 @@ class Replacer:
         for i, word in enumerate(words):
             group = self.given.get(word)
             if group:
-                names = GIVEN[group]
-                out.append(names[self.number(names.index(word), 1, len(names), f"given {group}")])
+                # a name that stands alone gets further given names, one for each attempt from LARGER on
+                names, more = GIVEN[group], max(0, attempt - LARGER + 1) if len(words) == 1 else 0
+                others = len(names) ** more
+                number = self.number(names.index(word) * others, len(names), others, f"given {attempt} {group}")
+                out += [names[number // len(names) ** k % len(names)] for k in range(more, -1, -1)]
             elif i + 1 < len(words) and len(word) > 3:
                 out.append(self.characters(word[:-1], f"given {attempt}") + word[-1])
             else:
-                out.append(self.characters(word, f"family {attempt}"))
+                out.append(self.characters(longer(word, attempt), f"family {attempt}"))
         return " ".join(out)
 
     def replace(self, kind: str, value: str, attempt: int = 0) -> str:
@@ -198,4 +230,5 @@ def written_like(kind: str, found: str, plain: str) -> str:
     if kind == "phone" and sum(c.isdigit() for c in found) == len(characters) + 1:
         characters = "1" + characters
     rest = iter(characters)
-    return "".join(next(rest) if c.isalnum() else c for c in found)
+    # a replacement of a larger format goes on behind the last character
+    return "".join(next(rest) if c.isalnum() else c for c in found) + "".join(rest)

@@ -119,6 +119,35 @@ def test_surrogates_that_are_real_values(spark):
     assert made[3] == OWN.replace("phone", third)
 
 
+@pytest.mark.parametrize(
+    "names",
+    [
+        [n for group, own in sg.GIVEN.items() if group[0] == "greek" for n in own] + sg.GIVEN["latin", "m"],
+        ["Արամ", "ნინო", "Ά", "ก", "த", "ক", "Ñ", "Й"],
+        [a + b for a in "BCDFGHJKLMNPQRSTVWXYZ" for b in "aeiou"],
+    ],
+)
+def test_full_and_unchangeable_formats(spark, names):
+    values = [("name", n, OWN.replace("name", n)) for n in names]
+    df = spark.createDataFrame(values, "kind string, value string, surrogate string")
+    made = {n: s for _, n, s in values} | {r["value"]: r["surrogate"] for r in pd_.exceptions(df, KEY).collect()}
+    assert len(set(made.values())) == len(names) and not set(made.values()) & set(names)
+
+
+def test_full_formats_of_numbers(spark):
+    rows = [("phone", f"+12{i}") for i in range(100, 1000)] + [("ip", f"192.168.{i}.{j}") for i in range(256) for j in range(256)]
+    df = spark.createDataFrame([(k, v, OWN.replace(k, v)) for k, v in rows], "kind string, value string, surrogate string")
+    made = dict.fromkeys(rows) | {(r["kind"], r["value"]): r["surrogate"] for r in pd_.exceptions(df, KEY).collect()}
+    assert len(set(made.values())) == len(rows) and not set(made.values()) & {v for _, v in rows}
+    assert all(s.startswith("10.") for (k, _), s in made.items() if k == "ip")
+
+
+def test_larger_formats_are_written_whole():
+    for kind, found in (("phone", "(743) 555-3824"), ("card", "4111 1111 1111 1111"), ("ssn", "123-45-6789"), ("iban", "GB82 WEST 1234 5698 7654 32")):
+        made = OWN.replace(kind, sg.plain_form(kind, found), sg.LARGER)
+        assert sg.plain_form(kind, sg.written_like(kind, found, made)) == made and len(made) > len(sg.plain_form(kind, found))
+
+
 def test_documents_of_the_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = {r["doc_id"]: r for r in pd_.op5_surrogates(docs).collect()}
