@@ -67,6 +67,29 @@ def test_near_duplicates(parts):
     assert len(set(texts)) == len(texts)
 
 
+def test_deleted_documents_have_links(parts):
+    before, after = rows(parts["language"]), rows(parts["near_duplicates"])
+    sets = {i: shingles(r["text"]) for i, r in before.items()}
+    by_shingle = {}
+    for i, own in sets.items():
+        for s in own:
+            by_shingle.setdefault(s, []).append(i)
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, own in sets.items():
+        shared = Counter(j for s in own for j in by_shingle[s] if j < i)
+        for j, n in shared.items():
+            if n / (len(own) + len(sets[j]) - n) >= stages.SIMILARITY:
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    assert all(find(i) != i for i in before if i not in after)
+
+
 def test_private_data(parts):
     before, after = rows(parts["near_duplicates"]), rows(parts["private_data"])
     assert before.keys() == after.keys()
