@@ -210,19 +210,23 @@ class Labeller:
 
     def results(self, texts: list[str | None]) -> list[tuple]:
         """(language, score, spans) of each text; a span is its language, its first word and its number of words."""
+        return [r[:3] for r in self.results_and_shares(texts)]
+
+    def results_and_shares(self, texts: list[str | None]) -> list[tuple]:
+        """(language, score, spans, share of all letters that count for any learned language) of each text."""
         words = [words_of(t) for t in texts]
         if not self.model.languages:
-            return [(UNKNOWN, 0.0, []) for _ in texts]
+            return [(UNKNOWN, 0.0, [], 0.0) for _ in texts]
         out, names = [], self.model.languages
         for own, path, rows in zip(words, self.label(words), self.found, strict=True):
             if not any(map(has_letter, own)):
-                out.append((UNKNOWN, 0.0, []))
+                out.append((UNKNOWN, 0.0, [], 0.0))
                 continue
             letters = np.bincount(path, weights=self.letters[rows], minlength=len(names))
             best, total = int(letters.argmax()), sum(map(len, own))
             starts = [0, *(np.flatnonzero(np.diff(path)) + 1).tolist(), len(path)]
             spans = [{"lang": names[path[a]], "first_word": a, "words": b - a} for a, b in zip(starts, starts[1:], strict=False)]
-            out.append((names[best], float(letters[best] / total), spans))
+            out.append((names[best], float(letters[best] / total), spans, float(letters.sum() / total)))
         return out
 
 
@@ -284,17 +288,17 @@ def _counts(sample: DataFrame) -> DataFrame:
     return counts.groupBy("lang", "is_script", "place").agg(F.sum("n").alias("n"))
 
 
-def predict(df: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+def predict(df: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, share: str | None = None) -> DataFrame:
     """The kept columns (all by default) with lang_pred, score and spans of every row, from the text alone.
 
-    Kept columns of these three names make way for the new ones.
+    Kept columns of these three names make way for the new ones. share names a column for the share of letters in all learned languages.
     """
     spark = small_batches(df.sparkSession)
     sent = spark.sparkContext.broadcast(model)
     own = [c for c in (df.columns if keep is None else keep) if c.lower() not in ("lang_pred", "score", "spans")]
     narrow = df.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("kept"), F.col(f"`{text}`").alias("text"))
     span = pa.struct([("lang", pa.string()), ("first_word", pa.int32()), ("words", pa.int32())])
-    types = [pa.string(), pa.float64(), pa.list_(span)]
+    types = [pa.string(), pa.float64(), pa.list_(span), pa.float64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(sent.value)
@@ -302,12 +306,12 @@ def predict(df: DataFrame, model: Model, text: str = "text", keep: list[str] | N
 
         def labelled() -> Iterator[pa.RecordBatch]:
             texts = [t for batch in waiting for t in batch.column(1).to_pylist()]
-            results, at = labeller.results(texts), 0
+            results, at = labeller.results_and_shares(texts), 0
             for batch in waiting:
                 part = list(zip(*results[at : at + batch.num_rows], strict=True))
                 at += batch.num_rows
                 made = [pa.array(c, t) for c, t in zip(part, types, strict=True)]
-                yield pa.record_batch([batch.column(0), *made], names=["kept", "lang_pred", "score", "spans"])
+                yield pa.record_batch([batch.column(0), *made], names=["kept", "lang_pred", "score", "spans", "share"])
 
         for batch in batches:
             if batch.num_rows:
@@ -317,9 +321,9 @@ def predict(df: DataFrame, model: Model, text: str = "text", keep: list[str] | N
                 waiting = []
         yield from labelled()
 
-    schema = StructType([narrow.schema["kept"], *OUTPUTS])
+    schema = StructType([narrow.schema["kept"], *OUTPUTS, StructField("share", DoubleType())])
     made = narrow.mapInArrow(run, schema)
-    return made.select(*(F.col("kept")[c].alias(c) for c in own), "lang_pred", "score", "spans")
+    return made.select(*(F.col("kept")[c].alias(c) for c in own), "lang_pred", "score", "spans", *([F.col("share").alias(share)] if share else []))
 
 
 def op9_language_spans(docs: DataFrame) -> DataFrame:

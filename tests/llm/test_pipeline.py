@@ -47,6 +47,21 @@ def test_language(spark, parts):
     assert all(after[i] == before[i] for i in after) and len(after) > 0.95 * len(before)
 
 
+def test_mixed_documents_stay(spark, parts):
+    by_language = {}
+    for r in parts["documents"].collect():
+        if r["text"] and r["lang"] and len(r["text"].split()) >= 80:
+            by_language.setdefault(r["lang"], []).append(r["text"].split())
+    mixed = [" ".join(w for lang, n in zip(sorted(by_language), (40, 35, 25), strict=False) for w in by_language[lang][i][:n]) for i in range(5)]
+    english = " ".join(by_language["en"][0][:60])
+    mixed.append(english + " " + " ".join(["漢字文章"] * (sum(map(str.isalpha, english)) * 55 // 45 // 4)))
+    model = language_spans.train(parts["documents"])
+    scores = [score for _, score, _ in language_spans.Labeller(model).results(mixed)]
+    extra = spark.createDataFrame([(10**9 + i, t, None, "x", len(t)) for i, t in enumerate(mixed)], parts["documents"].schema)
+    after = rows(stages.language(spark, parts["documents"].unionByName(extra), ""))
+    assert min(scores) < 0.5 and all(10**9 + i in after for i in range(len(mixed)))
+
+
 def test_near_duplicates(parts):
     before, after = rows(parts["language"]), rows(parts["near_duplicates"])
     sets = {i: shingles(r["text"]) for i, r in before.items()}
