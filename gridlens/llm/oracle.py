@@ -2,7 +2,9 @@
 
 from gridlens.llm import feistel_shards as fs
 from gridlens.llm import line_rules as lr
+from gridlens.llm import merkle as mk
 from gridlens.llm import secret_scan as ss
+from gridlens.llm import sorted_lists as sl
 
 
 def _text(value: str) -> str:
@@ -141,9 +143,69 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 FROM texts LEFT JOIN gathered USING (r)"""
 
 
+def op11_slot_pivot(fanout: int = mk.FANOUT) -> str:
+    value = "coalesce(strlen(CAST({0} AS VARCHAR)) || ':' || {0}, '-')"
+    leaf, changed = (
+        " || ".join(value.format(f"replace({c}, chr(10), '')" if tampered and c == "text" else c) for c in mk.COLUMNS) for tampered in (False, True)
+    )
+
+    def tree(name: str, leaves: str) -> str:
+        """All nodes of the trees over (tree, node, nodes, digest)."""
+        return f"""{name} AS (SELECT tree, 0 AS level, node, nodes, digest FROM {leaves}
+      UNION ALL SELECT tree, level + 1, node // {fanout}, (nodes + {fanout - 1}) // {fanout}, sha256(string_agg(digest, '' ORDER BY node))
+      FROM {name} WHERE nodes > 1 GROUP BY tree, level, node // {fanout}, nodes)"""
+
+    def steps(name: str, leaves: str, nodes: str) -> str:
+        """left and right siblings of each leaf at each level of more than one node."""
+        own, up = f"l.node // CAST({fanout} ** n.level AS BIGINT)", f"l.node // CAST({fanout} ** (n.level + 1) AS BIGINT)"
+        beside = lambda sign: f"coalesce(string_agg(s.digest, '' ORDER BY s.node) FILTER (WHERE s.node {sign} {own}), '')"
+        return f"""{name} AS (SELECT l.r, n.level, {beside('<')} AS before, {beside('>')} AS after
+      FROM {leaves} l JOIN (SELECT DISTINCT tree, level FROM {nodes} WHERE nodes > 1) n USING (tree)
+      JOIN {nodes} s ON s.tree = l.tree AND s.level = n.level AND s.node // {fanout} = {up} GROUP BY l.r, n.level, l.node)"""
+
+    return f"""
+WITH RECURSIVE crc_table AS ({_CRC_TABLE}),
+ids AS (SELECT *, list_transform(regexp_extract_all(hex(encode(CAST(doc_id AS VARCHAR))), '..'), lambda h: CAST('0x' || h AS BIGINT)) AS bytes FROM documents),
+hashed AS (SELECT row_number() OVER () AS r, doc_id, source, sha256({leaf}) AS digest,
+                  CASE WHEN {_CRC} % 2 = 0 THEN sha256({changed}) ELSE sha256({leaf}) END AS tampered FROM ids, crc_table),
+leaves AS (SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, count(*) OVER (PARTITION BY source) AS nodes,
+                  row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, digest) - 1 AS node FROM hashed),
+{tree("lower_nodes", "leaves")},
+subroots AS (SELECT 0 AS tree, tree AS r, tree AS node, count(*) OVER () AS nodes, digest FROM lower_nodes WHERE nodes = 1),
+{tree("upper_nodes", "subroots")},
+{steps("lower_steps", "leaves", "lower_nodes")},
+{steps("upper_steps", "subroots", "upper_nodes")},
+way AS (SELECT r, row_number() OVER (PARTITION BY r ORDER BY part, level) AS step, before, after
+        FROM (SELECT r, 0 AS part, level, before, after FROM lower_steps
+              UNION ALL SELECT l.r, 1, level, before, after FROM leaves l JOIN upper_steps u ON u.r = l.tree)),
+proofs AS (SELECT r, string_agg(before || after, '' ORDER BY step) AS proof FROM way GROUP BY r),
+folding AS (SELECT r, 0 AS step, tampered AS digest FROM leaves
+            UNION ALL SELECT f.r, f.step + 1, sha256(before || digest || after) FROM folding f JOIN way w ON w.r = f.r AND w.step = f.step + 1),
+folds AS (SELECT r, arg_max(digest, step) AS folded_root FROM folding GROUP BY r)
+SELECT l.doc_id, l.digest AS leaf, s.digest AS subroot, u.digest AS root, sha256(coalesce(proof, '')) AS proof_sha256, folded_root,
+       folded_root = u.digest AS verified
+FROM leaves l JOIN subroots s ON s.r = l.tree JOIN (SELECT digest FROM upper_nodes WHERE nodes = 1) u ON true
+JOIN folds f ON f.r = l.r LEFT JOIN proofs p ON p.r = l.r"""
+
+
+def op13_sorted_lists(k: int = sl.K, every: int = 50) -> str:
+    return f"""
+WITH usable AS (SELECT vec_id, list_transform(embedding, lambda c: CAST(floor(256 * CAST(c AS DOUBLE)) AS HUGEINT)) AS x FROM embeddings
+                WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+                  AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+width AS (SELECT len(x) AS n FROM usable GROUP BY n ORDER BY count(*) DESC, n DESC LIMIT 1),
+vectors AS (SELECT DISTINCT vec_id, x FROM usable WHERE len(x) = (SELECT n FROM width)),
+scored AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(range(1, len(q.x) + 1), lambda i: q.x[i] * c.x[i])) AS score
+           FROM vectors q JOIN vectors c ON q.vec_id <> c.vec_id WHERE q.vec_id % {every} = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= {k}"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_line_rules": op2_line_rules(),
         "op8_feistel_shards": op8_feistel_shards(),
         "op10_secret_scan": op10_secret_scan(),
+        "op11_slot_pivot": op11_slot_pivot(),
+        "op13_sorted_lists": op13_sorted_lists(),
     }
