@@ -1,4 +1,4 @@
-"""Exact order statistics, quantiles and leave-one-out medians without putting a large group in one task."""
+"""Exact order statistics, quantiles, leave-one-out medians and mergeable order summaries without putting a large group in one task."""
 
 from collections.abc import Callable
 from functools import reduce
@@ -211,3 +211,43 @@ def _sliced_buckets(df: DataFrame, buckets: list[str], value: str, output: str,
     middle = _search_slices(df.select(*buckets, F.col(value).alias("_value")), _middle, buckets, max_group_rows=max_group_rows)
     baseline = _median_of_others(F.col(value), F.col("group_rows"))
     return df.join(small_side(stage(middle, "middle-values")), buckets).withColumn(output, baseline).select(*df.columns, output)
+
+
+def value_counts(rows: DataFrame, buckets: list[str], value: str) -> DataFrame:
+    """How often each value occurs in its bucket: an exact order summary that merges with others by adding counts."""
+    return rows.where(F.col(value).isNotNull()).groupBy(*buckets, F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("rows"))
+
+
+def merged_counts(summaries: list[DataFrame], keys: list[str]) -> DataFrame:
+    """One summary of several; keys are the buckets. Values taken out come with negative counts and vanish at zero."""
+    together = reduce(DataFrame.unionByName, summaries)
+    return together.groupBy(*keys, "value").agg(F.sum("rows").alias("rows")).where("rows <> 0")
+
+
+def middle_values(summary: DataFrame, buckets: list[str]) -> DataFrame:
+    """group_rows and the values around the middle of each bucket of a summary, by which medians of others follow.
+
+    Counts of value slices tell which slices hold the middle; only their values are sorted, each slice in a task of its own.
+    """
+    sliced = summary.withColumn("_slice", value_slice(F.col("value")))
+    over_slices = Window.partitionBy(*buckets).orderBy("_slice")
+    sizes = sliced.groupBy(*buckets, "_slice").agg(F.sum("rows").alias("_rows"))
+    located = sizes.select(
+        *buckets, "_slice", (F.sum("_rows").over(over_slices) - F.col("_rows")).alias("_before"), "_rows",
+        F.sum("_rows").over(Window.partitionBy(*buckets)).alias("group_rows"),
+    )
+    wanted = _middle(F.col("group_rows"))
+    holds = reduce(or_, [(p >= F.col("_before")) & (p < F.col("_before") + F.col("_rows")) for p in wanted.values()])
+    inside = sliced.join(located.where(holds).drop("_rows"), [*buckets, "_slice"])
+    first = F.col("_before") + F.sum("rows").over(Window.partitionBy(*buckets, "_slice").orderBy("value")) - F.col("rows")
+    spots = inside.withColumn("_first", first).groupBy(*buckets, "group_rows")
+    found = {name: (p >= F.col("_first")) & (p < F.col("_first") + F.col("rows")) for name, p in wanted.items()}
+    return spots.agg(*[F.max(F.when(here, F.col("value"))).alias(name) for name, here in found.items()])
+
+
+def medians_of_others(
+    rows: DataFrame, middles: DataFrame, buckets: list[str], value: str = "total_activity", output: str = "baseline_activity"
+) -> DataFrame:
+    """The same column as leave_one_out_median, from the middle values of a summary that counts the rows' own values too."""
+    baseline = _median_of_others(F.col(value), F.col("group_rows"))
+    return rows.join(small_side(middles), buckets, "left").withColumn(output, baseline).select(*rows.columns, output)

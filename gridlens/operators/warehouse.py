@@ -38,9 +38,18 @@ def fact_network_activity(hourly: DataFrame, times: DataFrame) -> DataFrame:
     )
 
 
+def with_day(fact: DataFrame) -> DataFrame:
+    """Fact rows with the day of their time key, by which the table is stored in folders."""
+    return fact.withColumn("date", F.to_date(F.timestamp_seconds("time_key")))
+
+
 def star(fact: DataFrame, times: DataFrame) -> DataFrame:
-    """Fact rows with their timestamp columns."""
-    return fact.join(small_side(times), "time_key")
+    """Fact rows with their timestamp columns.
+
+    A fact stored by day is joined by day and key. A filter on dim_time then limits the days that the scan opens: one that
+    names dates when the query is planned, one on any other column of dim_time when it runs.
+    """
+    return fact.join(small_side(times), [name for name in ("date", "time_key") if name in fact.columns])
 
 
 def warehouse_checks(source: DataFrame, fact: DataFrame, grids: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ from gridlens.operators import (
     warehouse,
     windows,
 )
-from gridlens.plans import fixtures, nightly
+from gridlens.plans import fixtures, incremental, nightly
 from gridlens.session import prepare, scratch_path, stage
 from gridlens.sources import activity, files, tables
 from gridlens.sources import geo as geometry
@@ -133,6 +133,16 @@ class Dataset:
     def star(self) -> DataFrame:
         return warehouse.star(self.fact, self.dim_time)
 
+    @cached_property
+    def fact_by_day(self) -> DataFrame:
+        path = scratch_path(self.spark, "fact-by-day")
+        tables.write_by_day(warehouse.with_day(self.fact), path, ["time_key", "grid_id"])
+        return tables.read_table(self.spark, path)
+
+    @property
+    def star_by_day(self) -> DataFrame:
+        return warehouse.star(self.fact_by_day, self.dim_time)
+
     @property
     def predicted_test(self) -> DataFrame:
         return risk.predict(self.test, self.example_model)
@@ -157,6 +167,16 @@ class Dataset:
     def landing_files(self) -> DataFrame:
         return self.landing.select("file").distinct()
 
+    @cached_property
+    def increments(self) -> incremental.Store:
+        """All events in two landings, the second one with half of a day in the middle of the month."""
+        store = incremental.Store(self.spark, scratch_path(self.spark, "increments"))
+        rows = fixtures.event_rows(self.spark, self.sf_dir)
+        late = (F.dayofmonth(F.to_date("file_date")) == 16) & (F.col("event_id") % 2 == 0)
+        for name, part in (("first", ~late), ("second", late)):
+            incremental.apply_landing(store, rows.where(part).select(*S.RAW_COLUMNS), name, fixtures.FIXTURE_THRESHOLD, fixtures.DECIMALS)
+        return store
+
     @property
     def run_log(self) -> DataFrame:
         """A status log with one run per raw file date; a date with over 3.2 % rejected rows counts as failed."""
@@ -700,6 +720,25 @@ def grid_activity_at_noon(d: Dataset) -> DataFrame:
     return service.grid_activity(d.star, d.lookup, hour=12)
 
 
+@query()
+def grid_activity_on_day(d: Dataset) -> DataFrame:
+    """All cells on the latest day; the scan opens the folder of that day alone."""
+    latest = d.dim_time.agg(F.max("date").cast("string")).first()[0]
+    return service.grid_activity(d.star_by_day, d.lookup, date=latest)
+
+
+@query()
+def grid_activity_at_time(d: Dataset) -> DataFrame:
+    """All cells at the latest time; which day that is, the scan learns from dim_time when it runs."""
+    return service.grid_activity(d.star_by_day, d.lookup, as_of=d.dim_time.agg(F.max("timestamp")).first()[0])
+
+
+@query()
+def sunday_summary(d: Dataset) -> DataFrame:
+    """Summary per timestamp of all Sundays, by a filter on a column that only dim_time has."""
+    return service.network_summary(d.star_by_day.where(F.col("day_of_week") == "Sunday"))
+
+
 @query()
 def grid_activity_high_cells(d: Dataset) -> DataFrame:
     """The same with all cell ids moved up by 10,000."""
@@ -1016,6 +1055,56 @@ def nightly_run(d: Dataset) -> DataFrame:
     return nightly.current_table(d.spark, path, "hourly_grid_summary")
 
 
+@query()
+def incremental_hourly(d: Dataset) -> DataFrame:
+    """Tables that took the events in two landings hold what one run over all events gives."""
+    return d.increments.table("hourly").select(*d.hourly.columns)
+
+
+@query()
+def incremental_fact(d: Dataset) -> DataFrame:
+    return d.increments.table("fact_network_activity").drop("date")
+
+
+@query()
+def incremental_alerts(d: Dataset) -> DataFrame:
+    return d.increments.table("network_alerts").drop("date")
+
+
+@query()
+def incremental_features(d: Dataset) -> DataFrame:
+    return d.increments.table("features").drop("date")
+
+
+@query()
+def incremental_training_set(d: Dataset) -> DataFrame:
+    return d.increments.table("training_set").drop("date")
+
+
+@query()
+def incremental_scores(d: Dataset) -> DataFrame:
+    return d.increments.scores()
+
+
+@query()
+def scores_of_two_loads(d: Dataset) -> DataFrame:
+    """Anomaly scores from the order summaries of two halves of the month, merged without their rows."""
+    bucket, early = ["grid_id", "hour"], F.dayofmonth("date") <= 15
+    parts = [order_stats.value_counts(d.hourly.where(part), bucket, "total_activity") for part in (early, ~early)]
+    stored = [stage(part, "order-summary") for part in parts]
+    middles = order_stats.middle_values(order_stats.merged_counts(stored, bucket), bucket)
+    rows = d.hourly.select("grid_id", "timestamp", "hour", "total_activity")
+    return anomaly.score_against_baseline(order_stats.medians_of_others(rows, stage(middles, "middles"), bucket))
+
+
+@query()
+def loo_median_of_summaries(d: Dataset) -> DataFrame:
+    """Per hour of day over all cells, from the summaries of odd and even cells: large buckets with many different values."""
+    parts = [stage(order_stats.value_counts(d.hourly.where(F.col("grid_id") % 2 == i), ["hour"], "total_activity"), "order-summary") for i in (0, 1)]
+    middles = stage(order_stats.middle_values(order_stats.merged_counts(parts, ["hour"]), ["hour"]), "middles")
+    return order_stats.medians_of_others(d.hourly, middles, ["hour"]).select("grid_id", "timestamp", "baseline_activity")
+
+
 @query()
 def storage_sizes(d: Dataset) -> DataFrame:
     path = scratch_path(d.spark, "sizes")

@@ -152,7 +152,7 @@ def _warehouse_step(run: Run) -> None:
     hourly = run.table("hourly_grid_summary")
     tables.write_table(warehouse.dim_time(hourly), run.path("dim_time"))
     fact = warehouse.fact_network_activity(hourly, run.table("dim_time"))
-    tables.write_table(fact, run.path("fact_network_activity"), ["time_key", "grid_id"], clustered=True)
+    tables.write_by_day(warehouse.with_day(fact), run.path("fact_network_activity"), ["time_key", "grid_id"])
     written = run.table("fact_network_activity")
     run.counts["rows_published"] = written.count()
     if run.states.get("geometry") == "success":

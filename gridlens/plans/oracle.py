@@ -387,7 +387,7 @@ _AGREEMENT = """SELECT count(*) FILTER (WHERE np3_positive) AS np3_positive_test
                count(*) FILTER (WHERE agreement) AS agreement FROM compared"""
 
 
-def oracle_sql() -> dict[str, str]:
+def _own_sql() -> dict[str, str]:
     return {
         "scan_activity": _with(f"SELECT {', '.join(RAW_COLUMNS)} FROM raw", "raw"),
         "canonical_columns": _with("SELECT * FROM canonical", "canonical"),
@@ -762,6 +762,15 @@ def oracle_sql() -> dict[str, str]:
         "grid_activity_at_noon": _with(
             f"SELECT grid_id, timestamp, {_rounded(*MEASURES, 'total_activity')} FROM hourly WHERE hour = 12", "hourly"
         ),
+        "grid_activity_on_day": _with(
+            f"""SELECT grid_id, timestamp, {_rounded(*MEASURES, 'total_activity')} FROM hourly
+                WHERE date = (SELECT max(date) FROM hourly)""",
+            "hourly",
+        ),
+        "grid_activity_at_time": _with(
+            f"SELECT grid_id, timestamp, {_rounded(*MEASURES, 'total_activity')} FROM hourly, latest WHERE timestamp = as_of", "latest"
+        ),
+        "sunday_summary": _with(_SUMMARY.format("(SELECT * FROM hourly WHERE day_of_week = 'Sunday')"), "hourly"),
         "network_hotspots": _with(
             f"SELECT grid_id, timestamp, {_rounded('total_activity')}, status, reason, {_RISK_OUT} FROM hot", "hot"
         ),
@@ -937,3 +946,21 @@ def oracle_sql() -> dict[str, str]:
         ),
         "wide_network_summary": _with(_SUMMARY.format("wide_hourly"), "wide_hourly"),
     }
+
+
+# queries that find the rows of another query by another way
+_SAME_ROWS = {
+    "incremental_hourly": "hourly_grid_summary",
+    "incremental_fact": "fact_network_activity",
+    "incremental_alerts": "network_alerts",
+    "incremental_features": "network_features",
+    "incremental_training_set": "training_set",
+    "incremental_scores": "anomaly_scores",
+    "scores_of_two_loads": "anomaly_scores",
+    "loo_median_of_summaries": "loo_median_sliced",
+}
+
+
+def oracle_sql() -> dict[str, str]:
+    found = _own_sql()
+    return found | {name: found[other] for name, other in _SAME_ROWS.items()}

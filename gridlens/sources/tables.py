@@ -71,6 +71,12 @@ def write_table(df: DataFrame, path: str, sort_by: list[str] | None = None, clus
     df.write.mode("overwrite").parquet(path)
 
 
+def write_by_day(df: DataFrame, path: str, sort_by: list[str], day: str = "date") -> None:
+    """Folders by day, rows of a day sorted and spread over files by ranges of the keys; replaces only the days it carries."""
+    spread = df.repartitionByRange(day, *sort_by).sortWithinPartitions(day, *sort_by)
+    spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
+
+
 def write_small_csv(df: DataFrame, path: str, max_rows: int = 1000) -> None:
     """A single CSV file for people, written by one task. A larger table is an error, not cut: use write_csv for it."""
     rows = df.limit(max_rows + 1).count()

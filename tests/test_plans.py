@@ -4,8 +4,11 @@ import re
 
 import pytest
 
-from gridlens.operators import features, report, service
+from gridlens.operators import features, report, service, warehouse
 from gridlens.plans.catalog import dataset
+from gridlens.session import stage
+from gridlens.sources import tables
+from tests.plan_metrics import executed, scanned
 
 
 @pytest.fixture(scope="module")
@@ -49,3 +52,35 @@ def test_report_ranks_without_texts(d):
     read = re.findall(r"ReadSchema: (.*)", plan(report.attention_report(d.risk, d.scores)))
     assert any("anomaly_score" in c and "reason" not in c for c in read)
     assert not any("anomaly_score" in c and "reason" in c for c in read)
+
+
+def test_a_day_opens_its_own_folder_only(d, spark, sf_dir):
+    days = d.dim_time.select("date").distinct().count()
+    everything = scanned(executed(service.network_summary(d.star_by_day)), "total_activity")
+    assert everything["numPartitions"] == days > 20
+    day = d.dim_time.agg({"date": "max"}).first()[0]
+    one = service.grid_activity(d.star_by_day, d.lookup, date=str(day))
+    found = scanned(executed(one), "total_activity")
+    assert found["numPartitions"] == 1 and found["numFiles"] <= everything["numFiles"] / days * 3
+
+
+def test_a_filter_on_the_dimension_limits_the_days_at_run_time(d):
+    days = d.dim_time.select("date").distinct().count()
+    as_of = d.dim_time.agg({"timestamp": "max"}).first()[0]
+    at_time = service.grid_activity(d.star_by_day, d.lookup, as_of=as_of)
+    assert "dynamicpruning" in plan(at_time)
+    assert scanned(executed(at_time), "total_activity")["numPartitions"] == 1
+    sundays = service.network_summary(d.star_by_day.where("day_of_week = 'Sunday'"))
+    assert "dynamicpruning" in plan(sundays)
+    assert scanned(executed(sundays), "total_activity")["numPartitions"] <= days / 7 + 1
+
+
+def test_a_day_is_replaced_alone(d, spark, tmp_path):
+    path = str(tmp_path / "fact")
+    tables.write_by_day(warehouse.with_day(d.fact), path, ["time_key", "grid_id"])
+    before = {r["date"]: r["n"] for r in tables.read_table(spark, path).groupBy("date").agg({"*": "count"}).toDF("date", "n").collect()}
+    day = max(before)
+    part = stage(tables.read_table(spark, path).where(f"date = '{day}'").limit(1), "one-row")
+    tables.write_by_day(part, path, ["time_key", "grid_id"])
+    after = {r["date"]: r["n"] for r in tables.read_table(spark, path).groupBy("date").agg({"*": "count"}).toDF("date", "n").collect()}
+    assert after == before | {day: 1}
