@@ -68,12 +68,17 @@ def test_lists_are_left_early_where_scores_differ():
     rng = np.random.default_rng(5)
     rows = (rng.normal(size=(4000, 16)) * 256 * np.exp(rng.normal(0, 1, (4000, 1)))).astype(np.int64)
     piece = sl.Piece(rows, np.arange(4000))
-    for query in rows[:20]:
-        ids, scores = piece.best(query, 6)
-        exact = rows @ query
-        want = sorted(range(4000), key=lambda i: (-exact[i], i))[:6]
-        assert ids.tolist() == want and scores.tolist() == exact[want].tolist()
+    exact = rows @ rows[:20].T
+    want = [sorted(range(4000), key=lambda i: (-column[i], i))[:6] for column in exact.T]
+    found = list(piece.best(rows[:20], np.full(20, -np.inf), 6))
+    for (ids, scores), wanted, column in zip(found, want, exact.T, strict=True):
+        assert ids.tolist() == wanted and scores.tolist() == column[wanted].tolist()
     assert piece.read < 0.5 * 20 * rows.size
+    floors = np.array([column[wanted[3]] for wanted, column in zip(want, exact.T, strict=True)], float)
+    read = piece.read
+    for (ids, _), wanted in zip(piece.best(rows[:20], floors, 6), want, strict=True):
+        assert ids.tolist()[:4] == wanted[:4]
+    assert piece.read - read <= read
 
 
 def test_packed_rows_come_back():
