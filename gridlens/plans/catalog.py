@@ -290,6 +290,19 @@ def validate_spoiled_files(d: Dataset) -> DataFrame:
     return files.validate_files(lines, names.unionByName(empty))
 
 
+@query()
+def validate_quoted_files(d: Dataset) -> DataFrame:
+    """Files whose records go over several lines and splits; row numbers count records."""
+    return files.validate_files(fixtures.quoted_lines(d.landing))
+
+
+@query()
+def quoted_rows(d: Dataset) -> DataFrame:
+    """The raw rows of accepted files with quoted line breaks."""
+    lines = fixtures.quoted_lines(d.landing)
+    return files.accepted_rows(lines, stage(files.judge_files(lines), "judged")).drop("source_file")
+
+
 @query()
 def skip_ingested(d: Dataset) -> DataFrame:
     return files.skipped_files(d.landing_files, d.first_run_audit)

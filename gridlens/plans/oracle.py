@@ -406,6 +406,22 @@ def _own_sql() -> dict[str, str]:
             "landing",
             "verdicts",
         ),
+        "validate_quoted_files": _with(
+            """SELECT file, reason = 'Validation passed' AS ok, reason FROM (
+                   SELECT file, CASE kind WHEN 1 THEN 'Incorrect number of columns at row 2'
+                       WHEN 2 THEN CASE WHEN bad_time THEN 'Invalid datetime at row 2' ELSE 'Non-numeric value in smsin at row 2' END
+                       ELSE v.reason END AS reason
+                   FROM (SELECT file, any_value(CellID) % 5 AS kind, arg_min(datetime, event_id) = 'not-a-time' AS bad_time
+                         FROM landing GROUP BY file) JOIN verdicts v USING (file))""",
+            "landing",
+            "verdicts",
+        ),
+        "quoted_rows": _with(
+            f"""SELECT {', '.join(RAW_COLUMNS)} FROM landing JOIN verdicts USING (file)
+                WHERE ok AND coalesce(CellID % 5, 0) NOT IN (1, 2)""",
+            "landing",
+            "verdicts",
+        ),
         "skip_ingested": _with(
             """SELECT file, 'SKIPPED' AS status, CASE WHEN ok THEN 'File already exists in raw'
                ELSE 'File already exists in rejected' END AS reason FROM audited WHERE seen""",

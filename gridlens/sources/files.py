@@ -1,11 +1,13 @@
-"""File gate: every landing file is checked line by line in one distributed pass."""
+"""File gate: every landing file is checked record by record in one distributed pass; files with quoted line breaks take a second one."""
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridlens import schema as S
 from gridlens.operators.joins import small_side
+from gridlens.session import stage
 from gridlens.sources.activity import matching_files, scanned_file
+from gridlens.sources.records import opens_record, raw_rows, whole_records
 
 # --- fixed values: verdict texts of the gate ---
 PASSED = "Validation passed"
@@ -45,7 +47,7 @@ def split_line(line: Column) -> Column:
     """Fields of a CSV line; quotes are honoured where the line has any."""
     quoted = F.transform(
         F.split(line, r',(?=(?:[^"]*"[^"]*")*[^"]*$)'),
-        lambda field: F.regexp_replace(F.regexp_replace(field, r'^\s*"(.*)"\s*$', "$1"), '""', '"'),
+        lambda field: F.regexp_replace(F.regexp_replace(field, r'(?s)^\s*"(.*)"\s*$', "$1"), '""', '"'),
     )
     return F.when(F.contains(line, F.lit('"')), quoted).otherwise(F.split(line, ","))
 
@@ -59,37 +61,67 @@ def _number(text: Column) -> Column:
     return F.when(~text.rlike(r"(?i)([0-9.][df]|x.*)$"), text.try_cast("double"))
 
 
-def line_violation(fields: Column) -> Column:
-    """The first thing wrong with a data line, checked left to right, or NULL. Cell and country are not checked."""
-    time = F.trim(fields[0])
+def _trimmed(field: Column) -> Column:
+    """Without white space of any kind at its ends; a quoted field may end in a line break."""
+    return F.when(F.contains(field, F.lit("\n")), F.regexp_replace(field, r"^\s+|\s+$", "")).otherwise(F.trim(field))
+
+
+def with_violation(lines: DataFrame) -> DataFrame:
+    """Adds violation: the first thing wrong with a data line, its fields checked left to right, or NULL. Cell and country are not checked.
+
+    Each field is taken out and cast once; the checks look at the results.
+    """
+    fields, numbers = F.col("fields"), {}
+    values = {"time_text": _trimmed(fields[0])}
+    for index, name in enumerate(S.RAW_COLUMNS):
+        if name in S.RAW_MEASURES:
+            values[f"text_{name}"] = _trimmed(F.try_element_at(fields, F.lit(index + 1)))
+            numbers[f"number_{name}"] = _number(F.col(f"text_{name}"))
+    time = F.col("time_text")
     checks = [
         F.when(F.size(fields) != len(S.RAW_COLUMNS), WRONG_WIDTH),
         F.when(~time.rlike(_ISO_TIME) | F.try_to_timestamp(time).isNull(), BAD_TIME),
     ]
-    for index, name in enumerate(S.RAW_COLUMNS):
-        if name in S.RAW_MEASURES:
-            text = F.trim(F.try_element_at(fields, F.lit(index + 1)))
-            number = _number(text)
-            checks.append(F.when((text != "") & number.isNull(), NOT_A_NUMBER.format(name)))
-            checks.append(F.when(F.isnan(number) | (F.abs(number) == float("inf")), NOT_FINITE.format(name)))
-            checks.append(F.when((text != "") & (number < 0), NEGATIVE.format(name)))
-    return F.coalesce(*checks)
+    for name in S.RAW_MEASURES:
+        text, number = F.col(f"text_{name}"), F.col(f"number_{name}")
+        wrong = F.when(number.isNull(), NOT_A_NUMBER.format(name)).when(F.isnan(number) | (F.abs(number) == float("inf")), NOT_FINITE.format(name))
+        checks.append(F.when(text != "", wrong.when(number < 0, NEGATIVE.format(name))))
+    return lines.withColumns(values).withColumns(numbers).withColumn("violation", F.coalesce(*checks)).drop(*values, *numbers)
 
 
 def validate_files(lines: DataFrame, files: DataFrame | None = None) -> DataFrame:
-    """file, ok, reason. Row numbers count from 1 with the header; the first violation decides.
+    """file, ok, reason. Row numbers count records from 1 with the header; the first violation decides.
+
+    Lines are taken as records first. Files in which a line leaves a quoted field open are then judged again by whole records.
+    """
+    return judge_files(lines, files).drop("broken")
+
+
+def judge_files(lines: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """The same with broken: whether records of the file take several lines."""
+    verdicts = stage(_verdicts(lines, files), "verdicts")
+    broken = verdicts.where("broken").select("file")
+    if broken.isEmpty():
+        return verdicts
+    records = whole_records(lines.join(small_side(broken), "file", "left_semi"))
+    return verdicts.where("NOT broken").unionByName(_verdicts(records, broken).withColumn("broken", F.lit(True)))
+
+
+def _verdicts(lines: DataFrame, files: DataFrame | None) -> DataFrame:
+    """file, ok, reason, and whether a line leaves a quoted field open.
 
     The lines are reduced within their own scan task to one row per file and split, so a file of any
     size is checked in parallel and only split summaries are shuffled. The header positions gathered
     per split are limited to the first split of a file, whose size the scan bounds.
     """
     fields = F.col("fields")
-    checked = lines.withColumn("fields", split_line(F.col("line"))).select(
+    checked = with_violation(lines.withColumn("fields", split_line(F.col("line")))).select(
         "file",
         "block",
         "position",
         is_header(fields).alias("header_like"),
-        line_violation(fields).alias("violation"),
+        "violation",
+        opens_record(F.col("line")).alias("opens"),
     )
     bad = F.struct("position", "violation")
     plain = ~F.col("header_like")
@@ -101,6 +133,7 @@ def validate_files(lines: DataFrame, files: DataFrame | None = None) -> DataFram
         F.min(F.when(plain & F.col("violation").isNotNull(), bad)).alias("bad_plain"),
         F.min(F.when(~plain & (F.col("block") != 0), bad)).alias("bad_later_header"),
         F.collect_list(F.when(first_split, F.col("position"))).alias("headers"),
+        F.max("opens").alias("broken"),
     )
     repeated = F.array_min(F.filter("headers", lambda p: p > F.col("first_position")))
     by_block = Window.partitionBy("file").orderBy("block")
@@ -109,6 +142,7 @@ def validate_files(lines: DataFrame, files: DataFrame | None = None) -> DataFram
         "block",
         "lines",
         "starts_with_header",
+        "broken",
         (F.sum("lines").over(by_block) - F.col("lines") - F.col("first_position") + 1).alias("shift"),
         F.least(
             F.when(
@@ -121,6 +155,7 @@ def validate_files(lines: DataFrame, files: DataFrame | None = None) -> DataFram
     row_number = F.col("bad.position") + F.col("shift")
     per_file = numbered.groupBy("file").agg(
         F.sum("lines").alias("lines"),
+        F.max("broken").alias("broken"),
         F.max(F.when(F.col("block") == 0, F.col("starts_with_header"))).alias("has_header"),
         F.min(F.when(F.col("bad").isNotNull(), F.struct(row_number.alias("row"), F.col("bad.violation")))).alias("bad"),
     )
@@ -133,7 +168,17 @@ def validate_files(lines: DataFrame, files: DataFrame | None = None) -> DataFram
         .when(F.col("lines") == 1, NO_ROWS)
         .otherwise(PASSED)
     )
-    return per_file.select("file", reason.alias("reason")).select("file", (F.col("reason") == PASSED).alias("ok"), "reason")
+    judged = per_file.select("file", reason.alias("reason"), F.coalesce("broken", F.lit(False)).alias("broken"))
+    return judged.select("file", (F.col("reason") == PASSED).alias("ok"), "reason", "broken")
+
+
+def accepted_rows(lines: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Raw activity rows of the accepted files, with source_file; records of several lines are put together. verdicts: of judge_files, stored."""
+    records = route_lines(lines, verdicts.where("NOT broken"), True)
+    broken = verdicts.where("broken AND ok")
+    if not broken.isEmpty():
+        records = records.unionByName(whole_records(route_lines(lines, broken, True)))
+    return raw_rows(records, split_line(F.col("line")))
 
 
 def new_files(files: DataFrame, audit: DataFrame) -> DataFrame:
