@@ -40,6 +40,15 @@ def rule_conditions(
     }
 
 
+def fired_rules(judged: DataFrame) -> DataFrame:
+    """A row for each rule that fires, with alert_type and compared_activity; judged has the columns that the rules name."""
+    rules = rule_conditions()
+    names = F.array_compact(F.array(*[F.when(holds, name) for name, holds in rules.items()]))
+    fired = judged.where(reduce(or_, rules.values())).select("*", F.explode(names).alias("alert_type"))
+    compared = F.when(F.col("alert_type") == "ACTIVITY_SPIKE", F.col("prev_hour_activity")).otherwise(F.col("baseline_activity"))
+    return fired.withColumn("compared_activity", compared)
+
+
 # --- fixed values: reason texts ---
 def alert_reason(kind: Column, current: Column, compared: Column) -> Column:
     texts = {
@@ -62,12 +71,8 @@ def network_alerts(hourly: DataFrame, scope: str = "date") -> DataFrame:
     prepared = within_day_baseline(previous_hour_activity(rows, scope), scope)
     floors = activity_floor(rows, scope)
     judged = prepared.join(F.broadcast(floors) if scope == "date" else small_side(floors), scope)
-    kind, current = F.col("alert_type"), F.col("total_activity")
-    compared = F.when(kind == "ACTIVITY_SPIKE", F.col("prev_hour_activity")).otherwise(F.col("baseline_activity"))
-    rules = rule_conditions()
-    names = F.array_compact(F.array(*[F.when(holds, name) for name, holds in rules.items()]))
-    fired = judged.where(reduce(or_, rules.values())).select("*", F.explode(names).alias("alert_type"))
-    return fired.select(
+    kind, current, compared = F.col("alert_type"), F.col("total_activity"), F.col("compared_activity")
+    return fired_rules(judged).select(
         "grid_id",
         "timestamp",
         "alert_type",

@@ -44,6 +44,9 @@ EXAMPLE_COEFFICIENTS = [
 ]
 EXAMPLE_INTERCEPT = -1.5
 
+#: Buckets of the co-located tables; a setting of the storage, here for the test tables.
+BUCKETS = 8
+
 _QUERIES: dict[str, Query] = {}
 _DATASETS: dict[tuple[str, str, str], Dataset] = {}
 
@@ -53,6 +56,7 @@ class Dataset:
 
     def __init__(self, spark: SparkSession, sf_dir: str, source: str):
         self.spark, self.sf_dir, self.source = spark, sf_dir, source
+        self._bucketed: dict[str, DataFrame] = {}
 
     @property
     def raw(self) -> DataFrame:
@@ -143,6 +147,14 @@ class Dataset:
     def star_by_day(self) -> DataFrame:
         return warehouse.star(self.fact_by_day, self.dim_time)
 
+    def bucketed(self, name: str) -> DataFrame:
+        """One of the tables hourly, split, risk, scores and alerts in buckets of the cell; all have the same number of them."""
+        if name not in self._bucketed:
+            path = scratch_path(self.spark, f"bucketed-{name}")
+            order = ["grid_id", "feature_timestamp" if name == "split" else "timestamp"]
+            self._bucketed[name] = tables.write_bucketed(getattr(self, name), path, BUCKETS, order)
+        return self._bucketed[name]
+
     @property
     def predicted_test(self) -> DataFrame:
         return risk.predict(self.test, self.example_model)
@@ -915,6 +927,49 @@ def leakage_perturbation(d: Dataset) -> DataFrame:
     return features.leakage_report(d.hourly, cutoff)
 
 
+# --- the same on tables in buckets of the cell, without shuffles ---
+
+
+@query()
+def bucketed_features(d: Dataset) -> DataFrame:
+    return features.network_features(d.bucketed("hourly"))
+
+
+@query()
+def bucketed_training_set(d: Dataset) -> DataFrame:
+    return features.training_set(d.bucketed("hourly"), fixtures.FIXTURE_THRESHOLD)
+
+
+@query()
+def bucketed_scores(d: Dataset) -> DataFrame:
+    return anomaly.anomaly_scores(d.bucketed("hourly"))
+
+
+@query()
+def bucketed_last_hours(d: Dataset) -> DataFrame:
+    return windows.last_hours(d.bucketed("hourly")).select("grid_id", "timestamp", "total_activity")
+
+
+@query()
+def bucketed_rule_agreement(d: Dataset) -> DataFrame:
+    test = d.bucketed("split").where(F.col("split") == "test")
+    compared = risk.compare_with_rules(risk.predict(test, d.example_model), d.bucketed("alerts"))
+    keys = ["grid_id", "feature_timestamp", "ml_prediction", "np3_positive", "np3_alert_types"]
+    return compared.select(*keys, "agreement", "disagreement_type")
+
+
+@query()
+def bucketed_three_way(d: Dataset) -> DataFrame:
+    flags = ["ml3_positive", "ml4_positive", "np3_positive", "three_way_result"]
+    test = d.bucketed("split").where(F.col("split") == "test")
+    return risk.three_way(test, d.bucketed("scores"), d.bucketed("alerts")).select("grid_id", "feature_timestamp", *flags)
+
+
+@query()
+def bucketed_attention(d: Dataset) -> DataFrame:
+    return report.attention_report(d.bucketed("risk"), d.bucketed("scores"))
+
+
 # --- quality and sinks ---
 
 
@@ -1172,6 +1227,32 @@ def stream_scoring(d: Dataset) -> DataFrame:
     return scores.groupBy("direction").agg(F.count(F.lit(1)).alias("rows"), F.count("alert_type").alias("alerts"))
 
 
+@query()
+def stream_alerts(d: Dataset) -> DataFrame:
+    """All three rules on the stream, against the baseline and floors of the stored hours."""
+    path = scratch_path(d.spark, "stream-alerts")
+    baseline, floors = stage(live.frozen_baseline(d.hourly), "baseline"), stage(live.frozen_floors(d.hourly), "floors")
+    hourly = live.live_hourly_grid(_clean_events(_event_stream(d)), decimals=fixtures.DECIMALS)
+    live.alert_available(hourly, baseline, floors, path, f"{path}/checkpoint")
+    events = fixtures.table(d.spark, d.sf_dir, "events")
+    live.close_alerts(_clean_events(events), baseline, floors, path, hourly.schema, fixtures.DECIMALS)
+    return d.spark.read.parquet(f"{path}/alerts").drop("batch")
+
+
+@query()
+def stream_late_hours(d: Dataset) -> DataFrame:
+    """Events that land in three parts out of order, each part with rows of nearly every hour; every hour comes out whole."""
+    path = scratch_path(d.spark, "stream-late")
+    events = fixtures.table(d.spark, d.sf_dir, "events")
+    day = F.dayofmonth("ts")
+    late, middle = (day > 20) & (F.col("event_id") % 3 > 0), (day <= 20) & (F.col("event_id") % 3 == 1)
+    for part in (late, middle, ~late & ~middle):
+        events.where(part).write.mode("append").parquet(f"{path}/landing")
+        stream = d.spark.readStream.schema(events.schema).parquet(f"{path}/landing")
+        live.upsert_available(_clean_events(stream), f"{path}/table", f"{path}/checkpoint", fixtures.DECIMALS)
+    return d.spark.read.parquet(f"{path}/table/hourly").drop("date", "day_of_week", "internet_share")
+
+
 @query()
 def stream_ingest(d: Dataset) -> DataFrame:
     """Two landings of daily files; the second run reads only what the first did not."""

@@ -951,6 +951,21 @@ def _own_sql() -> dict[str, str]:
                 GROUP BY 1""",
             "hourly",
         ),
+        "stream_alerts": _with(
+            f"""SELECT * FROM (WITH hours AS (SELECT grid_id, timestamp, CAST(timestamp AS DATE) AS date, hour(timestamp) AS hour,
+                                      (sms_in + sms_out) + (call_in + call_out) + internet_activity AS cur FROM ({_EVENT_HOURS})),
+                judged AS (SELECT h.*, b, f, lag(cur) OVER (PARTITION BY h.date, h.grid_id ORDER BY h.timestamp) AS prev
+                           FROM hours h
+                           LEFT JOIN (SELECT grid_id, hour, quantile_cont(total_activity, 0.5) AS b FROM hourly GROUP BY 1, 2) USING (grid_id, hour)
+                           LEFT JOIN (SELECT CAST(date + 1 AS DATE) AS date, quantile_cont(total_activity, 0.25) AS f FROM hourly GROUP BY hourly.date) t
+                                  ON t.date = h.date)
+                SELECT grid_id, timestamp, alert_type, round(cur, 6) + 0.0 AS current_activity, round(compared, 6) + 0.0 AS compared_activity,
+                       CASE alert_type WHEN 'HIGH_ACTIVITY' THEN 'HIGH' WHEN 'ACTIVITY_SPIKE' THEN 'MEDIUM' ELSE 'LOW' END AS severity
+                FROM (SELECT *, 'HIGH_ACTIVITY' AS alert_type, b AS compared FROM judged WHERE b >= f AND cur > b * 2.0
+                      UNION ALL SELECT *, 'ACTIVITY_DROP', b FROM judged WHERE b >= f AND cur < b * 0.25
+                      UNION ALL SELECT *, 'ACTIVITY_SPIKE', prev FROM judged WHERE prev >= f AND cur > prev * 2.0))""",
+            "hourly",
+        ),
         "stream_ingest": _with(
             "SELECT CAST(date AS VARCHAR) AS date, count(*) AS rows FROM clean GROUP BY clean.date", "clean"
         ),
@@ -974,6 +989,14 @@ _SAME_ROWS = {
     "incremental_scores": "anomaly_scores",
     "scores_of_two_loads": "anomaly_scores",
     "loo_median_of_summaries": "loo_median_sliced",
+    "stream_late_hours": "stream_hourly_grid",
+    "bucketed_features": "network_features",
+    "bucketed_training_set": "training_set",
+    "bucketed_scores": "anomaly_scores",
+    "bucketed_last_hours": "last_24_hours",
+    "bucketed_rule_agreement": "rule_agreement",
+    "bucketed_three_way": "three_way_result",
+    "bucketed_attention": "attention_top20",
 }
 
 

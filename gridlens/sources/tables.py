@@ -1,5 +1,6 @@
 """Table scans and sinks."""
 
+import hashlib
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -77,6 +78,39 @@ def write_by_day(df: DataFrame, path: str, sort_by: list[str], day: str = "date"
     spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
 
 
+#: Whether both sides of a join must be placed by all of its keys; buckets of one column are enough where this is off.
+PARTIAL_KEYS = "spark.sql.requireAllClusterKeysForCoPartition"
+
+
+def bucketed_name(path: str) -> str:
+    """The name under which a bucketed table at a path is known to the session catalog."""
+    return f"gridlens_{hashlib.md5(path.encode()).hexdigest()}"
+
+
+def write_bucketed(df: DataFrame, path: str, buckets: int, sort_by: list[str], by: str = "grid_id") -> DataFrame:
+    """A table in buckets of a column, one file for each, and the table as a scan that knows them.
+
+    Tables with equal bucket numbers join on the column, with others beside it or without, group by it and take windows over it without a
+    shuffle; for the former the session is told that the bucket column alone may place rows of a join. Choose the number for the
+    largest of them, about 200 MB a bucket.
+    """
+    spark, name = df.sparkSession, bucketed_name(path)
+    spark.conf.set(PARTIAL_KEYS, "false")
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    writer = df.repartition(buckets, by).write.mode("overwrite").bucketBy(buckets, by).sortBy(*sort_by)
+    writer.option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
+def open_bucketed(spark: SparkSession, path: str, buckets: int, sort_by: list[str], by: str = "grid_id") -> DataFrame:
+    """A bucketed table that another session wrote. The numbers and columns must be those of the writer."""
+    spark.conf.set(PARTIAL_KEYS, "false")
+    name, columns = bucketed_name(path), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(path).schema)
+    layout = f"CLUSTERED BY (`{by}`) SORTED BY ({', '.join(f'`{c}`' for c in sort_by)}) INTO {buckets} BUCKETS"
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet {layout} LOCATION '{path}'")
+    return spark.table(name)
+
+
 def write_small_csv(df: DataFrame, path: str, max_rows: int = 1000) -> None:
     """A single CSV file for people, written by one task. A larger table is an error, not cut: use write_csv for it."""
     rows = df.limit(max_rows + 1).count()

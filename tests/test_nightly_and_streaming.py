@@ -144,3 +144,55 @@ def test_live_scores_against_frozen_days(spark, tmp_path):
     day_one = scores.where(F.to_date("timestamp") == "2013-11-01")
     assert day_one.where("anomaly_score <> 0").count() == 0 and day_one.where("baseline_activity IS NULL").count() == 0
     assert spark.read.parquet(paths[1]).where("alert_type IS NULL").count() == 0
+
+
+def hours_frame(spark, rows):
+    shown = [(c, t, t[:10], float(v)) for c, t, v in rows]
+    df = spark.createDataFrame(shown, "grid_id int, t string, d string, total_activity double")
+    return df.select("grid_id", F.col("t").cast("timestamp").alias("timestamp"), F.col("d").cast("date").alias("date"), "total_activity")
+
+
+def test_live_rules_compare_with_the_row_before(spark):
+    baseline = spark.createDataFrame([(1, h, 10.0) for h in range(24)], "grid_id int, hour int, baseline_activity double")
+    floors = live.frozen_floors(hours_frame(spark, [(1, "2024-01-01 00:00:00", 5), (1, "2024-01-01 01:00:00", 5)]))
+    earlier = hours_frame(spark, [(1, "2024-01-02 04:00:00", 6)]).select("grid_id", "timestamp", "date", "total_activity")
+    hours = hours_frame(spark, [(1, "2024-01-02 06:00:00", 13), (1, "2024-01-02 07:00:00", 30), (1, "2024-01-02 08:00:00", 2), (2, "2024-01-02 06:00:00", 99)])
+    got = sorted((str(r["timestamp"])[11:13], r["alert_type"], r["compared_activity"]) for r in live.live_alerts(hours, earlier, baseline, floors).collect())
+    assert got == [
+        ("06", "ACTIVITY_SPIKE", 6.0), ("07", "ACTIVITY_SPIKE", 13.0), ("07", "HIGH_ACTIVITY", 10.0), ("08", "ACTIVITY_DROP", 10.0),
+    ]
+    next_day = hours_frame(spark, [(1, "2024-01-03 00:00:00", 99)])
+    assert live.live_alerts(next_day, earlier, baseline, floors).count() == 0  # no floor for that day
+
+
+def test_alerts_do_not_depend_on_the_batches(spark, tmp_path):
+    past = None
+    results = []
+    for way, days in (("at once", [(1, 2, 3)]), ("day by day", [(1,), (2,), (3,)])):
+        folder, out = tmp_path / way / "in", str(tmp_path / way / "out")
+        folder.mkdir(parents=True)
+        for batch in days:
+            for day in batch:
+                day_file(folder, day)
+            if past is None:
+                raw = spark.read.schema(S.RAW_SCHEMA).option("header", True).csv(str(folder / "*.csv"))
+                hourly = aggregate.hourly_grid_summary(clean.clean_activity(clean.to_canonical(raw)))
+                past = live.frozen_baseline(hourly).cache(), live.frozen_floors(hourly).cache()
+            stream = live.live_hourly_grid(live.read_raw_stream(spark, str(folder)))
+            live.alert_available(stream, *past, out, f"{out}/checkpoint")
+        live.close_alerts(clean.clean_activity(clean.to_canonical(raw)), *past, out, stream.schema)
+        alerts = spark.read.parquet(f"{out}/alerts").drop("batch")
+        results.append(sorted(map(tuple, alerts.collect())))
+    assert results[0] == results[1] and "ACTIVITY_SPIKE" in {r[2] for r in results[0]}
+
+
+def test_a_repeated_batch_upserts_nothing_twice(spark, tmp_path):
+    folder, out = tmp_path / "in", str(tmp_path / "out")
+    day_file(folder, 1)
+    stream = lambda: live.read_raw_stream(spark, str(folder))
+    live.upsert_available(stream(), out, f"{out}/checkpoint")
+    first = spark.read.parquet(f"{out}/hourly").agg(F.sum("total_activity"), F.count("*")).first()
+    live.upsert_available(stream(), out, f"{out}/another checkpoint")  # the same rows as batch 0 again
+    assert spark.read.parquet(f"{out}/hourly").agg(F.sum("total_activity"), F.count("*")).first() == first
+    (tmp_path / "none").mkdir()
+    live.upsert_available(live.read_raw_stream(spark, str(tmp_path / "none")), str(tmp_path / "nothing"), str(tmp_path / "checkpoint"))

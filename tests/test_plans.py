@@ -4,11 +4,11 @@ import re
 
 import pytest
 
-from gridlens.operators import features, report, service, warehouse
+from gridlens.operators import anomaly, features, report, risk, service, warehouse, windows
 from gridlens.plans.catalog import dataset
 from gridlens.session import stage
 from gridlens.sources import tables
-from tests.plan_metrics import executed, scanned
+from tests.plan_metrics import executed, names, scanned
 
 
 @pytest.fixture(scope="module")
@@ -84,3 +84,40 @@ def test_a_day_is_replaced_alone(d, spark, tmp_path):
     tables.write_by_day(part, path, ["time_key", "grid_id"])
     after = {r["date"]: r["n"] for r in tables.read_table(spark, path).groupBy("date").agg({"*": "count"}).toDF("date", "n").collect()}
     assert after == before | {day: 1}
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_tables_in_buckets_need_no_shuffle(d, no_broadcast):
+    hourly, split, scores, alerts, scored = (d.bucketed(n) for n in ("hourly", "split", "scores", "alerts", "risk"))
+    work = {
+        "features": features.network_features(hourly),
+        "training set": features.training_set(hourly),
+        "anomaly scores": anomaly.anomaly_scores(hourly),
+        "last hours": windows.last_hours(hourly),
+        "rules": risk.compare_with_rules(risk.predict(split, d.example_model), alerts),
+        "three-way": risk.three_way(split, scores, alerts),
+        "report": report.risk_with_anomaly(scored, scores),
+    }
+    for name, df in work.items():
+        found = names(executed(df))
+        assert not [n for n in found if "Exchange" in n], name
+    plain = names(executed(risk.three_way(d.split, d.scores, d.alerts)))
+    assert sum("ShuffleExchange" in n for n in plain) >= 3
+
+
+def test_a_bucketed_table_opens_in_another_session(d, spark, tmp_path, no_broadcast):
+    path = str(tmp_path / "hourly")
+    tables.write_bucketed(d.hourly, path, 4, ["grid_id", "timestamp"])
+    other = spark.newSession()
+    other.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.sql(f"DROP TABLE {tables.bucketed_name(path)}")
+    again = tables.open_bucketed(other, path, 4, ["grid_id", "timestamp"])
+    assert again.count() == d.hourly.count()
+    grouped = executed(again.groupBy("grid_id").count())
+    assert not [n for n in names(grouped) if "Exchange" in n]
