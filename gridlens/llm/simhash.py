@@ -13,23 +13,11 @@ Search, exact for every pair of different fingerprints:
   on either side can be linked across it, and all rows within r / 2 of a vantage point are linked with each other.
 * A shard returns a spanning forest, at most one row for each member, never all pairs of a group.
 
-Similar texts differ in more bits than such a search can reach: at a Jaccard similarity of 0.8, cosine 8 / 9, a bit differs with
-probability acos(8 / 9) / pi = 0.15. similar_texts takes 256 bits of the different shingles, in which that share is seen with a
-deviation of 0.022, and takes pairs up to the distance that 95 % of such pairs keep as candidates. Its shards are the values of TABLES
-blocks of TABLE_BITS bits, and a text visits, beside its own, the shards in which up to FLIPS bits of the block with the smallest majorities
-are flipped: the bits that differ are nearly always among them on one side or the other.
-A candidate is a link only if the Jaccard similarity of the two sets of shingles (as hashes of 64 bits) reaches the wanted one:
-* Texts with equal sets become one row first.
-* A shard proposes a spanning forest of its candidates, closest first, so groups of near copies cost a row for each member.
-* Shards of which a proposed pair failed then propose every pair that the links found so far leave apart, so no candidate is
-  left out because another one failed.
-
 Components: alternating large-star and small-star steps on written tables. A component is named by its smallest
 key; rows without key take the name their copies or links give them, or null. Equal rows stay. An empty table
 gives an empty table.
 """
 
-import math
 from collections.abc import Callable, Iterable, Iterator
 from functools import partial
 from itertools import islice
@@ -39,17 +27,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StructField, StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
-from gridlens.llm.common import BATCH_BYTES, small_batches, to_batches
+from gridlens.llm.common import small_batches, to_batches
 from gridlens.session import stage
 
 MAX_SHARD = 20_000
 LEAF = 512
 SIDE = 512
 
-WORDS = 4
-TABLES, TABLE_BITS, FLIPS = 8, 16, 2
 # Odd factors that make further words of a hash
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
@@ -66,12 +52,20 @@ def shingle_hashes(text: str | None, shingle: int) -> Iterator[int]:
     return map(_hash, map(b" ".join, zip(*(tokens[i:] for i in range(shingle)), strict=False)))
 
 
+def _portions(hashes: Iterable[int], size: int = 1 << 14) -> Iterator[np.ndarray]:
+    if isinstance(hashes, np.ndarray):
+        yield from (hashes[i : i + size] for i in range(0, len(hashes), size))
+        return
+    hashes = iter(hashes)
+    while (part := np.fromiter(islice(hashes, size), np.uint64)).size:
+        yield part
+
+
 def majorities(hashes: Iterable[int], words: int = 1) -> np.ndarray:
     """For each of 64 * words bits, twice the number of hashes in which it is set less their number."""
-    hashes = iter(hashes)
     counts = np.zeros(64 * words, np.int64)
     total = 0
-    while (part := np.fromiter(islice(hashes, 1 << 14), np.uint64)).size:
+    for part in _portions(hashes):
         total += part.size
         for word in range(words):
             mixed = part
@@ -101,50 +95,6 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", shingle
     return narrow.mapInArrow(run, StructType([narrow.schema["key"], StructField("fingerprint", LongType())]))
 
 
-def visited_places(counts: np.ndarray) -> list[int]:
-    """The shards of a text, table << TABLE_BITS | value, with the bits of the smallest majorities as they are and flipped."""
-    places = []
-    for table in range(TABLES):
-        own = counts[table * TABLE_BITS : (table + 1) * TABLE_BITS]
-        values = [table << TABLE_BITS | sum(1 << i for i, c in enumerate(own.tolist()) if c > 0)]
-        for bit in np.argsort(np.abs(own), kind="stable")[:FLIPS].tolist():
-            values += [v ^ 1 << bit for v in values]
-        places += values
-    return places
-
-
-def wide_fingerprints(df: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
-    """key, words w0 to w3 of the fingerprint, places, the sorted hashes of the different shingles and d0, d1, their digest."""
-    small_batches(df.sparkSession)
-    narrow = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    names = [f"w{i}" for i in range(WORDS)]
-    longs = pa.list_(pa.int64())
-    schema = [*((n, pa.int64()) for n in names), ("places", longs), ("shingles", longs), ("d0", pa.int64()), ("d1", pa.int64())]
-
-    def rows_of(batch: pa.RecordBatch, lo: int, sets: list[np.ndarray]) -> pa.RecordBatch:
-        counts = [majorities(s, WORDS) for s in sets]
-        words = np.packbits(np.array(counts) > 0, axis=1, bitorder="little").view(np.int64)
-        digests = np.array([np.frombuffer(xxhash.xxh128_digest(s.tobytes()), np.int64) for s in sets])
-        offsets = np.cumsum([0, *map(len, sets)], dtype=np.int32)
-        hashes = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).view(np.int64)))
-        places = pa.array([visited_places(c) for c in counts], longs)
-        columns = [*map(pa.array, words.T.copy()), places, hashes, *map(pa.array, digests.T.copy())]
-        return pa.record_batch([batch.column(0).slice(lo, len(sets)), *columns], names=["key", *(n for n, _ in schema)])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets, lo = [], 0
-            for at, value in enumerate(batch.column(1)):
-                sets.append(np.unique(np.fromiter(shingle_hashes(value.as_py(), shingle), np.uint64)))
-                if 8 * sum(map(len, sets)) >= BATCH_BYTES or at == batch.num_rows - 1:
-                    yield rows_of(batch, lo, sets)
-                    sets, lo = [], at + 1
-
-    kinds = {pa.int64(): LongType(), longs: ArrayType(LongType())}
-    fields = [StructField(n, kinds[k]) for n, k in schema]
-    return narrow.mapInArrow(run, StructType([narrow.schema["key"], *fields]))
-
-
 class Forest:
     """Links among the members of one shard, as the smallest member each one reaches."""
 
@@ -163,7 +113,7 @@ class Forest:
                 self.root = up
 
 
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Differing bits between rows of words."""
     return sum(np.bitwise_count(a[:, None, w] ^ b[None, :, w]).astype(np.uint16) for w in range(a.shape[1]))
 
@@ -176,7 +126,7 @@ def _across(points: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int, fores
             apart = forest.root[x][:, None] != forest.root[y][None, :]
             if not apart.any():
                 continue
-            near = (_distances(points[x], points[y]) <= radius) & apart
+            near = (distances(points[x], points[y]) <= radius) & apart
             if near.any():
                 r, c = np.nonzero(near)
                 forest.link(x[r], y[c])
@@ -191,7 +141,7 @@ def linked_within(points: np.ndarray, radius: int) -> Forest:
         if others is not None or len(members) <= LEAF:
             _across(points, members, members if others is None else others, radius, forest)
             continue
-        far = _distances(points[members], points[members[len(members) // 2]][None, :])[:, 0].astype(int)
+        far = distances(points[members], points[members[len(members) // 2]][None, :])[:, 0].astype(int)
         close = members[far <= radius // 2]
         forest.link(close[1:], close[:-1])
         middle = int(np.median(far))
@@ -223,7 +173,7 @@ def _dealt(prints: DataFrame, masks: list[int]) -> DataFrame:
     return row.withColumn("value", F.col("fingerprint").bitwiseAND(F.col("mask")))
 
 
-def _in_shards(shards: DataFrame, by: list[str], columns: list[str], work: Callable, fields: list[str]) -> DataFrame:
+def in_shards(shards: DataFrame, by: list[str], columns: list[str], work: Callable, fields: list[str]) -> DataFrame:
     """What work makes of the rows of each shard, with the columns by if fields names them; a task sorts its shards and holds one at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,42 +219,7 @@ def _shard_links(shards: DataFrame, by: list[str], node: str, words: list[str],
         for member in np.flatnonzero(root != np.arange(len(root))).tolist():
             yield int(rows[root[member], 0]), int(rows[member, 0])
 
-    return _in_shards(shards.withColumn("node", F.col(node)), by, ["node", *words], links, ["low", "high"])
-
-
-def candidate_pairs(rows: np.ndarray, radius: int, similarity: float, spanning: bool) -> Iterator[tuple]:
-    """Pairs of nodes within radius whose labels differ and whose sizes allow the similarity: a spanning forest of them, or all.
-
-    rows: node, label, number of different shingles and the words of the fingerprint. Unrelated wide fingerprints lie far
-    outside any useful radius of each other, but so do those of any vantage point, so pairs are compared SIDE rows squared at a time.
-    """
-    rows = rows[np.lexsort((rows[:, 0], rows[:, 1]))]
-    nodes, sizes, points = rows[:, 0], rows[:, 2], np.ascontiguousarray(rows[:, 3:]).view(np.uint64)
-    forest = Forest(len(rows))
-    forest.root = np.unique(rows[:, 1], return_index=True, return_inverse=True)[1:]
-    forest.root = forest.root[0][forest.root[1]]
-    for i in range(0, len(rows), SIDE):
-        for j in range(i, len(rows), SIDE):
-            x, y = np.arange(len(rows))[i : i + SIDE], np.arange(len(rows))[j : j + SIDE]
-            apart = forest.root[x][:, None] != forest.root[y][None, :]
-            if i == j:
-                apart = np.triu(apart, 1)
-            if not apart.any():
-                continue
-            far = _distances(points[x], points[y])
-            less, more = np.minimum.outer(sizes[x], sizes[y]), np.maximum.outer(sizes[x], sizes[y])
-            r, c = np.nonzero(apart & (far <= radius) & (less >= similarity * more - 1e-6))
-            if spanning:
-                closest = np.argsort(far[r, c], kind="stable")
-                r, c = r[closest], c[closest]
-            a, b = x[r], y[c]
-            while spanning and len(a):
-                low, high = np.minimum(forest.root[a], forest.root[b]), np.maximum(forest.root[a], forest.root[b])
-                a, b, high = a[low != high], b[low != high], high[low != high]
-                first = np.unique(high, return_index=True)[1]
-                yield from zip(nodes[a[first]].tolist(), nodes[b[first]].tolist(), strict=True)
-                forest.link(a[first], b[first])
-            yield from zip(nodes[a].tolist(), nodes[b].tolist(), strict=True)
+    return in_shards(shards.withColumn("node", F.col(node)), by, ["node", *words], links, ["low", "high"])
 
 
 def links(prints: DataFrame, radius: int = 4, max_shard: int = MAX_SHARD) -> DataFrame:
@@ -387,61 +302,6 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
     return prints.join(names, "fingerprint").select(F.col("key").alias(key), "fingerprint", "component_id")
 
 
-def reach(similarity: float, bits: int = 64 * WORDS) -> int:
-    """The distance that 95 % of pairs with this Jaccard similarity keep."""
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return int(bits * share + 1.65 * math.sqrt(bits * share * (1 - share)))
-
-
-def similar_texts(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """key and component_id for every row; texts are linked where the Jaccard similarity of their sets of shingles reaches similarity."""
-    names = [f"w{i}" for i in range(WORDS)]
-    prints = stage(wide_fingerprints(df, key, text, shingle), "wide-fingerprints")
-    narrow = prints.select("key", "d0", "d1", *names, "places", F.size("shingles").cast("long").alias("size"))
-    same = [F.first(c).alias(c) for c in (*names, "places", "size")]  # equal sets have equal ones
-    distinct = narrow.groupBy("d0", "d1").agg(F.min("key").alias("least_key"), *same)
-    distinct = stage(distinct.withColumn("node", F.monotonically_increasing_id()), "distinct-texts")
-
-    def proposed(nodes: DataFrame, spanning: bool) -> DataFrame:
-        """Candidates (place, low, high) among nodes with a label and a place."""
-        radius = reach(similarity)
-        work = lambda rows: candidate_pairs(rows, radius, similarity, spanning)
-        found = _in_shards(nodes, ["place"], ["node", "label", "size", *names], work, ["place", "a", "b"])
-        return found.select("place", F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"))
-
-    def checked(pairs: DataFrame) -> DataFrame:
-        """Pairs (low, high) and whether they are links."""
-        wanted = pairs.select(F.explode(F.array("low", "high")).alias("node")).distinct()
-        wanted = distinct.join(wanted, "node", "left_semi").select("node", F.col("d0").alias("e0"), F.col("d1").alias("e1"), "least_key")
-        row = (F.col("d0") == F.col("e0")) & (F.col("d1") == F.col("e1")) & F.col("key").eqNullSafe(F.col("least_key"))
-        sets = prints.select("key", "d0", "d1", "shingles").join(wanted, row).select("node", "shingles").dropDuplicates(["node"])
-        sets = stage(sets, "shingle-sets")
-        one, other = (sets.select(F.col("node").alias(n), F.col("shingles").alias(f"{n}_set")) for n in ("low", "high"))
-        joined = pairs.join(one, "low").join(other, "high")
-        shared = F.size(F.array_intersect("low_set", "high_set"))
-        joined = joined.withColumn("shared", shared).withColumn("either", F.size("low_set") + F.size("high_set") - F.col("shared"))
-        return stage(joined.select("low", "high", (F.col("shared") / F.col("either") >= similarity).alias("linked")), "checked-pairs")
-
-    visits = distinct.select(F.explode("places").alias("place"), "node", "size", *names)
-    forests = stage(proposed(visits.withColumn("label", F.col("node")), True), "candidates")
-    known = checked(forests.select("low", "high").distinct())
-    roots = components(known.where("linked").select("low", "high"))
-    failed = known.where("NOT linked").select("low", "high")
-    if not failed.isEmpty():
-        again = stage(forests.join(failed, ["low", "high"], "left_semi").select("place").distinct(), "places-again")
-        labels = roots.select(F.col("node").alias("of"), F.col("root"))
-        nodes = visits.join(again, "place", "left_semi").join(labels, F.col("node") == F.col("of"), "left")
-        more = proposed(nodes.withColumn("label", F.coalesce("root", "node")), False).select("low", "high").distinct()
-        more = checked(stage(more.join(known, ["low", "high"], "left_anti"), "more-candidates"))
-        roots = components(known.unionByName(more).where("linked").select("low", "high"))
-    named = distinct.join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left")
-    named = named.select("d0", "d1", "least_key", F.coalesce("root", "node").alias("root"))
-    # written like the neighbours above: a component may hold a large part of all rows
-    least = stage(named.groupBy("root").agg(F.min("least_key").alias("component_id")), "component-names")
-    components_of = named.join(least, "root").select("d0", "d1", "component_id")
-    return prints.select("key", "d0", "d1").join(components_of, ["d0", "d1"]).select(F.col("key").alias(key), "component_id")
-
-
 def op3_simhash(docs: DataFrame) -> DataFrame:
     found = near_duplicates(docs)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")

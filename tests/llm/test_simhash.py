@@ -102,72 +102,6 @@ def test_long_chain(spark):
     assert len(roots) == 1
 
 
-def test_similar_texts(spark):
-    rng = random.Random(9)
-    texts, group = [], []
-    for g in range(60):
-        base = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(80, 900))]
-        for _ in range(rng.randint(1, 4)):
-            near = list(base)
-            for _ in range(int(len(base) * 0.007)):
-                near[rng.randrange(len(near))] = f"w{rng.randrange(5000)}"
-            texts.append(" ".join(near))
-            group.append(g)
-    passage = " ".join(f"p{i}" for i in range(60))
-    for g in range(60, 90):  # a shared passage is no near copy
-        texts.append(passage + " " + " ".join(f"w{rng.randrange(5000)}" for _ in range(200)))
-        group.append(g)
-    texts += [None, "", "one two", "one three"]
-    group += [90, 90, 91, 92]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    found = {r["doc_id"]: r["component_id"] for r in simhash.similar_texts(df).collect()}
-    least = {}
-    for i, g in enumerate(group):
-        least.setdefault(g, i)
-    wrong = [i for i, g in enumerate(group) if found[i] != least[g]]
-    assert len(found) == len(texts) and len(wrong) <= 3
-
-
-def jaccard(a, b, size=5):
-    sets = []
-    for text in (a, b):
-        words = text.split()
-        sets.append({tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))})
-    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
-
-
-def test_repeated_line_is_no_link(spark):
-    rng = random.Random(3)
-    line = " ".join(f"menu{i}" for i in range(10))
-    texts = [" ".join([f"w{rng.randrange(10**6)}" for _ in range(300)] + [line] * repeats) for repeats in (15, 15, 30, 30, 50, 50)]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert all(r["doc_id"] == r["component_id"] for r in simhash.similar_texts(df).collect())
-
-
-def test_links_reach_the_similarity(spark):
-    rng = random.Random(4)
-    texts = []
-    for _ in range(60):
-        base = [f"w{rng.randrange(5000)}" for _ in range(300)]
-        for _ in range(5):
-            near = list(base)
-            for _ in range(rng.randint(0, 12)):
-                near[rng.randrange(len(near))] = f"w{rng.randrange(5000)}"
-            texts.append(" ".join(near))
-    pairs = {(i, j): jaccard(texts[i], texts[j]) for i in range(len(texts)) for j in range(i - i % 5, i)}
-    root = list(range(len(texts)))
-    for _ in texts:
-        for (i, j), similarity in pairs.items():
-            if similarity >= 0.8:
-                root[i] = root[j] = min(root[i], root[j])
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    found = {r["doc_id"]: r["component_id"] for r in simhash.similar_texts(df).collect()}
-    assert all(root[i] == root[c] for i, c in found.items())
-    assert sum(found[i] != r for i, r in enumerate(root)) <= 6
-    assert sum(0.6 < s < 0.8 for s in pairs.values()) > 100
-
-
 def test_empty_table(spark):
-    assert simhash.similar_texts(spark.createDataFrame([], SCHEMA)).collect() == []
     got = simhash.op3_simhash(spark.createDataFrame([], SCHEMA))
     assert got.collect() == [] and got.columns == ["doc_id", "fingerprint", "component_id"]
