@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from gridlens import schema as S
 from gridlens.operators.clean import add_calendar, add_totals
+from gridlens.operators.joins import few_rows
 from gridlens.operators.order_stats import quantiles
 
 
@@ -86,7 +87,7 @@ def top_hotspots_geo(hourly: DataFrame, lookup: DataFrame, limit: int = 10) -> D
     """Ranks first, then looks up the few ranked cells only."""
     ranked = top_hotspots(hourly, limit)
     centroids = lookup.select("grid_id", "centroid_lon", "centroid_lat")
-    return centroids.join(F.broadcast(ranked), "grid_id", "right").select(
+    return centroids.join(few_rows(ranked, limit), "grid_id", "right").select(
         "grid_id", "centroid_lon", "centroid_lat", "total_activity"
     )
 

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SMALL_SIDE_BYTES = 64 * 1024 * 1024
+FEW_ROWS = 10_000
 
 
 def measured_bytes(df: DataFrame) -> int:
@@ -19,3 +20,8 @@ def measured_bytes(df: DataFrame) -> int:
 def small_side(df: DataFrame, max_bytes: int = SMALL_SIDE_BYTES) -> DataFrame:
     """Mark a table for broadcast when it measures at most max_bytes, else leave the join to AQE."""
     return F.broadcast(df) if measured_bytes(df) <= max_bytes else df
+
+
+def few_rows(df: DataFrame, limit: int) -> DataFrame:
+    """Mark a ranking of at most limit rows for broadcast if the limit itself is small."""
+    return F.broadcast(df) if limit <= FEW_ROWS else df

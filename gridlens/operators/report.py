@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from gridlens import schema as S
 from gridlens.functions import columns as C
 from gridlens.operators.clean import require_columns
+from gridlens.operators.joins import few_rows
 
 
 def risk_with_anomaly(risk: DataFrame, scores: DataFrame) -> DataFrame:
@@ -39,7 +40,7 @@ def attention_report(risk: DataFrame, scores: DataFrame, limit: int = 20) -> Dat
     order = [F.desc("attention_score"), F.desc("risk_score"), F.desc("anomaly_score"), "grid_id", "timestamp"]
     top = with_attention_score(risk_with_anomaly(risk, scores)).orderBy(*order).limit(limit)
     reasons = scores.select("grid_id", F.col("timestamp").alias("anomaly_time"), "reason")
-    top = reasons.join(F.broadcast(top), ["grid_id", "anomaly_time"], "right")
+    top = reasons.join(few_rows(top, limit), ["grid_id", "anomaly_time"], "right")
     top = top.withColumn("reason", F.coalesce("reason", F.lit(S.NO_ANOMALY_REASON)))
     text = F.format_string(
         S.ATTENTION_TEXT,

@@ -14,6 +14,7 @@ from gridlens import schema as S
 from gridlens.functions import columns as C
 from gridlens.operators.aggregate import alert_types_per_key
 from gridlens.operators.clean import require_columns
+from gridlens.operators.features import split_checks
 
 
 @dataclass(frozen=True)
@@ -150,6 +151,17 @@ def score_one(model: RiskModel, features: dict[str, float]) -> dict:
     return {"risk_score": score, "risk_level": level, "model_version": model.version}
 
 
+def score_records(records: DataFrame, model: RiskModel, features: str = "features") -> DataFrame:
+    """The scoring contract for a table of records, features being a map of names to numbers: score, level and version, or the names that are missing."""
+    missing = F.filter(F.array(*map(F.lit, S.FEATURES)), lambda name: ~F.map_contains_key(features, name))
+    named = records.withColumn("missing_features", missing).withColumns({f: F.try_element_at(features, F.lit(f)) for f in S.FEATURES})
+    complete = F.size("missing_features") == 0
+    scored = named.withColumn("risk_score", F.when(complete, model.probability())).drop(*S.FEATURES)
+    return scored.withColumns(
+        {"risk_level": F.when(complete, C.risk_level(F.col("risk_score"))), "model_version": F.when(complete, F.lit(model.version))}
+    )
+
+
 def fit_gradient(train: DataFrame, model: RiskModel) -> DataFrame:
     """Gradient of the class-balanced, L2-penalised log loss per row at a model's coefficients: zero where the fit is exact."""
     label = F.col("high_activity_risk")
@@ -223,8 +235,6 @@ def agreement_counts(compared: DataFrame) -> DataFrame:
 
 def evaluation_record(split: DataFrame, compared_test: DataFrame, threshold: float) -> DataFrame:
     """One nested record per run: algorithm, threshold, metrics, split bounds, class rates and rule comparison."""
-    from gridlens.operators.features import split_checks
-
     parts = {
         "metrics": evaluate(compared_test),
         "split": split_checks(split),

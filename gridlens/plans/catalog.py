@@ -27,9 +27,9 @@ from gridlens.operators import (
 )
 from gridlens.plans import fixtures, incremental, nightly
 from gridlens.session import prepare, scratch_path, stage
-from gridlens.sources import activity, files, tables
+from gridlens.sources import activity, files, tables, zones
 from gridlens.sources import geo as geometry
-from gridlens.streaming import live
+from gridlens.streaming import landing, live
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -143,6 +143,12 @@ class Dataset:
         tables.write_by_day(warehouse.with_day(self.fact), path, ["time_key", "grid_id"])
         return tables.read_table(self.spark, path)
 
+    @cached_property
+    def zones(self) -> str:
+        path = scratch_path(self.spark, "zones")
+        zones.write_zones(self.hourly, path, bits=2)
+        return path
+
     @property
     def star_by_day(self) -> DataFrame:
         return warehouse.star(self.fact_by_day, self.dim_time)
@@ -490,6 +496,31 @@ def approx_cardinalities(d: Dataset) -> DataFrame:
     return both.agg(*near)
 
 
+@query()
+def weekly_cardinalities(d: Dataset) -> DataFrame:
+    """Whether the counts of each week, merged from stored states of its days, are within three standard errors of the exact ones."""
+    states = stage(profile.daily_sketches(d.clean), "sketches")
+    weekly = profile.cardinalities_from_sketches(states)
+    week = F.to_date(F.date_trunc("week", "timestamp")).alias("period")
+    names = {"grids": "grid_id", "country_codes": "country_code", "timestamps": "timestamp"}
+    exact = d.clean.groupBy(week).agg(*[F.count_distinct(c).alias(f"exact_{n}") for n, c in names.items()])
+    near = [(F.abs(F.col(n) - F.col(f"exact_{n}")) <= 0.049 * F.col(f"exact_{n}") + 1).alias(n) for n in names]
+    return weekly.join(exact, "period", "full_outer").select("period", *near)
+
+
+@query()
+def required_columns(d: Dataset) -> DataFrame:
+    """Each column of the activity table left out in turn: whether cleaning refuses the rest, and whether it names the column."""
+    rows, found = d.canonical.count(), []
+    for name in S.CANONICAL_NAMES.values():
+        try:
+            clean.clean_activity(d.canonical.drop(name))
+            found.append((name, False, False, rows))
+        except ValueError as error:
+            found.append((name, True, f"['{name}']" in str(error), rows))
+    return d.spark.createDataFrame(found, "column_name string, refused boolean, named boolean, rows long")
+
+
 # --- aggregates ---
 
 
@@ -855,6 +886,17 @@ def risk_scores_fixed_coefficients(d: Dataset) -> DataFrame:
     return risk.risk_scores(d.features, d.example_model)
 
 
+@query()
+def score_records(d: Dataset) -> DataFrame:
+    """Every feature row as a record of names and numbers, those of every fifth cell without one of the names."""
+    pairs = F.create_map(*[part for f in S.FEATURES for part in (F.lit(f), F.col(f).cast("double"))])
+    lost = F.element_at(F.array(*map(F.lit, S.FEATURES)), (F.col("grid_id") % len(S.FEATURES) + 1).cast("int"))
+    some = F.when(F.col("grid_id") % 5 == 0, F.map_filter("features", lambda name, _: name != lost)).otherwise(F.col("features"))
+    records = d.features.select("grid_id", "feature_timestamp", pairs.alias("features")).withColumn("features", some)
+    scored = risk.score_records(records, d.example_model).drop("features")
+    return scored.withColumn("missing_features", F.array_join("missing_features", ","))
+
+
 @query()
 def risk_levels(d: Dataset) -> DataFrame:
     return aggregate.level_counts(d.risk, "risk_level")
@@ -1055,17 +1097,57 @@ def lookup_lines(d: Dataset) -> DataFrame:
 
 @query()
 def alert_files(d: Dataset) -> DataFrame:
-    """All alerts written as CSV and as one JSON list for each day, read back by the alert reader."""
+    """All alerts written as CSV and as JSON lists, one for each day and 1,000 cells, read back by the alert reader."""
     path = scratch_path(d.spark, "alert-files")
     columns = [f.split(" ")[0] for f in S.ALERT_SCHEMA.split(", ")]
     d.alerts.select(columns).write.option("header", True).csv(f"{path}/alerts.csv")
     listed = F.to_json(F.collect_list(F.struct(*columns)))
-    days = d.alerts.groupBy("source_file").agg(listed.alias("value"))
-    days.write.partitionBy("source_file").text(f"{path}/alerts.json")
+    lists = d.alerts.groupBy("source_file", F.floor(F.col("grid_id") / 1000).alias("cells")).agg(listed.alias("value"))
+    # the JSON reader takes a file as a document, so each list has a folder of its own
+    lists.write.partitionBy("source_file", "cells").text(f"{path}/alerts.json")
     ways = [tables.read_alerts(d.spark, f"{path}/alerts.{kind}").withColumn("kind", F.lit(kind)) for kind in ("csv", "json")]
     return ways[0].unionByName(ways[1])
 
 
+@query()
+def split_grid_documents(d: Dataset) -> DataFrame:
+    """All cells as one FeatureCollection document, features with braces and quotes in their texts, read back piece by piece."""
+    path = scratch_path(d.spark, "grid-document")
+    note = F.concat(F.lit('cell {"} \\ '), F.col("grid_id").cast("string"), F.lit(" }{"))
+    feature = F.struct(
+        F.lit("Feature").alias("type"),
+        (F.col("grid_id") - 1).alias("id"),
+        F.struct(note.alias("note"), F.col("grid_id").alias("cellId")).alias("properties"),
+        F.lit("here").alias("geometry"),
+    )
+    text = F.replace(F.to_json(feature), F.lit('"here"'), F.col("geometry"))
+    first = d.grid_features.agg(F.min("grid_id")).first()[0]
+    line = F.when(F.col("grid_id") == first, text).otherwise(F.concat(F.lit(","), text))
+    rows = d.grid_features.select("grid_id", line.alias("value"))
+    ends = [(-1, '{"type": "FeatureCollection", "name": "}{", "features": ['), (1 << 62, "]}")]
+    whole = rows.unionByName(d.spark.createDataFrame(ends, "grid_id long, value string")).repartitionByRange(1, "grid_id")
+    whole.sortWithinPartitions("grid_id").select("value").write.text(path)
+    return geometry.grid_lookup(geometry.read_split_features(d.spark, path)).drop("geometry_json")
+
+
+@query()
+def zone_read_cell(d: Dataset) -> DataFrame:
+    """One cell out of the hourly table in zones of cell and time."""
+    return zones.read_zones(d.spark, d.zones, grid_id=1).select("grid_id", "timestamp", "total_activity")
+
+
+@query()
+def zone_read_time(d: Dataset) -> DataFrame:
+    """All cells at the latest time, out of the same table."""
+    latest = d.dim_time.agg(F.max("timestamp")).first()[0]
+    return zones.read_zones(d.spark, d.zones, timestamp=latest).select("grid_id", "timestamp", "total_activity")
+
+
+@query()
+def zone_table(d: Dataset) -> DataFrame:
+    return zones.read_zones(d.spark, d.zones).select(*d.hourly.columns)
+
+
 @query()
 def one_cell_read(d: Dataset) -> DataFrame:
     """One cell out of the stored hourly table, by the reader that lets filters and columns reach the scan."""
@@ -1253,6 +1335,20 @@ def stream_late_hours(d: Dataset) -> DataFrame:
     return d.spark.read.parquet(f"{path}/table/hourly").drop("date", "day_of_week", "internet_share")
 
 
+@query()
+def stream_file_gate(d: Dataset) -> DataFrame:
+    """The lines of all landing files through the gate on a stream, in two landings; the first landing's files land once more in the second."""
+    path = scratch_path(d.spark, "stream-gate")
+    lines = d.landing.select("file", "block", "position", "line")
+    early = F.substring("file", len(fixtures.FILE_PREFIX) + 9, 2).cast("int") <= 15
+    for part in (lines.where(early), lines):
+        part.repartition("file").sortWithinPartitions("file", "block", "position").drop("position").write.mode("append").parquet(f"{path}/landing")
+        stream = d.spark.readStream.schema("file string, block long, line string").parquet(f"{path}/landing")
+        taken = stream.writeStream.foreachBatch(lambda batch, number: landing.take_lines(batch, number, f"{path}/zones"))
+        landing.run_available(taken, f"{path}/checkpoint")
+    return landing.audit_log(d.spark, f"{path}/zones").select("filename", "status", "reason")
+
+
 @query()
 def stream_ingest(d: Dataset) -> DataFrame:
     """Two landings of daily files; the second run reads only what the first did not."""

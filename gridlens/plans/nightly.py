@@ -32,8 +32,9 @@ from gridlens.operators import (
 )
 from gridlens.operators.windows import chronological_parts, split_border
 from gridlens.session import build_session, stage
-from gridlens.sources import activity, files, tables
-from gridlens.sources.geo import grid_lookup, read_feature_collection, read_feature_lines
+from gridlens.sources import files, tables
+from gridlens.sources.geo import grid_lookup, read_feature_lines, read_split_features
+from gridlens.streaming.landing import ingest_available
 
 log = logging.getLogger("gridlens.nightly")
 
@@ -50,7 +51,7 @@ def _table_or_empty(spark: SparkSession, path: str, schema: str | T.StructType)
 def ingest(spark: SparkSession, landing_dir: str, zone_dir: str, pattern: str = S.DAILY_FILE_GLOB) -> DataFrame:
     """Checks new landing files, stores accepted rows and rejected lines, and appends to the audit log.
 
-    Only files without an audit entry are read. Zones are partitioned by file and overwritten per file, so
+    Names pass through the driver; ingest_available takes folders of any number of files. Only files without an audit entry are read. Zones are partitioned by file and overwritten per file, so
     repeating an interrupted ingest stores nothing twice.
     """
     audit = _table_or_empty(spark, f"{zone_dir}/audit", S.AUDIT_SCHEMA)
@@ -60,15 +61,10 @@ def ingest(spark: SparkSession, landing_dir: str, zone_dir: str, pattern: str =
     fresh_paths = {row["file"]: row["path"] for row in fresh.collect()}
     if fresh_paths:
         lines = files.read_lines(spark, list(fresh_paths.values()))
-        verdicts = stage(files.validate_files(lines, fresh), "verdicts")
-        accepted, rejected = [], []
-        for row in verdicts.select("file", "ok").collect():
-            (accepted if row["ok"] else rejected).append(fresh_paths[row["file"]])
-        if accepted:
-            rows = activity.with_source_file(activity.read_raw_files(spark, accepted))
-            _replace_files(rows, f"{zone_dir}/raw", "source_file")
-        if rejected:
-            _replace_files(files.read_lines(spark, rejected), f"{zone_dir}/rejected", "file")
+        judged = stage(files.judge_files(lines, fresh), "verdicts")
+        _replace_files(files.accepted_rows(lines, judged), f"{zone_dir}/raw", "source_file")
+        _replace_files(files.route_lines(lines, judged, False), f"{zone_dir}/rejected", "file")
+        verdicts = judged.drop("broken")
     else:
         verdicts = spark.createDataFrame([], "file string, ok boolean, reason string")
     entries = stage(files.audit_rows(verdicts, skipped), "audit")
@@ -138,7 +134,7 @@ def _geo_step(run: Run, grid_path: str | None) -> None:
         run.states["geometry"] = "skipped"
         return
     lines = grid_path.rstrip("/").endswith((".jsonl", ".geojsonl"))
-    cells = (read_feature_lines if lines else read_feature_collection)(run.spark, grid_path)
+    cells = (read_feature_lines if lines else read_split_features)(run.spark, grid_path)
     tables.write_table(grid_lookup(cells), run.path("grid_lookup"))
     tables.write_table(warehouse.dim_grid(cells, grid_path.rsplit("/", 1)[-1]), run.path("dim_grid"))
     lookup, hourly = run.table("grid_lookup"), run.table("hourly_grid_summary")
@@ -255,7 +251,7 @@ def main(argv: list[str] | None = None) -> int:
     logging.basicConfig(level=logging.INFO, format="%(asctime)s %(levelname)s %(name)s %(message)s")
     spark = build_session("gridlens-nightly")
     try:
-        ingest(spark, args.input_dir, f"{args.output_dir}/zones")
+        ingest_available(spark, args.input_dir, f"{args.output_dir}/zones")
         stored = T.StructType([*S.RAW_SCHEMA.fields, T.StructField("source_file", T.StringType())])
         raw = _table_or_empty(spark, f"{args.output_dir}/zones/raw", stored).select(*S.RAW_COLUMNS)
         run = run_nightly(spark, raw, args.output_dir, args.grid_path, args.threshold)

@@ -485,6 +485,28 @@ def _own_sql() -> dict[str, str]:
             _with(f"SELECT grid_id, {_rounded('centroid_lon', 'centroid_lat')} FROM cells", "cells"),
         ),
         "alert_files": _with(f"SELECT {_ALERT_OUT}, kind FROM alerts, (SELECT unnest(['csv', 'json']) AS kind)", "alerts"),
+        "split_grid_documents": _with(f"SELECT grid_id, {_rounded('centroid_lon', 'centroid_lat')} FROM cells", "cells"),
+        "zone_read_time": _with(
+            f"SELECT grid_id, timestamp, {_rounded('total_activity')} FROM hourly, latest WHERE timestamp = as_of", "latest"
+        ),
+        "weekly_cardinalities": _with(
+            """SELECT CAST(CAST(date_trunc('week', timestamp) AS DATE) AS VARCHAR) AS period, true AS grids, true AS country_codes, true AS timestamps
+               FROM clean GROUP BY 1""",
+            "clean",
+        ),
+        "required_columns": _with(
+            f"""SELECT column_name, true AS refused, true AS named, (SELECT count(*) FROM canonical) AS rows
+                FROM (SELECT unnest([{', '.join(f"'{c}'" for c in CANONICAL_NAMES.values())}]) AS column_name)""",
+            "canonical",
+        ),
+        "score_records": _with(
+            f"""SELECT grid_id, timestamp AS feature_timestamp,
+                       CASE WHEN grid_id % 5 = 0 THEN ([{', '.join(f"'{f}'" for f in FEATURES)}])[grid_id % {len(FEATURES)} + 1] ELSE '' END AS missing_features,
+                       CASE WHEN grid_id % 5 <> 0 THEN round(risk_score, 6) + 0.0 END AS risk_score,
+                       CASE WHEN grid_id % 5 <> 0 THEN risk_level END AS risk_level,
+                       CASE WHEN grid_id % 5 <> 0 THEN model_version END AS model_version FROM risk""",
+            "risk",
+        ),
         "one_cell_read": _with(f"SELECT grid_id, timestamp, {_rounded('total_activity')} FROM hourly WHERE grid_id = 1", "hourly"),
         "sorted_sink": _with("SELECT count(*) AS rows, true AS apart FROM hourly", "hourly"),
         "small_csv": _with(
@@ -966,6 +988,12 @@ def _own_sql() -> dict[str, str]:
                       UNION ALL SELECT *, 'ACTIVITY_SPIKE', prev FROM judged WHERE prev >= f AND cur > prev * 2.0))""",
             "hourly",
         ),
+        "stream_file_gate": _with(
+            f"""SELECT file AS filename, CASE WHEN ok THEN 'ACCEPTED' ELSE 'REJECTED' END AS status, reason FROM verdicts
+                UNION ALL SELECT file, 'SKIPPED', CASE WHEN ok THEN 'File already exists in raw' ELSE 'File already exists in rejected' END
+                FROM verdicts WHERE CAST(substr(file, {len(FILE_PREFIX) + 9}, 2) AS INTEGER) <= 15""",
+            "verdicts",
+        ),
         "stream_ingest": _with(
             "SELECT CAST(date AS VARCHAR) AS date, count(*) AS rows FROM clean GROUP BY clean.date", "clean"
         ),
@@ -990,6 +1018,8 @@ _SAME_ROWS = {
     "scores_of_two_loads": "anomaly_scores",
     "loo_median_of_summaries": "loo_median_sliced",
     "stream_late_hours": "stream_hourly_grid",
+    "zone_read_cell": "one_cell_read",
+    "zone_table": "hourly_grid_summary",
     "bucketed_features": "network_features",
     "bucketed_training_set": "training_set",
     "bucketed_scores": "anomaly_scores",

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 from gridlens import schema as S
 
 
-def matching_files(spark: SparkSession, folder: str, pattern: str) -> list[str]:
-    """Paths of the files under a folder whose names match; a missing folder or no match is an error."""
+def matching_files(spark: SparkSession, folder: str, pattern: str, recursive: bool = False) -> list[str]:
+    """Paths of the files in a folder, or anywhere below it, whose names match; a missing folder or no match is an error."""
     try:
-        found = spark.read.option("pathGlobFilter", pattern).text(folder).inputFiles()
+        found = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", recursive).text(folder).inputFiles()
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise

@@ -25,9 +25,9 @@ IN_REJECTED = "File already exists in rejected"
 _ISO_TIME = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}(:\d{2}(:\d{2}([.,]\d{1,6})?)?)?(Z|[+-]\d{2}(:?\d{2})?)?)?$"
 
 
-def list_files(spark: SparkSession, landing_dir: str, pattern: str = "*.csv") -> DataFrame:
+def list_files(spark: SparkSession, landing_dir: str, pattern: str = "*.csv", recursive: bool = False) -> DataFrame:
     """file and path of every landing file, empty files included. Only names pass through the driver, as in any scan."""
-    found = matching_files(spark, landing_dir, pattern)
+    found = matching_files(spark, landing_dir, pattern, recursive)
     paths = spark.createDataFrame([(path,) for path in found], "path string")
     return paths.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), "path")
 
