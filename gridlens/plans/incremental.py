@@ -22,9 +22,11 @@ from pyspark.sql import functions as F
 
 from gridlens import schema as S
 from gridlens.operators import aggregate, alerts, anomaly, clean, features, order_stats, warehouse
+from gridlens.operators.joins import small_side
 from gridlens.operators.windows import along_time
 from gridlens.session import stage
 from gridlens.sources import tables
+from gridlens.streaming import landing as gate
 
 #: Rows of a cell on either side of a changed one whose windows hold it.
 BEFORE, AFTER = 5, 1
@@ -80,6 +82,10 @@ class Store:
         found = self.find("commits")
         return self.spark.createDataFrame([], COMMIT) if found is None else found
 
+    def commit(self, landing: str, days: list[date], blocks: list[int]) -> None:
+        row = self.spark.createDataFrame([(landing, self.commits().count(), days, blocks)], COMMIT)
+        tables.append_rows(row.coalesce(1), self.path("commits"))
+
     def summary(self, name: str, blocks: list[int] | None = None) -> DataFrame | None:
         """An order summary or its middle values as the last commit left them: of each block the version of the last landing that touched it."""
         touched = self.commits().select(F.explode("blocks").alias("block"), "number", "landing")
@@ -180,9 +186,11 @@ def apply_landing(
     good = clean.clean_activity(clean.to_canonical(raw)).withColumn("landing", F.lit(landing))
     writer = good.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     writer.partitionBy("date", "landing").parquet(store.path("activity"))
-    mine = store.table("activity").where(F.col("landing") == landing)
-    days = _listed(mine, "date")
+    written = store.find("activity")
+    mine = None if written is None else written.where(F.col("landing") == landing)
+    days = [] if mine is None else _listed(mine, "date")
     if not days:
+        store.commit(landing, [], [])
         return {}
     changed = stage(mine.select(*S.CELL_HOUR).distinct(), "changed-hours")
     after = stage(aggregate.hourly_grid_summary(store.table("activity", days).drop("landing"), decimals), "hours-after")
@@ -200,6 +208,20 @@ def apply_landing(
     store.replace_days("network_alerts", fired.withColumn("date", F.col("source_file")), days, S.CELL_HOUR)
     reached = _refresh_windows(store, changed, days, threshold)
     blocks = _refresh_summaries(store, landing, before, after)
-    number = store.commits().count()
-    tables.append_rows(store.spark.createDataFrame([(landing, number, days, blocks)], COMMIT).coalesce(1), store.path("commits"))
+    store.commit(landing, days, blocks)
     return {"hourly": days, "network_alerts": days, "features": reached, "training_set": reached, "middles": blocks}
+
+
+def take_batches(store: Store, zone_dir: str, threshold: float = S.HIGH_ACTIVITY_THRESHOLD, decimals: int | None = None) -> dict[str, dict[str, list]]:
+    """Takes the files that the gate on a stream has accepted since the last call, each of its batches as a landing; what each rewrote."""
+    spark = store.spark
+    accepted = gate.audit_log(spark, zone_dir).where("stream = 'lines' AND status = 'ACCEPTED'")
+    name = F.concat(F.lit("batch-"), F.col("batch").cast("string"))
+    done = store.commits().select("landing")
+    new = accepted.select("batch", name.alias("landing")).distinct().join(done, "landing", "left_anti")
+    taken = {}
+    for row in new.orderBy("batch").collect():  # one for each run of the gate since then
+        files = accepted.where(F.col("batch") == row["batch"]).select(F.col("filename").alias("source_file"))
+        raw = spark.read.parquet(f"{zone_dir}/{gate.RAW}").join(small_side(files), "source_file", "left_semi")
+        taken[row["landing"]] = apply_landing(store, raw.select(*S.RAW_COLUMNS), row["landing"], threshold, decimals)
+    return taken

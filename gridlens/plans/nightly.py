@@ -31,6 +31,7 @@ from gridlens.operators import (
     warehouse,
 )
 from gridlens.operators.windows import chronological_parts, split_border
+from gridlens.plans import incremental
 from gridlens.session import build_session, stage
 from gridlens.sources import files, tables
 from gridlens.sources.geo import grid_lookup, read_feature_lines, read_split_features
@@ -247,11 +248,16 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--output-dir", required=True)
     parser.add_argument("--grid-path")
     parser.add_argument("--threshold", type=float, default=S.HIGH_ACTIVITY_THRESHOLD)
+    parser.add_argument("--incremental", action="store_true", help="take new files into the tables of earlier runs instead of building all")
     args = parser.parse_args(argv)
     logging.basicConfig(level=logging.INFO, format="%(asctime)s %(levelname)s %(name)s %(message)s")
     spark = build_session("gridlens-nightly")
     try:
         ingest_available(spark, args.input_dir, f"{args.output_dir}/zones")
+        if args.incremental:
+            taken = incremental.take_batches(incremental.Store(spark, f"{args.output_dir}/store"), f"{args.output_dir}/zones", args.threshold)
+            log.info("landings taken: %s", {name: {table: len(parts) for table, parts in reached.items()} for name, reached in taken.items()})
+            return 0
         stored = T.StructType([*S.RAW_SCHEMA.fields, T.StructField("source_file", T.StringType())])
         raw = _table_or_empty(spark, f"{args.output_dir}/zones/raw", stored).select(*S.RAW_COLUMNS)
         run = run_nightly(spark, raw, args.output_dir, args.grid_path, args.threshold)

@@ -4,8 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridlens import schema as S
-from gridlens.operators import aggregate, clean
-from gridlens.plans import catalog, fixtures, nightly
+from gridlens.operators import aggregate, clean, features
+from gridlens.plans import catalog, fixtures, incremental, nightly
 from gridlens.streaming import live
 
 HEADER = ",".join(S.RAW_COLUMNS)
@@ -196,3 +196,20 @@ def test_a_repeated_batch_upserts_nothing_twice(spark, tmp_path):
     assert spark.read.parquet(f"{out}/hourly").agg(F.sum("total_activity"), F.count("*")).first() == first
     (tmp_path / "none").mkdir()
     live.upsert_available(live.read_raw_stream(spark, str(tmp_path / "none")), str(tmp_path / "nothing"), str(tmp_path / "checkpoint"))
+
+
+def test_incremental_job(spark, tmp_path):
+    folder, out = tmp_path / "in", str(tmp_path / "out")
+    args = ["--input-dir", str(folder), "--output-dir", out, "--threshold", "60", "--incremental"]
+    for days in ((1, 2, 4), (3,), ()):
+        folder.mkdir(exist_ok=True)
+        for day in days:
+            day_file(folder, day)
+        assert nightly.main(args) == 0
+    store = incremental.Store(spark, f"{out}/store")
+    assert [len(r["days"]) for r in store.commits().orderBy("number").collect()] == [3, 1]
+    assert store.table("hourly").count() == 4 * 72
+    raw = spark.read.schema(S.RAW_SCHEMA).option("header", True).csv(str(folder / "*.csv"))
+    hourly = aggregate.hourly_grid_summary(clean.clean_activity(clean.to_canonical(raw)))
+    whole, grown = features.network_features(hourly), store.table("features").drop("date")
+    assert whole.exceptAll(grown.select(*whole.columns)).count() == 0 and grown.count() == whole.count()
