@@ -5,7 +5,8 @@ Rules for a line with at least one word, the first that applies counts:
   no mark that ends or divides a sentence.
 * navigation: MIN_SEPARATORS single separators or more between words, SEPARATOR_SHARE of the words at least; or a
   line that is no more than a menu entry.
-* boilerplate: a phrase of site footers, cookie notices and licences.
+* boilerplate: phrases of site footers, cookie notices and licences, in English, German, French or Spanish, that hold
+  PHRASE_SHARE of its words or more. So an article in one line does not go for a phrase in it.
 
 A text fails at first when it has fewer than MIN_WORDS words, or more than MAX_REPEATED of its words stand in 8-word windows that occur
 twice or more in it. Otherwise it is kept unless its removed lines hold more than MAX_LOST of its word characters.
@@ -31,6 +32,7 @@ SYMBOLS = "#*$%&|<>"
 SYMBOL_SHARE = 0.5
 LONG_LINE = 12
 MIN_SEPARATORS, SEPARATOR_SHARE = 2, 0.2
+PHRASE_SHARE = 0.1
 
 # Marks, separators, menu entries and phrases
 MARKS = re.compile("[.!?;:,…。！？、，؟।]")
@@ -38,11 +40,20 @@ SEPARATORS = {b"|", b">", b"<", b"/", b"-", "»".encode(), "·".encode(), "•".
 MENU = {
     "about", "about us", "back to top", "contact", "contact us", "home", "log in", "login", "menu", "next", "previous", "read more",
     "register", "search", "share", "sign in", "sign up", "site map", "sitemap", "skip to content", "subscribe", "top",
+    "anmelden", "impressum", "kontakt", "mehr lesen", "nach oben", "startseite", "suche", "teilen", "weiterlesen", "über uns",
+    "accueil", "connexion", "haut de page", "lire la suite", "partager", "plan du site", "précédent", "rechercher", "suivant", "à propos",
+    "acerca de", "anterior", "buscar", "compartir", "contacto", "iniciar sesión", "inicio", "leer más", "siguiente", "volver arriba",
 }
 PHRASES = re.compile(
     "all rights reserved|accept cookies|we use cookies|cookie policy|privacy policy|terms of use|terms of service|terms and conditions"
     "|enable javascript|lorem ipsum|click here to|subscribe to our|sign up for our|follow us on|powered by|copyright ©|©"
     "|licensed under|released under the|spdx-license-identifier|permission is hereby granted"
+    "|alle rechte vorbehalten|datenschutzerklärung|nutzungsbedingungen|wir verwenden cookies|cookies akzeptieren|javascript aktivieren"
+    "|folgen sie uns auf|lizenziert unter"
+    "|tous droits réservés|politique de confidentialité|mentions légales|conditions d'utilisation|nous utilisons des cookies"
+    "|accepter les cookies|suivez-nous sur|sous licence"
+    "|todos los derechos reservados|política de privacidad|aviso legal|condiciones de uso|términos de uso|utilizamos cookies"
+    "|aceptar cookies|síguenos en|bajo licencia"
 )
 LETTER = regex.compile(r"\p{L}")
 
@@ -62,7 +73,10 @@ def failed_rule(line: str, words: list[bytes]) -> str | None:
     lowered = line.strip(WHITE).lower()
     if n <= 3 and lowered in MENU:
         return "navigation"
-    return "boilerplate" if PHRASES.search(lowered) else None
+    # most lines have no phrase
+    if PHRASES.search(lowered) and sum(len(phrase.split()) for phrase in PHRASES.findall(lowered)) >= PHRASE_SHARE * n:
+        return "boilerplate"
+    return None
 
 
 def repeated_words(words: list[bytes], window: int = WINDOW) -> int:

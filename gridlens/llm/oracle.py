@@ -38,7 +38,9 @@ ruled AS (SELECT *, separators >= {lr.MIN_SEPARATORS} AND separators >= {lr.SEPA
 judged AS (SELECT *, CASE WHEN is_odd AND NOT is_row THEN 'punctuation' WHEN is_odd THEN 'navigation'
                           WHEN n >= {lr.LONG_LINE} AND NOT regexp_matches(line, {_text(lr.MARKS.pattern)}) THEN 'punctuation'
                           WHEN is_row OR n <= 3 AND plain IN ({menu}) THEN 'navigation'
-                          WHEN regexp_matches(plain, {_text(lr.PHRASES.pattern)}) THEN 'boilerplate' END AS rule FROM ruled),
+                          WHEN phrase_words > 0 AND phrase_words >= {lr.PHRASE_SHARE} * n THEN 'boilerplate' END AS rule
+           FROM (SELECT *, coalesce(list_sum(list_transform(regexp_extract_all(plain, {_text(lr.PHRASES.pattern)}),
+                                                            lambda p: len(regexp_extract_all(p, {word})))), 0) AS phrase_words FROM ruled)),
 by_text AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines, sum(chars) FILTER (WHERE rule IS NOT NULL) AS lost,
                    count(*) FILTER (WHERE rule = 'punctuation') AS punctuation_lines,
                    count(*) FILTER (WHERE rule = 'navigation') AS navigation_lines,

@@ -108,3 +108,12 @@ def test_matches_sql_on_odd_texts(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d/*.parquet'")
     assert spark_rows(lr.op2_line_rules(df)) == duck_rows(con, op2_line_rules())
+
+
+def test_phrases_count_by_their_share():
+    words = " ".join(f"word{i}." for i in range(600))
+    article = words + " It is powered by wind. See our privacy policy."
+    assert lr.failed_rule(article, article.encode().split()) is None
+    for line in ("Alle Rechte vorbehalten", "© 2024 Acme. Tous droits réservés.", "Todos los derechos reservados.", "Impressum", "Licensed under CC BY-NC 4.0.",
+                 "This work is licensed under the GNU General Public License, version 3."):
+        assert lr.failed_rule(line, line.encode().split()) in ("boilerplate", "navigation"), line
