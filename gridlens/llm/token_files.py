@@ -59,7 +59,8 @@ class _Kept(dict):
 
 
 class Tokens:
-    """Ids by a file of the tokenizers library; strings of special tokens in a text are ordinary text.
+    """Ids by a file of the tokenizers library, as its encode gives them without special tokens around; texts with a string of an added token go
+    to the library whole.
 
     A byte-level file whose pattern is given cuts texts before spaces unless these belong to a run of white space, so a word's
     ids do not depend on its neighbours. Ids of words met are kept, up to a number of words. A new word of plain letters is cut by
@@ -72,7 +73,7 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.added = [token.content for token in self.library.get_added_tokens_decoder().values()]
         form = json.loads(self.library.to_str())
         step = form.get("pre_tokenizer") or {}
         self.by_words = bool(pattern) and not form.get("normalizer") and step.get("type") == "ByteLevel"
@@ -116,7 +117,7 @@ class Tokens:
         out, whole = [b""] * len(texts), []
         for i, text in enumerate(texts):
             if text:
-                if self.by_words and not self.odd_space.search(text):
+                if self.by_words and not self.odd_space.search(text) and not any(added in text for added in self.added):
                     first, *words = text.split(" ")
                     out[i] = self._encode([first])[0] + b"".join(map(self.words.__getitem__, words))
                 else:

@@ -47,7 +47,6 @@ def test_blocks_alone_and_damage():
 
 def plain(rows):
     library = Tokenizer.from_file(PATH)
-    library.encode_special_tokens = True
     start, out = 0, []
     for doc_id, text, *_ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):
         ids = [*library.encode(text or "", add_special_tokens=False).ids, 0]
@@ -91,7 +90,6 @@ def test_words_are_the_librarys(monkeypatch):
     texts = [" ".join("".join(rng.choices(letters, k=rng.randint(1, 9))) for _ in range(40)) for _ in range(100)]
     texts += ["it's we're don't I'll. (so) \"quoted\", 3.14 x2 2x", "plain words only"]
     library = Tokenizer.from_file(PATH)
-    library.encode_special_tokens = True
     own = token_files.Tokens(PATH, PATTERN)
     for i in range(0, len(texts), 10):
         got = [np.frombuffer(ids, "<u4").tolist() for ids in own.ids(texts[i : i + 10])]
