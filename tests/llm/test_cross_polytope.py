@@ -49,7 +49,7 @@ def test_exact_with_all_probes_ties_and_odd_rows(spark):
     rows += [(400, None, "", "", 1), (420, [0.0] * 6, "", "", 1), (440, [1.0, None, 1.0, 1.0, 1.0, 1.0], "", "", 1), (None, same, "", "", 1)]
     rows += [(460, [float("nan")] * 6, "", "", 1), (480, [float("inf")] * 6, "", "", 1), (500, [1.0, 2.0], "", "", 1), rows[5], rows[5]]
     df = spark.createDataFrame(rows, SCHEMA)
-    got = answers(cp.search(df, F.col("id") % 20 == 0, k=20, tables=1, probes=16, max_bucket=10))
+    got = answers(cp.search(df, F.col("id") % 20 == 0, k=20, tables=1, probes=16, max_bucket=10, head=30))
     usable = [r for r in dict((r[0], r) for r in rows).values() if r[0] != 500]
     want = brute(usable, 20, 20)
     assert got.keys() == want.keys()
@@ -58,6 +58,19 @@ def test_exact_with_all_probes_ties_and_odd_rows(spark):
         assert [s for _, s in got[q]] == pytest.approx([s for _, s in w], rel=1e-12, abs=1e-12)
 
 
+@pytest.mark.parametrize("kind", ["sigma 0.5", "sigma 1", "outlier"])
+def test_recall_on_uneven_norms(spark, kind):
+    rng = np.random.default_rng(3)
+    rows = [r["embedding"] for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").orderBy("vec_id").collect()]
+    scale = np.exp(rng.normal(0, float(kind.split()[-1]), len(rows))) if kind != "outlier" else np.where(np.arange(len(rows)) == 7, 20, 1)
+    made = [(i, (np.array(v) * s).astype(np.float32).tolist(), "", "", 1) for i, (v, s) in enumerate(zip(rows, scale.tolist(), strict=True))]
+    df = spark.createDataFrame(made, SCHEMA)
+    got = answers(cp.search(df, F.col("id") % 20 == 0, head=30))
+    want = brute(made, 20, 20)
+    assert all(len(got[q]) == 20 for q in want)
+    assert recall(got, want) >= 0.9
+
+
 def test_fewer_rows_than_neighbours(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0], "", "", 1), (1, [0.5, 0.5], "", "", 1)], SCHEMA)
     assert answers(cp.search(df, F.col("id") % 20 == 0, probes=8)) == {0: [(1, 0.5)]}
