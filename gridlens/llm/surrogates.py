@@ -10,10 +10,12 @@ a given name or a wider network with each attempt, so values that cannot change
 """
 
 import hashlib
+import re
 import unicodedata
 from functools import lru_cache
 
 ROUNDS = 8
+_WHITE = re.compile(r"\s+")
 #: The first attempt that leaves the format of a value for a larger one.
 LARGER = 5
 
@@ -26,8 +28,16 @@ LETTERS = [
 BLOCKS = [(0x5D0, 0x5EA), (0x621, 0x64A), (0x905, 0x939), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3)]
 # Given names by script and gender
 GIVEN = {
-    ("latin", "f"): "Alice Anna Carla Clara Emma Eva Julia Laura Lena Lucía Maria Marie Nina Sara Sofia Sophie".split(),
-    ("latin", "m"): "Adam Carlos Daniel David Felix Hugo Jan John Lucas Luis Martin Max Paul Peter Simon Thomas".split(),
+    ("latin", "f"): (
+        "Alice Amélie Anna Barbara Camille Carla Carmen Clara Elena Elizabeth Emily Emma Eva Hannah Isabel Jennifer Jessica Julia Karen Laura Lena Linda "
+        "Lucía Margaret Maria María Marie Mary Monika Nina Patricia Sabine Sara Sarah Sofia Sophie Susan Ursula"
+    ).split(),
+    ("latin", "m"): (
+        "Adam Andreas Antonio Carlos Charles Christopher Daniel David Felix François George Hans Hugo James Jan Javier Jean John Jorge José Joseph Juan "
+        "Jürgen Klaus Lucas Luis Martin Matthew Max Michael Miguel Paul Peter Pierre Richard Robert Simon Thomas William"
+    ).split(),
+    ("hebrew", "f"): "אסתר לאה מרים רבקה רחל שרה".split(),
+    ("hebrew", "m"): "אברהם דוד יוסף יעקב משה שמואל".split(),
     ("cyrillic", "f"): "Анна Вера Елена Ирина Мария Нина Ольга Татьяна".split(),
     ("cyrillic", "m"): "Алексей Борис Виктор Дмитрий Иван Михаил Николай Сергей".split(),
     ("greek", "f"): "Άννα Ελένη Κατερίνα Μαρία Σοφία".split(),
@@ -217,15 +227,25 @@ def plain_form(kind: str, found: str) -> str:
         return "+" + digits if found.startswith("+") else digits
     if kind == "ip":
         return ".".join(str(int(p)) for p in found.split("."))
-    return unicodedata.normalize("NFC", " ".join(found.split()))
+    name = unicodedata.normalize("NFC", " ".join(found.split()))
+    return " ".join(map(_first_capital, name.split())) if name.isupper() else name
+
+
+def _first_capital(word: str) -> str:
+    return word[:1] + word[1:].lower()
 
 
 def written_like(kind: str, found: str, plain: str) -> str:
-    """A replacement in the way in which the found value is written: its separators and its capitals."""
+    """A replacement in the way in which the found value is written: its separators, white space and capitals."""
     if kind == "email":
         return "".join(c.upper() if f.isupper() else c for c, f in zip(plain, found, strict=True)) if len(plain) == len(found) else plain
-    if kind in ("ip", "name"):
+    if kind == "ip":
         return plain
+    if kind == "name":
+        gaps, words = [g for g in _WHITE.findall(found) if g], plain.split(" ")
+        made = "".join(w + g for w, g in zip(words, gaps + [" "] * len(words), strict=False))
+        made = made[: len(made) - len((gaps + [" "] * len(words))[len(words) - 1])]
+        return made.upper() if found.isupper() else made
     characters = plain.lstrip("+")
     if kind == "phone" and sum(c.isdigit() for c in found) == len(characters) + 1:
         characters = "1" + characters

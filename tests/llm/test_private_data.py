@@ -2,6 +2,7 @@
 
 import itertools
 import re
+import time
 
 import pytest
 
@@ -168,3 +169,47 @@ def test_documents_of_the_table(spark):
 
 def test_empty_table(spark):
     assert pd_.op5_surrogates(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ("Robert Smith wrote.", ["Robert Smith"]),
+        ("ALICE SMITH and Alice\u00a0\u00a0Smith", ["ALICE SMITH", "Alice\u00a0\u00a0Smith"]),
+        ("José García vive aquí. Luego García salió.", ["José García", "García"]),
+        ("זה דוד כהן מכאן", ["דוד כהן"]),
+        ("Call 5551234567 or 555-1234", ["5551234567", "555-1234"]),
+        ("tel 0151 23456789, fax: +49 30 123456", ["0151 23456789", "+49 30 123456"]),
+        ("1000 2000 3000 and 2019 2020 2021", []),
+        ("version 10.200.3000", []),
+        ("+12233 only", []),
+        ("+12233 only, on 2024-01-02 03:04", []),
+        ("Maria ładna", []),
+        ("Dr Smith said that Paul said nothing", ["Smith"]),
+        ("a@b@c.org x..@y.org -a.b@d.example.com, me@x", ["b@c.org", "a.b@d.example.com"]),
+    ],
+)
+def test_finds_in_context(text, found):
+    assert [text[a:b] for a, b, _ in pd_.finds(text)] == found
+
+
+def test_a_person_is_one_however_written():
+    made = {w: sg.written_like("name", w, OWN.replace("name", sg.plain_form("name", w))) for w in ("Alice Smith", "ALICE SMITH", "Alice\u00a0\u00a0Smith")}
+    assert made["ALICE SMITH"] == made["Alice Smith"].upper()
+    assert made["Alice\u00a0\u00a0Smith"].split("\u00a0\u00a0") == made["Alice Smith"].split(" ")
+
+
+@pytest.mark.parametrize("run", ["a", "a.", "a-", "1", "1 ", "A1 ", "Paul ", "tel ", "@", "a@"])
+def test_long_runs_take_little_time(run):
+    text = "mail x@y.org " + run * (5_000_000 // len(run))
+    started = time.perf_counter()
+    found = pd_.finds(text)
+    assert time.perf_counter() - started < (3 if run in "aa.a-" else 30)
+    assert found[0] == (5, 12, "email") and (run == "Paul " or len(found) < 5)
+
+
+def test_rows_without_id_have_no_common_key(spark):
+    names = sg.GIVEN["latin", "m"][:12]
+    rows = [(None, f"Mr {n} is here") for n in names] * 3
+    got = [r["text"] for r in pd_.replace_private(spark.createDataFrame(rows, "doc_id long, text string"), KEY).collect()]
+    assert len(set(got)) == len(names) and not {t.split()[1] for t in got} & set(names)
