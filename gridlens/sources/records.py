@@ -58,7 +58,7 @@ def _state(start: Column | int) -> Column:
 
 
 def whole_records(lines: DataFrame) -> DataFrame:
-    """Lines (file, block, position, line) as records of the same columns, block and position being those of the first line."""
+    """Lines (file, block, position, line) as records of the same columns: the block in which a record starts, and its place among those that start there."""
     outside, inside = _ends_inside(F.col("line"), False).cast("int"), _ends_inside(F.col("line"), True).cast("int")
     # positions are numbers of the scan, so they are fixed before anything is shuffled
     functions = lines.select("file", "block", "position", "line", outside.alias("_outside"), inside.alias("_inside")).select(
@@ -87,7 +87,9 @@ def whole_records(lines: DataFrame) -> DataFrame:
     ordered = F.sort_array(F.collect_list(F.struct("block", "position", "line")))
     grouped = owned.groupBy("file", "record").agg(ordered.alias("lines"))
     text = F.array_join(F.transform("lines", lambda part: part["line"]), "\n")
-    return grouped.select("file", F.col("record.first_block").alias("block"), F.col("record.first_position").alias("position"), text.alias("line"))
+    whole = grouped.select("file", F.col("record.first_block").alias("block"), F.col("record.first_position").alias("first"), text.alias("line"))
+    nth = F.row_number().over(Window.partitionBy("file", "block").orderBy("first"))
+    return whole.select("file", "block", (nth - 1).cast("long").alias("position"), "line")
 
 
 def raw_rows(records: DataFrame, fields: Column) -> DataFrame:

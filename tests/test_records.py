@@ -56,7 +56,8 @@ def row(hour, value):
     return f"2013-11-01 {hour:02d}:00:00,1,39,{value},,1.25,0.5,2"
 
 
-def test_verdicts_and_rows(spark):
+@pytest.mark.parametrize("per_block", [1, 2, 3, 1000])
+def test_verdicts_and_rows(spark, per_block):
     texts = {
         "fine.csv": "\n".join([HEADER, row(0, '"1.5\n"'), row(1, 2), row(2, '"\n\n3"')]) + "\n",
         "negative.csv": "\n".join([HEADER, row(0, '"1\n"'), row(1, '"-2\n"')]) + "\n",
@@ -65,7 +66,7 @@ def test_verdicts_and_rows(spark):
         "text.csv": "\n".join([HEADER, row(0, '"1,\n2"')]) + "\n",
         "plain.csv": "\n".join([HEADER, row(0, '"7"')]) + "\n",
     }
-    lines = lines_of(spark, texts, 2)
+    lines = lines_of(spark, texts, per_block)
     judged = files.judge_files(lines).cache()
     verdicts = {r["file"]: (r["ok"], r["reason"]) for r in judged.collect()}
     assert verdicts == {
