@@ -8,7 +8,8 @@ Search, exact for every pair of different fingerprints:
 * Vantage points need a radius that is small beside the spread of distances, and 64 bits at radius r alone prune badly. So
   the bits are cut into r + 1 blocks: two fingerprints within r agree in one block at least, that is, are at distance 0 there.
   A shard holds the fingerprints of one value of one block. A shard above MAX_SHARD is dealt again by
-  the blocks of its other bits, which keeps the search exact, until the bits are used up.
+  the blocks of its other bits, which keeps the search exact, until the bits are used up; then by rings of distance to vantage points that overlap by
+  the radius.
 * Within a shard a vantage-point tree splits at the median distance; by the triangle inequality only rows near the border
   on either side can be linked across it, and all rows within r / 2 of a vantage point are linked with each other.
 * A shard returns a spanning forest, at most one row for each member, never all pairs of a group.
@@ -33,7 +34,9 @@ from gridlens.llm.common import small_batches, to_batches
 from gridlens.session import stage
 
 MAX_SHARD = 20_000
-LEAF = 512
+LEAF = 32
+#: Distances in a ring around a vantage point, and how often rings are cut by a further one.
+RING, CUTS = 8, 6
 SIDE = 512
 
 # Odd factors that make further words of a hash
@@ -100,6 +103,8 @@ class Forest:
 
     def __init__(self, n: int):
         self.root = np.arange(n)
+        #: Pairs of members that were compared.
+        self.compared = 0
 
     def link(self, a: np.ndarray, b: np.ndarray) -> None:
         while True:
@@ -126,6 +131,7 @@ def _across(points: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int, fores
             apart = forest.root[x][:, None] != forest.root[y][None, :]
             if not apart.any():
                 continue
+            forest.compared += len(x) * len(y)
             near = (distances(points[x], points[y]) <= radius) & apart
             if near.any():
                 r, c = np.nonzero(near)
@@ -249,10 +255,40 @@ def links(prints: DataFrame, radius: int = 4, max_shard: int = MAX_SHARD) -> Dat
             shards = again.withColumn("value", F.col("fingerprint").bitwiseAND(F.col("mask")))
             masks = [p for parts in finer.values() for p in parts]
             continue
-        own = found_in(shards)
+        if n_large:
+            split = shards.join(large, ["mask", "value"], "left_semi")
+            own = found_in(shards.join(large, ["mask", "value"], "left_anti")).unionByName(_ring_links(split, radius, max_shard))
+        else:
+            own = found_in(shards)
         return own if found is None else found.unionByName(own)
 
 
+def _ring_links(shards: DataFrame, radius: int, max_shard: int) -> DataFrame:
+    """Forest rows of shards whose bits are used up, dealt by distance to a vantage point each.
+
+    A ring takes RING distances and those less than radius beyond it. By the triangle inequality two linked members differ by
+    radius at most in distance, so they share the ring of the nearer one. Rings that are still too large are cut by another vantage point.
+    """
+    rows = shards.withColumn("ring", F.lit("").cast("string"))
+    key = ["mask", "value", "ring"]
+    found = None
+    for cut in range(CUTS + 1):
+        rows = stage(rows, "rings")
+        sizes = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min_by("fingerprint", F.xxhash64("fingerprint", F.lit(cut))).alias("point"))
+        large = stage(sizes.where((F.col("n") > max_shard) & F.lit(cut < CUTS)), "large-rings")
+        settled = rows.join(large, key, "left_anti").withColumn("shard", F.xxhash64(*key))
+        own = _shard_links(settled, ["mask", "shard"], "fingerprint", ["fingerprint"], radius)
+        found = own if found is None else found.unionByName(own)
+        if large.isEmpty():
+            break
+        far = F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("point")))
+        ring = F.floor(far / RING).cast("int")
+        rings = F.when((far - ring * RING < radius) & (ring > 0), F.array(ring, ring - 1)).otherwise(F.array(ring))
+        cut_rows = rows.join(large, key).select("mask", "value", "ring", "fingerprint", F.explode(rings).alias("more"))
+        rows = cut_rows.select("mask", "value", F.concat_ws(" ", "ring", "more").alias("ring"), "fingerprint")
+    return found
+
+
 def components(edges: DataFrame, low: str = "low", high: str = "high") -> DataFrame:
     """node and root (the smallest node it is connected with) for every node of the edges that is not its own root."""
 

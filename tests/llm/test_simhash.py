@@ -96,6 +96,36 @@ def test_large_shards_are_dealt_again(spark):
             assert together == (plain[i] == plain[j])
 
 
+def clustered(rng, clusters, size):
+    points = set()
+    for _ in range(clusters):
+        c = rng.getrandbits(64)
+        while len(points) % size or not points or len(points) // size <= _:
+            points.add(c ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 6))))
+            if len(points) >= size * (_ + 1):
+                break
+    return sorted(points)
+
+
+def test_branches_are_pruned():
+    rng = random.Random(11)
+    for points in (clustered(rng, 40, 50), sorted({rng.getrandbits(64) for _ in range(2000)})):
+        forest = simhash.linked_within(np.array(points, np.uint64)[:, None], 4)
+        assert forest.compared < 0.5 * len(points) ** 2 / 2
+        assert forest.root.tolist() == plain_components(points)
+
+
+def test_shards_without_bits_left_are_cut_by_rings(spark):
+    rng = random.Random(12)
+    points = clustered(rng, 6, 60)
+    signed = [p - (1 << 64) if p >> 63 else p for p in points]
+    rows = spark.createDataFrame([(0, 0, p) for p in signed], "mask long, value long, fingerprint long")
+    roots = {r["node"]: r["root"] for r in simhash.components(simhash._ring_links(rows, 4, 20)).collect()}
+    plain = plain_components(points)
+    names = [roots.get(p, p) for p in signed]
+    assert len(set(zip(plain, names, strict=True))) == len(set(plain)) == len(set(names))
+
+
 def test_long_chain(spark):
     edges = spark.range(200).selectExpr("id * 7 % 1000 - 300 low", "(id + 1) * 7 % 1000 - 300 high")
     roots = {r["root"] for r in simhash.components(edges).collect()}
