@@ -23,8 +23,8 @@ def activity_floor(hourly: DataFrame, scope: str = "date", percentile: float = S
 
 def within_day_baseline(hourly: DataFrame, scope: str = "date") -> DataFrame:
     """Median of a cell's other hours in the same file. The unique (cell, timestamp) key bounds such a bucket by
-    the distinct timestamps of a day, so it needs no splitting."""
-    return leave_one_out_median(hourly, [scope, "grid_id"], max_group_rows=None)
+    the distinct timestamps of a day, so it needs no splitting. A baseline that equals the floor is not below it, so both are exact."""
+    return leave_one_out_median(hourly, [scope, "grid_id"], max_group_rows=None, exact=True)
 
 
 def rule_conditions(

@@ -29,6 +29,16 @@ def large_groups(df: DataFrame, by: list[str], max_group_rows: int) -> DataFrame
     return None if sizes.isEmpty() else small_side(stage(sizes.select(*by), "large-groups"))
 
 
+def between(low: Column, high: Column, share: Column) -> Column:
+    """low + (high - low) * share, to the nearest double where the three are decimals of few places, as measured values are.
+
+    Double arithmetic alone is off by a last place now and then, by which two equal statistics of the same values would compare as different.
+    """
+    a, b, part = low.try_cast("decimal(28,12)"), high.try_cast("decimal(28,12)"), share.try_cast("decimal(5,4)")
+    same = (a.cast("double") == low) & (b.cast("double") == high) & (part.cast("double") == share)
+    return F.when(low == high, low).when(same, (a + (b - a) * part).cast("double")).otherwise(low + (high - low) * share)
+
+
 def values_at(
     df: DataFrame,
     value: str,
@@ -152,8 +162,7 @@ def quantiles(
     def interpolated(i: int, p: float) -> Column:
         at = (F.col("group_rows") - 1) * p
         low, high = F.col(f"_low{i}"), F.col(f"_high{i}")
-        between = F.when(low == high, low).otherwise(low + (high - low) * (at - F.floor(at)))
-        return F.struct(F.lit(p).alias("probability"), between.alias("quantile"))
+        return F.struct(F.lit(p).alias("probability"), between(low, high, at - F.floor(at)).alias("quantile"))
 
     return found.select(*by, F.inline(F.array(*[interpolated(i, p) for i, p in numbered])))
 
@@ -164,14 +173,14 @@ def _middle(rows: Column) -> dict[str, Column]:
     return {"_low": low, "_low_next": low + 1, "_high": high, "_high_next": high + 1}
 
 
-def _median_of_others(value: Column, rows: Column) -> Column:
+def _median_of_others(value: Column, rows: Column, exact: bool = False) -> Column:
     """Median of a group's other values, from the group's own values around the middle.
 
-    Taking out a value at or below the k-th one shifts everything above it down by one place.
+    Taking out a value at or below the k-th one shifts everything above it down by one place. An exact one is the nearest double.
     """
     low = F.when(value <= F.col("_low"), F.col("_low_next")).otherwise(F.col("_low"))
     high = F.when(value <= F.col("_high"), F.col("_high_next")).otherwise(F.col("_high"))
-    return F.when(rows >= 2, (low + high) / 2)
+    return F.when(rows >= 2, between(low, high, F.lit(0.5)) if exact else (low + high) / 2)
 
 
 def leave_one_out_median(
@@ -180,21 +189,22 @@ def leave_one_out_median(
     value: str = "total_activity",
     output: str = "baseline_activity",
     max_group_rows: int | None = MAX_GROUP_ROWS,
+    exact: bool = False,
 ) -> DataFrame:
     """Adds, per row, the median of the other rows in its bucket; NULL for a bucket of one.
 
     Buckets are counted first. Ordinary ones then need one shuffle and one sort. Those above max_group_rows
     take their middle values from a search and are never gathered. Pass None where the key bounds the bucket.
-    The value must not be NULL.
+    The value must not be NULL. exact: see between.
     """
     large = None if max_group_rows is None else large_groups(df, buckets, max_group_rows)
     if large is None:
-        return _sorted_buckets(df, buckets, value, output)
-    ordinary = _sorted_buckets(df.join(large, buckets, "left_anti"), buckets, value, output)
-    return ordinary.unionByName(_sliced_buckets(df.join(large, buckets, "left_semi"), buckets, value, output, max_group_rows))
+        return _sorted_buckets(df, buckets, value, output, exact)
+    ordinary = _sorted_buckets(df.join(large, buckets, "left_anti"), buckets, value, output, exact)
+    return ordinary.unionByName(_sliced_buckets(df.join(large, buckets, "left_semi"), buckets, value, output, max_group_rows, exact))
 
 
-def _sorted_buckets(df: DataFrame, buckets: list[str], value: str, output: str) -> DataFrame:
+def _sorted_buckets(df: DataFrame, buckets: list[str], value: str, output: str, exact: bool) -> DataFrame:
     whole = Window.partitionBy(*buckets)
     ranked = df.withColumn("_spot", F.row_number().over(whole.orderBy(value)) - 1).withColumn(
         "_rows", F.count(F.lit(1)).over(whole)
@@ -203,13 +213,13 @@ def _sorted_buckets(df: DataFrame, buckets: list[str], value: str, output: str)
         name: F.max(F.when(F.col("_spot") == spot, F.col(value))).over(whole)
         for name, spot in _middle(F.col("_rows")).items()
     }
-    baseline = _median_of_others(F.col(value), F.col("_rows"))
+    baseline = _median_of_others(F.col(value), F.col("_rows"), exact)
     return ranked.withColumns(middle).withColumn(output, baseline).select(*df.columns, output)
 
 
-def _sliced_buckets(df: DataFrame, buckets: list[str], value: str, output: str, max_group_rows: int) -> DataFrame:
+def _sliced_buckets(df: DataFrame, buckets: list[str], value: str, output: str, max_group_rows: int, exact: bool) -> DataFrame:
     middle = _search_slices(df.select(*buckets, F.col(value).alias("_value")), _middle, buckets, max_group_rows=max_group_rows)
-    baseline = _median_of_others(F.col(value), F.col("group_rows"))
+    baseline = _median_of_others(F.col(value), F.col("group_rows"), exact)
     return df.join(small_side(stage(middle, "middle-values")), buckets).withColumn(output, baseline).select(*df.columns, output)
 
 

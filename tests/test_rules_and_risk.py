@@ -77,6 +77,13 @@ def test_alert_rules_and_texts(spark):
     assert str(got[3, "HIGH_ACTIVITY"]["source_file"]) == "2013-11-01"
 
 
+def test_baseline_equal_to_the_floor_is_not_below_it(spark):
+    """Both are 85.575; in doubles (85.41 + 85.74) / 2 is less than 85.53 + 0.06 * 0.75."""
+    rows = hourly_rows(spark, [85.41, 85.74, 500]).unionByName(hourly_rows(spark, [85.53, 85.59, 90, 90, 90], cell=2))
+    got = {(r["grid_id"], r["timestamp"].hour, r["alert_type"]) for r in alerts.network_alerts(rows).collect()}
+    assert (1, 2, "HIGH_ACTIVITY") in got
+
+
 def test_alerts_stay_within_their_day(spark):
     two_days = hourly_rows(spark, [10] * 23 + [1], start=DAY).unionByName(
         hourly_rows(spark, [50] * 24, start=DAY + timedelta(days=1))
