@@ -1344,7 +1344,7 @@ def stream_file_gate(d: Dataset) -> DataFrame:
     for part in (lines.where(early), lines):
         part.repartition("file").sortWithinPartitions("file", "block", "position").drop("position").write.mode("append").parquet(f"{path}/landing")
         stream = d.spark.readStream.schema("file string, block long, line string").parquet(f"{path}/landing")
-        taken = stream.writeStream.foreachBatch(lambda batch, number: landing.take_lines(batch, number, f"{path}/zones"))
+        taken = stream.writeStream.foreachBatch(lambda batch, number: landing.take_lines(batch, number, f"{path}/zones", by_batch=True))
         landing.run_available(taken, f"{path}/checkpoint")
     return landing.audit_log(d.spark, f"{path}/zones").select("filename", "status", "reason")
 

@@ -120,3 +120,15 @@ def test_gate_on_a_stream(spark, tmp_path):
     assert landing.audit_log(spark, zones_dir).where(F.col("filename") == name(9)).count() == 1
     with pytest.raises(FileNotFoundError):
         landing.ingest_available(spark, str(tmp_path / "none"), str(tmp_path / "other"))
+
+
+def test_gate_in_folders_of_the_batch(spark, tmp_path):
+    """Many small files make one folder for their batch, not one for each; a repeated batch stores nothing twice."""
+    rows = [(name(day), 0, line) for day in range(1, 21) for line in (",".join(S.RAW_COLUMNS), f"2013-11-{day:02d} 00:00:00,1,39,{-1 if day == 9 else 1},,,,")]
+    lines = spark.createDataFrame(rows, "file string, block long, line string").repartition(3, "file")
+    for _ in range(2):
+        landing.take_lines(lines.sortWithinPartitions("file"), 0, str(tmp_path), by_batch=True)
+    raw = spark.read.parquet(str(tmp_path / "raw"))
+    assert raw.count() == raw.select("source_file").distinct().count() == 19
+    assert [r["file"] for r in spark.read.parquet(str(tmp_path / "rejected")).select("file").distinct().collect()] == [name(9)]
+    assert [p.name for p in (tmp_path / "raw").glob("*/*=*")] == ["batch=0"]
