@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gridlens import schema as S
 from gridlens.functions import columns as C
 from gridlens.operators.alerts import with_severity
-from gridlens.operators.joins import small_side
+from gridlens.operators.joins import few_rows, small_side
 from gridlens.operators.risk import RiskModel
 from gridlens.operators.windows import last_hours
 
@@ -168,8 +168,10 @@ def alert_feed(
         listed = listed.where(F.upper("severity") == severity.upper())
     newest = listed.withColumn("severity_rank", C.severity_rank(F.col("severity"))).orderBy(*feed_order()).limit(limit)
     scores = risk.select("grid_id", "timestamp", *RISK_COLUMNS)
-    few = F.broadcast(newest) if limit <= 10_000 else newest
-    return scores.join(few, ["grid_id", "timestamp"], "right").select(
+    keys = ["grid_id", "timestamp"]
+    # an outer join cannot broadcast the side that it keeps whole, so the scores are cut to the listed keys first
+    listed_scores = scores.join(few_rows(newest.select(*keys).distinct(), limit), keys, "left_semi")
+    return newest.join(listed_scores, keys, "left").select(
         "grid_id",
         "timestamp",
         "alert_type",

@@ -170,3 +170,10 @@ def test_task_status_from_text(spark):
     frame = spark.createDataFrame([("done {'load': 'success', 'check': None}",), ("plain",), (None,), ("bad {x",)], "r string")
     got = [r[0] for r in frame.select(service.parse_task_status(F.col("r"))).collect()]
     assert got == [{"load": "success", "check": None}, {}, {}, {}]
+
+
+def test_alert_feed_does_not_sort_all_scores(tables):
+    """Only the scores of the listed keys leave their scan."""
+    activity, scores, alerts = tables
+    plan = service.alert_feed(alerts, scores, activity)._jdf.queryExecution().executedPlan().toString()
+    assert "LeftSemi, BuildRight" in plan
