@@ -17,9 +17,15 @@ def measured_bytes(df: DataFrame) -> int:
     return facts["rows"] * 16 * len(df.columns) + facts["text"]
 
 
+def by_merge(df: DataFrame) -> DataFrame:
+    """Mark a table that grows with the input, so that no join sends it through the driver. Spark judges stored tables by the size of their
+    files, and columns of keys take many times that in memory."""
+    return df.hint("merge")
+
+
 def small_side(df: DataFrame, max_bytes: int = SMALL_SIDE_BYTES) -> DataFrame:
-    """Mark a table for broadcast when it measures at most max_bytes, else leave the join to AQE."""
-    return F.broadcast(df) if measured_bytes(df) <= max_bytes else df
+    """Mark a table for broadcast when it measures at most max_bytes, else for a merge."""
+    return F.broadcast(df) if measured_bytes(df) <= max_bytes else by_merge(df)
 
 
 def few_rows(df: DataFrame, limit: int) -> DataFrame:

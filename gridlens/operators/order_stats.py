@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridlens.functions.columns import value_slice
-from gridlens.operators.joins import small_side
+from gridlens.operators.joins import by_merge, small_side
 from gridlens.session import stage
 
 # a group above this many rows is spread over value slices
@@ -248,7 +248,7 @@ def middle_values(summary: DataFrame, buckets: list[str]) -> DataFrame:
     )
     wanted = _middle(F.col("group_rows"))
     holds = reduce(or_, [(p >= F.col("_before")) & (p < F.col("_before") + F.col("_rows")) for p in wanted.values()])
-    inside = sliced.join(located.where(holds).drop("_rows"), [*buckets, "_slice"])
+    inside = sliced.join(by_merge(located.where(holds).drop("_rows")), [*buckets, "_slice"])
     first = F.col("_before") + F.sum("rows").over(Window.partitionBy(*buckets, "_slice").orderBy("value")) - F.col("rows")
     spots = inside.withColumn("_first", first).groupBy(*buckets, "group_rows")
     found = {name: (p >= F.col("_first")) & (p < F.col("_first") + F.col("rows")) for name, p in wanted.items()}

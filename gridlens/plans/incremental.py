@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from gridlens import schema as S
 from gridlens.operators import aggregate, alerts, anomaly, clean, features, order_stats, warehouse
-from gridlens.operators.joins import small_side
+from gridlens.operators.joins import by_merge, small_side
 from gridlens.operators.windows import along_time
 from gridlens.session import stage
 from gridlens.sources import tables
@@ -120,7 +120,7 @@ def _neighbourhood(store: Store, changed: DataFrame, days: list[date]) -> DataFr
     first, last = store.table("dim_time").agg(F.min("date"), F.max("date")).first()
     low, high = days[0] - timedelta(days=REACH_DAYS), days[-1] + timedelta(days=REACH_DAYS)
     cells = changed.groupBy("grid_id").agg(F.min("timestamp").alias("_first"), F.max("timestamp").alias("_last"))
-    near = stage(hourly.where(F.col("date").between(low, high)).join(cells, "grid_id"), "near-hours")
+    near = stage(hourly.where(F.col("date").between(low, high)).join(by_merge(cells), "grid_id"), "near-hours")
     if low <= first and high >= last:
         return near.select(*columns)
     missing = F.lit(False)
@@ -131,6 +131,7 @@ def _neighbourhood(store: Store, changed: DataFrame, days: list[date]) -> DataFr
     sparse = stage(near.groupBy("grid_id").agg(missing.alias("_sparse")).where("_sparse").select("grid_id"), "sparse-cells")
     if sparse.isEmpty():
         return near.select(*columns)
+    sparse = by_merge(sparse)
     whole = hourly.join(sparse, "grid_id", "left_semi")
     return near.join(sparse, "grid_id", "left_anti").select(*columns).unionByName(whole)
 
@@ -138,7 +139,7 @@ def _neighbourhood(store: Store, changed: DataFrame, days: list[date]) -> DataFr
 def _refresh_windows(store: Store, changed: DataFrame, days: list[date], threshold: float) -> list[date]:
     """Features and labelled rows of the windows that hold a changed row; the days rewritten."""
     rows = _neighbourhood(store, changed, days)
-    rows = stage(rows.join(changed.withColumn("changed", F.lit(1)), S.CELL_HOUR, "left"), "neighbourhood")
+    rows = stage(rows.join(by_merge(changed.withColumn("changed", F.lit(1))), S.CELL_HOUR, "left"), "neighbourhood")
     holds = lambda w: [F.max("changed").over(w.rowsBetween(-BEFORE, AFTER)).alias("touched")]
     touched = along_time(rows, holds, ["grid_id"], before=BEFORE, after=AFTER).where("touched = 1")
     touched = stage(touched.select("grid_id", F.col("timestamp").alias("feature_timestamp"), "date"), "touched-windows")
@@ -146,10 +147,10 @@ def _refresh_windows(store: Store, changed: DataFrame, days: list[date], thresho
     keys = ["grid_id", "feature_timestamp"]
     made = {"features": features.network_features(rows), "training_set": features.training_set(rows, threshold)}
     for name, fresh in made.items():
-        fresh = fresh.join(touched, keys)
+        fresh = fresh.join(by_merge(touched), keys)
         if store.find(name) is not None:
             old = store.table(name, reached)
-            fresh = old.join(touched.select(*keys), keys, "left_anti").select(*fresh.columns).unionByName(fresh)
+            fresh = old.join(by_merge(touched.select(*keys)), keys, "left_anti").select(*fresh.columns).unionByName(fresh)
         store.replace_days(name, fresh, reached, keys)
     return reached
 

@@ -164,3 +164,14 @@ def test_store_without_tables(spark, tmp_path):
     store = Store(spark, str(tmp_path / "none"))
     with pytest.raises(LookupError):
         store.table("hourly")
+
+
+def test_landing_sends_no_table_that_grows_through_the_driver(spark, tmp_path, monkeypatch):
+    """Joins by cell and hour are merges, however small the files are in which the keys lie."""
+    seen, stage = [], incremental.stage
+    monkeypatch.setattr(incremental, "stage", lambda df, name: seen.append((name, df._jdf.queryExecution().executedPlan().toString())) or stage(df, name))
+    store = Store(spark, str(tmp_path / "store"))
+    apply_landing(store, activity(spark, 2, 4), "first", 300.0, 2)
+    joined = {name: plan for name, plan in seen if name in ("neighbourhood", "near-hours")}
+    assert set(joined) == {"neighbourhood", "near-hours"}
+    assert all("SortMergeJoin" in plan and "BroadcastHashJoin" not in plan for plan in joined.values())
