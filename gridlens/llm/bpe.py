@@ -3,7 +3,8 @@
 A text is split by a pattern; each piece starts as single bytes, and the pair of neighbours with the lowest rank is
 joined, the leftmost of equals, until no neighbours form a token. A segment tree over the byte positions of a piece holds
 rank * length + position of the pair that starts there, so its root is the leftmost pair of minimal rank. A merge
-changes three leaves and the nodes above them; a piece of n bytes takes O(n log n), even one of a million letters.
+changes three leaves and the nodes above them; a piece of n bytes takes O(n log n), even one of a million letters. Pieces of
+up to SHORT bytes, nearly all, need no tree: the least of a short list is found faster by looking through it.
 
 Most words recur, so a task keeps the ids of words and pieces it has met, up to a number of entries; then it starts anew.
 That changes speed only. Null and empty texts give no ids. Ids are kept as little-endian unsigned 32-bit integers.
@@ -23,8 +24,11 @@ from pyspark.sql import functions as F
 from gridlens.llm.common import small_batches, to_batches
 
 KEPT_WORDS = 400_000
+#: Signs that a pattern may cut off the letters before them.
+MARKS = ".,;:!?"
 NO_PAIR = 1 << 62
 WIDTH = 16
+SHORT = 32
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -33,11 +37,30 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
+def _merged_short(piece: bytes, ranks: dict[bytes, int], pairs: list[int]) -> list[int]:
+    """Ids of a short piece that is no token: values has the rank of each token joined with the next one."""
+    starts, rank_of = list(range(len(piece) + 1)), ranks.get
+    values = [pairs[a << 8 | b] for a, b in zip(piece, piece[1:], strict=False)]
+    while values and (best := min(values)) < NO_PAIR:
+        i = values.index(best)
+        del starts[i + 1]
+        if i + 1 < len(values):
+            del values[i + 1]
+            values[i] = rank_of(piece[starts[i] : starts[i + 2]], NO_PAIR)
+        else:
+            values.pop()
+        if i:
+            values[i - 1] = rank_of(piece[starts[i - 1] : starts[i + 1]], NO_PAIR)
+    return [ranks[piece[a:b]] for a, b in zip(starts, starts[1:], strict=False)]
+
+
 def merged(piece: bytes, ranks: dict[bytes, int], pairs: list[int]) -> list[int]:
     """Ids of one piece; pairs has the ranks of all pairs of bytes. The tree has WIDTH children at each node; `levels` runs from its leaves to the node below the root."""
     whole = ranks.get(piece)
     if whole is not None:
         return [whole]
+    if len(piece) <= SHORT:
+        return _merged_short(piece, ranks, pairs)
     n, rank_of = len(piece), ranks.get
     # a pair that is no token has a value of NO_PAIR or more
     leaves = [pairs[a << 8 | b] * n + i for i, (a, b) in enumerate(zip(piece, piece[1:], strict=False))]
@@ -101,6 +124,8 @@ class Codec:
         self.odd_space = regex.compile(r" (?:\s|\Z)")
         # whether the pattern keeps a space and the letters after it together
         self.letters_join = self.pattern.findall(" Aaz") == [" Aaz"]
+        # signs that it leaves to themselves after letters
+        self.marks = {mark for mark in MARKS if self.pattern.findall(f" Aaz{mark}") == [" Aaz", mark]} if self.letters_join else set()
         self.pairs = [self.ranks.get(bytes(divmod(i, 256)), NO_PAIR) for i in range(1 << 16)]
         self.pieces = _Known(lambda piece: packed(merged(piece.encode(), self.ranks, self.pairs)))
         self.words = _Known(self._word)
@@ -110,8 +135,11 @@ class Codec:
 
     def _word(self, word: str) -> bytes:
         """A word and the space before it."""
-        if self.letters_join and word.isascii() and word.isalpha():
-            return packed(merged((" " + word).encode(), self.ranks, self.pairs))
+        if self.letters_join and word.isascii():
+            if word.isalpha():
+                return packed(merged((" " + word).encode(), self.ranks, self.pairs))
+            if word[-1:] in self.marks and word[:-1].isalpha():
+                return self.words[word[:-1]] + self.pieces[word[-1]]
         return self._pieces(" " + word)
 
     def encode(self, text: str | None) -> bytes:

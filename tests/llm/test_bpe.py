@@ -56,3 +56,11 @@ def test_bounded_memory_of_words(library, monkeypatch):
     text = "one two three four five two one six " * 5 + "end"
     assert own.encode(text) == b"".join(i.to_bytes(4, "little") for i in library.encode_ordinary(text))
     assert len(own.words) <= 3 and len(own.pieces) <= 3
+
+
+def test_word_before_a_mark_is_merged_once(library, monkeypatch):
+    calls, merged = [], bpe.merged
+    monkeypatch.setattr(bpe, "merged", lambda piece, *tables: calls.append(piece) or merged(piece, *tables))
+    own, text = bpe.Codec(PATH, PATTERN), "a zzyqx zzyqx, zzyqx. zzyqx's zzyqx.. " + "zq" * 16 + " " + "zq" * 17
+    assert own.encode(text) == bpe.packed(library.encode_ordinary(text))
+    assert calls.count(b" zzyqx") <= 2  # as a word, and as a piece of the odd words
