@@ -12,26 +12,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridlens import schema as S
+from gridlens.operators.joins import small_side
+from gridlens.session import stage
 
-# states after a quote or text: at the start of a field, within an unquoted field or after a closing quote, inside quotes, after a quote in quotes
-_START, _PLAIN, _INSIDE, _QUOTE = range(4)
+# what lies inside quotes; possessive, so that a line of any length is read once and without recursion
+_QUOTED = '"[^"]*+(?:""[^"]*+)*+'
+# fields that end with a comma, then one that stays open; a quote opens a field only at its start
+_OPEN = rf'^(?:(?:[^",][^,]*+|{_QUOTED}"(?:[^",][^,]*+)?+)?+,)*+{_QUOTED}\z'
 
 
 def _ends_inside(line: Column, inside: bool) -> Column:
-    """Whether a line that starts outside (or inside) quotes ends inside them; texts between quotes are taken one by one."""
-    pieces = F.split(line, '"')
-
-    def after_text(state: Column, text: Column) -> Column:
-        closed = F.when(F.endswith(text, F.lit(",")), _START).otherwise(_PLAIN)
-        return F.when((text == "") | (state == _INSIDE), state).otherwise(closed)
-
-    def step(state: Column, text: Column) -> Column:
-        quoted = F.element_at(F.array(F.lit(_INSIDE), F.lit(_PLAIN), F.lit(_QUOTE), F.lit(_INSIDE)), state + 1)
-        return after_text(quoted, text)
-
-    first = F.lit(_INSIDE) if inside else after_text(F.lit(_START), pieces[0])
-    state = F.aggregate(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), first, step)
-    return F.when(F.contains(line, F.lit('"')), state == _INSIDE).otherwise(inside)
+    """Whether a line that starts outside (or inside) quotes ends inside them; to start inside is to have read a quote."""
+    return F.when(F.contains(line, F.lit('"')), F.concat(F.lit('"'), line).rlike(_OPEN) if inside else line.rlike(_OPEN)).otherwise(inside)
 
 
 def opens_record(line: Column) -> Column:
@@ -53,12 +45,12 @@ def _state_before(df: DataFrame, by: list[str], order: str) -> DataFrame:
     return seen.withColumn("fixed_before", fixed).drop("_last", "_turns")
 
 
-def _state(start: Column | int) -> Column:
-    return F.coalesce("fixed_before", (F.lit(start) if isinstance(start, int) else start) + F.col("turns_before")) % 2
-
-
 def whole_records(lines: DataFrame) -> DataFrame:
-    """Lines (file, block, position, line) as records of the same columns: the block in which a record starts, and its place among those that start there."""
+    """Lines (file, block, position, line) as records of the same columns: the block in which a record starts, and its place among those that start there.
+
+    Lines are read once: each tells how many records have started in its split so far, for a split that starts outside quotes and for one
+    that starts inside. The splits, a row each, then tell which holds and to what record the lines before the first start belong.
+    """
     outside, inside = _ends_inside(F.col("line"), False).cast("int"), _ends_inside(F.col("line"), True).cast("int")
     # positions are numbers of the scan, so they are fixed before anything is shuffled
     functions = lines.select("file", "block", "position", "line", outside.alias("_outside"), inside.alias("_inside")).select(
@@ -67,29 +59,33 @@ def whole_records(lines: DataFrame) -> DataFrame:
         F.when(F.col("_outside") > F.col("_inside"), 1).otherwise(0).alias("turns"),
     )
     in_split = _state_before(functions, ["file", "block"], "position")
+    so_far = Window.partitionBy("file", "block").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
+    started = [
+        F.count_if(F.coalesce("fixed_before", F.lit(start) + F.col("turns_before")) % 2 == 0).over(so_far).alias(f"started_{start}") for start in (0, 1)
+    ]
     after = F.when(F.col("fixed").isNotNull(), F.col("fixed")).otherwise((F.col("fixed_before") + F.col("turns")) % 2)
+    turned = F.col("turns_before") + F.col("turns")
+    in_split = stage(in_split.select("file", "block", "position", "line", after.alias("fixed"), turned.alias("turns"), *started), "lines-in-split")
     splits = in_split.groupBy("file", "block").agg(
-        F.max_by(after, "position").alias("fixed"),
-        F.max(F.col("turns_before") + F.col("turns")).alias("turns"),
+        F.max_by("fixed", "position").alias("fixed"),
+        F.max("turns").alias("turns"),
+        *[F.max(f"started_{start}").alias(f"started_{start}") for start in (0, 1)],
     )
     # turns count only where no line of the split fixes the state
     splits = splits.withColumn("turns", F.when(F.col("fixed").isNotNull(), 0).otherwise(F.col("turns") % 2))
-    starts = _state_before(splits, ["file"], "block").select("file", "block", _state(0).alias("start"))
-    known = in_split.join(starts, ["file", "block"]).withColumn("begins", _state(F.col("start")) == 0)
-    spot = F.struct(F.col("block").alias("first_block"), F.col("position").alias("first_position"))
-    so_far = Window.partitionBy("file", "block").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
-    known = known.withColumn("own", F.last(F.when(F.col("begins"), spot), ignorenulls=True).over(so_far))
-    # a line that no line of its split begins belongs to the last record of the splits before
-    lasts = known.groupBy("file", "block").agg(F.max("own").alias("last"))
+    starts = _state_before(splits, ["file"], "block").withColumn("start", F.coalesce("fixed_before", F.col("turns_before")) % 2)
+    starts = starts.withColumn("started", F.when(F.col("start") == 0, F.col("started_0")).otherwise(F.col("started_1")))
+    # a line before the first start of its split belongs to the last record of the splits before
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    lasts = lasts.select("file", "block", F.last("last", ignorenulls=True).over(before).alias("carried"))
-    owned = known.join(lasts, ["file", "block"]).withColumn("record", F.coalesce("own", "carried"))
+    last = F.last(F.when(F.col("started") > 0, F.struct(F.col("block").alias("first_block"), F.col("started").alias("nth"))), ignorenulls=True)
+    starts = stage(starts.select("file", "block", "start", last.over(before).alias("carried")), "split-starts")
+    nth = F.when(F.col("start") == 0, F.col("started_0")).otherwise(F.col("started_1"))
+    own = F.when(nth > 0, F.struct(F.col("block").alias("first_block"), nth.alias("nth")))
+    owned = in_split.join(small_side(starts), ["file", "block"]).withColumn("record", F.coalesce(own, "carried"))
     ordered = F.sort_array(F.collect_list(F.struct("block", "position", "line")))
-    grouped = owned.groupBy("file", "record").agg(ordered.alias("lines"))
+    grouped = owned.groupBy("file", "record.first_block", "record.nth").agg(ordered.alias("lines"))
     text = F.array_join(F.transform("lines", lambda part: part["line"]), "\n")
-    whole = grouped.select("file", F.col("record.first_block").alias("block"), F.col("record.first_position").alias("first"), text.alias("line"))
-    nth = F.row_number().over(Window.partitionBy("file", "block").orderBy("first"))
-    return whole.select("file", "block", (nth - 1).cast("long").alias("position"), "line")
+    return grouped.select("file", F.col("first_block").alias("block"), (F.col("nth") - 1).cast("long").alias("position"), text.alias("line"))
 
 
 def raw_rows(records: DataFrame, fields: Column) -> DataFrame:
@@ -97,5 +93,8 @@ def raw_rows(records: DataFrame, fields: Column) -> DataFrame:
     is_header = (F.col("block") == 0) & F.col("header_like")
     names = F.transform(F.col("fields"), lambda field: F.trim(field))
     marked = records.withColumn("fields", fields).withColumn("header_like", names == F.array(*[F.lit(n) for n in S.RAW_COLUMNS]))
-    values = [F.try_element_at("fields", F.lit(i + 1)).try_cast(f.dataType).alias(f.name) for i, f in enumerate(S.RAW_SCHEMA)]
+    texts = [F.try_element_at("fields", F.lit(i + 1)) for i in range(len(S.RAW_SCHEMA))]
+    # a blank number is not cast, which costs an exception each
+    texts = [F.nullif(text, F.lit("")) if f.name in S.RAW_MEASURES else text for text, f in zip(texts, S.RAW_SCHEMA, strict=True)]
+    values = [text.try_cast(f.dataType).alias(f.name) for text, f in zip(texts, S.RAW_SCHEMA, strict=True)]
     return marked.where(~is_header).select(*values, F.col("file").alias("source_file"))

@@ -56,8 +56,9 @@ def take_lines(batch: DataFrame, batch_id: int, zone_dir: str, by_batch: bool =
     names = stage(lines.select("file").distinct(), "batch-files")
     fresh, skipped = _split_seen(names, zone_dir, "lines", batch_id)
     own = lines.join(small_side(fresh), "file", "left_semi")
-    judged = stage(files.judge_files(own), "judged")
-    accepted, rejected = files.accepted_rows(own, judged), files.route_lines(own, judged, False)
+    judged, records = files.judge_and_gather(own)
+    judged = stage(judged, "judged")
+    accepted, rejected = files.accepted_rows(own, judged, records), files.route_lines(own, judged, False)
     if by_batch:
         _by_batch(accepted, zone_dir, RAW, "lines", batch_id)
         _by_batch(rejected, zone_dir, REJECTED, "lines", batch_id)
