@@ -203,6 +203,11 @@ def close_alerts(
 # --- hours that late rows may still change ---
 
 
+def _by_hour(df: DataFrame) -> DataFrame:
+    """Rows of an hour together, so that its folder gets one file, not one of every task; Spark splits hours that are too large for a task."""
+    return df.hint("rebalance", "date", "hour")
+
+
 def upsert_available(clean: DataFrame, output: str, checkpoint: str, decimals: int | None = None) -> StreamingQuery:
     """Keeps the hourly table of a cleaned activity stream right however late rows arrive; there is no watermark and nothing is dropped.
 
@@ -214,7 +219,7 @@ def upsert_available(clean: DataFrame, output: str, checkpoint: str, decimals: i
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         rows = batch.select("grid_id", "timestamp", *S.MEASURES, "date", F.hour("timestamp").alias("hour"), F.lit(batch_id).alias("batch"))
-        writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer = _by_hour(rows).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         writer.partitionBy("date", "hour", "batch").parquet(f"{output}/rows")
         try:
             kept = spark.read.parquet(f"{output}/rows")
@@ -225,7 +230,7 @@ def upsert_available(clean: DataFrame, output: str, checkpoint: str, decimals: i
         # a row for each hour of the batch; the scan opens the folders of these hours alone
         touched = stage(kept.where(F.col("batch") == batch_id).select("date", "hour").distinct(), "touched-hours")
         again = kept.join(small_side(touched), ["date", "hour"], "left_semi").drop("date", "hour", "batch")
-        writer = hourly_grid_summary(again, decimals).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer = _by_hour(hourly_grid_summary(again, decimals)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         writer.partitionBy("date", "hour").parquet(f"{output}/hourly")
 
     query = (

@@ -213,3 +213,18 @@ def test_incremental_job(spark, tmp_path):
     hourly = aggregate.hourly_grid_summary(clean.clean_activity(clean.to_canonical(raw)))
     whole, grown = features.network_features(hourly), store.table("features").drop("date")
     assert whole.exceptAll(grown.select(*whole.columns)).count() == 0 and grown.count() == whole.count()
+
+
+def test_an_upserted_hour_has_one_file_for_each_batch(spark, tmp_path):
+    """However many tasks a batch and its sums have."""
+    folder, out = tmp_path / "in", tmp_path / "out"
+    for day in (1, 2):
+        day_file(folder, day)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        live.upsert_available(live.read_raw_stream(spark, str(folder)), str(out), f"{out}/checkpoint")
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    for table in ("rows", "hourly"):
+        hours = [p.parent for p in (out / table).rglob("*.parquet")]
+        assert len(hours) == len(set(hours)) == 48
