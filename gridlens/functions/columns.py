@@ -82,19 +82,21 @@ def number_text(value: Column, digits: int) -> Column:
 
 # --- fixed values: reason texts ---
 def anomaly_reason(score: Column, baseline: Column, grid: Column, hour: Column) -> Column:
-    def moved(direction: str) -> Column:
-        return F.format_string(
-            f"Activity is %s%% {direction} the historical median for grid %d at hour %02d:00",
-            number_text(F.abs(score) * 100, 2),
-            grid.cast("long"),
-            hour.cast("int"),
-        )
-
+    # put together without a format, which Spark reads anew for every row
+    moved = F.concat(
+        F.lit("Activity is "),
+        number_text(F.abs(score) * 100, 2),
+        F.when(score > 0, "% above").otherwise("% below"),
+        F.lit(" the historical median for grid "),
+        F.coalesce(grid.cast("long").cast("string"), F.lit("null")),
+        F.lit(" at hour "),
+        F.coalesce(F.lpad(hour.cast("int").cast("string"), 2, "0"), F.lit("null")),
+        F.lit(":00"),
+    )
     return (
         F.when(baseline.isNull(), "No historical baseline available for this grid and hour")
         .when(baseline <= 0, "Historical baseline is zero or negative")
-        .when(score > 0, moved("above"))
-        .when(score < 0, moved("below"))
+        .when(score != 0, moved)
         .otherwise("Activity matches the historical baseline")
     )
 

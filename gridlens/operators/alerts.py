@@ -58,7 +58,7 @@ def alert_reason(kind: Column, current: Column, compared: Column) -> Column:
     }
     text = F.create_map(*[F.lit(part) for pair in texts.items() for part in pair])[kind]
     shown = C.number_text(current, 2), C.number_text(compared, 2)
-    return F.format_string("%s: current activity %s is %s %s", kind, shown[0], text, shown[1])
+    return F.concat(kind, F.lit(": current activity "), shown[0], F.lit(" is "), text, F.lit(" "), shown[1])
 
 
 def network_alerts(hourly: DataFrame, scope: str = "date") -> DataFrame:

@@ -17,6 +17,8 @@ MAX_GROUP_ROWS = 1_000_000
 # ranges into which a slice is cut that is still too large
 PARTS = 1024
 
+_ALL = Window.unboundedPreceding, Window.unboundedFollowing
+
 # group size -> name -> 0-based position in the group's sorted values
 Positions = Callable[[Column], dict[str, Column]]
 
@@ -66,10 +68,9 @@ def values_at(
 
 def _sort_groups(present: DataFrame, positions: Positions, by: list[str]) -> DataFrame:
     """One shuffle and one sort for all positions."""
-    whole = Window.partitionBy(*by)
-    ranked = present.withColumn("_spot", F.row_number().over(whole.orderBy("_value")) - 1).withColumn(
-        "group_rows", F.count(F.lit(1)).over(whole)
-    )
+    sorted_ = Window.partitionBy(*by).orderBy("_value")
+    # counted along the same order, so that one pass gives both
+    ranked = present.withColumns({"_spot": F.row_number().over(sorted_) - 1, "group_rows": F.count(F.lit(1)).over(sorted_.rowsBetween(*_ALL))})
     wanted = positions(F.col("group_rows"))
     return ranked.groupBy(*by, "group_rows").agg(
         *[F.max(F.when(F.col("_spot") == position, F.col("_value"))).alias(name) for name, position in wanted.items()]
@@ -205,10 +206,9 @@ def leave_one_out_median(
 
 
 def _sorted_buckets(df: DataFrame, buckets: list[str], value: str, output: str, exact: bool) -> DataFrame:
-    whole = Window.partitionBy(*buckets)
-    ranked = df.withColumn("_spot", F.row_number().over(whole.orderBy(value)) - 1).withColumn(
-        "_rows", F.count(F.lit(1)).over(whole)
-    )
+    sorted_ = Window.partitionBy(*buckets).orderBy(value)
+    whole = sorted_.rowsBetween(*_ALL)
+    ranked = df.withColumns({"_spot": F.row_number().over(sorted_) - 1, "_rows": F.count(F.lit(1)).over(whole)})
     middle = {
         name: F.max(F.when(F.col("_spot") == spot, F.col(value))).over(whole)
         for name, spot in _middle(F.col("_rows")).items()

@@ -10,6 +10,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gridlens.operators import order_stats, windows
+from gridlens.operators.anomaly import score_against_baseline
+from gridlens.operators.order_stats import leave_one_out_median
+from tests import plan_metrics
 
 START = datetime(2013, 1, 1)
 
@@ -188,3 +191,15 @@ def test_exact_sums(spark):
     for bad in (0.004, float("nan"), float("inf"), 1e17):
         with pytest.raises(Exception, match="at most 2 decimals"):
             spark.createDataFrame([(bad,)], "v double").agg(exact_sum("v", 2)).collect()
+
+
+def test_medians_of_others_take_two_passes_over_a_bucket(spark):
+    """One for places and sizes, one for the values around the middle; reasons are put together without a format."""
+    rows = spark.createDataFrame([(g, h, float(g * h)) for g in range(3) for h in range(5)], "grid_id int, hour int, total_activity double")
+    scored = score_against_baseline(leave_one_out_median(rows, ["grid_id"]))
+    plan = plan_metrics.names(plan_metrics.executed(scored))
+    assert plan.count("WindowExec") == 2
+    assert "format_string" not in scored._jdf.queryExecution().analyzed().toString()
+    reasons = {r["hour"]: r["reason"] for r in scored.where("grid_id = 2").collect()}
+    assert reasons[4] == "Activity is 166.67% above the historical median for grid 2 at hour 04:00"
+    assert reasons[1] == "Activity is 60.00% below the historical median for grid 2 at hour 01:00"
