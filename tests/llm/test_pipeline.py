@@ -1,6 +1,7 @@
 """Each stage against a plain version on its own input, and the whole run."""
 
 import hashlib
+import random
 from collections import Counter
 
 import public_tokenizers
@@ -8,7 +9,7 @@ import pytest
 import tiktoken
 
 import corpus_pipeline
-from gridlens.llm import bpe, cube_mixture, language_spans, private_data, stages, surrogates
+from gridlens.llm import bpe, cube_mixture, language_spans, private_data, similar_texts, stages, surrogates
 from gridlens.session import stage
 
 SF = "/root/testdata/sf0.001"
@@ -103,6 +104,41 @@ def test_deleted_documents_have_links(parts):
     assert all(find(i) != i for i in before if i not in after)
 
 
+@pytest.fixture
+def scattered(spark, tmp_path):
+    """100 texts with a near copy each, in eight files, and a function after which a scan deals them out as on a cluster that lost its cores."""
+    rng = random.Random(1)
+    made = []
+    for group in range(100):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(60 + group)]
+        made += [(2 * group, " ".join(words)), (2 * group + 1, " ".join([*words[:-1], "x"]))]
+    rows = [(i, text, "en", f"src{i % 3}", len(text)) for i, text in made]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(rows, schema).repartition(8, "doc_id").write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    yield docs, lambda: spark.conf.set("spark.sql.leafNodeDefaultParallelism", "1")
+    spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
+
+
+@pytest.mark.parametrize("step", ["components", "_levels"])
+def test_near_duplicates_when_files_are_dealt_anew(spark, scattered, monkeypatch, step):
+    docs, lose_cores = scattered
+    plain = getattr(similar_texts, step)
+    monkeypatch.setattr(similar_texts, step, lambda *given: lose_cores() or plain(*given))
+    before = docs.rdd.getNumPartitions()
+    after = stages.near_duplicates(spark, docs, "").collect()
+    assert docs.select("*").rdd.getNumPartitions() < before
+    assert sorted(r["doc_id"] for r in after) == list(range(0, 200, 2))
+
+
+def test_mixture_when_files_are_dealt_anew(spark, scattered, monkeypatch):
+    docs, lose_cores = scattered
+    steady = sorted(r["doc_id"] for r in stages.mixture(spark, docs, "").collect())
+    plain = cube_mixture.cube_draw
+    monkeypatch.setattr(cube_mixture, "cube_draw", lambda *given: lose_cores() or plain(*given))
+    assert sorted(r["doc_id"] for r in stages.mixture(spark, docs, "").collect()) == steady
+
+
 def test_private_data(parts):
     before, after = rows(parts["near_duplicates"]), rows(parts["private_data"])
     assert before.keys() == after.keys()
